@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, substring_dedup, suffix_dedup
+from . import decontaminate, language_id, near_dup, quality, sentencepiece_codec, substring_dedup, suffix_dedup, warc, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,30 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash_near_dup, op4_suffix_dedup)}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_read(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_read(spark, sf_dir, "pages"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest(_read(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digest(_read(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_minhash_near_dup, op4_suffix_dedup, op5_quality, op6_webp, op8_decontamination, op9_warc, op10_sentencepiece)}
+
+ORACLES: dict[str, str] = {"op9_warc": warc.SQL}
