@@ -9,7 +9,8 @@
 3. Links are found without emitting all pairs of a bucket: first each document against the best of
    its buckets' least documents; components of these links; then, of buckets that still hold several
    components, each document's best candidates in other components; and last every remaining
-   candidate pair that joins two components. Large buckets are compared block by block.
+   candidate pair that would join two components, confirmed where it is found. Large buckets are
+   compared block by block.
 
 With r rows a band and b bands a link at similarity s is missed with probability (1 - s^r)^b: 7e-9
 at 0.85 (5 rows, 32 bands) and 7e-10 at 0.8 (4 rows, 40 bands).
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 from . import common as c
 
 MINIMA, BITS = 160, 4
-#: Documents of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Documents of a bucket, and their shingles, that one task compares with as many others.
+BLOCK, WORDS = 1024, 1_000_000
 _MULTIPLIERS = (c.mix(np.arange(1, MINIMA + 1, dtype=c.U64)) >> c.U64(32)).astype(np.uint32) | np.uint32(1)
 #: Equal 4-bit groups of two bytes, by their exclusive or.
 _EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
@@ -133,40 +134,20 @@ def _linked(num: int, den: int):
     return run
 
 
-def _across(num: int, den: int, least: float, top: int | None):
-    """Candidate pairs of one bucket's block pair that would join two components, each named only
-    in the first band that both share; with `top`, only each document's best few."""
+def _grouped(work, frame):
+    """mapInPandas over rows sorted by key, i, j: work gets the columns of one bucket's block pair
+    and returns rows; a group is held whole, BLOCK documents or WORDS shingles on either side."""
 
-    def pairs(ids, comp, n, blk, band, i0, j0, sig, bands) -> list[tuple[np.ndarray, np.ndarray]]:
-        left, right = np.flatnonzero(blk == i0), np.flatnonzero(blk == j0)
-        out = []
-        for i in left:
-            others = right[comp[right] != comp[i]]
-            if i0 == j0 and top is None:
-                others = others[ids[others] > ids[i]]
-            others = others[den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i])]
-            if not len(others):
-                continue
-            e = estimated(sig[i], sig[others])
-            ok = e >= least
-            others, e = others[ok], e[ok]
-            if top is not None and len(others) > top:
-                others = others[np.argsort(-e, kind="stable")[:top]]
-            if len(others):
-                others = others[(bands[others] == bands[i]).argmax(axis=1) == band[i]]
-                out.append((np.maximum(ids[others], ids[i]), np.minimum(ids[others], ids[i])))
-        return out
-
-    def groups(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-        key, i, j, ids, comp, n, blk, band = (pdf[x].to_numpy() for x in ("key", "i", "j", "id", "comp", "n", "blk", "band"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        bands = np.frombuffer(b"".join(pdf["bands"]), np.int64).reshape(len(pdf), -1)
+    def groups(pdf: pd.DataFrame) -> list:
+        key, i, j = (pdf[x].to_numpy() for x in ("key", "i", "j"))
+        cols = {x: pdf[x].to_numpy() for x in pdf.columns}
+        for x, kind in (("sig", np.uint8), ("bands", np.int64)):
+            cols[x] = np.frombuffer(b"".join(pdf[x]), kind).reshape(len(pdf), -1)
         begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         out = []
         for s, t in zip(begin, [*begin[1:], len(pdf)], strict=True):
             if t - s > 1:
-                g = slice(s, t)
-                out += pairs(ids[g], comp[g], n[g], blk[g], band[g], i[s], j[s], sig[g], bands[g])
+                out += work(**{x: v[s:t] for x, v in cols.items()})
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,17 +162,71 @@ def _across(num: int, den: int, least: float, top: int | None):
             if same.all() and (ends_same or not held):
                 held.append(pdf)
                 continue
-            yield frame(groups(pd.concat([*held, pdf[~same]])))
+            yield pd.DataFrame(groups(pd.concat([*held, pdf[~same]])), columns=frame)
             held = [pdf[same]]
         if held:
-            yield frame(groups(pd.concat(held)))
-
-    def frame(out: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64), "b": np.concatenate([y for _, y in out]) if out else np.zeros(0, np.int64)})
+            yield pd.DataFrame(groups(pd.concat(held)), columns=frame)
 
     return run
 
 
+def _candidates(num: int, den: int, least: float, ids, comp, n, blk, band, i, j, sig, bands, both: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each document of block i its candidates in other components in block j, with estimates."""
+    left, right = np.flatnonzero(blk == i[0]), np.flatnonzero(blk == j[0])
+    for x in left:
+        others = right[comp[right] != comp[x]]
+        if i[0] == j[0] and not both:
+            others = others[ids[others] > ids[x]]
+        others = others[den * np.minimum(n[others], n[x]) >= num * np.maximum(n[others], n[x])]
+        if len(others):
+            e = estimated(sig[x], sig[others])
+            others, e = others[e >= least], e[e >= least]
+        if len(others):
+            yield x, others, e
+
+
+def _best(num: int, den: int, least: float, top: int):
+    """Each document's best candidates in other components."""
+
+    def work(id, comp, n, blk, band, i, j, sig, bands, key) -> list[tuple[int, int]]:
+        out = []
+        for x, others, e in _candidates(num, den, least, id, comp, n, blk, band, i, j, sig, bands, True):
+            out += [(max(id[x], id[y]), min(id[x], id[y])) for y in others[np.argsort(-e, kind="stable")[:top]]]
+        return out
+
+    return _grouped(work, ["a", "b"])
+
+
+def _open(num: int, den: int, least: float):
+    """Buckets that still hold candidates in different components."""
+
+    def work(id, comp, n, blk, band, i, j, sig, bands, key) -> list[tuple[int]]:
+        return [(key[0],)] if next(_candidates(num, den, least, id, comp, n, blk, band, i, j, sig, bands, True), None) else []
+
+    return _grouped(work, ["key"])
+
+
+def _across(num: int, den: int, least: float):
+    """Every candidate pair across components, looked at in the first band that both share and
+    confirmed on the full sets here; one link for each document and other component."""
+
+    def work(id, comp, n, blk, band, i, j, sig, bands, key, words) -> list[tuple[int, int]]:
+        out = []
+        for x, others, _ in _candidates(num, den, least, id, comp, n, blk, band, i, j, sig, bands, False):
+            others = others[(bands[others] == bands[x]).argmax(axis=1) == band[x]]
+            if not len(others):
+                continue
+            own, flat = np.frombuffer(words[x], c.U64), np.frombuffer(b"".join(words[others]), c.U64)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            shared = np.add.reduceat(own[at] == flat, np.concatenate(([0], np.cumsum(n[others])[:-1])), dtype=np.int64)
+            linked = others[den * shared >= num * (n[x] + n[others] - shared)]
+            _, one = np.unique(comp[linked], return_index=True)
+            out += [(max(id[x], id[y]), min(id[x], id[y])) for y in linked[one]]
+        return out
+
+    return _grouped(work, ["a", "b"])
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id: documents are linked if den * |intersection| >= num *
     |union| of their shingle sets; component_id is the smallest doc_id reachable over links."""
@@ -216,16 +251,24 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, num: int = 4, den: i
     links = confirmed(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")))
     roots = c.components(links)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for top in (2, None):
-        at = met.select("key", "band", "id", "m").join(roots, "id", "left").select("key", "band", "id", "m", F.coalesce("root", "id").alias("comp"))
-        split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        at = at.join(split, "key", "left_semi").join(reps, "id")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        at = at.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        at = at.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "band", "id", "comp", "n", "sig", "bands", "blk")
-        pairs = at.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_across(num, den, least, top), "a long, b long")
-        links = c.table(links.union(confirmed(pairs.distinct())), "links")
-        roots = c.components(links)
+
+    def split_buckets() -> DataFrame:
+        """Rows of the buckets that hold several components, dealt into block pairs."""
+        at = met.select("key", "band", "id").join(roots, "id", "left").join(reps, "id").withColumn("comp", F.coalesce("root", "id"))
+        several = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / WORDS)).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
+        at = at.join(several, "key").withColumn("blk", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return at.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "band", "id", "comp", "n", "sig", "bands", "blk")
+
+    def by_block(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    best = by_block(split_buckets()).mapInPandas(_best(num, den, least, 2), "a long, b long")
+    links = c.table(links.union(confirmed(best.distinct())), "links")
+    roots = c.components(links)
+    rows = c.table(split_buckets(), "split")
+    left = by_block(rows).mapInPandas(_open(num, den, least), "key long").distinct()
+    rest = by_block(rows.join(left, "key", "left_semi").join(known, "id")).mapInPandas(_across(num, den, least), "a long, b long")
+    roots = c.components(links.union(c.table(rest, "links")))
     named = profile.join(reps.select("set_key", F.col("id").alias("rep")), "set_key", "left").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
