@@ -62,6 +62,14 @@ def texts(documents: DataFrame, *more: str) -> DataFrame:
     return table(docs.groupBy("doc_id").agg(F.when(F.count("*") == F.count("text"), F.min("text")).alias("text"), *rest), "one-per-id")
 
 
+def one_row(documents: DataFrame) -> DataFrame:
+    """documents with one row for each doc_id (the one with the least text, see texts), all columns kept."""
+    if documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return documents
+    least = F.struct(F.coalesce("text", F.lit("")).alias("k"), F.struct(*documents.columns).alias("row"))
+    return documents.groupBy("doc_id").agg(F.min(least).alias("m")).select("m.row.*")
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ in UTF-8: bytes.split() splits on exactly these."""
     return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, near_dup, quality, sentencepiece_codec, substring_dedup, suffix_dedup, warc, webp
+from . import chat_format, decontaminate, language_id, near_dup, quality, sentencepiece_codec, substring_dedup, suffix_dedup, warc, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,14 @@ def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.digest(_read(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(_read(spark, sf_dir, "conversations"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_minhash_near_dup, op4_suffix_dedup, op5_quality, op6_webp, op8_decontamination, op9_warc, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_minhash_near_dup, op4_suffix_dedup, op5_quality, op6_webp, op7_chat_format, op8_decontamination, op9_warc, op10_sentencepiece)}
 
 ORACLES: dict[str, str] = {"op9_warc": warc.SQL}
