@@ -195,7 +195,12 @@ def entity_pairs(texts: DataFrame, names: DataFrame, key: str, text: str, name_k
         return texts.select(key, text).mapInPandas(run, kinds)
     sized = rows.withColumn("_n", F.least(F.length(name), F.lit(gram)))
     sizes = [r[0] for r in sized.select("_n").distinct().collect()]
-    parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.xxhash64(F.substring(F.col(text), i, F.lit(n)))) for n in sizes]
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(n))))
+
+    parts = [grams(n) for n in sizes]
     if not parts:
         return texts.select(key).limit(0).crossJoin(names.select(name_key).limit(0))
     met = texts.select(key, text, F.explode(F.array_distinct(F.concat(*parts))).alias("_gram"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.storage import fresh
 from ..operators.activity import LIMITS, admit, merge_days, visit_days
@@ -27,25 +27,42 @@ def visit_stream(visits: DataFrame) -> DataFrame:
     return merge_days(rows, rows.limit(0))
 
 
-def limiter_stream(attempts: DataFrame, limits: tuple[tuple[int, int], ...] = LIMITS) -> DataFrame:
-    """attempts (sender, at, id) with ok. The state of a sender is the accepted times within the
-    longest window, and goes when that has passed without an attempt."""
-    spark, out = attempts.sparkSession, fresh(attempts.sparkSession, "limiter")
-    longest = max(w for w, _ in limits)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        ok, past = admit(rows["at"].tolist(), limits, deque(state.get[0] if state.exists else ()))
-        state.update((list(past),))
-        state.setTimeoutDuration(longest * 1000)
-        yield pd.DataFrame({"sender": key[0], "at": rows["at"], "id": rows["id"], "ok": ok})
+class Limiter(StatefulProcessor):
+    """Keeps a sender's accepted times. A timer drops them once the watermark has passed the longest
+    window after the last one."""
+
+    def __init__(self, limits: tuple[tuple[int, int], ...]):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.past = handle, handle.getListState("past", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        new = pd.concat(list(rows)).sort_values(["at", "id"])
+        ok, past = admit(new["at"].tolist(), self.limits, deque(x[0] for x in self.past.get()))
+        self.past.put([(x,) for x in past])
+        self.handle.registerTimer(1000 * (past[-1] + max(w for w, _ in self.limits)))
+        yield pd.DataFrame({"sender": key[0], "at": new["at"], "id": new["id"], "ok": ok})
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = [x[0] for x in self.past.get()]
+        longest = max(w for w, _ in self.limits)
+        if times and 1000 * (max(times) + longest) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.past.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def limiter_stream(attempts: DataFrame, limits: tuple[tuple[int, int], ...] = LIMITS, late: str = "1 hour") -> DataFrame:
+    """attempts (sender, at, id) with ok; those more than `late` behind the latest are not decided."""
+    spark, out = attempts.sparkSession, fresh(attempts.sparkSession, "limiter")
     kind = dict(attempts.dtypes)["sender"]
     schema = f"sender {kind}, at long, id long, ok boolean"
-    done = attempts.select("sender", "at", "id").groupBy("sender").applyInPandasWithState(run, schema, "past array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = attempts.select("sender", "at", "id", F.timestamp_seconds("at").alias("ts")).withWatermark("ts", late)
+    done = timed.groupBy("sender").transformWithStateInPandas(Limiter(limits), schema, "append", "eventTime")
     done.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(out)
 
