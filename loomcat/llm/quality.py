@@ -1,10 +1,13 @@
 """Document quality by an interpolated modified Kneser-Ney model of character n-grams.
 
-Per language, the n-grams of trusted texts are counted; continuation counts, discounts and back-off
-weights are grouped aggregates of the count tables. To score, documents are dealt into blocks by a
-hash of doc_id; a block asks for its distinct n-grams, the distinct n-grams of all blocks are joined
-with the count tables, sharded by n-gram, and each block gets its log-probabilities back. So neither
-a count table nor a document's n-grams are ever in one place.
+Per language, the n-grams of trusted texts are counted; continuation counts, discounts, back-off
+weights and interpolated probabilities are grouped aggregates and joins of the count tables, sharded
+by n-gram. How probabilities get to the documents depends on a count of the finished table:
+
+- up to BROADCAST_ROWS rows, the packed table is broadcast, and each text is scored where it is read;
+- beyond, documents are dealt into blocks by a hash of doc_id; a block asks for its distinct n-grams,
+  those of all blocks are joined with the tables, and each block gets its own back. Neither a table
+  nor a block's n-grams are then ever in one place. Both ways give the same figures.
 
 A document has two figures: the mean surprisal of its characters in bits (perplexity is 2 to its
 power) and the highest mean surprisal of one of its words of LETTERS letters or more. It is rejected
@@ -30,8 +33,10 @@ from . import common as c
 ORDER = 4
 QUANTILE, PEAK_QUANTILE, LEAST_TRUSTED = 0.99, 0.995, 30
 LETTERS = 4
-#: Documents of a block, characters handled at a time, trusted ids that may be broadcast.
-BLOCK, CHUNK, BROADCAST_IDS = 10_000, 400_000, 2_000_000
+#: Documents of a block, characters handled at a time.
+BLOCK, CHUNK = 10_000, 400_000
+#: Trusted ids, and rows of the finished table, that may be broadcast.
+BROADCAST_IDS, BROADCAST_ROWS = 2_000_000, 3_000_000
 SLOTS = 1 << 19
 
 
@@ -58,8 +63,8 @@ def _pieces(texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         yield "".join(" " * (ORDER - 1) + t for t in texts[lo:hi]), np.arange(lo, hi), np.cumsum(sizes) - sizes
 
 
-def _grams(points: np.ndarray) -> np.ndarray:
-    return c.mix(c.rolling(c.prefix_hash(points.astype(c.U64) + c.U64(1)), ORDER))
+def _grams(points: np.ndarray, n: int = ORDER) -> np.ndarray:
+    return c.mix(c.rolling(c.prefix_hash(points.astype(c.U64) + c.U64(1)), n))
 
 
 def _gram_starts(size: int, starts: np.ndarray) -> np.ndarray:
@@ -116,22 +121,66 @@ class Table:
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = slot[left] + 1 & self.mask
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which keys are known."""
         slot = (keys & c.U64(self.mask)).astype(np.int64)
-        out, left = self.values[slot], np.flatnonzero(self.keys[slot] != keys)
+        held = self.keys[slot]
+        out, known = self.values[slot], held == keys
+        left = np.flatnonzero(~known & (held != 0))
         while len(left):
             slot[left] = slot[left] + 1 & self.mask
-            out[left] = self.values[slot[left]]
-            left = left[(self.keys[slot[left]] != keys[left]) & (self.keys[slot[left]] != 0)]
+            held = self.keys[slot[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            known[left[hit]] = True
+            left = left[~hit & (held != 0)]
+        return out, known
+
+
+class Lookup:
+    """Surprisals of whole n-grams, as a block got them."""
+
+    def __init__(self, table: Table):
+        self.table = table
+
+    def bits(self, points: np.ndarray) -> np.ndarray:
+        return self.table.get(_grams(points))[0].astype(float)
+
+
+class Backoff:
+    """Surprisals from the finished tables: a seen n-gram's own, else its context's back-off weight
+    (none if the context is unseen) and the shorter n-gram's."""
+
+    def __init__(self, own: dict[int, Table], back: dict[int, Table], start: float):
+        self.own, self.back, self.start = own, back, start
+
+    def bits(self, points: np.ndarray) -> np.ndarray:
+        out, left = np.zeros(max(0, len(points) - ORDER + 1)), np.arange(max(0, len(points) - ORDER + 1))
+        prefix = c.prefix_hash(points.astype(c.U64) + c.U64(1))
+        down = c.powers(len(points) + 1)[1]
+
+        def hashed(at: np.ndarray, n: int) -> np.ndarray:
+            return c.mix((prefix[at + n] - prefix[at]) * down[at])
+
+        for n in range(ORDER, 0, -1):
+            at = left + ORDER - n
+            value, known = self.own[n].get(hashed(at, n)) if n in self.own else (np.zeros(len(at)), np.zeros(len(at), bool))
+            out[left[known]] += value[known]
+            left, at = left[~known], at[~known]
+            if n == 1:
+                out[left] += self.start
+            elif n - 1 in self.back and len(left):
+                value, known = self.back[n - 1].get(hashed(at, n - 1))
+                out[left[known]] += value[known]
         return out
 
 
-def surprise(texts: list[str], table: Table) -> tuple[np.ndarray, np.ndarray]:
+def surprise(texts: list[str], model: Lookup | Backoff) -> tuple[np.ndarray, np.ndarray]:
     """Mean surprisal of each text, and the highest of its words."""
     mean, peak = np.full(len(texts), np.nan), np.zeros(len(texts))
     for text, who, starts in _pieces(texts):
         points = _points(text)
-        bits = np.concatenate((np.zeros(ORDER - 1), table.get(_grams(points)).astype(float)))
+        bits = np.concatenate((np.zeros(ORDER - 1), model.bits(points)))
         kind = _Kinds.get()[points]
         for s in starts:
             bits[s : s + ORDER - 1] = 0
@@ -152,21 +201,33 @@ def surprise(texts: list[str], table: Table) -> tuple[np.ndarray, np.ndarray]:
     return mean, peak
 
 
-def _scores(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def _scored(docs: pd.DataFrame, models) -> pd.DataFrame:
+    """doc_id, lang, bits and peak; NULL for languages without a model and texts without characters."""
     out = []
     for lang, g in docs.groupby("lang"):
-        known = answers[answers["lang"] == lang]
-        joined = "".join(known["gram"])
-        keys = c.mix(_hash_rows(_points(joined).reshape(-1, ORDER))) if len(known) else np.zeros(0, c.U64)
-        mean, peak = surprise([t if isinstance(t, str) else "" for t in g["text"]], Table(keys, known["bits"].to_numpy(np.float32)))
+        model = models(lang)
+        if model is None:
+            mean = peak = np.full(len(g), np.nan)
+        else:
+            mean, peak = surprise([t if isinstance(t, str) else "" for t in g["text"]], model)
         out.append(pd.DataFrame({"doc_id": g["doc_id"], "lang": lang, "bits": mean, "peak": np.where(np.isnan(mean), np.nan, peak)}))
-    got = pd.concat(out)
+    got = pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "bits": [], "peak": []})
     return got.assign(bits=got["bits"].astype("Float64").where(got["bits"].notna(), pd.NA), peak=got["peak"].astype("Float64").where(got["peak"].notna(), pd.NA))
 
 
+def _block_scores(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def models(lang: str) -> Lookup | None:
+        known = answers[answers["lang"] == lang]
+        if not len(known):
+            return None
+        return Lookup(Table(c.mix(_hash_rows(_points("".join(known["gram"])).reshape(-1, ORDER))), known["bits"].to_numpy(np.float32)))
+
+    return _scored(docs, models)
+
+
 def _hash_rows(points: np.ndarray) -> np.ndarray:
     """The rolling hash of each row."""
-    up = c.powers(ORDER)[0]
+    up = c.powers(points.shape[1])[0]
     return ((points.astype(c.U64) + c.U64(1)) * up).sum(axis=1, dtype=c.U64)
 
 
@@ -214,7 +275,50 @@ def probabilities(grams: DataFrame, weights: DataFrame, start: DataFrame) -> Dat
     return got.select("lang", "gram", (-F.log2("p")).alias("bits"))
 
 
-def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None) -> DataFrame:
+def finished(weights: DataFrame, start: DataFrame) -> DataFrame:
+    """lang, kind (own or back), n, key, bits: surprisals of all seen n-grams and weights of all seen
+    contexts, from the shortest to the longest."""
+    shorter = start.select("lang", F.lit("").alias("key"), F.col("start").alias("p"))
+    parts = []
+    for n in range(1, ORDER + 1):
+        own = weights.where((F.length("key") == n) & F.col("own").isNotNull()).select("lang", "key", "own", F.substring("key", 1, n - 1).alias("k2"), F.substring("key", 2, n - 1).alias("k1"))
+        low = shorter.select("lang", F.col("key").alias("k1"), "p")
+        joined = own.join(F.broadcast(low), ["lang", "k1"]) if n == 1 else own.join(low, ["lang", "k1"])
+        if n > 1:
+            back = weights.where((F.length("key") == n - 1) & F.col("back").isNotNull()).select("lang", F.col("key").alias("k2"), "back")
+            joined = joined.join(back, ["lang", "k2"])
+            parts.append(back.select("lang", F.lit("back").alias("kind"), F.lit(n - 1).alias("n"), F.col("k2").alias("key"), (-F.log2("back")).alias("bits")))
+        shorter = c.table(joined.select("lang", "key", (F.col("own") + (F.col("back") * F.col("p") if n > 1 else F.col("p"))).alias("p")), f"p{n}")
+        parts.append(shorter.select("lang", F.lit("own").alias("kind"), F.lit(n).alias("n"), "key", (-F.log2("p")).alias("bits")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for (lang, kind, n), g in pdf.groupby(["lang", "kind", "n"]):
+            keys = c.mix(_hash_rows(_points("".join(g["key"])).reshape(-1, n)))
+            yield pd.DataFrame({"lang": [lang], "kind": [kind], "n": [n], "keys": [keys.tobytes()], "bits": [g["bits"].to_numpy(np.float32).tobytes()]})
+
+
+def gathered(table: DataFrame, start: DataFrame) -> dict[str, tuple]:
+    """The finished tables of all languages, packed by the tasks. Only for tables of checked size."""
+    found: dict[tuple, list] = {}
+    for r in table.mapInPandas(_packed, "lang string, kind string, n int, keys binary, bits binary").collect():
+        found.setdefault((r.lang, r.kind, r.n), []).append((r["keys"], r.bits))
+    out = {}
+    for r in start.collect():
+        tables = {"own": {}, "back": {}}
+        for (lang, kind, n), parts in found.items():
+            if lang == r.lang:
+                tables[kind][n] = (b"".join(k for k, _ in parts), b"".join(v for _, v in parts))
+        out[r.lang] = (tables["own"], tables["back"], -float(np.log2(r.start)))
+    return out
+
+
+def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, bits, peak, half (0: trained on, 1: sets quantiles, null: not trusted) of every
     document. labels: doc_id and what `trusted` reads (by default quality = 1 and toxic = 0)."""
     spark = c.session(documents.sparkSession)
@@ -226,14 +330,35 @@ def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None
     train = good.where("half = 0").select("doc_id")
     counts = docs.where("text IS NOT NULL").join(F.broadcast(train) if small else train, "doc_id", "left_semi").select("lang", "text").mapInPandas(_counts, "lang string, gram string, c long")
     weights, start = model(c.table(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "counts"))
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BLOCK))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "lang", "text").repartition(blocks, "block")
-    asked = dealt.mapInPandas(_requests, "block int, lang string, gram string")
-    answers = asked.join(probabilities(asked.select("lang", "gram").distinct(), weights, start), ["lang", "gram"]).distinct()
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scores, "doc_id long, lang string, bits double, peak double")
+    if weights.count() <= broadcast_rows:
+        held = spark.sparkContext.broadcast(gathered(finished(weights, start), start))
+        scored = docs.mapInPandas(_local(held), "doc_id long, lang string, bits double, peak double")
+    else:
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BLOCK))
+        dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "lang", "text").repartition(blocks, "block")
+        asked = dealt.mapInPandas(_requests, "block int, lang string, gram string").distinct()
+        answers = asked.join(probabilities(asked.select("lang", "gram").distinct(), weights, start), ["lang", "gram"])
+        scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_block_scores, "doc_id long, lang string, bits double, peak double")
     return c.table(scored, "scores").join(good, "doc_id", "left")
 
 
+def _local(held):
+    built: dict[str, Backoff] = {}
+
+    def models(lang: str) -> Backoff | None:
+        if lang not in built and lang in held.value:
+            own, back, start = held.value[lang]
+            made = [{n: Table(np.frombuffer(k, c.U64), np.frombuffer(v, np.float32)) for n, (k, v) in x.items()} for x in (own, back)]
+            built[lang] = Backoff(*made, start)
+        return built.get(lang)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _scored(pdf, models)
+
+    return run
+
+
 def judge(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, peak_quantile: float = PEAK_QUANTILE) -> DataFrame:
     """score's columns with perplexity, the language's limits and kept."""
     scored = score(documents, labels)
