@@ -228,6 +228,18 @@ def mine_aliases(mentions: DataFrame, noise: Iterable[str] = ("ppt", "sky", "ddl
     return kept.join(single.select("alias", "entity_type"), ["alias", "entity_type"], "left_semi").select("alias", "entity_type", "canonical_name", "evidence_count")
 
 
+def teacher_initials(teachers: DataFrame, syllables: DataFrame, noise: Iterable[str] = ("lz", "dz", "ddl", "ppt", "gpa", "sky")) -> DataFrame:
+    """teacher and initials: the first letters of the syllables (letter, syllable) of a name's
+    characters, in order. Names with a character that has no syllable, one-character names and
+    initials that mean something else get none."""
+    names = teachers.select("teacher").where(F.length("teacher") > 0).distinct()
+    spelled = names.select("teacher", F.posexplode(F.filter(F.split("teacher", ""), lambda x: x != "")).alias("at", "letter"))
+    joined = spelled.join(syllables.groupBy("letter").agg(F.min("syllable").alias("syllable")), "letter", "left")
+    one = joined.groupBy("teacher").agg(F.array_sort(F.collect_list(F.struct("at", F.substring("syllable", 1, 1).alias("x")))).alias("xs"), F.count("syllable").alias("known"), F.count("*").alias("n"))
+    out = one.where("known = n AND n > 1").select("teacher", F.array_join(F.transform("xs", lambda v: F.lower(v["x"])), "").alias("initials"))
+    return out.where(~F.col("initials").isin(*noise))
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Weighted patterns: a text is kept if its weights sum to `least` or more, and it is a review

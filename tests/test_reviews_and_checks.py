@@ -139,6 +139,13 @@ def test_aliases(spark):
     assert got == {("软设", "软件设计实践"), ("普生C", "普通生物学(C)"), ("xt", "谢涛"), ("my", "马郓"), ("lq", "刘俏"), ("wh", "王辉"), ("cyy", "陈玉宇")}
 
 
+def test_teacher_initials(spark):
+    names = spark.createDataFrame([("张牧涵",), ("姜少峰",), ("李智",), ("外教Smith",), ("李",), (None,)], "teacher string")
+    table = [("张", "zhang"), ("牧", "mu"), ("涵", "han"), ("姜", "jiang"), ("少", "shao"), ("峰", "feng"), ("李", "li"), ("智", "zhi"), ("外", "wai"), ("教", "jiao")]
+    got = mining.teacher_initials(names, spark.createDataFrame(table, "letter string, syllable string")).collect()
+    assert {(r.teacher, r.initials) for r in got} == {("张牧涵", "zmh"), ("姜少峰", "jsf")}
+
+
 def test_entity_pairs_both_ways(spark):
     texts = spark.createDataFrame([(1, "one two three four five"), (2, "four five"), (3, None), (4, "")], "k long, t string")
     names = spark.createDataFrame([(7, "two three four"), (8, "five"), (9, ""), (10, None), (11, "five")], "n long, s string")
