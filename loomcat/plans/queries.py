@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.params import Page, Search
+from ..functions.storage import table
 from ..operators import activity, catalog, checks, mining, reviews, translation
 from ..streaming import activity as streams
 from . import views as v
@@ -50,9 +51,13 @@ def cards_sql(where: str, tail: str) -> str:
 
 
 def ranked(rows: DataFrame, by: list[Column], *keep: str) -> DataFrame:
-    """Each row's place in a total order. The result's order is the query's point, so one window
-    numbers it; the catalog's operators themselves only sort and page."""
-    return rows.select(*keep, F.row_number().over(Window.orderBy(*by)).cast("long").alias("rank"))
+    """Each row's place in a total order, without a task that holds all rows: a global sort is
+    written, rows are numbered within its partitions, and the partitions' sizes (a row for each, so
+    a bounded broadcast) give the offsets."""
+    place = table(rows.orderBy(*by).select(*keep, F.monotonically_increasing_id().alias("_id")), "sorted").withColumn("_part", F.shiftright("_id", 33))
+    sizes = place.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))
+    return place.join(F.broadcast(before), "_part").select(*keep, (F.col("before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
