@@ -6,8 +6,6 @@ chunk of rows at a time.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_dir, table  # noqa: F401  used through this module
+
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 U64 = np.uint64
@@ -29,25 +29,6 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (tests on one machine) a new local folder."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", "")):
-        folder = f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: this cuts the lineage, and a lost
-    executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(documents: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and `more`; other columns, also clashing ones, go.
 
@@ -63,8 +44,10 @@ def texts(documents: DataFrame, *more: str) -> DataFrame:
 
 
 def one_row(documents: DataFrame) -> DataFrame:
-    """documents with one row for each doc_id (the one with the least text, see texts), all columns kept."""
-    if documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """documents with all columns and one row for each doc_id (the one with the least text, as in
+    texts); rows without doc_id go."""
+    documents = documents.where("doc_id IS NOT NULL")
+    if documents.groupBy("doc_id").count().where("count > 1").isEmpty():
         return documents
     least = F.struct(F.coalesce("text", F.lit("")).alias("k"), F.struct(*documents.columns).alias("row"))
     return documents.groupBy("doc_id").agg(F.min(least).alias("m")).select("m.row.*")
