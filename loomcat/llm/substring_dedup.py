@@ -1,5 +1,8 @@
 """Passages that recur across documents, found by repeated-phrase automata.
 
+0. Of documents with the same words only the smallest doc_id goes on: the others, if they have a
+   window at all, lose every word, and whatever they share with later documents their first copy
+   shares as well.
 1. Confirm recurring passages. Every window of `window` words is named by its anchor, the least
    hash among its short word-grams; only windows whose anchor occurs in two documents are hashed
    and counted. A window that starts in two documents has a first document, the smallest doc_id.
@@ -135,12 +138,17 @@ def find_passages(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     docs = c.texts(documents)
     gram = min(gram, window)
     profile = c.table(docs.mapInPandas(_profile(window, gram), "doc_id long, n_words long, words_sha256 string, anchors array<long>, starts array<int>, counts array<int>"), "profile")
-    runs = profile.select("doc_id", F.explode(F.arrays_zip("anchors", "starts", "counts")).alias("r")).select("doc_id", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n"))
-    recurring = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    firsts = profile.where(F.col("n_words") >= window).groupBy("words_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("words_sha256", "first")
+    copies = c.table(profile.select("doc_id", "n_words", "words_sha256").join(firsts, "words_sha256").where("doc_id > first").select("doc_id", "n_words"), "copies")
+    # what is joined with many rows a key is written first: adaptive execution splits hot keys of a
+    # join only where both sides are plain exchanges
+    runs = profile.select("doc_id", "anchors", "starts", "counts").join(copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("anchors", "starts", "counts")).alias("r"))
+    runs = c.table(runs.select("doc_id", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n")), "runs")
+    recurring = c.table(runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "recurring")
     wanted = runs.join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     work = c.table(docs.join(wanted, "doc_id"), "work")
     windows = c.table(work.mapInPandas(_windows(window), "doc_id long, hash long, at int"), "windows")
-    first = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = c.table(windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), "first")
     hits = windows.join(first, "hash").where("first < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "first")).alias("hits"))
     held = c.table(work.select("doc_id", "text").join(hits, "doc_id").mapInPandas(_passages(window), "doc_id long, first long, phrase_id long, n int, phrase binary"), "passages")
     phrases = held.groupBy("first", "phrase_id", "phrase").agg(F.max("n").alias("n"))
@@ -154,18 +162,33 @@ def find_passages(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = a.unionByName(b).repartition(max(parts, shards), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(_locate, "doc_id long, starts array<long>, ends array<long>")
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
-    removals = c.table(work.select("doc_id", "text").join(spans, "doc_id").mapInPandas(_kept, "doc_id long, n_removed long, starts array<long>, ends array<long>, kept_text string"), "removals")
+    cut = work.select("doc_id", "text").join(spans, "doc_id").mapInPandas(_kept, "doc_id long, n_removed long, starts array<long>, ends array<long>, kept_text string")
+    whole = copies.select("doc_id", F.col("n_words").alias("n_removed"), F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_words").alias("ends"), F.lit("").alias("kept_text"))
+    removals = c.table(cut.unionByName(whole), "removals")
     return profile.select("doc_id", "n_words", "words_sha256"), removals
 
 
 def drop_passages(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents with recurring passages removed from text; texts without any stay as they are."""
+    documents = c.one_row(documents)
     _, removals = find_passages(documents, window)
-    kept = removals.select("doc_id", F.col("kept_text").alias("_kept"))
-    return documents.join(kept, "doc_id", "left").withColumn("text", F.coalesce("_kept", "text")).select(*documents.columns)
+    kept = removals.select("doc_id", F.struct("kept_text").alias("_removal"))
+    text = F.when(F.col("_removal").isNotNull(), F.col("_removal.kept_text")).otherwise(F.col("text"))
+    return documents.join(kept, "doc_id", "left").withColumn("text", text).select(*documents.columns)
 
 
 def digest(documents: DataFrame) -> DataFrame:
     profile, removals = find_passages(documents)
     removed = removals.select("doc_id", "n_removed", F.sha2("kept_text", 256).alias("sha"))
     return profile.join(removed, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "words_sha256").alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) t(i)),
+f AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+cut AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN f USING (h) WHERE first < doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ks, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
