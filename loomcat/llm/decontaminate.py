@@ -10,7 +10,8 @@ The items' seeds are broadcast while the items have at most BROADCAST_BYTES, by
 beyond that, documents' and items' seeds are joined by shuffles. Both ways give the same rows.
 
 Defined cases: null or wordless texts and items match nothing; items shorter than a seed match by
-their whole sequence; copies of an item (same text, other item_id) each give a row; repeated doc_ids:
+their whole sequence; copies of an item (same text, other item_id) each give a row, and an
+item_id with several texts one for each; repeated doc_ids:
 see common.texts; empty tables give an empty result; other columns are ignored.
 """
 
@@ -201,4 +202,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents without those that hold a test item."""
+    documents = c.one_row(documents)
     return documents.join(contaminated(documents, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti")

@@ -237,7 +237,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, num: int = 4, den: i
     reps = c.table(profile.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
     buckets = reps.select("id", "bands").mapInPandas(_buckets, "key long, band int, id long")
     buckets = c.table(buckets, "buckets")
-    shared = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    # what is joined with many rows a key is written first: adaptive execution splits hot keys of a
+    # join only where both sides are plain exchanges
+    shared = c.table(buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub"), "shared")
     met = c.table(buckets.join(shared, "key"), "met")
     sig = reps.select("id", "sig")
     stars = met.where("id <> hub").select("id", "hub").distinct().join(sig, "id").join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
@@ -256,7 +258,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, num: int = 4, den: i
         """Rows of the buckets that hold several components, dealt into block pairs."""
         at = met.select("key", "band", "id").join(roots, "id", "left").join(reps, "id").withColumn("comp", F.coalesce("root", "id"))
         several = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / WORDS)).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
-        at = at.join(several, "key").withColumn("blk", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        at = at.join(c.table(several, "several"), "key").withColumn("blk", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return at.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "band", "id", "comp", "n", "sig", "bands", "blk")
 
     def by_block(rows: DataFrame) -> DataFrame:
@@ -275,9 +277,22 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, num: int = 4, den: i
 
 def keep_one(documents: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The documents whose doc_id is the smallest of their component."""
+    documents = c.one_row(documents)
     found = near_duplicates(documents, shingle, num, den)
     return documents.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
 
 
 def digest(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents, 3, 85, 100).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+near AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, near.b FROM reach r JOIN near ON near.a = r.other)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

@@ -35,8 +35,8 @@ QUANTILE, PEAK_QUANTILE, LEAST_TRUSTED = 0.99, 0.995, 30
 LETTERS = 4
 #: Documents of a block, characters handled at a time.
 BLOCK, CHUNK = 10_000, 400_000
-#: Trusted ids, and rows of the finished table, that may be broadcast.
-BROADCAST_IDS, BROADCAST_ROWS = 2_000_000, 3_000_000
+#: Trusted ids, rows of the finished table, and languages, that may be broadcast.
+BROADCAST_IDS, BROADCAST_ROWS, BROADCAST_LANGS = 2_000_000, 3_000_000, 10_000
 SLOTS = 1 << 19
 
 
@@ -367,12 +367,15 @@ def judge(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, p
         F.percentile_approx(F.when(F.col("half") == 1, F.col("peak")), peak_quantile, 100_000).alias("most_peak"),
         F.count_if(F.col("half") == 0).alias("n0"), F.count_if(F.col("half") == 1).alias("n1"),
     ).where((F.col("n0") >= LEAST_TRUSTED) & (F.col("n1") >= LEAST_TRUSTED)).drop("n0", "n1")
+    limits = c.table(limits, "limits")  # a row for each language
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGS else limits
     over = (F.col("bits") > F.col("most_bits")) | (F.col("peak") > F.col("most_peak"))
     return scored.join(limits, "lang", "left").withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~F.coalesce(over, F.lit(False)))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected."""
+    documents = c.one_row(documents)
     return documents.join(judge(documents, labels).where("kept").select("doc_id"), "doc_id", "left_semi")
 
 
