@@ -252,12 +252,15 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     fields = ["anchor", "around", "start", "n", "off"]
     profile = c.table(docs.mapInPandas(_profile(length, gram), "doc_id long, n_bytes long, sha256 string, anchor array<long>, around array<long>, start array<long>, n array<int>, off array<int>"), "profile")
     runs = profile.select("doc_id", F.explode(F.arrays_zip(*fields)).alias("r")).select("doc_id", *(F.col(f"r.{f}").alias(f) for f in fields))
-    met = runs.groupBy("anchor").count().where("count > 1").select("anchor")
-    met = c.table(runs.join(met, "anchor", "left_semi"), "met")
+    # what is joined with many rows a key is written first: adaptive execution splits hot keys of a
+    # join only where both sides are plain exchanges
+    again = c.table(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "recurring")
+    met = c.table(runs.join(again, "anchor", "left_semi"), "met")
     place = F.struct("doc_id", "start")
-    entries = met.groupBy("anchor", "around").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    many = entries.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
-    marked = met.join(entries, ["anchor", "around"]).join(many, "anchor", "left").select("doc_id", F.struct(*fields, (place == F.col("first")).alias("lo"), (place == F.col("last")).alias("hi"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"))
+    entries = c.table(met.groupBy("anchor", "around").agg(F.min(place).alias("first"), F.max(place).alias("last")), "entries")
+    many = c.table(entries.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    entries = c.table(entries.join(many, "anchor", "left"), "entries") if not many.isEmpty() else entries.withColumn("hot", F.lit(False))
+    marked = met.join(entries, ["anchor", "around"]).select("doc_id", F.struct(*fields, (place == F.col("first")).alias("lo"), (place == F.col("last")).alias("hi"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"))
     work = c.table(docs.join(marked.groupBy("doc_id").agg(F.collect_list("r").alias("runs")), "doc_id"), "work")
     segments = c.table(work.select("text", "runs").mapInPandas(_segments(length), "anchor long, around long, lo boolean, hot boolean, off int, data binary"), "segments")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
