@@ -37,7 +37,7 @@ from . import common as c
 WINDOW = 50
 GRAM = 16
 #: Words of one automaton, of one phrase in it, and documents that one task streams through it.
-SHARD_WORDS, PHRASE_WORDS, SALT_DOCS = 500_000, 2_000, 20_000
+SHARD_WORDS, PHRASE_WORDS, SALT_DOCS = 250_000, 2_000, 5_000
 #: Words that a task holds as arrays at a time.
 CHUNK = 1_000_000
 
@@ -138,7 +138,7 @@ def find_passages(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     docs = c.texts(documents)
     gram = min(gram, window)
     profile = c.table(docs.mapInPandas(_profile(window, gram), "doc_id long, n_words long, words_sha256 string, anchors array<long>, starts array<int>, counts array<int>"), "profile")
-    firsts = profile.where(F.col("n_words") >= window).groupBy("words_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("words_sha256", "first")
+    firsts = c.table(profile.where(F.col("n_words") >= window).groupBy("words_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("words_sha256", "first"), "firsts")
     copies = c.table(profile.select("doc_id", "n_words", "words_sha256").join(firsts, "words_sha256").where("doc_id > first").select("doc_id", "n_words"), "copies")
     # what is joined with many rows a key is written first: adaptive execution splits hot keys of a
     # join only where both sides are plain exchanges

@@ -62,7 +62,7 @@ def brute_passages(rows, w=50):
     return out
 
 
-@pytest.mark.parametrize("seed,shard,salt", [(1, 500_000, 20_000), (2, 100, 3)])
+@pytest.mark.parametrize("seed,shard,salt", [(1, substring_dedup.SHARD_WORDS, substring_dedup.SALT_DOCS), (2, 100, 3)])
 def test_passages(spark, monkeypatch, seed, shard, salt):
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     monkeypatch.setattr(substring_dedup, "SALT_DOCS", salt)
