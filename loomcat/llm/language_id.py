@@ -4,7 +4,7 @@ A text's subwords are its character 1-, 2- and 3-grams (lower case; all that is
 one space), hashed into BUCKETS rows of an embedding table. Their mean goes through a linear layer
 and a softmax. Table and layer are trained together by stochastic gradient descent in numpy on a
 bounded sample: about PER_LANG labelled documents of each of the at most LANGS most frequent
-languages. A fifth of the sample is set apart to fit a temperature and the score under which a
+languages, and about SAMPLE in all. A fifth of the sample is set apart to fit a temperature and the score under which a
 prediction is marked as rejected.
 
 Since the layer is linear, embedding times layer is one small table; scoring sums its rows.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, 3
-PER_LANG, LANGS = 800, 256
+PER_LANG, LANGS, SAMPLE = 800, 256, 20_000
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Share of right predictions that those above the rejection score reach on the calibration part.
 PRECISION = 0.995
@@ -158,7 +158,9 @@ def learn(documents: DataFrame, usable: Column) -> dict | None:
     c.session(documents.sparkSession)
     rows = documents.where(usable).where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS)
-    share = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000) < PER_LANG / F.col("count")
+    langs = c.table(langs, "langs")
+    each = min(PER_LANG, SAMPLE // max(1, langs.count()))
+    share = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000) < each / F.col("count")
     sample = rows.join(F.broadcast(langs), "lang").where(share).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
