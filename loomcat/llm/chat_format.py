@@ -176,7 +176,7 @@ def train(transcripts: DataFrame) -> Model:
                 _tally([tuple(s.split(" ")) for s in states], text, counts)
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "state", "value", "n"])
 
-    cells = transcripts.select("text", "states").mapInPandas(run, "kind string, state int, value string, n long").groupBy("kind", "state", "value").agg(F.sum("n").alias("n"))
+    cells = transcripts.select("text", "states").mapInPandas(c.freed(run), "kind string, state int, value string, n long").groupBy("kind", "state", "value").agg(F.sum("n").alias("n"))
     return Model({(r.kind, r.state, r.value): float(r.n) for r in cells.collect()})
 
 
@@ -191,7 +191,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
             got = [turns(t, model) for t in pdf["text"]]
             yield pdf.assign(n_lines=[len(r) for _, r in got], line_roles=[r for _, r in got], turns=[[{"role": r, "text": t} for r, t in x] for x, _ in got], rendered=[render(x) for x, _ in got])
 
-    return rows.mapInPandas(run, f"{schema}, n_lines long, line_roles array<string>, turns array<struct<role:string,text:string>>, rendered string")
+    return rows.mapInPandas(c.freed(run), f"{schema}, n_lines long, line_roles array<string>, turns array<struct<role:string,text:string>>, rendered string")
 
 
 #: Ways in which raw transcripts mark their speakers, dealt by conversation.
@@ -232,7 +232,7 @@ def transcripts(conversations: DataFrame) -> DataFrame:
             got = [raw_transcript(int(k), [(t["role"], t["text"]) for t in ts]) for k, ts in zip(pdf["conv_id"], pdf["ts"], strict=True)]
             yield pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "text": [t for t, _ in got], "states": [s for _, s in got]})
 
-    return rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("ts")).mapInPandas(run, "conv_id long, part long, text string, states array<string>")
+    return rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("ts")).mapInPandas(c.freed(run), "conv_id long, part long, text string, states array<string>")
 
 
 def digest(conversations: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ chunk of rows at a time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,21 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def freed(fn):
+    """fn for mapInPandas, giving its memory back when the task ends. Python workers outlive their
+    tasks, several of them wait idle in an executor, and allocators keep what was freed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return run
+
+
 def texts(documents: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and `more`; other columns, also clashing ones, go.
 

@@ -192,11 +192,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
     if size <= broadcast_bytes:
         got = items.collect()
         coded = [(r.item_id, x) for r, x in zip(got, _coded([r.text for r in got]), strict=True) if len(x)]
-        pairs = docs.mapInPandas(_scan(spark.sparkContext.broadcast(Seeds(coded, seed)), coverage), PAIRS)
+        pairs = docs.mapInPandas(c.freed(_scan(spark.sparkContext.broadcast(Seeds(coded, seed)), coverage)), PAIRS)
     else:
-        item_seeds = items.mapInPandas(_seed_rows(seed, [], "item_id"), "hash long, item_id long")
-        met = docs.mapInPandas(_seed_rows(seed, list(range(1, seed)), "doc_id"), "hash long, doc_id long").join(item_seeds, "hash").select("doc_id", "item_id").distinct()
-        pairs = met.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").mapInPandas(_tile_rows(seed, coverage), PAIRS)
+        item_seeds = items.mapInPandas(c.freed(_seed_rows(seed, []), "item_id"), "hash long, item_id long")
+        met = docs.mapInPandas(c.freed(_seed_rows(seed, list(range(1, seed))), "doc_id"), "hash long, doc_id long").join(item_seeds, "hash").select("doc_id", "item_id").distinct()
+        pairs = met.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").mapInPandas(c.freed(_tile_rows(seed, coverage)), PAIRS)
     return pairs.withColumn("coverage", F.col("covered") / F.col("n_words"))
 
 

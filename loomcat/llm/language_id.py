@@ -168,7 +168,7 @@ def learn(documents: DataFrame, usable: Column) -> dict | None:
             found = features(pdf["text"].tolist())
             yield pd.DataFrame({"lang": pdf["lang"], "at": [a for a, _ in found], "n": [n for _, n in found]})
 
-    got = sample.mapInPandas(run, "lang string, at array<int>, n array<int>").collect()
+    got = sample.mapInPandas(c.freed(run), "lang string, at array<int>, n array<int>").collect()
     return train(sorted(((r.lang, np.array(r["at"], np.int32), np.array(r["n"], float)) for r in got), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
 
 
@@ -193,7 +193,7 @@ def predict(documents: DataFrame, model: dict | None, *more: str | Column) -> Da
             yield out.assign(lang_pred=lang, score=score, rejected=score < (m["reject"] if m else 1))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return rows.mapInPandas(c.freed(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -233,9 +233,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, num: int = 4, den: i
     spark = c.session(documents.sparkSession)
     docs = c.texts(documents)
     rows, least = 5 if num / den >= 0.85 else 4, least_estimate(num / den)
-    profile = c.table(docs.mapInPandas(_signatures(shingle, rows), "doc_id long, n long, set_key binary, bands binary, sig binary"), "signatures")
+    profile = c.table(docs.mapInPandas(c.freed(_signatures(shingle, rows)), "doc_id long, n long, set_key binary, bands binary, sig binary"), "signatures")
     reps = c.table(profile.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
-    buckets = reps.select("id", "bands").mapInPandas(_buckets, "key long, band int, id long")
+    buckets = reps.select("id", "bands").mapInPandas(c.freed(_buckets), "key long, band int, id long")
     buckets = c.table(buckets, "buckets")
     # what is joined with many rows a key is written first: adaptive execution splits hot keys of a
     # join only where both sides are plain exchanges
@@ -244,7 +244,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, num: int = 4, den: i
     sig = reps.select("id", "sig")
     stars = met.where("id <> hub").select("id", "hub").distinct().join(sig, "id").join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     stars = stars.select("id", "hub", _estimate("sig", "hub_sig").alias("e")).where(F.col("e") >= least).groupBy("id").agg(F.max_by("hub", F.struct("e", -F.col("hub"))).alias("hub"))
-    known = c.table(docs.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(shingle), "id long, words binary"), "words")
+    known = c.table(docs.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(c.freed(_sets(shingle)), "id long, words binary"), "words")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = pairs.join(known.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
@@ -264,12 +264,12 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, num: int = 4, den: i
     def by_block(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    best = by_block(split_buckets()).mapInPandas(_best(num, den, least, 2), "a long, b long")
+    best = by_block(split_buckets()).mapInPandas(c.freed(_best(num, den, least, 2)), "a long, b long")
     links = c.table(links.union(confirmed(best.distinct())), "links")
     roots = c.components(links)
     rows = c.table(split_buckets(), "split")
-    left = by_block(rows).mapInPandas(_open(num, den, least), "key long").distinct()
-    rest = by_block(rows.join(left, "key", "left_semi").join(known, "id")).mapInPandas(_across(num, den, least), "a long, b long")
+    left = by_block(rows).mapInPandas(c.freed(_open(num, den, least)), "key long").distinct()
+    rest = by_block(rows.join(left, "key", "left_semi").join(known, "id")).mapInPandas(c.freed(_across(num, den, least)), "a long, b long")
     roots = c.components(links.union(c.table(rest, "links")))
     named = profile.join(reps.select("set_key", F.col("id").alias("rep")), "set_key", "left").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))

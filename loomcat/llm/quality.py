@@ -306,7 +306,7 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def gathered(table: DataFrame, start: DataFrame) -> dict[str, tuple]:
     """The finished tables of all languages, packed by the tasks. Only for tables of checked size."""
     found: dict[tuple, list] = {}
-    for r in table.mapInPandas(_packed, "lang string, kind string, n int, keys binary, bits binary").collect():
+    for r in table.mapInPandas(c.freed(_packed), "lang string, kind string, n int, keys binary, bits binary").collect():
         found.setdefault((r.lang, r.kind, r.n), []).append((r["keys"], r.bits))
     out = {}
     for r in start.collect():
@@ -328,31 +328,31 @@ def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None
     good = c.table(good, "trusted")
     small = good.count() <= BROADCAST_IDS
     train = good.where("half = 0").select("doc_id")
-    counts = docs.where("text IS NOT NULL").join(F.broadcast(train) if small else train, "doc_id", "left_semi").select("lang", "text").mapInPandas(_counts, "lang string, gram string, c long")
+    counts = docs.where("text IS NOT NULL").join(F.broadcast(train) if small else train, "doc_id", "left_semi").select("lang", "text").mapInPandas(c.freed(_counts), "lang string, gram string, c long")
     weights, start = model(c.table(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "counts"))
     if weights.count() <= broadcast_rows:
         held = spark.sparkContext.broadcast(gathered(finished(weights, start), start))
-        scored = docs.mapInPandas(_local(held), "doc_id long, lang string, bits double, peak double")
+        scored = docs.mapInPandas(c.freed(_local(held)), "doc_id long, lang string, bits double, peak double")
     else:
         blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BLOCK))
         dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "lang", "text").repartition(blocks, "block")
-        asked = dealt.mapInPandas(_requests, "block int, lang string, gram string").distinct()
+        asked = dealt.mapInPandas(c.freed(_requests), "block int, lang string, gram string").distinct()
         answers = asked.join(probabilities(asked.select("lang", "gram").distinct(), weights, start), ["lang", "gram"])
         scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_block_scores, "doc_id long, lang string, bits double, peak double")
     return c.table(scored, "scores").join(good, "doc_id", "left")
 
 
 def _local(held):
-    built: dict[str, Backoff] = {}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built: dict[str, Backoff] = {}
 
-    def models(lang: str) -> Backoff | None:
-        if lang not in built and lang in held.value:
-            own, back, start = held.value[lang]
-            made = [{n: Table(np.frombuffer(k, c.U64), np.frombuffer(v, np.float32)) for n, (k, v) in x.items()} for x in (own, back)]
-            built[lang] = Backoff(*made, start)
-        return built.get(lang)
+        def models(lang: str) -> Backoff | None:
+            if lang not in built and lang in held.value:
+                own, back, start = held.value[lang]
+                made = [{n: Table(np.frombuffer(k, c.U64), np.frombuffer(v, np.float32)) for n, (k, v) in x.items()} for x in (own, back)]
+                built[lang] = Backoff(*made, start)
+            return built.get(lang)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield _scored(pdf, models)
 

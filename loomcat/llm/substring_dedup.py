@@ -137,7 +137,7 @@ def find_passages(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     spark = c.session(documents.sparkSession)
     docs = c.texts(documents)
     gram = min(gram, window)
-    profile = c.table(docs.mapInPandas(_profile(window, gram), "doc_id long, n_words long, words_sha256 string, anchors array<long>, starts array<int>, counts array<int>"), "profile")
+    profile = c.table(docs.mapInPandas(c.freed(_profile(window, gram)), "doc_id long, n_words long, words_sha256 string, anchors array<long>, starts array<int>, counts array<int>"), "profile")
     firsts = c.table(profile.where(F.col("n_words") >= window).groupBy("words_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("words_sha256", "first"), "firsts")
     copies = c.table(profile.select("doc_id", "n_words", "words_sha256").join(firsts, "words_sha256").where("doc_id > first").select("doc_id", "n_words"), "copies")
     # what is joined with many rows a key is written first: adaptive execution splits hot keys of a
@@ -147,10 +147,10 @@ def find_passages(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     recurring = c.table(runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "recurring")
     wanted = runs.join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     work = c.table(docs.join(wanted, "doc_id"), "work")
-    windows = c.table(work.mapInPandas(_windows(window), "doc_id long, hash long, at int"), "windows")
+    windows = c.table(work.mapInPandas(c.freed(_windows(window)), "doc_id long, hash long, at int"), "windows")
     first = c.table(windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), "first")
     hits = windows.join(first, "hash").where("first < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "first")).alias("hits"))
-    held = c.table(work.select("doc_id", "text").join(hits, "doc_id").mapInPandas(_passages(window), "doc_id long, first long, phrase_id long, n int, phrase binary"), "passages")
+    held = c.table(work.select("doc_id", "text").join(hits, "doc_id").mapInPandas(c.freed(_passages(window)), "doc_id long, first long, phrase_id long, n int, phrase binary"), "passages")
     phrases = held.groupBy("first", "phrase_id", "phrase").agg(F.max("n").alias("n"))
     words = phrases.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
@@ -160,9 +160,9 @@ def find_passages(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     a = phrases.select(shard, "first", "phrase").join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.col("phrase").alias("text"))
     b = work.select("doc_id", F.col("text").cast("binary").alias("text")).join(routes.join(salts, "shard"), "doc_id").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = a.unionByName(b).repartition(max(parts, shards), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(_locate, "doc_id long, starts array<long>, ends array<long>")
+    found = a.unionByName(b).repartition(max(parts, shards), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(c.freed(_locate), "doc_id long, starts array<long>, ends array<long>")
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
-    cut = work.select("doc_id", "text").join(spans, "doc_id").mapInPandas(_kept, "doc_id long, n_removed long, starts array<long>, ends array<long>, kept_text string")
+    cut = work.select("doc_id", "text").join(spans, "doc_id").mapInPandas(c.freed(_kept), "doc_id long, n_removed long, starts array<long>, ends array<long>, kept_text string")
     whole = copies.select("doc_id", F.col("n_words").alias("n_removed"), F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_words").alias("ends"), F.lit("").alias("kept_text"))
     removals = c.table(cut.unionByName(whole), "removals")
     return profile.select("doc_id", "n_words", "words_sha256"), removals

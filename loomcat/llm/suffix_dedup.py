@@ -250,7 +250,7 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     docs = c.texts(documents)
     gram = min(gram, length)
     fields = ["anchor", "around", "start", "n", "off"]
-    profile = c.table(docs.mapInPandas(_profile(length, gram), "doc_id long, n_bytes long, sha256 string, anchor array<long>, around array<long>, start array<long>, n array<int>, off array<int>"), "profile")
+    profile = c.table(docs.mapInPandas(c.freed(_profile(length, gram)), "doc_id long, n_bytes long, sha256 string, anchor array<long>, around array<long>, start array<long>, n array<int>, off array<int>"), "profile")
     runs = profile.select("doc_id", F.explode(F.arrays_zip(*fields)).alias("r")).select("doc_id", *(F.col(f"r.{f}").alias(f) for f in fields))
     # what is joined with many rows a key is written first: adaptive execution splits hot keys of a
     # join only where both sides are plain exchanges
@@ -262,17 +262,17 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     entries = c.table(entries.join(many, "anchor", "left"), "entries") if not many.isEmpty() else entries.withColumn("hot", F.lit(False))
     marked = met.join(entries, ["anchor", "around"]).select("doc_id", F.struct(*fields, (place == F.col("first")).alias("lo"), (place == F.col("last")).alias("hi"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"))
     work = c.table(docs.join(marked.groupBy("doc_id").agg(F.collect_list("r").alias("runs")), "doc_id"), "work")
-    segments = c.table(work.select("text", "runs").mapInPandas(_segments(length), "anchor long, around long, lo boolean, hot boolean, off int, data binary"), "segments")
+    segments = c.table(work.select("text", "runs").mapInPandas(c.freed(_segments(length)), "anchor long, around long, lo boolean, hot boolean, off int, data binary"), "segments")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = "anchor long, around long, starts array<long>, ends array<long>"
-    found = segments.where("NOT hot").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(_sorted(length), spans)
-    windows = segments.where("hot").mapInPandas(_hashed(length), "anchor long, around long, lo boolean, at long, hash long")
+    found = segments.where("NOT hot").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(c.freed(_sorted(length)), spans)
+    windows = segments.where("hot").mapInPandas(c.freed(_hashed(length)), "anchor long, around long, lo boolean, at long, hash long")
     if not segments.where("hot").isEmpty():
         windows = c.table(windows, "hot")
         again = windows.groupBy("hash").count().where("count > 1").select("hash")
-        found = found.unionByName(windows.where("lo").join(again, "hash", "left_semi").groupBy("anchor", "around").agg(F.collect_list("at").alias("places")).mapInPandas(_joined(length), spans))
+        found = found.unionByName(windows.where("lo").join(again, "hash", "left_semi").groupBy("anchor", "around").agg(F.collect_list("at").alias("places")).mapInPandas(c.freed(_joined(length)), spans))
     hits = met.join(found, ["anchor", "around"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "starts", "ends")).alias("found"))
-    removals = c.table(work.select("doc_id", "text").join(hits, "doc_id").mapInPandas(_kept, "doc_id long, n_removed long, starts array<long>, ends array<long>, kept binary"), "removals")
+    removals = c.table(work.select("doc_id", "text").join(hits, "doc_id").mapInPandas(c.freed(_kept), "doc_id long, n_removed long, starts array<long>, ends array<long>, kept binary"), "removals")
     return profile.select("doc_id", "n_bytes", "sha256"), removals
 
 

@@ -117,7 +117,7 @@ def write(pages: DataFrame) -> DataFrame:
         if out is not None:
             yield close()
 
-    index = rows.join(again, "page_id", "left").mapInPandas(run, INDEX)
+    index = rows.join(again, "page_id", "left").mapInPandas(c.freed(run), INDEX)
     return c.table(index, "warc-index").withColumn("archive", F.concat(F.lit(folder + "/"), "archive"))
 
 
@@ -163,7 +163,7 @@ def read(index: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["page_id", "kind", "refers_to", "digest", "payload"]).astype({"refers_to": "Int64"})
 
     ranged = index.select("archive", "offset", "length", "page_id", (F.col("offset") / RANGE).cast("long").alias("range"))
-    return ranged.repartition(parts, "archive", "range").sortWithinPartitions("archive", "offset").mapInPandas(run, "page_id long, kind string, refers_to long, digest string, payload binary")
+    return ranged.repartition(parts, "archive", "range").sortWithinPartitions("archive", "offset").mapInPandas(c.freed(run), "page_id long, kind string, refers_to long, digest string, payload binary")
 
 
 def digest(pages: DataFrame) -> DataFrame:
