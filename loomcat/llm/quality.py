@@ -9,9 +9,11 @@ by n-gram. How probabilities get to the documents depends on a count of the fini
   those of all blocks are joined with the tables, and each block gets its own back. Neither a table
   nor a block's n-grams are then ever in one place. Both ways give the same figures.
 
-A document has two figures: the mean surprisal of its characters in bits (perplexity is 2 to its
-power) and the highest mean surprisal of one of its words of LETTERS letters or more. It is rejected
-if one of them exceeds its language's quantile among trusted documents. One half of the trusted
+A document has four figures: the mean surprisal of its characters in bits (perplexity is 2 to its
+power), the highest mean surprisal of one of its words of LETTERS letters or more (without the
+punctuation around it), the mean surprisal of the first characters of its words, which stand after
+the end of another word, and the share of its words that repeat the word before. It is rejected if
+one of them exceeds its language's quantile among trusted documents. One half of the trusted
 documents, by a hash of doc_id, trains the model, the other half sets the quantiles.
 
 Defined cases: null and empty texts have no figures and are kept; null lang is a language of its
@@ -33,6 +35,9 @@ from . import common as c
 ORDER = 4
 QUANTILE, PEAK_QUANTILE, LEAST_TRUSTED = 0.99, 0.995, 30
 LETTERS = 4
+#: A document's figures.
+FIGURES = ("bits", "peak", "boundary", "repeated")
+SCORES = "doc_id long, lang string, " + ", ".join(f"{k} double" for k in FIGURES)
 #: Documents of a block, characters handled at a time.
 BLOCK, CHUNK = 10_000, 400_000
 #: Trusted ids, rows of the finished table, and languages, that may be broadcast.
@@ -45,9 +50,9 @@ class _Kinds:
 
     @classmethod
     def get(cls) -> np.ndarray:
-        """1 for letters, 2 for white space, 3 for a full stop or comma, else 0."""
+        """1 for letters, 2 for white space, 3 for punctuation and other signs, 0 for digits."""
         if cls.table is None:
-            cls.table = np.array([1 if chr(x).isalpha() else 2 if chr(x).isspace() else 3 * (chr(x) in ".,") for x in range(0x110000)], np.uint8)
+            cls.table = np.array([1 if chr(x).isalpha() else 2 if chr(x).isspace() else 3 * (not chr(x).isalnum()) for x in range(0x110000)], np.uint8)
         return cls.table
 
 
@@ -175,9 +180,9 @@ class Backoff:
         return out
 
 
-def surprise(texts: list[str], model: Lookup | Backoff) -> tuple[np.ndarray, np.ndarray]:
-    """Mean surprisal of each text, and the highest of its words."""
-    mean, peak = np.full(len(texts), np.nan), np.zeros(len(texts))
+def surprise(texts: list[str], model: Lookup | Backoff) -> dict[str, np.ndarray]:
+    """FIGURES of each text; NaN where there is nothing to take them from."""
+    out = {k: np.full(len(texts), np.nan) for k in FIGURES}
     for text, who, starts in _pieces(texts):
         points = _points(text)
         bits = np.concatenate((np.zeros(ORDER - 1), model.bits(points)))
@@ -187,32 +192,43 @@ def surprise(texts: list[str], model: Lookup | Backoff) -> tuple[np.ndarray, np.
         total = np.concatenate(([0], np.cumsum(bits)))
         ends = np.concatenate((starts[1:], [len(text)]))
         n = ends - starts - ORDER + 1
-        mean[who] = np.where(n > 0, (total[ends] - total[starts]) / np.maximum(n, 1), np.nan)
+        out["bits"][who] = np.where(n > 0, (total[ends] - total[starts]) / np.maximum(n, 1), np.nan)
         gap = kind == 2
         begin = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
         end = np.flatnonzero(~gap & np.concatenate((gap[1:], [True]))) + 1
+        doc = np.searchsorted(starts, begin, "right") - 1
+        words = np.bincount(doc, minlength=len(who))
+        out["boundary"][who] = np.where(words > 0, np.bincount(doc, bits[begin], len(who)) / np.maximum(words, 1), np.nan)
+        prefix = c.prefix_hash(points.astype(c.U64) + c.U64(1))
+        code = (prefix[end] - prefix[begin]) * c.powers(len(points) + 1)[1][begin]
+        again = (code[1:] == code[:-1]) & (doc[1:] == doc[:-1])
+        out["repeated"][who] = np.where(words > 1, np.bincount(doc[1:], again, len(who)) / np.maximum(words - 1, 1), np.nan)
+        peak = np.where(n > 0, 0, np.nan)
+        place = np.flatnonzero(kind == 1)
         letters = np.concatenate(([0], np.cumsum(kind == 1)))
+        digits = np.concatenate(([0], np.cumsum(kind == 0)))
         count = letters[end] - letters[begin]
-        word = (count >= LETTERS) & ((count == end - begin) | ((count == end - begin - 1) & (kind[end - 1] == 3)))
-        begin, end = begin[word], np.minimum(begin[word] + count[word] + 1, len(text))
-        doc = np.searchsorted(starts, begin, "right") - 1
-        end = np.minimum(end, ends[doc])
-        np.maximum.at(peak, who[doc], (total[end] - total[begin]) / (end - begin))
-    return mean, peak
+        some = (count >= LETTERS) & (digits[end] == digits[begin])
+        doc, count, first, last = doc[some], count[some], place[letters[begin[some]]], place[letters[end[some]] - 1]
+        word = count == last - first + 1
+        doc, begin, end = doc[word], first[word], np.minimum(last[word] + 2, ends[doc[word]])
+        np.maximum.at(peak, doc, (total[end] - total[begin]) / (end - begin))
+        out["peak"][who] = peak
+    return out
 
 
 def _scored(docs: pd.DataFrame, models) -> pd.DataFrame:
-    """doc_id, lang, bits and peak; NULL for languages without a model and texts without characters."""
+    """doc_id, lang and FIGURES; NULL for languages without a model and texts without characters."""
     out = []
     for lang, g in docs.groupby("lang"):
         model = models(lang)
         if model is None:
-            mean = peak = np.full(len(g), np.nan)
+            got = {k: np.full(len(g), np.nan) for k in FIGURES}
         else:
-            mean, peak = surprise([t if isinstance(t, str) else "" for t in g["text"]], model)
-        out.append(pd.DataFrame({"doc_id": g["doc_id"], "lang": lang, "bits": mean, "peak": np.where(np.isnan(mean), np.nan, peak)}))
-    got = pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "bits": [], "peak": []})
-    return got.assign(bits=got["bits"].astype("Float64").where(got["bits"].notna(), pd.NA), peak=got["peak"].astype("Float64").where(got["peak"].notna(), pd.NA))
+            got = surprise([t if isinstance(t, str) else "" for t in g["text"]], model)
+        out.append(pd.DataFrame({"doc_id": g["doc_id"], "lang": lang, **got}))
+    got = pd.concat(out) if out else pd.DataFrame({k: [] for k in ("doc_id", "lang", *FIGURES)})
+    return got.assign(**{k: got[k].astype("Float64").where(got[k].notna(), pd.NA) for k in FIGURES})
 
 
 def _block_scores(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -319,7 +335,7 @@ def gathered(table: DataFrame, start: DataFrame) -> dict[str, tuple]:
 
 
 def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, lang, bits, peak, half (0: trained on, 1: sets quantiles, null: not trusted) of every
+    """doc_id, lang, FIGURES, half (0: trained on, 1: sets quantiles, null: not trusted) of every
     document. labels: doc_id and what `trusted` reads (by default quality = 1 and toxic = 0)."""
     spark = c.session(documents.sparkSession)
     trusted = (F.col("quality") == 1) & (F.col("toxic") == 0) if trusted is None else trusted
@@ -332,13 +348,13 @@ def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None
     weights, start = model(c.table(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "counts"))
     if weights.count() <= broadcast_rows:
         held = spark.sparkContext.broadcast(gathered(finished(weights, start), start))
-        scored = docs.mapInPandas(c.freed(_local(held)), "doc_id long, lang string, bits double, peak double")
+        scored = docs.mapInPandas(c.freed(_local(held)), SCORES)
     else:
         blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BLOCK))
         dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "lang", "text").repartition(blocks, "block")
         asked = dealt.mapInPandas(c.freed(_requests), "block int, lang string, gram string").distinct()
         answers = asked.join(probabilities(asked.select("lang", "gram").distinct(), weights, start), ["lang", "gram"])
-        scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_block_scores, "doc_id long, lang string, bits double, peak double")
+        scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_block_scores, SCORES)
     return c.table(scored, "scores").join(good, "doc_id", "left")
 
 
@@ -362,15 +378,15 @@ def _local(held):
 def judge(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, peak_quantile: float = PEAK_QUANTILE) -> DataFrame:
     """score's columns with perplexity, the language's limits and kept."""
     scored = score(documents, labels)
+    quantiles = {"bits": quantile, "peak": peak_quantile, "boundary": quantile, "repeated": peak_quantile}
     limits = scored.where("half IS NOT NULL AND bits IS NOT NULL").groupBy("lang").agg(
-        F.percentile_approx(F.when(F.col("half") == 1, F.col("bits")), quantile, 100_000).alias("most_bits"),
-        F.percentile_approx(F.when(F.col("half") == 1, F.col("peak")), peak_quantile, 100_000).alias("most_peak"),
+        *(F.percentile_approx(F.when(F.col("half") == 1, F.col(k)), q, 100_000).alias(f"most_{k}") for k, q in quantiles.items()),
         F.count_if(F.col("half") == 0).alias("n0"), F.count_if(F.col("half") == 1).alias("n1"),
     ).where((F.col("n0") >= LEAST_TRUSTED) & (F.col("n1") >= LEAST_TRUSTED)).drop("n0", "n1")
     limits = c.table(limits, "limits")  # a row for each language
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGS else limits
-    over = (F.col("bits") > F.col("most_bits")) | (F.col("peak") > F.col("most_peak"))
-    return scored.join(limits, "lang", "left").withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~F.coalesce(over, F.lit(False)))
+    over = F.greatest(*(F.coalesce(F.col(k) > F.col(f"most_{k}"), F.lit(False)) for k in FIGURES))
+    return scored.join(limits, "lang", "left").withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~over)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -381,4 +397,4 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The kept documents with their figures and limits."""
-    return judge(documents, labels).where("kept").select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), "perplexity", "peak", F.pow(F.lit(2.0), "most_bits").alias("most_perplexity"), "most_peak")
+    return judge(documents, labels).where("kept").select("doc_id", F.nullif("lang", F.lit("")).alias("lang"), "perplexity", "peak", "boundary", "repeated", F.pow(F.lit(2.0), "most_bits").alias("most_perplexity"), "most_peak", "most_boundary", "most_repeated")

@@ -134,6 +134,27 @@ def test_quality_on_labels(spark):
     assert kept[1, 0] > 0.97 and kept[0, 0] < 0.3
 
 
+def test_quality_sees_repeated_words(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(speech(rng, "aa", 6).capitalize() + "." for _ in range(8)), "aa") for i in range(300)]
+    rows += [(1000, "Ba. " * 60, "aa"), (1001, "lumo " * 60, "aa"), (1002, " ".join(f"{w}!!" for w in rows[0][1].split()), "aa"), (1003, "lumo", "aa")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert not got[1000].kept and not got[1001].kept and not got[1002].kept
+    assert got[1001].repeated == 1 and got[1001].bits < got[1001].most_bits
+    assert got[1003].repeated is None and np.mean([got[i].kept for i in range(300)]) > 0.95
+
+
+def test_quality_peak_without_punctuation():
+    class Letters:
+        def bits(self, points):
+            return (points[3:] == ord("z")).astype(float)
+
+    got = quality.surprise(["az \u201czzzz\u201d!", "zz1zz zzzz9 a-zzzz", "", "zzzz az"], Letters())
+    assert got["peak"][:2].tolist() == [0.8, 0] and np.isnan(got["peak"][2]) and got["peak"][3] == 0.8
+    assert got["boundary"][3] == 0.5 and got["repeated"][3] == 0
+
+
 def test_viterbi_is_the_best_path():
     rng = random.Random(1)
     counts = {("start", s, ""): rng.random() * 9 for s in (0, 2, 4)} | {("move", s, str(t)): rng.random() * 9 for s in range(6) for t in (0, 2, 4, s // 2 * 2 + 1)}
