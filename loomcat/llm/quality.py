@@ -13,12 +13,15 @@ A document has four figures: the mean surprisal of its characters in bits (perpl
 power), the highest mean surprisal of one of its words of LETTERS letters or more (without the
 punctuation around it), the mean surprisal of the first characters of its words, which stand after
 the end of another word, and the share of its words that repeat the word before. It is rejected if
-one of them exceeds its language's quantile among trusted documents. One half of the trusted
-documents, by a hash of doc_id, trains the model, the other half sets the quantiles.
+one of them exceeds its language's quantile among trusted documents. Documents fall in two halves by a
+hash of doc_id; each half is scored by the model of the other half's trusted documents, so that all
+trusted documents train and all set the quantiles. A language with under LEAST_TRUSTED of them has
+the mean of its own plus the quantile, over all languages, of how far trusted documents lie from
+their language's mean; where its own worst trusted document lies above that, this is the limit.
 
 Defined cases: null and empty texts have no figures and are kept; null lang is a language of its
-own; a language with under LEAST_TRUSTED trusted documents in either half can't be judged, and its
-documents are kept; repeated doc_ids: see common.texts; an empty table gives an empty result.
+own; a language without a trusted document in each half has no model or no mean, and its documents are
+kept; repeated doc_ids: see common.texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -115,7 +118,7 @@ class Table:
     """Surprisals by n-gram hash: open addressing in numpy."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, (4 * len(keys)).bit_length())
+        size = 1 << max(4, (2 * len(keys)).bit_length())
         self.mask, self.keys, self.values = size - 1, np.zeros(size, c.U64), np.zeros(size, np.float32)
         slot, left = (keys & c.U64(self.mask)).astype(np.int64), np.arange(len(keys))
         while len(left):
@@ -334,17 +337,22 @@ def gathered(table: DataFrame, start: DataFrame) -> dict[str, tuple]:
     return out
 
 
-def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, lang, FIGURES, half (0: trained on, 1: sets quantiles, null: not trusted) of every
-    document. labels: doc_id and what `trusted` reads (by default quality = 1 and toxic = 0)."""
+def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None, broadcast_rows: int = BROADCAST_ROWS, crossed: bool = False) -> DataFrame:
+    """doc_id, lang, FIGURES, half (0 or 1, null: not trusted) of every document. The model is that of
+    half 0; if crossed, each half has that of the other. labels: doc_id and what `trusted` reads (by
+    default quality = 1 and toxic = 0)."""
     spark = c.session(documents.sparkSession)
     trusted = (F.col("quality") == 1) & (F.col("toxic") == 0) if trusted is None else trusted
     docs = c.texts(documents, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    good = labels.where("doc_id IS NOT NULL").where(trusted).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    good = labels.where("doc_id IS NOT NULL").where(trusted).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("half", half)
     good = c.table(good, "trusted")
     small = good.count() <= BROADCAST_IDS
-    train = good.where("half = 0").select("doc_id")
-    counts = docs.where("text IS NOT NULL").join(F.broadcast(train) if small else train, "doc_id", "left_semi").select("lang", "text").mapInPandas(c.freed(_counts), "lang string, gram string, c long")
+    train = (good if crossed else good.where("half = 0")).select("doc_id")
+    learned = docs
+    if crossed:  # two models a language, told apart by a digit before it
+        learned, docs = (docs.withColumn("lang", F.concat(h.cast("string"), "lang")) for h in (half, 1 - half))
+    counts = learned.where("text IS NOT NULL").join(F.broadcast(train) if small else train, "doc_id", "left_semi").select("lang", "text").mapInPandas(c.freed(_counts), "lang string, gram string, c long")
     weights, start = model(c.table(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "counts"))
     if weights.count() <= broadcast_rows:
         held = spark.sparkContext.broadcast(gathered(finished(weights, start), start))
@@ -355,6 +363,7 @@ def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None
         asked = dealt.mapInPandas(c.freed(_requests), "block int, lang string, gram string").distinct()
         answers = asked.join(probabilities(asked.select("lang", "gram").distinct(), weights, start), ["lang", "gram"])
         scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_block_scores, SCORES)
+    scored = scored.withColumn("lang", F.expr("substring(lang, 2)")) if crossed else scored
     return c.table(scored, "scores").join(good, "doc_id", "left")
 
 
@@ -377,12 +386,14 @@ def _local(held):
 
 def judge(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, peak_quantile: float = PEAK_QUANTILE) -> DataFrame:
     """score's columns with perplexity, the language's limits and kept."""
-    scored = score(documents, labels)
+    scored = score(documents, labels, crossed=True)
     quantiles = {"bits": quantile, "peak": peak_quantile, "boundary": quantile, "repeated": peak_quantile}
-    limits = scored.where("half IS NOT NULL AND bits IS NOT NULL").groupBy("lang").agg(
-        *(F.percentile_approx(F.when(F.col("half") == 1, F.col(k)), q, 100_000).alias(f"most_{k}") for k, q in quantiles.items()),
-        F.count_if(F.col("half") == 0).alias("n0"), F.count_if(F.col("half") == 1).alias("n1"),
-    ).where((F.col("n0") >= LEAST_TRUSTED) & (F.col("n1") >= LEAST_TRUSTED)).drop("n0", "n1")
+    good = scored.where("half IS NOT NULL AND bits IS NOT NULL")
+    own = good.groupBy("lang").agg(F.count("*").alias("n"), *(x for k, q in quantiles.items() for x in (F.avg(k).alias(f"mean_{k}"), F.percentile_approx(k, q, 100_000).alias(f"own_{k}"))))
+    own = c.table(own, "own-limits")  # a row for each language
+    own = F.broadcast(own) if own.count() <= BROADCAST_LANGS else own
+    pooled = good.join(own, "lang").agg(*(F.percentile_approx(F.col(k) - F.col(f"mean_{k}"), q, 100_000).alias(f"far_{k}") for k, q in quantiles.items()))
+    limits = own.join(F.broadcast(pooled)).select("lang", *(F.when(F.col("n") >= LEAST_TRUSTED, F.col(f"own_{k}")).otherwise(F.greatest(f"own_{k}", F.col(f"mean_{k}") + F.col(f"far_{k}"))).alias(f"most_{k}") for k in FIGURES))
     limits = c.table(limits, "limits")  # a row for each language
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGS else limits
     over = F.greatest(*(F.coalesce(F.col(k) > F.col(f"most_{k}"), F.lit(False)) for k in FIGURES))

@@ -145,6 +145,24 @@ def test_quality_sees_repeated_words(spark):
     assert got[1003].repeated is None and np.mean([got[i].kept for i in range(300)]) > 0.95
 
 
+def test_quality_judges_languages_with_few_labels(spark):
+    rng = random.Random(4)
+    rows = [(i, speech(rng, "aa", 40), "aa") for i in range(150)] + [(200 + i, speech(rng, "bb", 40), "bb") for i in range(12)]
+    rows += [(300 + i, t, x) for i, (t, x) in enumerate(itertools.product(("zzzz qqqq idiot. " * 9, speech(rng, "cc", 40)), ("aa", "bb")))]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i, _, _ in rows if i < 300], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert all(r.most_bits is not None for r in got.values()) and {r.lang for r in got.values()} == {"aa", "bb"}
+    assert not any(got[i].kept for i in range(300, 304))
+    assert all(got[200 + i].kept for i in range(12)) and np.mean([got[i].kept for i in range(150)]) > 0.95
+    crossed = {r.doc_id: r for r in quality.score(docs, labels, crossed=True).collect()}
+    for h in (0, 1):
+        m = Kneser([t for i, t, x in rows if x == "bb" and crossed[i].half == h], 4)
+        for i, t, x in rows:
+            if x == "bb" and crossed[i].half == 1 - h:
+                padded = "   " + t
+                assert crossed[i].bits == pytest.approx(np.mean([-math.log2(m.p(padded[k : k + 4])) for k in range(len(t))]), rel=1e-4)
+
+
 def test_quality_peak_without_punctuation():
     class Letters:
         def bits(self, points):
