@@ -2,8 +2,9 @@
 
 The model file's protobuf is parsed here; normaliser, metaspace marker, pieces with their scores
 (unigram, or BPE merges in the order of the scores) and byte fallback are rebuilt as a tokenizers
-pipeline, which encodes batches on several threads. Every PARITY_EVERY-th document (by a hash of
-doc_id) is also encoded by the sentencepiece library, and `parity` says whether both agree.
+pipeline, which encodes batches on several threads. Every document is also encoded by
+the sentencepiece library, and `parity` says whether both agree (with `every` above 1 only each
+every-th, by a hash of doc_id).
 
 Defined cases: null text gives null ids and null text back; empty text gives no ids; special pieces'
 names in a text are ordinary text; repeated rows give repeated results; an empty table gives an
@@ -28,7 +29,7 @@ from . import common as c
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_BYTES = 64 << 20
-THREADS, PARITY_EVERY = 2, 100
+THREADS, PARITY_EVERY = 2, 1
 #: Characters that are encoded at a time.
 CHUNK = 400_000
 MARK = "▁"

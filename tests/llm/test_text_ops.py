@@ -171,6 +171,12 @@ def test_codec_on_the_public_model(spark):
     assert sentencepiece_codec.digest(docs.where("false")).count() == 0
 
 
+def test_parity_of_every_document(spark):
+    docs = spark.createDataFrame([(k, f"a \u2003 text\t{k}  \U0001f600\x07" * (k % 3)) for k in range(300)] + [(300, None)], "doc_id long, text string")
+    got = {r.doc_id: r.parity for r in sentencepiece_codec.digest(docs).collect()}
+    assert got[300] is None and all(got[k] is not None for k in range(300))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names, before = [n for n, _ in corpus_pipeline.STAGES], docs.toPandas()
