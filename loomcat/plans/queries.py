@@ -516,4 +516,4 @@ def clean_text(spark, sf_dir):
 
 @query()
 def normalised_names(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", t.normalised(F.substring("text", 1, 60)).alias("search_name"))
+    return read(spark, sf_dir, "documents").select("doc_id", t.normalised("text").alias("search_name"))

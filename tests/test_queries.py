@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from loomcat.functions import text
 from loomcat.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,12 @@ def test_queries_without_sql(spark):
     assert queries.QUERIES["normalised_names"](spark, SF).count() == len(texts)
 
 
+def test_whole_texts_are_normalised(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.search_name for r in queries.QUERIES["normalised_names"](spark, SF).collect()}
+    assert got == {k: text.normalise(t) if t is not None else None for k, t in texts.items()}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
