@@ -7,21 +7,24 @@ share of an item's words under tiles is its coverage in the document; tiles may
 so reordered passages count.
 
 The items' seeds are broadcast while the items have at most BROADCAST_BYTES, by a count over them;
-beyond that, documents' and items' seeds are joined by shuffles. Both ways give the same rows.
+beyond that, documents' and items' seeds are joined by shuffles, where an item's rarest seeds stand
+for it (as many as can't all be missed). Both ways give the same rows.
 
 Defined cases: null or wordless texts and items match nothing; items shorter than a seed match by
 their whole sequence; copies of an item (same text, other item_id) each give a row, and an
 item_id with several texts one for each; repeated doc_ids:
-see common.texts; empty tables give an empty result; other columns are ignored.
+see common.texts; very long texts are tiled whole; empty tables give an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -154,17 +157,31 @@ def _scan(held, coverage: float):
     return run
 
 
-def _seed_rows(seed: int, short: list[int], kind: str):
-    """Distinct seed hashes of each text; for items shorter than a seed, and for documents, also
-    those of the short lengths."""
+def _item_seeds(seed: int, coverage: float):
+    """Distinct seeds of each item with the places where they stand, and how many places a document
+    must share at least: a tile of n words has n - seed + 1 of them, so k shared places cover at most
+    k * seed words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, codes in zip(pdf[kind], _coded(pdf["text"].tolist()), strict=True):
-                sizes = [seed, *short] if kind == "doc_id" else [min(seed, len(codes))] if len(codes) else []
+            for item, codes in zip(pdf["item"], _coded(pdf["text"].tolist()), strict=True):
+                if n := min(seed, len(codes)):
+                    h, places = np.unique(c.mix(c.rolling(c.prefix_hash(codes), n) + c.U64(n)), return_counts=True)
+                    need = max(1, math.ceil(coverage * len(codes) / n - 1e-9))
+                    yield pd.DataFrame({"hash": c.signed(h), "item": item, "size": n, "places": places, "spare": len(codes) - n + 1 - need})
+
+    return run
+
+
+def _doc_seeds(sizes: list[int]):
+    """Distinct seeds of each document, of the lengths that items have."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc_id, codes in zip(pdf["doc_id"], _coded(pdf["text"].tolist()), strict=True):
                 prefix = c.prefix_hash(codes)
                 h = np.unique(np.concatenate([c.mix(c.rolling(prefix, n) + c.U64(n)) for n in sizes])) if sizes else np.zeros(0, c.U64)
-                yield pd.DataFrame({"hash": c.signed(h), kind: key})
+                yield pd.DataFrame({"hash": c.signed(h), "doc_id": doc_id})
 
     return run
 
@@ -173,7 +190,7 @@ def _tile_rows(seed: int, coverage: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, item_id, text, item in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item"], strict=True):
+            for doc_id, item_id, text, item in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item_text"], strict=True):
                 a, b = _coded([text, item])
                 if got := _tiled(a, b, seed, coverage):
                     out.append((doc_id, item_id, len(b), *got))
@@ -182,6 +199,25 @@ def _tile_rows(seed: int, coverage: float):
     return run
 
 
+def _candidates(docs: DataFrame, items: DataFrame, coverage: float, seed: int) -> DataFrame:
+    """Pairs (doc_id, item) that may reach the coverage. Of an item's P seed places a document shares
+    `need` or misses fewer than P - need + 1, so one of any P - need + 1 places must be shared: the
+    rarest ones stand for the item, and seeds that many documents hold are joined only for items
+    that have nothing else. What is joined with many rows a key is written first, so that adaptive
+    execution can split hot seeds."""
+    seeds = c.table(items.select("item", "text").mapInPandas(c.freed(_item_seeds(seed, coverage)), "hash long, item long, size int, places int, spare int"), "item-seeds")
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # at most `seed` numbers
+    known = c.table(seeds.select("hash").distinct(), "known-seeds")
+    met = c.table(docs.mapInPandas(c.freed(_doc_seeds(sizes)), "hash long, doc_id long").join(known, "hash", "left_semi"), "met")
+    common = c.table(met.groupBy("hash").count(), "seed-counts")
+    rare = Window.partitionBy("item").orderBy("count", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    kept = seeds.join(common, "hash").withColumn("_missing", F.sum("places").over(Window.partitionBy("item")))
+    all_places = seeds.groupBy("item").agg(F.sum("places").alias("_all"))
+    # places whose seed no document holds are missed for certain: they come first
+    kept = kept.join(all_places, "item").withColumn("_before", F.col("_all") - F.col("_missing") + F.coalesce(F.sum("places").over(rare), F.lit(0))).where("_before <= spare")
+    return met.join(c.table(kept.select("hash", "item"), "kept-seeds"), "hash").select("doc_id", "item").distinct()
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, n_words, covered, n_tiles, coverage of every pair whose coverage is at least
     `coverage`."""
@@ -194,9 +230,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
         coded = [(r.item_id, x) for r, x in zip(got, _coded([r.text for r in got]), strict=True) if len(x)]
         pairs = docs.mapInPandas(c.freed(_scan(spark.sparkContext.broadcast(Seeds(coded, seed)), coverage)), PAIRS)
     else:
-        item_seeds = items.mapInPandas(c.freed(_seed_rows(seed, []), "item_id"), "hash long, item_id long")
-        met = docs.mapInPandas(c.freed(_seed_rows(seed, list(range(1, seed))), "doc_id"), "hash long, doc_id long").join(item_seeds, "hash").select("doc_id", "item_id").distinct()
-        pairs = met.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").mapInPandas(c.freed(_tile_rows(seed, coverage)), PAIRS)
+        items = c.table(items.withColumn("item", F.xxhash64("item_id", "text")), "items")
+        pairs = _candidates(docs, items, coverage, seed).join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item").mapInPandas(c.freed(_tile_rows(seed, coverage)), PAIRS)
     return pairs.withColumn("coverage", F.col("covered") / F.col("n_words"))
 
 

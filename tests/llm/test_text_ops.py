@@ -82,6 +82,18 @@ def test_contaminated(spark, most):
     assert decontaminate.contaminated(d.where("false"), b).count() == 0 and decontaminate.contaminated(d, b.where("false")).count() == 0
 
 
+def test_both_ways_agree_on_very_common_seeds(spark):
+    rng = random.Random(4)
+    line = "all rights reserved by the owner of this text".split()
+    say = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+    items = {k: say(4) + line + say(rng.randint(0, 20)) for k in range(30)} | {99: line, 98: line[:4]}
+    docs = {k: say(20) + line + (items[k % 30][rng.randint(0, 9) :] if k % 4 == 0 else []) + say(9) for k in range(300)}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    one, other = (sorted(map(tuple, decontaminate.contaminated(d, b, broadcast_bytes=n).collect())) for n in (1 << 20, 0))
+    assert one == other and {r[1] for r in one} >= {98, 99} and len(one) > 600
+
+
 def test_warc_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300_000)
     monkeypatch.setattr(warc, "READ", 4_000)
@@ -207,9 +219,14 @@ def test_pipeline_stages(spark):
                     assert r.text == old[r.doc_id]
                 assert r.n_chars == len(r.text)
         elif name == "decontamination":
-            bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-            gone = {r.doc_id for r in decontaminate.contaminated(source, bench).collect()}
-            assert set(after.doc_id) == set(before.doc_id) - gone
+            bench = [decontaminate.words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            seeds = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+            gone = set()
+            for r in before.itertuples():
+                ws = decontaminate.words(r.text)
+                near = [x for x in bench if seeds(x) & seeds(ws)]
+                gone |= {r.doc_id for x in near if 2 * sum(n for *_, n in brute_tiles(ws, x, 5)) >= len(x)}
+            assert set(after.doc_id) == set(before.doc_id) - gone and gone
         else:
             assert set(after.doc_id) == set(before.doc_id) and (after.decoded == after.text).all()
         before = after
