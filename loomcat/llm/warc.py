@@ -1,8 +1,10 @@
 """WARC archives, index first.
 
-Writing: each task appends its records to archives of about ARCHIVE_BYTES in the shared folder and
-yields an index row for each: archive, offset, length, URL, payload digest. A record whose payload
-another record with a smaller page_id has is a revisit without payload. The index is a table.
+Writing: each task appends its records, each a gzip member of its own (.warc.gz), to archives of
+about ARCHIVE_BYTES in the shared folder and yields an index row for each: archive, offset, length
+(of the member), URL, payload digest. A record whose payload another record with a smaller page_id
+has is a revisit without payload; which ones are is found by a shuffle of ids and digests alone, and
+payloads are only shuffled where over BROADCAST_REVISITS pages revisit. The index is a table.
 Reading: selected index rows are dealt to tasks by archive and range, sorted by offset, and
 neighbouring records are read by one byte-range read; each record is parsed and its digest checked.
 
@@ -10,7 +12,7 @@ An archive's name holds the task attempt, so a task that runs again writes other
 rows always name a file that was closed; files of lost attempts are never read. Archives go through
 pyarrow's filesystem of the folder's URI, so the folder may be any store that pyarrow reaches.
 
-Defined cases: null html is an empty payload; null url is written as `urn:page:<page_id>`; page_id
+Defined cases: very long html is one record; null html is an empty payload; null url is written as `urn:page:<page_id>`; page_id
 null can't be named and goes; of rows with one page_id, the one with the least payload counts; equal
 payloads, empty ones too, make one response and revisits; an empty table gives an empty result;
 other columns are ignored.
@@ -19,8 +21,11 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +40,9 @@ GAP, READ, RANGE = 64 << 10, 8 << 20, 16 << 20
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, kind string, refers_to long"
 #: Payloads of at least so many bytes are stored once.
 LEAST_REVISIT = 0
+#: Revisits (two numbers each) that may be broadcast.
+BROADCAST_REVISITS = 2_000_000
+LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -68,21 +76,31 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
+def _member(raw: bytes) -> bytes:
+    try:
+        return gzip.decompress(raw)
+    except (OSError, EOFError, zlib.error) as e:
+        raise ValueError("no WARC record here") from e
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    return fs.FileSystem.from_uri(re.sub(r"^(file:)?/+", "file:///", uri))
 
 
-def write(pages: DataFrame) -> DataFrame:
+def write(pages: DataFrame, broadcast_revisits: int = BROADCAST_REVISITS) -> DataFrame:
     """The index of the archives of all pages: INDEX."""
     spark = c.session(pages.sparkSession)
     rows = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     if not rows.groupBy("page_id").count().where("count > 1").isEmpty():
         rows = c.table(rows.groupBy("page_id").agg(F.min(F.struct("html", "url")).alias("r")).select("page_id", "r.url", "r.html"), "one-per-page")
     ids = c.table(rows.select("page_id", F.sha1("html").alias("sha"), F.octet_length("html").alias("size")), "digests")
-    first = ids.where(F.col("size") >= LEAST_REVISIT).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = ids.join(first, "sha").where("page_id > first AND size >= " + str(LEAST_REVISIT)).select("page_id", F.col("first").alias("refers_to"))
+    large = ids.where(F.col("size") >= LEAST_REVISIT)
+    # written first: adaptive execution splits a hot digest only where both sides are plain exchanges
+    first = c.table(large.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "first")
+    again = c.table(large.join(first, "sha").where("page_id > first").select("page_id", F.col("first").alias("refers_to")), "revisits")
+    again = F.broadcast(again) if again.count() <= broadcast_revisits else again
     folder = f"{c.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,10 +123,10 @@ def write(pages: DataFrame) -> DataFrame:
             for page_id, url, html, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
                 refers = None if pd.isna(refers) else int(refers)
                 digest = payload_digest(html)
-                raw = record(page_id, url or "", html, digest, refers)
-                name = f"{stem}-{number}.warc"
+                raw = gzip.compress(record(page_id, url or "", html, digest, refers), LEVEL, mtime=0)
+                name = f"{stem}-{number}.warc.gz"
                 if out is None:
-                    out = store.open_output_stream(f"{base}/{name}")
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
                 out.write(raw)
                 held.append((page_id, name, done, len(raw), url, digest, "response" if refers is None else "revisit", refers))
                 done += len(raw)
@@ -136,7 +154,7 @@ def read(index: DataFrame) -> DataFrame:
                     stop += 1
                 block = f.read_at(end - start, start)
                 for offset, length, page_id in group[at:stop]:
-                    headers, body = parse(block[offset - start : offset - start + length])
+                    headers, body = parse(_member(block[offset - start : offset - start + length]))
                     digest = headers["warc-payload-digest"].removeprefix("sha1:")
                     refers = headers.get("warc-refers-to")
                     if headers["warc-record-id"] != f"<urn:page:{page_id}>" or (refers is None and payload_digest(body) != digest):

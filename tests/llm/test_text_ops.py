@@ -94,7 +94,9 @@ def test_both_ways_agree_on_very_common_seeds(spark):
     assert one == other and {r[1] for r in one} >= {98, 99} and len(one) > 600
 
 
-def test_warc_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1 << 20, -1])
+def test_warc_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc.write, "__defaults__", (most,))
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300_000)
     monkeypatch.setattr(warc, "READ", 4_000)
     rng = random.Random(1)
@@ -113,6 +115,19 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.digest(pages.where("false")).count() == 0
 
 
+def test_warc_files_are_plain_gzip(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"body {i // 2} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    row = warc.write(pages).orderBy("offset").collect()
+    raw = open(row[0].archive.removeprefix("file:").replace("//", "/"), "rb").read()
+    whole = gzip.decompress(raw)
+    assert whole.count(b"WARC/1.1\r\n") == 20 and whole.count(b"WARC-Type: revisit") == 10 and sum(r.length for r in row) == len(raw)
+    for uri in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        store, base = warc._filesystem(uri)
+        assert store.get_file_info(base).is_file is False and base == str(tmp_path)
+
+
 def test_warc_selected_reads(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"body {i} " * i) for i in range(60)], "page_id long, url string, html string")
     index = warc.write(pages)
