@@ -2,11 +2,15 @@
 
 The model file's protobuf is parsed here; normaliser, metaspace marker, pieces with their scores
 (unigram, or BPE merges in the order of the scores) and byte fallback are rebuilt as a tokenizers
-pipeline, which encodes batches on several threads. Every document is also encoded by
-the sentencepiece library, and `parity` says whether both agree (with `every` above 1 only each
-every-th, by a hash of doc_id).
+pipeline, which encodes batches on several threads. Where no piece crosses a marker, the pipeline's
+encoder gets each distinct marked word of a task once, and texts are put together from them; other
+models get whole texts.
 
-Defined cases: null text gives null ids and null text back; empty text gives no ids; special pieces'
+`parity` says for every document whether the sentencepiece library agrees, in ids and in the decoded
+text. For models whose words stand alone that is so if it normalises the whole text alike and
+encodes and decodes each of its words alike; whatever is left is compared whole.
+
+Defined cases: the longest text is coded whole; null text gives null ids and null text back; empty text gives no ids; special pieces'
 names in a text are ordinary text; repeated rows give repeated results; an empty table gives an
 empty result. The model path is a parameter and is read on the driver; the file (at most MOST_BYTES)
 is broadcast.
@@ -15,11 +19,12 @@ is broadcast.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import re
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,10 +34,11 @@ from . import common as c
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_BYTES = 64 << 20
-THREADS, PARITY_EVERY = 2, 1
-#: Characters that are encoded at a time.
-CHUNK = 400_000
+THREADS = 2
+#: Characters that are encoded at a time, and distinct words that a task remembers.
+CHUNK, WORDS = 400_000, 600_000
 MARK = "▁"
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Piece types of the model's protobuf (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -81,6 +87,11 @@ def parse(raw: bytes) -> dict:
     return out
 
 
+def words_stand_alone(spec: dict) -> bool:
+    """Whether no piece has a marker after other characters, so that marked words never share one."""
+    return any(p == MARK for p, _, _ in spec["pieces"]) and not any(MARK in p.lstrip(MARK) for p, _, t in spec["pieces"] if t in (NORMAL, USER))
+
+
 def build(raw: bytes):
     """A tokenizers.Tokenizer with the model's behaviour."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -105,28 +116,92 @@ def build(raw: bytes):
         steps.append(normalizers.Prepend(MARK if spec["escape"] else " "))
     if spec["escape"]:
         steps.append(normalizers.Replace(" ", MARK))
+        if spec["squeeze"]:
+            steps.append(normalizers.Replace(Regex(f"{MARK}+\\z"), ""))  # markers of the text itself
     if steps:
         tok.normalizer = normalizers.Sequence(steps)
-    if not any(MARK in p.lstrip(MARK) for p, _, t in pieces if t in (NORMAL, USER)):
-        tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")  # no piece crosses a marker
+    if words_stand_alone(spec):
+        tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
     tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec["dummy_prefix"] else [])])
     if users := [AddedToken(p, normalized=False) for p, _, t in pieces if t == USER]:
         tok.add_tokens(users)
     return tok
 
 
-@functools.lru_cache(maxsize=4)
-def _ready(digest: str, raw: bytes, threads: int):
-    os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-    import sentencepiece
-
-    return build(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
-
-
-def encode(documents: DataFrame, model: str = MODEL, threads: int = THREADS, every: int = PARITY_EVERY) -> DataFrame:
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
+class Codec:
+    """Both libraries with one model. `coded` gives ids, decoded text and agreement of texts."""
+
+    def __init__(self, raw: bytes, threads: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        import sentencepiece
+        from tokenizers import Tokenizer, decoders
+
+        self.tok, self.own, self.threads = build(raw), sentencepiece.SentencePieceProcessor(model_proto=raw), threads
+        spec = parse(raw)
+        self.alone = words_stand_alone(spec) and spec["escape"] and not any(t == USER for *_, t in spec["pieces"])
+        self.prefix = " " if spec["dummy_prefix"] else ""
+        self.mapped = bool(spec["charsmap"]) or spec["squeeze"]
+        self.inner = Tokenizer(self.tok.model)  # for words that are normalised already
+        self.inner.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.known: dict[str, int] = {}
+        self.ids: list[bytes] = []  # no lists: the garbage collector would walk over them again and again
+        self.back: list[str] = []
+        self.same: list[bool] = []
+
+    def coded(self, texts: list[str]) -> Iterator[tuple[bytes, str, bool]]:
+        return self._by_words(texts) if self.alone else self._whole(texts)
+
+    def _whole(self, texts: list[str]) -> Iterator[tuple[bytes, str, bool]]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        for text, x, back in zip(texts, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
+            yield _packed(x), back, self._agree(text, _packed(x), back)
+
+    def _agree(self, text: str, ids: bytes, back: str) -> bool:
+        theirs = self.own.encode(text)
+        return _packed(theirs) == ids and self.own.decode(theirs) == back
+
+    def _by_words(self, texts: list[str]) -> Iterator[tuple[bytes, str, bool]]:
+        normal = [self.tok.normalizer.normalize_str(t) if self.tok.normalizer else t for t in texts]
+        split = [_WORD.findall(t) for t in normal]
+        if len(self.known) > WORDS:
+            self.known, self.ids, self.back, self.same = {}, [], [], []
+        self._learn(list(set().union(*split).difference(self.known)))
+        for text, norm, ws in zip(texts, normal, split, strict=True):
+            at = list(map(self.known.__getitem__, ws))
+            ids = b"".join(map(self.ids.__getitem__, at))
+            back = "".join(map(self.back.__getitem__, at)).removeprefix(self.prefix)
+            yield ids, back, (all(map(self.same.__getitem__, at)) and self.own.normalize(text) == norm) or self._agree(text, ids, back)
+
+    def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
+        ids = [e.ids for e in self.inner.encode_batch_fast(words, add_special_tokens=False)]
+        back = self.inner.decode_batch(ids, skip_special_tokens=False)
+        raw = [w.replace(MARK, " ").removeprefix(self.prefix) for w in words]  # sentencepiece adds the prefix itself
+        theirs = self.own.encode(raw, num_threads=self.threads)
+        flat = "".join(back).removeprefix(self.prefix)
+        decoded = back if self.own.decode(list(itertools.chain.from_iterable(ids))) == flat else [self.prefix + x for x in self.own.decode(ids)]
+        if self.mapped:
+            theirs = [y if self.own.normalize(r) == w else None for y, r, w in zip(theirs, raw, words, strict=True)]
+        self.known.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
+        self.ids += map(_packed, ids)
+        self.back += back
+        self.same += [x == y and b == d and w[0] == MARK for x, y, b, d, w in zip(ids, theirs, back, decoded, words, strict=True)]
+
+
+@functools.lru_cache(maxsize=2)
+def _ready(digest: str, raw: bytes, threads: int) -> Codec:
+    return Codec(raw, threads)
+
+
+def encode(documents: DataFrame, model: str = MODEL, threads: int = THREADS) -> DataFrame:
     """documents with n_tokens, ids (binary, 32-bit little-endian), decoded (the text that the ids
-    give back) and parity (null where it was not checked); of clashing columns these replace the input's."""
+    give back) and parity (null for null text); of clashing columns these replace the input's."""
     spark = c.session(documents.sparkSession)
     with open(model, "rb") as f:
         raw = f.read(MOST_BYTES + 1)
@@ -137,32 +212,24 @@ def encode(documents: DataFrame, model: str = MODEL, threads: int = THREADS, eve
     rows = documents.drop(*new)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, own = _ready(digest, held.value, threads)
+        codec = _ready(digest, held.value, threads)
         for pdf in batches:
             some = [isinstance(t, str) for t in pdf["text"]]
             texts = [t.encode("utf-8", "replace").decode() for t, ok in zip(pdf["text"], some, strict=True) if ok]
+            got = (x for lo, hi in c.chunks([len(t) for t in texts], CHUNK) for x in codec.coded(texts[lo:hi]))
             n, ids, back, parity = [], [], [], []
-            sizes = [len(t) for t in texts]
-            got = iter([x for lo, hi in c.chunks(sizes, CHUNK) for x in _coded(tok, texts[lo:hi])])
-            at = iter(texts)
-            for doc_id, ok in zip(pdf["doc_id"], some, strict=True):
-                one, text = (next(got), next(at)) if ok else ((None, None), None)
-                n.append(len(one[0]) if ok else None)
-                ids.append(np.array(one[0], "<i4").tobytes() if ok else None)
-                back.append(one[1])
-                checked = ok and xxhash.xxh3_64_intdigest(str(doc_id)) % every == 0
-                parity.append(own.encode(text) == one[0] and own.decode(one[0]) == one[1] if checked else None)
+            for ok in some:
+                one, text, same = next(got) if ok else (None, None, None)
+                n.append(len(one) // 4 if ok else None)
+                ids.append(one)
+                back.append(text)
+                parity.append(same)
             yield pdf.assign(n_tokens=pd.array(n, "Int64"), ids=ids, decoded=back, parity=pd.array(parity, "boolean"))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(c.freed(run), f"{schema}, n_tokens long, ids binary, decoded string, parity boolean")
 
 
-def _coded(tok, texts: list[str]) -> list[tuple[list[int], str]]:
-    ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    return list(zip(ids, tok.decode_batch(ids, skip_special_tokens=False), strict=True))
-
-
 def digest(documents: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip (the ids give the text back), parity."""
     rows = encode(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)

@@ -177,6 +177,9 @@ def test_parity_on_hand_made_models(model_type, fallback, squeeze):
     for _ in range(300):
         t = "".join(rng.choice("aaabbcc é ") for _ in range(rng.randint(0, 14)))
         assert tok.encode(t, add_special_tokens=False).ids == own.encode(t), t
+    codec, texts = sentencepiece_codec.Codec(raw, 1), ["".join(rng.choice("aabbc é ▁") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    for t, (ids, back, same) in zip(texts, codec.coded(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == own.encode(t) and same == (back == own.decode(own.encode(t))), t
 
 
 def test_codec_on_the_public_model(spark):
@@ -186,7 +189,7 @@ def test_codec_on_the_public_model(spark):
     odd = [(-1, None), (-2, ""), (-3, "  two  spaces "), (-4, "<s> ▁ \x00   🎈"), (-5, "a" * 300_000), (-5, "a" * 300_000), (None, "x")]
     rows = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     own = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
-    got = sentencepiece_codec.encode(rows.withColumn("ids", rows.text), every=1).collect()
+    got = sentencepiece_codec.encode(rows.withColumn("ids", rows.text)).collect()
     assert len(got) == rows.count()
     for r in got:
         if r.text is None:
