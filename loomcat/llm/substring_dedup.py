@@ -6,18 +6,24 @@
 1. Confirm recurring passages. Every window of `window` words is named by its anchor, the least
    hash among its short word-grams; only windows whose anchor occurs in two documents are hashed
    and counted. A window that starts in two documents has a first document, the smallest doc_id.
-   Neighbouring windows of a document with one first document form a passage.
-2. Compile the distinct passages into Aho-Corasick automata (pyahocorasick), in shards of bounded
-   size. Words are coded as single characters, so a node stands for a word.
-3. Stream every document that can hold a passage of a shard through its automaton, and locate each
-   occurrence. Where the passage's first document is smaller, the covered words go.
+   Neighbouring windows of one anchor in their first document form a passage. Where else a window
+   stands is not known from this.
+2. Compile the passages into Aho-Corasick automata (pyahocorasick), in shards of bounded size by
+   anchor. A node stands for PIECE words, so a window of 50 words is a path of five nodes, and
+   neighbouring windows share failure links.
+3. Stream every document through the automata of its anchors: the stretch of text around an anchor
+   that two documents have goes to that anchor's shard, in PIECE interleaved streams. Each match is
+   checked on its words; where the matched window's first document is smaller, its words go.
 
-Rows are spread by anchor, window hash, shard and salt; a phrase that a third of all documents
-share is one row in its shard and the documents are dealt over the shard's salts.
+Each stretch goes to one shard, so the texts shipped don't grow with the number of shards. An anchor
+with more windows than a shard holds is split by window: its windows are shipped one by one, under
+their own hashes. Streams of one shard are dealt over salts. No task holds more than one shard's
+automaton and a batch of stretches.
 
 Defined cases: null text has no words; a document of fewer words than the window loses nothing; a
-window that recurs only within one document stays; repeated doc_ids: see common.texts; an empty
-table gives an empty result; other columns of the input are ignored.
+window that recurs only within one document stays; very long texts are handled whole; repeated
+doc_ids: see common.texts; an empty table gives an empty result; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +34,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +41,12 @@ from . import common as c
 
 WINDOW = 50
 GRAM = 16
-#: Words of one automaton, of one phrase in it, and documents that one task streams through it.
-SHARD_WORDS, PHRASE_WORDS, SALT_DOCS = 250_000, 2_000, 5_000
+#: Words of a node at most; windows of one shard; stretches of text that one task streams through it.
+PIECE, SHARD_WINDOWS, SALT_ROWS = 10, 100_000, 60_000
+#: Windows of one automaton, if a shard has more of them than it should.
+AUTOMATON = 400_000
+#: Anchors split by window, which every task must know.
+MOST_SPLIT = 2_000_000
 #: Words that a task holds as arrays at a time.
 CHUNK = 1_000_000
 
@@ -59,62 +68,184 @@ def _profile(window: int, gram: int):
     return run
 
 
+def _chunked(pdf: pd.DataFrame, most: int) -> Iterator[tuple[pd.DataFrame, list[list[bytes]], np.ndarray, np.ndarray]]:
+    """Rows of about `most` words together: the rows, their words, all words' codes, and where each
+    row's words begin in them."""
+    for lo, hi in c.chunks([len(t) for t in pdf["text"]], 6 * most):
+        part = pdf.iloc[lo:hi]
+        split = [t.split() if isinstance(t, bytes) else c.split_words(t) for t in part["text"]]
+        yield part, split, c.word_codes([w for ws in split for w in ws]), np.cumsum([0, *map(len, split)])
+
+
 def _windows(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc_id, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
-                h = c.rolling(c.prefix_hash(c.word_codes(c.split_words(text))), window)
-                at = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs])
-                yield pd.DataFrame({"doc_id": doc_id, "hash": c.signed(c.mix(h[at])), "at": at.astype(np.int32)})
+            for part, _, codes, begin in _chunked(pdf, CHUNK):
+                h = c.signed(c.mix(c.rolling(c.prefix_hash(codes), window)))
+                doc_ids, places = [], []
+                for doc_id, runs, at in zip(part["doc_id"], part["runs"], begin[:-1], strict=True):
+                    own = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs])
+                    doc_ids.append(np.full(len(own), doc_id, np.int64))
+                    places.append((own, own + at))
+                flat = np.concatenate([x for _, x in places])
+                yield pd.DataFrame({"doc_id": np.concatenate(doc_ids), "hash": h[flat], "at": np.concatenate([x for x, _ in places]).astype(np.int32)})
 
     return run
 
 
-def _passages(window: int):
+def _phrases(window: int):
+    """The recurring passages of their first documents, one anchor each."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, text, hits in zip(pdf["doc_id"], pdf["text"], pdf["hits"], strict=True):
-                ws = c.split_words(text)
-                at = np.fromiter((h["at"] for h in hits), np.int64, len(hits))
-                first = np.fromiter((h["first"] for h in hits), np.int64, len(hits))
-                o = np.argsort(at)
-                at, first = at[o], first[o]
-                cut = np.concatenate(([0], np.flatnonzero((np.diff(at) != 1) | (np.diff(first) != 0)) + 1, [len(at)]))
-                for i, j in zip(cut[:-1], cut[1:], strict=True):
-                    for k in range(i, j, PHRASE_WORDS - window + 1):  # pieces share window - 1 words, so each window is in one
-                        phrase = b" ".join(ws[at[k] : at[min(j, k + PHRASE_WORDS - window + 1) - 1] + window])
-                        out.append((doc_id, int(first[i]), xxhash.xxh3_64_intdigest(phrase) - (1 << 63), phrase.count(b" ") + 1, phrase))
-            yield pd.DataFrame(out, columns=["doc_id", "first", "phrase_id", "n", "phrase"])
+            for doc_id, text, runs, ats in zip(pdf["doc_id"], pdf["text"], pdf["runs"], pdf["ats"], strict=True):
+                ws, ats = c.split_words(text), np.sort(np.asarray(ats, np.int64))
+                for r in runs:
+                    own = ats[np.searchsorted(ats, r["start"]) : np.searchsorted(ats, r["start"] + r["n"])]
+                    for part in np.split(own, np.flatnonzero(np.diff(own) != 1) + 1):
+                        if len(part):
+                            out.append((r["anchor"], doc_id, len(part), b" ".join(ws[part[0] : part[-1] + window])))
+            yield pd.DataFrame(out, columns=["anchor", "doc_id", "n", "text"])
 
     return run
 
 
-def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shard, salt, kind: the phrases (kind 0), then the documents (kind 1)."""
-    at, codes, automaton, ready = None, {}, None, False
+def _single(codes: np.ndarray, window: int) -> np.ndarray:
+    return c.signed(c.mix(c.rolling(c.prefix_hash(codes), window) ^ c.U64(c.BASE)))
 
-    def code(w: bytes) -> str:
-        n = codes.setdefault(w, len(codes) + 1)
-        return chr(n if n < 0xD800 else n + 0x800)
 
-    for pdf in batches:
-        out = []
-        for shard, salt, kind, doc_id, text in zip(pdf["shard"], pdf["salt"], pdf["kind"], pdf["doc_id"], pdf["text"], strict=True):
-            if at != (shard, salt):
-                at, codes, automaton, ready = (shard, salt), {}, ahocorasick.Automaton(), False
-            if not kind:
-                phrase = "".join(map(code, text.split()))
-                automaton.add_word(phrase, (len(phrase), doc_id))
+def _keyed(window: int, split):
+    """Passages under the key of their shard: the anchor, or each window by itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            by_window = np.isin(pdf["anchor"].to_numpy(), split.value)
+            whole = pdf[~by_window]
+            yield pd.DataFrame({"key": whole["anchor"], "doc_id": whole["doc_id"], "at": 0, "n": whole["n"], "text": whole["text"]})
+            for part, words, codes, begin in _chunked(pdf[by_window], CHUNK):
+                out = []
+                for doc_id, ws, at in zip(part["doc_id"], words, begin[:-1], strict=True):
+                    keys = _single(codes[at : at + len(ws)], window)
+                    out += [(k, doc_id, 0, 1, b" ".join(ws[i : i + window])) for i, k in enumerate(keys.tolist())]
+                yield pd.DataFrame(out, columns=["key", "doc_id", "at", "n", "text"])
+
+    return run
+
+
+def _stretches(window: int, split):
+    """What documents send to the shards of their anchors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, words, codes, begin in _chunked(pdf, CHUNK // 4):
+                out = []
+                for doc_id, runs, ws, at in zip(part["doc_id"], part["runs"], words, begin[:-1], strict=True):
+                    by_window = np.isin(np.fromiter((r["anchor"] for r in runs), np.int64, len(runs)), split.value)
+                    keys = _single(codes[at : at + len(ws)], window) if by_window.any() else None
+                    for r, one in zip(runs, by_window, strict=True):
+                        start, n = r["start"], r["n"]
+                        if one:
+                            out += [(int(keys[i]), doc_id, i, 1, b" ".join(ws[i : i + window])) for i in range(start, start + n)]
+                        else:
+                            out.append((r["anchor"], doc_id, start, n, b" ".join(ws[start : start + n + window - 1])))
+                yield pd.DataFrame(out, columns=["key", "doc_id", "at", "n", "text"])
+
+    return run
+
+
+class Automata:
+    """The windows of a shard's passages."""
+
+    def __init__(self, phrases: list[bytes], firsts: list[int], window: int):
+        self.window, self.piece = window, next(p for p in range(PIECE, 0, -1) if window % p == 0)
+        split = [p.split() for p in phrases]
+        self.codes = c.word_codes([w for ws in split for w in ws])
+        begin = np.cumsum([0, *map(len, split)])[:-1]
+        many = np.array([len(ws) - window + 1 for ws in split])
+        self.place = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        self.first = np.repeat(np.array(firsts, np.int64), many)
+        grams = c.rolling(c.prefix_hash(self.codes), self.piece)
+        path = self.place[:, None] + self.piece * np.arange(window // self.piece)
+        self.parts = []
+        for at in range(0, len(path), AUTOMATON):
+            known, symbols = np.unique(grams[path[at : at + AUTOMATON]], return_inverse=True)
+            text, n = self._letters(symbols.reshape(-1) + 1), path.shape[1]
+            automaton = ahocorasick.Automaton()
+            for i in range(len(text) // n):
+                automaton.add_word(text[i * n : i * n + n], at + i)
+            automaton.make_automaton()
+            self.parts.append((known, automaton))
+
+    @staticmethod
+    def _letters(symbols: np.ndarray) -> str:
+        return (symbols + 0x800 * (symbols >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+
+    def matches(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in codes (stretches that start at begin[:-1]) where a window stands, and its first
+        document."""
+        grams = c.rolling(c.prefix_hash(codes), self.piece)
+        stretch = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[: len(grams)]
+        place = np.arange(len(grams))
+        inside = place + self.piece <= begin[stretch + 1]
+        place, stretch = place[inside], stretch[inside]
+        stream = stretch * self.piece + (place - begin[stretch]) % self.piece
+        by = np.argsort(stream, kind="stable")
+        place, stream = place[by], stream[by]
+        to = np.arange(len(place)) + np.cumsum(np.concatenate(([0], stream[1:] != stream[:-1])))  # a gap between streams
+        found_at, found = [], []
+        for known, automaton in self.parts:
+            near = np.minimum(np.searchsorted(known, grams[place]), len(known) - 1)
+            hit = known[near] == grams[place]
+            if not hit.any():
                 continue
-            if not ready:
-                automaton.make_automaton()
-                ready, letters = True, {w: chr(n if n < 0xD800 else n + 0x800) for w, n in codes.items()}
-            spans = [(end + 1 - n, end + 1) for end, (n, first) in automaton.iter("".join([letters.get(w, "\0") for w in text.split()])) if first < doc_id]
-            if spans:
-                s, e = c.union_spans(*np.array(spans, np.int64).T)
-                out.append((doc_id, s, e))
-        yield pd.DataFrame(out, columns=["doc_id", "starts", "ends"])
+            line, back = np.zeros(to[-1] + 1, np.int64), np.zeros(to[-1] + 1, np.int64)
+            line[to[hit]], back[to] = near[hit] + 1, place
+            got = np.array(list(automaton.iter(self._letters(line))), np.int64).reshape(-1, 2)
+            found_at.append(back[got[:, 0]] - self.window + self.piece)
+            found.append(got[:, 1])
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, which = np.concatenate(found_at), np.concatenate(found)
+        step = np.arange(self.window)
+        same = np.zeros(len(at), bool)
+        for lo in range(0, len(at), 50_000):
+            i, j = at[lo : lo + 50_000], self.place[which[lo : lo + 50_000]]
+            same[lo : lo + 50_000] = (codes[i[:, None] + step] == self.codes[j[:, None] + step]).all(axis=1)
+        return at[same], self.first[which[same]]
+
+
+def _locate(window: int):
+    """Rows sorted by shard, salt, kind: the passages (kind 0), then the documents' stretches (1)."""
+
+    def scan(rows: pd.DataFrame, automata: Automata) -> Iterator[pd.DataFrame]:
+        for part, _, codes, begin in _chunked(rows, CHUNK // 4):
+            at, first = automata.matches(codes, begin)
+            row = np.searchsorted(begin, at, "right") - 1
+            doc_id = part["doc_id"].to_numpy()[row]
+            start = part["at"].to_numpy()[row] + at - begin[row]
+            later = first < doc_id
+            doc_id, start = doc_id[later], start[later]
+            by = np.lexsort((start, doc_id))
+            doc_id, start = doc_id[by], start[by]
+            new = np.concatenate(([True], (doc_id[1:] != doc_id[:-1]) | (start[1:] > start[:-1] + window)))[: len(start)]
+            end = start[np.concatenate((new[1:], [True]))[: len(start)]] + window
+            yield pd.DataFrame({"doc_id": doc_id[new], "starts": start[new], "ends": end})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, phrases, firsts, automata = None, [], [], None
+        for pdf in batches:
+            for key, rows in pdf.groupby(["shard", "salt", "kind"], sort=False):
+                if at != key[:2]:
+                    at, phrases, firsts, automata = key[:2], [], [], None
+                if not key[2]:
+                    phrases += rows["text"].tolist()
+                    firsts += rows["doc_id"].tolist()
+                elif phrases:
+                    automata = automata or Automata(phrases, firsts, window)
+                    yield from scan(rows, automata)
+
+    return run
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +253,7 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc_id, text, found in zip(pdf["doc_id"], pdf["text"], pdf["found"], strict=True):
             ws = c.split_words(text)
-            s, e = c.union_spans(np.concatenate([f["starts"] for f in found]), np.concatenate([f["ends"] for f in found]))
+            s, e = c.union_spans(*np.array([(f["starts"], f["ends"]) for f in found], np.int64).T)
             keep = np.ones(len(ws), bool)
             for i, j in zip(s, e, strict=True):
                 keep[i:j] = False
@@ -145,22 +276,29 @@ def find_passages(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     runs = profile.select("doc_id", "anchors", "starts", "counts").join(copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("anchors", "starts", "counts")).alias("r"))
     runs = c.table(runs.select("doc_id", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n")), "runs")
     recurring = c.table(runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "recurring")
-    wanted = runs.join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    wanted = runs.join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
     work = c.table(docs.join(wanted, "doc_id"), "work")
-    windows = c.table(work.mapInPandas(c.freed(_windows(window)), "doc_id long, hash long, at int"), "windows")
-    first = c.table(windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), "first")
-    hits = windows.join(first, "hash").where("first < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "first")).alias("hits"))
-    held = c.table(work.select("doc_id", "text").join(hits, "doc_id").mapInPandas(c.freed(_passages(window)), "doc_id long, first long, phrase_id long, n int, phrase binary"), "passages")
-    phrases = held.groupBy("first", "phrase_id", "phrase").agg(F.max("n").alias("n"))
-    words = phrases.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-words // SHARD_WORDS))
-    shard = F.pmod(F.col("phrase_id"), F.lit(shards)).cast("int").alias("shard")
-    routes = held.select(shard, "doc_id").distinct()
-    salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / SALT_DOCS).cast("int").alias("salts"))
-    a = phrases.select(shard, "first", "phrase").join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.col("phrase").alias("text"))
-    b = work.select("doc_id", F.col("text").cast("binary").alias("text")).join(routes.join(salts, "shard"), "doc_id").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "text")
+    windows = work.mapInPandas(c.freed(_windows(window)), "doc_id long, hash long, at int")
+    confirmed = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("first.*")
+    ats = confirmed.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
+    phrases = c.table(work.join(ats, "doc_id").mapInPandas(c.freed(_phrases(window)), "anchor long, doc_id long, n int, text binary"), "passages")
+    sizes = c.table(phrases.groupBy("anchor").agg(F.sum("n").alias("n")), "anchor-sizes")
+    total, most = sizes.agg(F.sum("n")).first()[0] or 0, SHARD_WINDOWS
+    while sizes.where(F.col("n") > most).count() > MOST_SPLIT:
+        most *= 2
+    split = spark.sparkContext.broadcast(np.array([r.anchor for r in sizes.where(F.col("n") > most).select("anchor").collect()], np.int64))
+    shards = max(1, -(-total // SHARD_WINDOWS))
+    kinds = "key long, doc_id long, at int, n int, text binary"
+    shard = F.pmod(F.col("key"), F.lit(shards)).cast("int")
+    patterns = phrases.mapInPandas(c.freed(_keyed(window, split)), kinds).withColumn("shard", shard)
+    # only stretches whose anchor has a passage can hold one
+    alive = runs.join(sizes.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
+    stretches = c.table(work.select("doc_id", "text").join(alive, "doc_id").mapInPandas(c.freed(_stretches(window, split)), kinds).withColumn("shard", shard), "stretches")
+    salts = c.table(stretches.groupBy("shard").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), "salts")
+    a = patterns.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc_id", "at", "text")
+    b = stretches.join(salts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "at", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = a.unionByName(b).repartition(max(parts, shards), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(c.freed(_locate), "doc_id long, starts array<long>, ends array<long>")
+    found = a.unionByName(b).repartition(max(parts, shards), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(c.freed(_locate(window)), "doc_id long, starts long, ends long")
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
     cut = work.select("doc_id", "text").join(spans, "doc_id").mapInPandas(c.freed(_kept), "doc_id long, n_removed long, starts array<long>, ends array<long>, kept_text string")
     whole = copies.select("doc_id", F.col("n_words").alias("n_removed"), F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_words").alias("ends"), F.lit("").alias("kept_text"))

@@ -62,18 +62,42 @@ def brute_passages(rows, w=50):
     return out
 
 
-@pytest.mark.parametrize("seed,shard,salt", [(1, substring_dedup.SHARD_WORDS, substring_dedup.SALT_DOCS), (2, 100, 3)])
+@pytest.mark.parametrize("seed,shard,salt", [(1, 100_000, 60_000), (2, 3, 4), (5, 400, 7)])
 def test_passages(spark, monkeypatch, seed, shard, salt):
-    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
-    monkeypatch.setattr(substring_dedup, "SALT_DOCS", salt)
+    monkeypatch.setattr(substring_dedup, "SHARD_WINDOWS", shard)
+    monkeypatch.setattr(substring_dedup, "SALT_ROWS", salt)
     rows = corpus(seed)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(frame(spark, rows)).collect()}
     assert got == brute_passages(rows)
 
 
-def test_long_phrases_are_cut_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "PHRASE_WORDS", 60)
-    rows = corpus(5, 20)
+@pytest.mark.parametrize("window,most", [(7, 400_000), (12, 400_000), (12, 50)])
+def test_automata_find_every_window(monkeypatch, window, most):
+    monkeypatch.setattr(substring_dedup, "AUTOMATON", most)
+    rng = random.Random(window)
+    phrases = [[rng.choice("abc") for _ in range(rng.randint(window, 30))] for _ in range(20)]
+    stretches = [[rng.choice("abc") for _ in range(rng.randint(window, 60))] for _ in range(30)] + [p[1:] + ["x"] + p for p in phrases if len(p) > window]
+    join = lambda ws: " ".join(ws).encode()
+    automata = substring_dedup.Automata([join(p) for p in phrases], list(range(20)), window)
+    codes, begin = substring_dedup.c.word_codes([w.encode() for s in stretches for w in s]), [0]
+    for s in stretches:
+        begin.append(begin[-1] + len(s))
+    at, _ = automata.matches(codes, substring_dedup.np.array(begin))
+    known = {tuple(p[i : i + window]) for p in phrases for i in range(len(p) - window + 1)}
+    want = {begin[k] + i for k, s in enumerate(stretches) for i in range(len(s) - window + 1) if tuple(s[i : i + window]) in known}
+    assert set(at.tolist()) == want and want
+
+
+def test_nothing_is_removed_without_the_automata(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_locate", lambda window: lambda batches: (pdf[["doc_id"]].iloc[:0].assign(starts=0, ends=0) for pdf in batches))
+    rows = [(i, f"{'x ' * i} " + " ".join(f"p{k}" for k in range(60))) for i in range(3)]
+    assert all(r.n_removed == 0 for r in substring_dedup.digest(frame(spark, rows)).collect())
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = " ".join(f"v{rng.randint(0, 3000)}" for _ in range(120_000))
+    rows = [(1, long), (2, "a b " + long[:400_000] + " c"), (3, "z " * 200_000), (4, "z " * 100_000 + "y")]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(frame(spark, rows)).collect()}
     assert got == brute_passages(rows)
 
