@@ -148,10 +148,8 @@ class Codec:
         self.mapped = bool(spec["charsmap"]) or spec["squeeze"]
         self.inner = Tokenizer(self.tok.model)  # for words that are normalised already
         self.inner.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        self.known: dict[str, int] = {}
-        self.ids: list[bytes] = []  # no lists: the garbage collector would walk over them again and again
-        self.back: list[str] = []
-        self.same: list[bool] = []
+        self.known: dict[str, bytes] = {}  # no lists in it: the garbage collector would walk over them again and again
+        self.odd: dict[str, str] = {}  # decoded words on which the libraries differ, or that don't come back as they were
 
     def coded(self, texts: list[str]) -> Iterator[tuple[bytes, str, bool]]:
         return self._by_words(texts) if self.alone else self._whole(texts)
@@ -169,29 +167,30 @@ class Codec:
         normal = [self.tok.normalizer.normalize_str(t) if self.tok.normalizer else t for t in texts]
         split = [_WORD.findall(t) for t in normal]
         if len(self.known) > WORDS:
-            self.known, self.ids, self.back, self.same = {}, [], [], []
+            self.known, self.odd = {}, {}
         self._learn(list(set().union(*split).difference(self.known)))
         for text, norm, ws in zip(texts, normal, split, strict=True):
-            at = list(map(self.known.__getitem__, ws))
-            ids = b"".join(map(self.ids.__getitem__, at))
-            back = "".join(map(self.back.__getitem__, at)).removeprefix(self.prefix)
-            yield ids, back, (all(map(self.same.__getitem__, at)) and self.own.normalize(text) == norm) or self._agree(text, ids, back)
+            ids = b"".join(map(self.known.__getitem__, ws))
+            if self.odd.keys().isdisjoint(ws):
+                back = norm.replace(MARK, " ").removeprefix(self.prefix)
+                yield ids, back, self.own.normalize(text) == norm or self._agree(text, ids, back)
+            else:
+                back = "".join([self.odd.get(w, w.replace(MARK, " ")) for w in ws]).removeprefix(self.prefix)
+                yield ids, back, self._agree(text, ids, back)
 
     def _learn(self, words: list[str]) -> None:
         if not words:
             return
         ids = [e.ids for e in self.inner.encode_batch_fast(words, add_special_tokens=False)]
         back = self.inner.decode_batch(ids, skip_special_tokens=False)
-        raw = [w.replace(MARK, " ").removeprefix(self.prefix) for w in words]  # sentencepiece adds the prefix itself
+        spaced = [w.replace(MARK, " ") for w in words]
+        raw = [w.removeprefix(self.prefix) for w in spaced]  # sentencepiece adds the prefix itself
         theirs = self.own.encode(raw, num_threads=self.threads)
-        flat = "".join(back).removeprefix(self.prefix)
-        decoded = back if self.own.decode(list(itertools.chain.from_iterable(ids))) == flat else [self.prefix + x for x in self.own.decode(ids)]
-        if self.mapped:
-            theirs = [y if self.own.normalize(r) == w else None for y, r, w in zip(theirs, raw, words, strict=True)]
-        self.known.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
-        self.ids += map(_packed, ids)
-        self.back += back
-        self.same += [x == y and b == d and w[0] == MARK for x, y, b, d, w in zip(ids, theirs, back, decoded, words, strict=True)]
+        same = self.own.decode(list(itertools.chain.from_iterable(ids))) == "".join(back).removeprefix(self.prefix)
+        for w, b, r, x, y, z in zip(words, back, raw, ids, theirs, spaced, strict=True):
+            if not same or x != y or b != z or w[0] != MARK or (self.mapped and self.own.normalize(r) != w):
+                self.odd[w] = b
+        self.known.update(zip(words, map(_packed, ids), strict=True))
 
 
 @functools.lru_cache(maxsize=2)
