@@ -9,8 +9,8 @@
    Neighbouring windows of one anchor in their first document form a passage. Where else a window
    stands is not known from this.
 2. Compile the passages into Aho-Corasick automata (pyahocorasick), in shards of bounded size by
-   anchor. A node stands for PIECE words, so a window of 50 words is a path of five nodes, and
-   neighbouring windows share failure links.
+   anchor. A symbol stands for PIECE words, so a window of 50 words is a path of five symbols, each
+   of three letters of a small alphabet (the library looks through a node's branches one by one).
 3. Stream every document through the automata of its anchors: the stretch of text around an anchor
    that two documents have goes to that anchor's shard, in PIECE interleaved streams. Each match is
    checked on its words; where the matched window's first document is smaller, its words go.
@@ -29,6 +29,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -43,8 +44,6 @@ WINDOW = 50
 GRAM = 16
 #: Words of a node at most; windows of one shard; stretches of text that one task streams through it.
 PIECE, SHARD_WINDOWS, SALT_ROWS = 10, 100_000, 60_000
-#: Windows of one automaton, if a shard has more of them than it should.
-AUTOMATON = 400_000
 #: Anchors split by window, which every task must know.
 MOST_SPLIT = 2_000_000
 #: Words that a task holds as arrays at a time.
@@ -167,19 +166,20 @@ class Automata:
         self.first = np.repeat(np.array(firsts, np.int64), many)
         grams = c.rolling(c.prefix_hash(self.codes), self.piece)
         path = self.place[:, None] + self.piece * np.arange(window // self.piece)
-        self.parts = []
-        for at in range(0, len(path), AUTOMATON):
-            known, symbols = np.unique(grams[path[at : at + AUTOMATON]], return_inverse=True)
-            text, n = self._letters(symbols.reshape(-1) + 1), path.shape[1]
-            automaton = ahocorasick.Automaton()
-            for i in range(len(text) // n):
-                automaton.add_word(text[i * n : i * n + n], at + i)
-            automaton.make_automaton()
-            self.parts.append((known, automaton))
-
-    @staticmethod
-    def _letters(symbols: np.ndarray) -> str:
-        return (symbols + 0x800 * (symbols >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+        self.known, symbols = np.unique(grams[path], return_inverse=True)
+        self.base = max(1, math.ceil(len(self.known) ** (1 / 3)))
+        text, n = self._letters(symbols.reshape(-1)), 3 * path.shape[1]
+        self.automaton = ahocorasick.Automaton()
+        for i in range(len(path)):
+            self.automaton.add_word(text[i * n : i * n + n], i)
+        self.automaton.make_automaton()
+
+    def _letters(self, symbols: np.ndarray) -> str:
+        """Three letters for each symbol, from an alphabet for each of the three places; NULs for -1."""
+        b = self.base
+        out = np.stack([symbols // (b * b), symbols // b % b + b, symbols % b + 2 * b], axis=-1) + 1
+        out[symbols < 0] = 0
+        return (out + 0x800 * (out >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
 
     def matches(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in codes (stretches that start at begin[:-1]) where a window stands, and its first
@@ -192,21 +192,13 @@ class Automata:
         stream = stretch * self.piece + (place - begin[stretch]) % self.piece
         by = np.argsort(stream, kind="stable")
         place, stream = place[by], stream[by]
-        to = np.arange(len(place)) + np.cumsum(np.concatenate(([0], stream[1:] != stream[:-1])))  # a gap between streams
-        found_at, found = [], []
-        for known, automaton in self.parts:
-            near = np.minimum(np.searchsorted(known, grams[place]), len(known) - 1)
-            hit = known[near] == grams[place]
-            if not hit.any():
-                continue
-            line, back = np.zeros(to[-1] + 1, np.int64), np.zeros(to[-1] + 1, np.int64)
-            line[to[hit]], back[to] = near[hit] + 1, place
-            got = np.array(list(automaton.iter(self._letters(line))), np.int64).reshape(-1, 2)
-            found_at.append(back[got[:, 0]] - self.window + self.piece)
-            found.append(got[:, 1])
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, which = np.concatenate(found_at), np.concatenate(found)
+        to = np.arange(len(place)) + np.cumsum(np.concatenate(([0], stream[1:] != stream[:-1])))[: len(place)]  # a gap between streams
+        near = np.minimum(np.searchsorted(self.known, grams[place]), len(self.known) - 1)
+        hit = self.known[near] == grams[place]
+        line, back = np.full(len(place) and to[-1] + 1, -1, np.int64), np.zeros(len(place) and to[-1] + 1, np.int64)
+        line[to[hit]], back[to] = near[hit], place
+        got = np.array(list(self.automaton.iter(self._letters(line))), np.int64).reshape(-1, 2)
+        at, which = back[got[:, 0] // 3] - self.window + self.piece, got[:, 1]
         step = np.arange(self.window)
         same = np.zeros(len(at), bool)
         for lo in range(0, len(at), 50_000):
