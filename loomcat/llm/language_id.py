@@ -3,15 +3,20 @@
 A text's subwords are its character 1-, 2- and 3-grams (lower case; all that is no letter counts as
 one space), hashed into BUCKETS rows of an embedding table. Their mean goes through a linear layer
 and a softmax. Table and layer are trained together by stochastic gradient descent in numpy on a
-bounded sample: about PER_LANG labelled documents of each of the at most LANGS most frequent
-languages, and about SAMPLE in all. A fifth of the sample is set apart to fit a temperature and the score under which a
-prediction is marked as rejected.
-
-Since the layer is linear, embedding times layer is one small table; scoring sums its rows.
-
-Defined cases: null text and text without letters give `und` with score 0; without any labelled
-document everything is `und`; the longest text is scored whole, in blocks; repeated rows give
-repeated results; an empty table gives an empty result; other columns are ignored.
+bounded sample: about PER_LANG labelled documents of each language, and about SAMPLE in all (but one
+of each language, however many there are).
+
+Calibration is cross-fitted: each half of the sample is scored by a model of the other half. These
+scores fit a temperature and two limits, below which a prediction is marked as rejected: of the
+score, and of the familiarity, the share of a text's subwords that training has seen. Each limit is
+the REJECTED quantile among right predictions, so about that share of right ones is lost at every size
+of the sample, and texts in a language that was not learned fall below one of them. The final model
+learns from the whole sample.
+
+Defined cases: null text and text without letters give `und` with score 0, rejected; without any
+labelled document everything is `und`; the longest text is scored whole, in blocks; repeated rows give
+repeated results; rows without doc_id go; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from pyspark.sql import functions as F
 from . import common as c
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, 3
-PER_LANG, LANGS, SAMPLE = 800, 256, 20_000
+PER_LANG, SAMPLE = 800, 20_000
 EPOCHS, RATE, SEED = 6, 0.5, 7
-#: Share of right predictions that those above the rejection score reach on the calibration part.
-PRECISION = 0.995
+#: Share of right predictions that a limit rejects.
+REJECTED = 0.005
 #: Characters that a task scores at a time.
 BLOCK = 500_000
 
@@ -113,63 +118,91 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> dict | None:
-    """rows: language, buckets, counts. Returns langs, table (BUCKETS x langs), bias, temperature
-    and the rejection score."""
-    rows = [r for r in rows if len(r[1])]
-    if not rows:
-        return None
-    langs = sorted({r[0] for r in rows})
-    y = np.array([langs.index(r[0]) for r in rows])
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows: language, buckets, shares. Embeddings, with a last column that says which buckets have
+    been seen, layer and bias of a model of n languages."""
+    y = np.array([r[0] for r in rows])
     rng = np.random.default_rng(SEED)
-    emb, layer, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
-    weight = len(rows) / (len(langs) * np.bincount(y, minlength=len(langs)))
-    order = rng.permutation(len(rows))
-    fit, held = order[len(rows) // 5 :], order[: len(rows) // 5]
-    if not len(held):
-        held = fit
-    mean = lambda r: (r[2] / r[2].sum()) @ emb[r[1]]
+    emb, layer, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, n)), np.zeros(n)
+    weight = np.minimum(len(rows) / (n * np.maximum(np.bincount(y, minlength=n), 1)), 10)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for at in range(0, len(fit), 16):
-            batch = rng.permutation(fit)[:16] if at == 0 else fit[at : at + 16]
-            h = np.array([mean(rows[i]) for i in batch])
-            g = (_softmax(h @ layer + bias) - np.eye(len(langs))[y[batch]]) * np.minimum(weight[y[batch]], 10)[:, None] / len(batch)
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), 16):
+            batch = order[at : at + 16]
+            h = np.array([rows[i][2] @ emb[rows[i][1]] for i in batch])
+            g = _softmax(h @ layer + bias)
+            g[np.arange(len(batch)), y[batch]] -= 1
+            g *= weight[y[batch]][:, None] / len(batch)
             dh = g @ layer.T
             layer -= rate * h.T @ g
             bias -= rate * g.sum(axis=0)
             for i, d in zip(batch, dh, strict=True):  # embeddings get larger steps: a row sees few of the n-grams
-                emb[rows[i][1]] -= rate * 50 * np.outer(rows[i][2] / rows[i][2].sum(), d)
-        fit = rng.permutation(fit)
-    logits = np.array([mean(rows[i]) for i in held]) @ layer + bias
-    loss = {t: -np.log(_softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in np.geomspace(0.05, 5, 41)}
+                emb[rows[i][1]] -= rate * 50 * np.outer(rows[i][2], d)
+    seen = np.zeros((BUCKETS, 1))
+    for _, buckets, _ in rows:
+        seen[buckets] = 1
+    emb[0] = 0
+    return np.hstack([emb, seen]).astype(np.float32), layer, bias
+
+
+def _limit(values: np.ndarray) -> float:
+    """The REJECTED quantile, or the least value where there are few."""
+    return float(np.sort(values)[int(len(values) * REJECTED)]) if len(values) else 0.0
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> dict | None:
+    """rows: language, buckets, counts. Returns langs, table, layer, bias, temperature and the limits
+    of score and familiarity."""
+    rows = [r for r in rows if len(r[1])]
+    if not rows:
+        return None
+    langs = sorted({r[0] for r in rows})
+    number = {x: k for k, x in enumerate(langs)}
+    rows = [(number[x], at, n / n.sum()) for x, at, n in rows]
+    half = np.random.default_rng(SEED).permutation(len(rows)) % 2
+    logits, known = np.zeros((len(rows), len(langs))), np.zeros(len(rows))
+    for h in (0, 1):
+        if len(other := [r for r, k in zip(rows, half, strict=True) if k != h]):
+            table, layer, bias = fit(other, len(langs))
+            for i in np.flatnonzero(half == h):
+                mean = rows[i][2] @ table[rows[i][1]]
+                logits[i], known[i] = mean[:-1] @ layer + bias, mean[-1]
+    y = np.array([r[0] for r in rows])
+    loss = {t: -np.log(_softmax(logits / t)[np.arange(len(rows)), y] + 1e-12).mean() for t in np.geomspace(0.05, 5, 41)}
     heat = float(min(loss, key=loss.get))
     p = _softmax(logits / heat)
-    score, right = p.max(axis=1), p.argmax(axis=1) == y[held]
-    by = np.argsort(-score, kind="stable")
-    good = np.flatnonzero(np.cumsum(right[by]) / np.arange(1, len(by) + 1) >= PRECISION)
-    table = emb @ layer
-    table[0] = 0
-    return {"langs": langs, "table": table.astype(np.float32), "bias": bias, "heat": heat, "reject": float(score[by[good[-1]]]) if len(good) else 1.0}
+    right = p.argmax(axis=1) == y
+    table, layer, bias = fit(rows, len(langs))
+    return {"langs": langs, "table": table, "layer": layer, "bias": bias, "heat": heat, "reject": _limit(p.max(axis=1)[right]), "familiar": _limit(known[right])}
 
 
 def learn(documents: DataFrame, usable: Column) -> dict | None:
     """A model from a bounded sample of the rows of documents (doc_id, text, lang) where usable."""
     c.session(documents.sparkSession)
     rows = documents.where(usable).where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS)
-    langs = c.table(langs, "langs")
-    each = min(PER_LANG, SAMPLE // max(1, langs.count()))
+    langs = c.table(rows.groupBy("lang").count(), "langs")
+    each = max(1, min(PER_LANG, SAMPLE // max(1, langs.count())))
     share = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000) < each / F.col("count")
-    sample = rows.join(F.broadcast(langs), "lang").where(share).select("lang", "text")
+    sample = rows.join(langs, "lang").where(share).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = features(pdf["text"].tolist())
-            yield pd.DataFrame({"lang": pdf["lang"], "at": [a for a, _ in found], "n": [n for _, n in found]})
+            yield pd.DataFrame({"lang": pdf["lang"], "at": [a.tobytes() for a, _ in found], "n": [n.tobytes() for _, n in found]})
+
+    got = sample.mapInPandas(c.freed(run), "lang string, at binary, n binary").collect()
+    return train([(x, np.frombuffer(at, np.int32), np.frombuffer(n, np.int32).astype(float)) for x, at, n in sorted((r.lang, bytes(r["at"]), bytes(r["n"])) for r in got)])
+
 
-    got = sample.mapInPandas(c.freed(run), "lang string, at array<int>, n array<int>").collect()
-    return train(sorted(((r.lang, np.array(r["at"], np.int32), np.array(r["n"], float)) for r in got), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
+def scored(texts: list[str], m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected, of each text."""
+    sums, count = totals(texts, m["table"])
+    mean, some = sums / np.maximum(count, 1)[:, None], count > 0
+    p = _softmax((mean[:, :-1] @ m["layer"] + m["bias"]) / m["heat"])
+    lang = np.where(some, np.array(m["langs"], object)[p.argmax(axis=1)], "und")
+    score = np.where(some, p.max(axis=1), 0.0)
+    return lang, score, ~some | (score < m["reject"]) | (mean[:, -1] < m["familiar"])
 
 
 def predict(documents: DataFrame, model: dict | None, *more: str | Column) -> DataFrame:
@@ -182,15 +215,9 @@ def predict(documents: DataFrame, model: dict | None, *more: str | Column) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for pdf in batches:
-            out = pdf[kept].copy()
-            lang, score = np.full(len(pdf), "und", object), np.zeros(len(pdf))
-            if m:
-                sums, count = totals([t if isinstance(t, str) else "" for t in pdf["text"]], m["table"])
-                p = _softmax((sums / np.maximum(count, 1)[:, None] + m["bias"]) / m["heat"])
-                some = count > 0
-                lang[some] = np.array(m["langs"], object)[p.argmax(axis=1)[some]]
-                score[some] = p.max(axis=1)[some]
-            yield out.assign(lang_pred=lang, score=score, rejected=score < (m["reject"] if m else 1))
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            lang, score, rejected = scored(texts, m) if m else ("und", 0.0, True)
+            yield pdf[kept].assign(lang_pred=lang, score=score, rejected=rejected)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInPandas(c.freed(run), f"{schema}, lang_pred string, score double, rejected boolean")

@@ -32,6 +32,45 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_scores_are_brute_force_scores(spark):
+    """Every prediction of the query is the softmax of the mean embedding, by plain loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    m = language_id.learn(docs.select("doc_id", "text", "lang"), ~held_out)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language_id.predict(docs, m).collect():
+        at, n = language_id.features([texts[r.doc_id]])[0]
+        mean = [sum(float(m["table"][b, k]) * int(x) for b, x in zip(at, n, strict=True)) / int(n.sum()) for k in range(language_id.DIM + 1)]
+        logits = [(sum(mean[k] * m["layer"][k, j] for k in range(language_id.DIM)) + m["bias"][j]) / m["heat"] for j in range(len(m["langs"]))]
+        e = [math.exp(x - max(logits)) for x in logits]
+        assert r.score == pytest.approx(max(e) / sum(e), rel=1e-4)
+        assert r.lang_pred == m["langs"][e.index(max(e))]
+        if abs(r.score - m["reject"]) > 1e-5 and abs(mean[-1] - m["familiar"]) > 1e-5:
+            assert r.rejected == (r.score < m["reject"] or mean[-1] < m["familiar"])
+
+
+@pytest.mark.parametrize("n", [60, 600])
+def test_language_rejection_is_alike_at_all_sizes(spark, n):
+    rng = random.Random(n)
+    rows = [(i, speech(rng, ("aa", "bb")[i % 2], rng.randint(20, 60)), ("aa", "bb")[i % 2]) for i in range(n)]
+    rows += [(10_000 + i, speech(rng, "cc", 40), None) for i in range(60)] + [(20_000 + i, "".join(chr(rng.randint(0x3B1, 0x3C9)) for _ in range(80)), None) for i in range(60)]
+    got = {r.doc_id: r for r in language_id.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    known = [got[i] for i in range(n) if got[i].held_out]
+    assert np.mean([r.rejected for r in known]) < 0.16 and np.mean([r.lang_pred == rows[r.doc_id][2] for r in known]) > 0.97
+    assert np.mean([got[10_000 + i].rejected for i in range(60)]) > 0.9 and np.mean([got[20_000 + i].rejected for i in range(60)]) > 0.9
+
+
+def test_language_many_languages(spark):
+    rng = random.Random(2)
+    kinds = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for k in range(300)}
+    rows = [(k * 6 + i, " ".join(rng.choice(w) for _ in range(40)), x) for k, (x, w) in enumerate(kinds.items()) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language_id.learn(docs, F.lit(True))
+    assert m["langs"] == sorted(kinds)
+    got = language_id.predict(docs, m).collect()
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.3 > 100 / len(kinds) / 6
+
+
 def test_language_counts_are_brute_force_counts():
     texts = ["Abc d1!", "", "é" * 3]
     for text, (at, n) in zip(texts, language_id.features(texts), strict=True):
