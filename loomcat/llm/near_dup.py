@@ -13,9 +13,10 @@
    compared block by block.
 
 With r rows a band and b bands a link at similarity s is missed with probability (1 - s^r)^b: 7e-9
-at 0.85 (5 rows, 32 bands) and 7e-10 at 0.8 (4 rows, 40 bands).
+at 0.85 (5 rows, 32 bands) and 7e-10 at 0.8 (4 rows, 40 bands). For other thresholds r is the largest
+for which this is MISSED or less; below 0.11 there is none, and ValueError is raised.
 
-Defined cases: null texts and texts without words have the empty set and are linked with nothing;
+Defined cases: very long texts count whole; null texts and texts without words have the empty set and are linked with nothing;
 fewer words than a shingle make one shingle; repeated doc_ids: see common.texts; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -35,6 +36,8 @@ from pyspark.sql import types as T
 from . import common as c
 
 MINIMA, BITS = 160, 4
+#: Probability with which the bands may miss a link at the threshold.
+MISSED = 1e-8
 #: Documents of a bucket, and their shingles, that one task compares with as many others.
 BLOCK, WORDS = 1024, 1_000_000
 _MULTIPLIERS = (c.mix(np.arange(1, MINIMA + 1, dtype=c.U64)) >> c.U64(32)).astype(np.uint32) | np.uint32(1)
@@ -77,6 +80,14 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (_EQUAL[a ^ b].sum(axis=-1) / MINIMA - chance) / (1 - chance)
 
 
+def band_rows(threshold: float) -> int:
+    """Minima of a band."""
+    rows = [r for r in range(1, 11) if (1 - threshold**r) ** (MINIMA // r) <= MISSED]
+    if not rows:
+        raise ValueError(f"{MINIMA} minima are too few for links at a similarity of {threshold:g}")
+    return max(rows)
+
+
 def least_estimate(threshold: float) -> float:
     chance = 2.0**-BITS
     p = threshold * (1 - chance) + chance
@@ -232,7 +243,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, num: int = 4, den: i
     |union| of their shingle sets; component_id is the smallest doc_id reachable over links."""
     spark = c.session(documents.sparkSession)
     docs = c.texts(documents)
-    rows, least = 5 if num / den >= 0.85 else 4, least_estimate(num / den)
+    rows, least = band_rows(num / den), least_estimate(num / den)
     profile = c.table(docs.mapInPandas(c.freed(_signatures(shingle, rows)), "doc_id long, n long, set_key binary, bands binary, sig binary"), "signatures")
     reps = c.table(profile.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
     buckets = reps.select("id", "bands").mapInPandas(c.freed(_buckets), "key long, band int, id long")

@@ -218,3 +218,14 @@ def test_empty_and_repeated_rows(spark, op):
     rows = [(1, "a " * 300), (1, "a " * 300), (2, None), (2, "b"), (None, "c"), (3, "a " * 300)]
     got = op(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("threshold,rows", [(0.95, 8), (0.85, 5), (0.8, 4), (0.5, 2), (0.3, 1), (0.12, 1)])
+def test_bands_follow_the_threshold(threshold, rows):
+    r = near_dup.band_rows(threshold)
+    assert r == rows and (1 - threshold**r) ** (near_dup.MINIMA // r) <= near_dup.MISSED
+
+
+def test_thresholds_that_bands_cannot_serve():
+    with pytest.raises(ValueError, match="too few"):
+        near_dup.band_rows(0.05)
