@@ -53,4 +53,4 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_minhash_near_dup, op4_suffix_dedup, op5_quality, op6_webp, op7_chat_format, op8_decontamination, op9_warc, op10_sentencepiece)}
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op3_minhash_near_dup": near_dup.SQL, "op9_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op3_minhash_near_dup": near_dup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op9_warc": warc.SQL}

@@ -12,9 +12,12 @@ windows meet under one anchor at one offset. Per anchor:
    the left in common, read off the two sorted orders.
 
 An anchor with more than `hot` distinct surroundings is not sorted in one task: its windows are
-counted by hash, spread over all tasks, instead.
+counted by two independent 64-bit hashes, spread over all tasks, instead.
 
-Defined cases: null text is empty; texts under `length` bytes lose nothing; equal texts of at least
+Of stretches that stand more than twice in one document with the same surroundings (periodic text)
+the third and later ones are removed for certain; they go as merged spans, not one by one.
+
+Defined cases: very long texts are handled whole; null text is empty; texts under `length` bytes lose nothing; equal texts of at least
 `length` bytes are removed wholly, the first as well; repeated doc_ids: see common.texts; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -64,8 +67,12 @@ def _profile(length: int, gram: int):
                 raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
                 a, start, n, off = anchors(np.frombuffer(raw, np.uint8), length, gram)
                 around = np.fromiter((xxhash.xxh3_64_intdigest(raw[s : s + m + length - 1]) for s, m in zip(start, n, strict=True)), c.U64, len(a))
-                out.append((doc_id, len(raw), hashlib.sha256(raw).hexdigest(), c.signed(a), c.signed(around), start, n.astype(np.int32), off.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "sha256", "anchor", "around", "start", "n", "off"])
+                by = np.argsort(around, kind="stable")
+                third = by[2:][around[by[2:]] == around[by[:-2]]]
+                sure_starts, sure_ends = c.union_spans(start[third], start[third] + n[third] + length - 1)
+                a, around, start, n, off = (np.delete(x, third) for x in (a, around, start, n, off))
+                out.append((doc_id, len(raw), hashlib.sha256(raw).hexdigest(), c.signed(a), c.signed(around), start, n.astype(np.int32), off.astype(np.int32), sure_starts, sure_ends))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "sha256", "anchor", "around", "start", "n", "off", "sure_starts", "sure_ends"])
 
     return run
 
@@ -218,7 +225,7 @@ def _hashed(length: int):
         for pdf in batches:
             for anchor, around, lo, data in zip(pdf["anchor"], pdf["around"], pdf["lo"], pdf["data"], strict=True):
                 h = c.mix(c.rolling(c.prefix_hash(np.frombuffer(data, np.uint8).astype(c.U64) + c.U64(1)), length))
-                yield pd.DataFrame({"anchor": anchor, "around": around, "lo": lo, "at": np.arange(len(h)), "hash": c.signed(h)})
+                yield pd.DataFrame({"anchor": anchor, "around": around, "lo": lo, "at": np.arange(len(h)), "hash": c.signed(h), "check": c.signed(np.fromiter((xxhash.xxh3_64_intdigest(data[i : i + length]) for i in range(len(h))), c.U64, len(h)))})
 
     return run
 
@@ -234,9 +241,10 @@ def _joined(length: int):
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for doc_id, text, found in zip(pdf["doc_id"], pdf["text"], pdf["found"], strict=True):
+        for doc_id, text, found, sure in zip(pdf["doc_id"], pdf["text"], pdf["found"], pdf["sure"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            s, e = c.union_spans(np.concatenate([f["starts"] + f["start"] for f in found]), np.concatenate([f["ends"] + f["start"] for f in found]))
+            spans = [(f["starts"] + f["start"], f["ends"] + f["start"]) for f in found] + ([(sure["sure_starts"], sure["sure_ends"])] if sure is not None else [])
+            s, e = c.union_spans(np.concatenate([x for x, _ in spans]), np.concatenate([x for _, x in spans]))
             kept = b"".join(raw[i:j] for i, j in zip(np.concatenate(([0], e)), np.concatenate((s, [len(raw)])), strict=True))
             out.append((doc_id, int((e - s).sum()), s, e, kept))
         yield pd.DataFrame(out, columns=["doc_id", "n_removed", "starts", "ends", "kept"])
@@ -250,7 +258,7 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     docs = c.texts(documents)
     gram = min(gram, length)
     fields = ["anchor", "around", "start", "n", "off"]
-    profile = c.table(docs.mapInPandas(c.freed(_profile(length, gram)), "doc_id long, n_bytes long, sha256 string, anchor array<long>, around array<long>, start array<long>, n array<int>, off array<int>"), "profile")
+    profile = c.table(docs.mapInPandas(c.freed(_profile(length, gram)), "doc_id long, n_bytes long, sha256 string, anchor array<long>, around array<long>, start array<long>, n array<int>, off array<int>, sure_starts array<long>, sure_ends array<long>"), "profile")
     runs = profile.select("doc_id", F.explode(F.arrays_zip(*fields)).alias("r")).select("doc_id", *(F.col(f"r.{f}").alias(f) for f in fields))
     # what is joined with many rows a key is written first: adaptive execution splits hot keys of a
     # join only where both sides are plain exchanges
@@ -266,13 +274,14 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = "anchor long, around long, starts array<long>, ends array<long>"
     found = segments.where("NOT hot").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(c.freed(_sorted(length)), spans)
-    windows = segments.where("hot").mapInPandas(c.freed(_hashed(length)), "anchor long, around long, lo boolean, at long, hash long")
+    windows = segments.where("hot").mapInPandas(c.freed(_hashed(length)), "anchor long, around long, lo boolean, at long, hash long, check long")
     if not segments.where("hot").isEmpty():
         windows = c.table(windows, "hot")
-        again = windows.groupBy("hash").count().where("count > 1").select("hash")
-        found = found.unionByName(windows.where("lo").join(again, "hash", "left_semi").groupBy("anchor", "around").agg(F.collect_list("at").alias("places")).mapInPandas(c.freed(_joined(length)), spans))
+        again = c.table(windows.groupBy("hash", "check").count().where("count > 1").select("hash", "check"), "hot-recurring")
+        found = found.unionByName(windows.where("lo").join(again, ["hash", "check"], "left_semi").groupBy("anchor", "around").agg(F.collect_list("at").alias("places")).mapInPandas(c.freed(_joined(length)), spans))
     hits = met.join(found, ["anchor", "around"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "starts", "ends")).alias("found"))
-    removals = c.table(work.select("doc_id", "text").join(hits, "doc_id").mapInPandas(c.freed(_kept), "doc_id long, n_removed long, starts array<long>, ends array<long>, kept binary"), "removals")
+    sure = profile.where(F.size("sure_starts") > 0).select("doc_id", F.struct("sure_starts", "sure_ends").alias("sure"))
+    removals = c.table(work.select("doc_id", "text").join(hits, "doc_id").join(sure, "doc_id", "left").mapInPandas(c.freed(_kept), "doc_id long, n_removed long, starts array<long>, ends array<long>, kept binary"), "removals")
     return profile.select("doc_id", "n_bytes", "sha256"), removals
 
 
@@ -281,3 +290,20 @@ def digest(documents: DataFrame) -> DataFrame:
     removed = removals.select("doc_id", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha"))
     zero = F.lit(0).cast("long")
     return profile.join(removed, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "sha256").alias("kept_sha256"))
+
+
+#: Bytes as hexadecimal digits; blocks keep each window's piece short.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, 400 * k AS base, substr(h, 800 * k + 1, 1598) AS piece FROM d, unnest(range(0, len(h) // 800 + 1)) t(k)),
+w AS (SELECT doc_id, base + j AS p, md5(substr(piece, 2 * j + 1, 800)) AS m FROM b, unnest(range(0, greatest(0, (len(piece) - 798) // 2))) t(j)),
+hit AS (SELECT doc_id, p FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+edge AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) + 400 AS opens FROM hit),
+run AS (SELECT doc_id, p, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM edge),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS e FROM run GROUP BY doc_id, k),
+cut AS (SELECT doc_id, count(*) AS spans, sum(e - a) AS removed, list(a ORDER BY a) AS starts, list(e ORDER BY a) AS ends FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(0, spans + 1),
+           lambda i: substr(h, 1 + 2 * CASE WHEN i = 0 THEN 0 ELSE ends[i] END, 2 * (CASE WHEN i = spans THEN len(h) // 2 ELSE starts[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE ends[i] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

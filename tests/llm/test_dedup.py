@@ -143,6 +143,18 @@ def test_repeated_bytes(spark, monkeypatch, hot):
     assert got == brute_bytes(rows)
 
 
+def test_periodic_and_very_long_texts(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(60_000))
+    rows = [(1, "a" * 5_000), (2, "ab" * 2_000 + "c" * 300 + "ab" * 150), (3, long), (4, "x" + long[20_000:41_000] + "y"), (5, "é" * 401), (6, "abc" * 133), (7, long[100:499])]
+    profile = {r.doc_id: r for r in suffix_dedup.find_repeats(frame(spark, rows))[0].collect()}
+    assert len(profile) == 7
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(frame(spark, rows)).collect()}
+    assert got == brute_bytes(rows)
+    runs = next(suffix_dedup._profile(400, 160)(iter([__import__("pandas").DataFrame({"doc_id": [1], "text": ["ab" * 500_000]})])))
+    assert len(runs["anchor"][0]) <= 8 and len(runs["sure_starts"][0]) == 1
+
+
 def test_suffix_sort_survives_hash_collisions(monkeypatch):
     import numpy as np
 
