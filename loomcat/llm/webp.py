@@ -5,13 +5,19 @@ back-references, colour cache, and the predictor, cross-colour, subtract-green a
 transforms. `encode` writes one with the transforms that are asked for. `decode_images` and
 `encode_images` apply them to a column.
 
-`store` keeps a byte string as an image, three bytes a pixel, with prefix codes that are all eight
-bits long; `decode` recognises such codes and reads all their pixels at once, and everything else
-symbol by symbol.
+Prefix-coded streams are read all bits at once: for every bit position numpy looks up how long a
+pixel, cache reference or back-reference that began there would be, then the positions where they
+really begin are followed one to the next. Only images with several code groups go symbol by symbol.
+
+`store` keeps a byte string as images, three bytes a pixel. Each image takes the smallest of: codes
+of eight bits for all symbols; fixed codes for text, by a rule (their few bytes of header are the same
+in every file); and, from OWN pixels on, codes of its own with back-references, with or without a
+colour cache, after the transform (none, subtract green, palette, predictor left or top) that leaves
+the least entropy. `restore` reads all of them by `decode`.
 
 Defined cases: null media give null pixels; a file that is no lossless WebP raises ValueError (or,
-with on_error="null", gives nulls); null text is an empty payload, stored like any other; repeated
-rows give repeated results; an empty table gives an empty result.
+with on_error="null", gives nulls); null text is an empty payload, stored like any other; very long
+texts take several images; repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +41,12 @@ SIDE, OPAQUE = 1 << 14, 0xFF000000
 PREDICT, CROSS, GREEN, PALETTE = range(4)
 #: Near places for short distance codes: nearest first, then lower, then further right.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, -p[1], -p[0]))
+_NEAR_X, _NEAR_Y = (np.array(x) for x in zip(*NEAR, strict=True))
 UNIT, ROW = 576, 192
-_REVERSED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
+#: Pixels from which an image is tried with codes of its own; shorter ones rarely pay for their header.
+OWN = 8192
+#: Bits looked at together, and cache bits that are tried.
+STRETCH, CACHE = 1 << 15, 8
 
 
 class Bits:
@@ -53,6 +63,10 @@ class Bits:
         return got
 
 
+    def peek(self, n: int) -> int:
+        return int.from_bytes(self.raw[self.at >> 3 : (self.at + n + 7) >> 3], "little") >> (self.at & 7) & ((1 << n) - 1)
+
+
 class Writer:
     def __init__(self):
         self.value = self.n = 0
@@ -70,13 +84,11 @@ class Writer:
 
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """Symbol: (code with its first bit lowest, length)."""
-    out, code = {}, 0
-    for n in range(1, 16):
-        code <<= 1
-        for s, m in enumerate(lengths):
-            if m == n:
-                out[s] = int(f"{code:0{n}b}"[::-1], 2), n
-                code += 1
+    out, code, before = {}, 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - before
+        out[s] = int(f"{code:0{n}b}"[::-1], 2), n
+        code, before = code + 1, n
     return out
 
 
@@ -102,9 +114,13 @@ class Code:
         bits.at = at + n
         return s
 
-    def even(self, symbols: int) -> bool:
-        """Whether the first `symbols` symbols, and no others, have eight bits each."""
-        return all(n == 8 for n in self.lengths[:symbols]) and not any(self.lengths[symbols:])
+    @functools.cached_property
+    def packed(self) -> np.ndarray:
+        """16 * symbol + length by the next `bits` bits."""
+        return np.array([x << 4 | n for x, n in self.table], np.int64)
+
+    def look(self, window: np.ndarray) -> np.ndarray:
+        return self.packed.take(window & ((1 << self.bits) - 1))
 
 
 @functools.lru_cache(maxsize=64)
@@ -143,6 +159,26 @@ def read_code(bits: Bits, symbols: int) -> Code:
     return _code(tuple(lengths))
 
 
+class _Recent:
+    """Sets of codes read lately: one that comes again, bit by bit, is not parsed again."""
+
+    held: list[tuple[int, tuple[int, ...], int, list[Code]]] = []
+
+    @classmethod
+    def read(cls, bits: Bits, sizes: tuple[int, ...]) -> list[Code]:
+        for k, (n, own, value, codes) in enumerate(cls.held):
+            if own == sizes and bits.at + n <= 8 * len(bits.raw) and bits.peek(n) == value:
+                bits.at += n
+                cls.held.insert(0, cls.held.pop(k))
+                return codes
+        start = bits.at
+        codes = [read_code(bits, n) for n in sizes]
+        n, bits.at = bits.at - start, start
+        cls.held = [(n, sizes, bits.peek(n), codes), *cls.held[:7]]
+        bits.at = start + n
+        return codes
+
+
 def huffman(counts: list[int], most: int) -> list[int]:
     """Code lengths of at most `most` bits for the symbols that occur."""
     if len(used := [s for s, n in enumerate(counts) if n]) < 2:
@@ -174,7 +210,9 @@ def write_code(out: Writer, lengths: list[int]) -> None:
         return
     tokens, k = [], 0  # (symbol, extra value, extra bits)
     while k < len(lengths):
-        run = next((m for m in range(k, len(lengths)) if lengths[m] != lengths[k]), len(lengths)) - k
+        run = 1
+        while k + run < len(lengths) and lengths[k + run] == lengths[k]:
+            run += 1
         if lengths[k] == 0 and run >= 3:
             run = min(run, 138)
             tokens.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
@@ -191,9 +229,9 @@ def write_code(out: Writer, lengths: list[int]) -> None:
     for s in LENGTH_ORDER:
         out.put(of_lengths[s], 3)
     out.put(0, 1)
-    codes = canonical(of_lengths)
+    codes, several = canonical(of_lengths), sum(map(bool, of_lengths)) > 1
     for s, extra, n in tokens:
-        if sum(map(bool, of_lengths)) > 1:
+        if several:
             out.put(*codes[s])
         out.put(extra, n)
 
@@ -226,6 +264,132 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+def _amounts(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least amounts of prefix symbols, and how many extra bits they have."""
+    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    return np.where(symbol < 4, symbol, (2 + (symbol & 1)) << extra) + 1, extra
+
+
+def _tokens_read(bits: Bits, total: int, codes: list[Code], width: int) -> tuple[np.ndarray, ...]:
+    """kind (0 pixel, 1 cache, 2 copy), value (colour, slot, length), distance of each token."""
+    green, red, blue, alpha, far = codes
+    pad = bits.raw + bytes(16)
+    left, held = total, []
+    while left > 0:
+        n = min(STRETCH, 8 * len(bits.raw) - bits.at, 64 + 48 * left)
+        if n <= 0:
+            raise ValueError("the image ends early")
+        first, shift = bits.at >> 3, bits.at & 7
+        words = _words(pad)[first : first + (n + shift + 7) // 8]
+        window = (words[:, None] >> np.arange(8, dtype=np.int64)).ravel()[shift : shift + n]  # only low bits count
+        s = green.look(window)
+        size = s & 15
+        own = size.copy()
+        for code in (red, blue, alpha):
+            if code.bits:
+                window >>= own
+                own = code.look(window) & 15
+                size += own
+        at = np.flatnonzero(s >= 256 << 4) if len(green.lengths) > 280 or any(green.lengths[256:]) else ()
+        if len(at):
+            size[at], at = s[at] & 15, at[s[at] < 280 << 4]
+            _, extra = _amounts((s[at] >> 4) - 256)
+            place = bits.at + at + size[at] + extra
+            d = far.look(_words(pad)[place >> 3] >> (place & 7))
+            size[at] += extra + (d & 15) + _amounts(d >> 4)[1]
+        step = size.astype(np.uint8).tobytes()
+        p, starts = 0, []
+        if step[0]:
+            append = starts.append
+            while p < n:
+                append(p)
+                p += step[p]
+        else:  # codes without bits: all that is left is one colour
+            starts = [0] * left
+        starts = np.array(starts, np.int64)
+        kind, value, distance = _token_values(pad, bits.at + starts, codes, width)
+        done = np.cumsum(np.where(kind == 2, value, 1))
+        stop = int(np.searchsorted(done, left)) + 1
+        if stop < len(starts):
+            p = int(starts[stop])
+        held.append((kind[:stop], value[:stop], distance[:stop]))
+        bits.at += p
+        left -= int(done[min(stop, len(done)) - 1])
+        if left < 0:
+            raise ValueError("a back-reference leaves the image")
+    if bits.at > 8 * len(bits.raw) - 64:  # Bits adds eight bytes
+        raise ValueError("the image ends early")
+    return tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else tuple(np.zeros(0, np.int64) for _ in range(3))
+
+
+def _token_values(pad: bytes, at: np.ndarray, codes: list[Code], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words = _words(pad)
+    look = lambda at: words[at >> 3] >> (at & 7)
+    green, red, blue, alpha, far = codes
+    window = look(at)
+    s = green.look(window)
+    size, s = s & 15, s >> 4
+    kind, distance = np.where(s < 256, 0, np.where(s < 280, 2, 1)), np.zeros(len(at), np.int64)
+    colour, own = s << 8, size
+    for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
+        window >>= own
+        x = code.look(window)
+        own = x & 15
+        colour |= x >> 4 << shift
+    value = np.where(kind == 0, colour, s - 280)
+    i = np.flatnonzero(kind == 2)
+    if len(i):
+        least, extra = _amounts(s[i] - 256)
+        place = at[i] + size[i]
+        value[i] = least + (look(place) & ((1 << extra) - 1))
+        place += extra
+        d = far.look(look(place))
+        least, extra = _amounts(d >> 4)
+        code = least + (look(place + (d & 15)) & ((1 << extra) - 1))
+        near = np.minimum(code, 120) - 1
+        distance[i] = np.where(code > 120, code - 120, np.maximum(1, _NEAR_X[near] + width * _NEAR_Y[near]))
+    return kind, value, distance
+
+
+def _words(pad: bytes) -> np.ndarray:
+    """The eight bytes from each byte on, as numbers."""
+    return np.ndarray((len(pad) - 7,), "<i8", pad, 0, (1,))
+
+
+def _slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (pixels.astype(np.uint32) * np.uint32(0x1E35A7BD) >> np.uint32(32 - cache_bits)).astype(np.int64)
+
+
+def _followed(to: np.ndarray) -> np.ndarray:
+    """The end of each chain of places; a place that points at itself ends one."""
+    while True:
+        far = to[to]
+        if np.array_equal(far, to):
+            return to
+        to = far
+
+
+def _pixels(kind: np.ndarray, value: np.ndarray, distance: np.ndarray, total: int, cache_bits: int) -> np.ndarray:
+    """The image that the tokens make: each pixel points at the one that it repeats, until one that
+    is given."""
+    if not kind.any():
+        return value.astype(np.uint32)
+    size = np.where(kind == 2, value, 1)
+    begin = np.cumsum(size) - size
+    if (distance > begin).any():
+        raise ValueError("a back-reference leaves the image")
+    colour = np.zeros(total + 1, np.uint32)  # the last is an empty cache's
+    colour[begin[kind == 0]] = value[kind == 0]
+    kinds, place = np.repeat(kind, size), np.arange(total)
+    to = place - np.where(kinds == 2, np.repeat(distance, size), 0)
+    if (cached := begin[kind == 1]).size:
+        slot = _slots(colour[:-1], cache_bits)
+        slot[cached] = value[kind == 1]
+        before = _before(slot[_followed(to)])[cached]
+        to[cached] = np.where(before < 0, total, before)
+    return colour[_followed(np.append(to, total))[:-1]]
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
     """ARGB of an entropy-coded image, a flat array."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -236,17 +400,10 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
         meta = (read_image(bits, across, (height + (1 << side) - 1) >> side) >> 8 & 0xFFFF).tolist()
         groups = max(meta) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
+    codes = [_Recent.read(bits, sizes) for _ in range(groups)]
     total = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and not cache_bits and green.even(256) and red.even(256) and blue.even(256) and not alpha.bits:
-        if bits.at + 24 * total > 8 * (len(bits.raw) - 8):
-            raise ValueError("the image ends early")
-        first, shift = bits.at >> 3, bits.at & 7
-        plain = (int.from_bytes(bits.raw[first : first + 3 * total + 1], "little") >> shift & ((1 << 24 * total) - 1)).to_bytes(3 * total, "little").translate(_REVERSED)
-        bits.at += 24 * total
-        g, r, b = np.frombuffer(plain, np.uint8).reshape(total, 3).astype(np.uint32).T
-        return np.uint32(alpha.table[0][0] << 24) | r << np.uint32(16) | g << np.uint32(8) | b
+    if groups == 1:
+        return _pixels(*_tokens_read(bits, total, codes[0], width), total, cache_bits)
     out: list[int] = []
     cache = [0] * (1 << cache_bits)
     kept = 0  # pixels that are in the cache already
@@ -274,64 +431,165 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     return np.array(out, np.uint32)
 
 
-def write_image(out: Writer, pixels: list[int], width: int, main: bool = False, cache_bits: int = 0, lz: bool = False) -> None:
+def _before(keys: np.ndarray) -> np.ndarray:
+    """The last place before each with the same key, or -1."""
+    by = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1, np.int64)
+    same = keys[by[1:]] == keys[by[:-1]]
+    out[by[1:][same]] = by[:-1][same]
+    return out
+
+
+def copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """Place, length and distance of repeats of three pixels or more, from left to right."""
+    n, out = len(pixels), []
+    if n < 4:
+        return out
+    x = pixels.astype(np.uint64)
+    key = c.mix(x[:-2] | x[1:-1] << np.uint64(32)) ^ c.mix(x[2:] + np.uint64(1))
+    before = _before(key)
+    places = np.flatnonzero(before >= 0)
+    k = 0
+    while k < len(places):
+        i = int(places[k])
+        j, m = int(before[i]), 0
+        for step in (16, 4080):
+            size = min(step, n - i - m)
+            same = pixels[i + m : i + m + size] == pixels[j + m : j + m + size]
+            m += size if same.all() else int(same.argmin())
+            if m < 16 or not size:
+                break
+        if m < 3:  # other pixels of the same key
+            k += 1
+            continue
+        out.append((i, m, i - j))
+        k = int(np.searchsorted(places, i + m))
+    return out
+
+
+def tokens(pixels: np.ndarray, found: list[tuple[int, int, int]], cache_bits: int) -> tuple[np.ndarray, ...]:
+    """kind, value and distance of tokens that make the image, as _pixels takes them."""
+    n = len(pixels)
+    begin, size, distance = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+    free = np.ones(n, bool)
+    for i, m, _ in found:
+        free[i : i + m] = False
+    at = np.flatnonzero(free)
+    kind, value = np.zeros(len(at), np.int64), pixels[at].astype(np.int64)
+    if cache_bits:
+        slot = _slots(pixels, cache_bits)
+        before = _before(slot)[at]
+        known = (before >= 0) & (pixels[before] == pixels[at])
+        kind[known], value[known] = 1, slot[at[known]]
+    order = np.argsort(np.concatenate((at, begin)), kind="stable")
+    return tuple(np.concatenate(x)[order] for x in ((kind, np.full(len(begin), 2)), (value, size), (np.zeros(len(at), np.int64), distance)))
+
+
+def _prefixed(amount: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of amounts, values and numbers of their extra bits."""
+    v = amount - 1
+    top = np.where(v < 4, 2, np.frexp(np.maximum(v, 1).astype(float))[1] - 1)
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> extra & 1)), v & ((1 << extra) - 1), extra
+
+
+@functools.lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
+def _distance_codes(distance: np.ndarray, width: int) -> np.ndarray:
+    near = _near_codes(width)
+    return np.array([near.get(d, d + 120) for d in distance.tolist()], np.int64)
+
+
+class Coded:
+    """Tokens with prefix codes of their own, or given ones."""
+
+    def __init__(self, found: tuple[np.ndarray, ...], width: int, cache_bits: int, lengths: list[list[int]] | None = None):
+        kind, value, distance = found
+        self.cache_bits, self.pixel = cache_bits, kind == 0
+        v = value[self.pixel]
+        self.channels = [v >> shift & 255 for shift in (8, 16, 0, 24)]
+        self.kind = kind
+        self.slots = value[kind == 1]
+        self.sizes, self.far = _prefixed(value[kind == 2]), _prefixed(_distance_codes(distance[kind == 2], width))
+        if lengths is None:
+            n = 280 + (1 << cache_bits if cache_bits else 0)
+            greens = np.bincount(np.concatenate((self.channels[0], 280 + self.slots, 256 + self.sizes[0])), minlength=n)
+            counts = [greens, *(np.bincount(x, minlength=256) for x in self.channels[1:]), np.bincount(self.far[0], minlength=40)]
+            lengths = [huffman(x.tolist(), 15) for x in counts]
+            if sum(map(bool, lengths[0])) == 1 and not any(lengths[0][:256]):
+                lengths[0][0] = 1  # a lone symbol above 255 can't be written as a simple code
+        self.lengths = lengths
+        self.tables = [_coder(tuple(x)) for x in lengths]
+
+    def size(self) -> int:
+        """Bits without the header."""
+        _, n = self._fields()
+        return int(n.sum())
+
+    def _fields(self) -> tuple[np.ndarray, np.ndarray]:
+        value, size = np.zeros(len(self.kind), np.uint64), np.zeros(len(self.kind), np.int64)
+
+        def put(at, v, n):
+            value[at] |= np.asarray(v).astype(np.uint64) << size[at].astype(np.uint64)
+            size[at] += n
+
+        pixel, cache, copy = (np.flatnonzero(self.kind == k) for k in (0, 1, 2))
+        for x, (codes, n) in zip(self.channels, self.tables, strict=False):
+            put(pixel, codes[x], n[x])
+        greens, fars = self.tables[0], self.tables[4]
+        put(cache, greens[0][280 + self.slots], greens[1][280 + self.slots])
+        for (s, extra, m), (codes, n), base in ((self.sizes, greens, 256), (self.far, fars, 0)):
+            put(copy, codes[base + s], n[base + s])
+            put(copy, extra, m)
+        return value, size
+
+    def write(self, out: Writer) -> None:
+        _put_all(out, *self._fields())
+
+
+def _put_all(out: Writer, value: np.ndarray, size: np.ndarray) -> None:
+    """Puts many values of up to 64 bits: each falls into one 64-bit word and the next."""
+    begin = np.cumsum(size) - size
+    word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))[: len(word)]
+    words = np.zeros((int(size.sum()) >> 6) + 2, np.uint64)
+    if len(first):
+        words[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+        words[word[first] + 1] |= np.bitwise_or.reduceat(value >> np.uint64(1) >> (np.uint64(63) - shift), first)
+    out.put(int.from_bytes(words.astype("<u8").tobytes(), "little"), int(size.sum()))
+
+
+@functools.lru_cache(maxsize=64)
+def _coder(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their lengths by symbol; none for a lone symbol."""
+    code, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    if sum(map(bool, lengths)) > 1:
+        for x, (value, n) in canonical(list(lengths)).items():
+            code[x], size[x] = value, n
+    return code, size
+
+
+def write_image(out: Writer, pixels: np.ndarray, width: int, main: bool = False, cache_bits: int | None = 0, lz: bool = False) -> None:
+    """cache_bits None: none or CACHE, whichever takes less."""
+    pixels = np.asarray(pixels, np.uint32)
+    found = copies(pixels) if lz else []
+    ways = [Coded(tokens(pixels, found, n), width, n) for n in ((0, CACHE) if cache_bits is None else (cache_bits,))]
+    coded = min(ways, key=Coded.size)
+    _image_head(out, main, coded.cache_bits, coded.lengths)
+    coded.write(out)
+
+
+def _image_head(out: Writer, main: bool, cache_bits: int, lengths: list[list[int]]) -> None:
     out.put(bool(cache_bits), 1)
     if cache_bits:
         out.put(cache_bits, 4)
     if main:
         out.put(0, 1)
-    tokens: list[tuple] = []
-    cache: dict[int, int] = {}
-    seen: dict[tuple, int] = {}
-    at = 0
-    while at < len(pixels):
-        n, d = 0, 0
-        if lz and (before := seen.get(tuple(pixels[at : at + 3]))) is not None:
-            d = at - before
-            while n < 4096 and at + n < len(pixels) and pixels[at + n] == pixels[at + n - d]:
-                n += 1
-        p = pixels[at]
-        slot = (0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-        if n >= 3:
-            near = next((k + 1 for k, (x, y) in enumerate(NEAR) if x + y * width == d), None)
-            tokens.append(("copy", _symbol(n), _symbol(near or d + 120)))
-        elif cache_bits and cache.get(slot) == p:
-            n = 1
-            tokens.append(("cache", slot))
-        else:
-            n = 1
-            tokens.append(("pixel", p))
-        for k in range(at, at + n):
-            seen[tuple(pixels[k : k + 3])] = k
-            if cache_bits:
-                cache[(0x1E35A7BD * pixels[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[k]
-        at += n
-    counts = [[0] * n for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
-    for kind, *x in tokens:
-        if kind == "pixel":
-            for k, shift in enumerate((8, 16, 0, 24)):
-                counts[k][x[0] >> shift & 255] += 1
-        elif kind == "cache":
-            counts[0][280 + x[0]] += 1
-        else:
-            counts[0][256 + x[0][0]] += 1
-            counts[4][x[1][0]] += 1
-    lengths = [huffman(x, 15) for x in counts]
-    if sum(map(bool, lengths[0])) == 1 and not any(lengths[0][:256]):
-        lengths[0][0] = 1  # a lone symbol above 255 can't be written as a simple code
     for x in lengths:
         write_code(out, x)
-    codes = [canonical(x) if sum(map(bool, x)) > 1 else {s: (0, 0) for s in range(len(x))} for x in lengths]
-    for kind, *x in tokens:
-        if kind == "pixel":
-            for k, shift in enumerate((8, 16, 0, 24)):
-                out.put(*codes[k][x[0] >> shift & 255])
-        elif kind == "cache":
-            out.put(*codes[0][280 + x[0]])
-        else:
-            for k, base, (s, extra, n) in ((0, 256, x[0]), (4, 0, x[1])):
-                out.put(*codes[k][base + s])
-                out.put(extra, n)
 
 
 # ---- transforms
@@ -397,6 +655,9 @@ def _sub(p: int, q: int) -> int:
 
 def predict(values: np.ndarray, modes: np.ndarray, width: int, side: int, inverse: bool) -> np.ndarray:
     """Residuals to pixels (inverse) or pixels to residuals."""
+    used = np.unique(modes >> np.uint32(8) & np.uint32(15))
+    if len(used) == 1 and used[0] in (1, 2):
+        return _one_way(values, int(used[0]), width, inverse)
     values, out, across = values.tolist(), [], (width + (1 << side) - 1) >> side
     modes = (modes >> 8 & 15).tolist()
     known = out if inverse else values
@@ -414,6 +675,32 @@ def predict(values: np.ndarray, modes: np.ndarray, width: int, side: int, invers
     return np.array(out, np.uint32)
 
 
+def _one_way(values: np.ndarray, mode: int, width: int, inverse: bool) -> np.ndarray:
+    """predict where every block has mode 1 (left) or 2 (top)."""
+    out = []
+    for k, x in enumerate(_split(values)):
+        x = x.reshape(-1, width).copy()
+        if inverse:
+            x[0, 0] += 255 * (k == 0)
+            if mode == 1:
+                x[:, 0] = np.cumsum(x[:, 0])
+                x = np.cumsum(x, axis=1)
+            else:
+                x[0] = np.cumsum(x[0])
+                x = np.cumsum(x, axis=0)
+        else:
+            first = x[0, 0] - 255 * (k == 0)
+            y = np.diff(x, axis=2 - mode, prepend=0)
+            if mode == 1:
+                y[:, 0] = np.diff(x[:, 0], prepend=0)
+            else:
+                y[0] = np.diff(x[0], prepend=0)
+            y[0, 0] = first
+            x = y
+        out.append(x.ravel())
+    return _merge(*out)
+
+
 def _split(pixels: np.ndarray) -> list[np.ndarray]:
     return [(pixels >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (24, 16, 8, 0)]
 
@@ -532,7 +819,7 @@ def _head(out: Writer, width: int, height: int, alpha: bool) -> None:
         out.put(int(value), n)
 
 
-def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), modes: list[int] | None = None, factors: list[int] | None = None, side: int = 2, cache_bits: int = 0, lz: bool = True) -> bytes:
+def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), modes: list[int] | None = None, factors: list[int] | None = None, side: int = 2, cache_bits: int | None = 0, lz: bool = True) -> bytes:
     """A lossless WebP file of ARGB pixels (height, width). modes: a predictor for each block of the
     PREDICT transform (11 everywhere if not given); factors: an element for each of CROSS."""
     height, width = pixels.shape
@@ -557,14 +844,14 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), modes: list[int
             if len(table) > 256:
                 raise ValueError("over 256 colours")
             out.put(len(table) - 1, 8)
-            write_image(out, _merge(*(np.diff(x, prepend=0) for x in _split(table))).tolist(), len(table))
+            write_image(out, _merge(*(np.diff(x, prepend=0) for x in _split(table))), len(table))
             flat = to_palette(flat, table, width, height)
             width = (width + (1 << _bundle(len(table))) - 1) >> _bundle(len(table))
             continue
         out.put(side - 2, 3)
-        write_image(out, block.tolist(), across)
+        write_image(out, block, across)
     out.put(0, 1)
-    write_image(out, flat.tolist(), width, True, cache_bits, lz)
+    write_image(out, flat, width, True, cache_bits, lz)
     return _file(out.done())
 
 
@@ -572,23 +859,76 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), modes: list[int
 
 
 @functools.cache
-def _plain_head(width: int, height: int) -> tuple[int, int]:
+def _fixed_codes(text: bool) -> list[list[int]]:
+    """Code lengths for green, red, blue, alpha and distance: all of eight bits, or for text by kinds
+    of bytes."""
+    if not text:
+        return [[8] * 256 + [0] * 24, [8] * 256, [8] * 256, [0] * 255 + [1], [0] * 40]
+    often = {x: 40 for x in b"etaoinsrhld"} | {x: 16 for x in b"cumfpgwybvk"} | {32: 160}
+    weight = [often.get(x, 6 if chr(x).isalnum() and x < 128 else 3 if 32 < x < 48 or x == 10 or x >= 160 else 1) for x in range(256)]
+    own = huffman(weight, 15)
+    return [own + [0] * 24, own, own, [0] * 255 + [1], [0] * 40]
+
+
+@functools.cache
+def _fixed_head(width: int, height: int, text: bool) -> tuple[int, int]:
     out = Writer()
     _head(out, width, height, False)
-    out.put(0, 3)  # no transform, cache or groups
-    for lengths in ([8] * 256 + [0] * 24, [8] * 256, [8] * 256, [0] * 255 + [1], [0] * 40):
-        write_code(out, lengths)
+    out.put(0, 1)  # no transform
+    _image_head(out, True, 0, _fixed_codes(text))
     return out.value, out.n
 
 
+def _entropy(pixels: np.ndarray) -> float:
+    """Bits of the channels, each by itself."""
+    total = 0.0
+    for x in _split(pixels):
+        n = np.bincount(x, minlength=256)
+        n = n[n > 0]
+        total += float((n * np.log2(len(x) / n)).sum())
+    return total
+
+
+def smallest(pixels: np.ndarray) -> bytes:
+    """The smaller file of those with and without a colour cache, after the transform that leaves the
+    least entropy."""
+    height, width = pixels.shape
+    flat, blocks = pixels.ravel(), ((width + 511) >> 9) * ((height + 511) >> 9)
+    ways: list[tuple[float, dict]] = [(_entropy(flat), {}), (_entropy(subtract_green(flat, False)), {"transforms": (GREEN,)})]
+    ways += [(_entropy(_one_way(flat, m, width, False)), {"transforms": (PREDICT,), "modes": [m] * blocks, "side": 9}) for m in (1, 2)]
+    if len(table := np.unique(flat)) <= 256:
+        ways.append((32 * len(table) + _entropy(to_palette(flat, table, width, height)), {"transforms": (PALETTE,)}))
+    how = min(ways, key=lambda w: w[0])[1]
+    return encode(pixels, cache_bits=None, **how)
+
+
+def _fixed(part: np.ndarray, height: int, text: bool) -> bytes:
+    codes, sizes = _coder(tuple(_fixed_codes(text)[1]))
+    code, size = codes.astype(np.uint64)[part].reshape(-1, 3), sizes.astype(np.uint64)[part].reshape(-1, 3)
+    two = size[:, 1] + size[:, 0]
+    out = Writer()
+    out.value, out.n = _fixed_head(ROW, height, text)
+    _put_all(out, code[:, 1] | code[:, 0] << size[:, 1] | code[:, 2] << two, (two + size[:, 2]).astype(np.int64))
+    return _file(out.done())
+
+
 def store(payload: bytes) -> bytes:
     """Images of ROW pixels a row, three bytes a pixel, one after the other: as many as it takes."""
     files = []
     for at in range(0, len(payload), UNIT * SIDE):
-        part = payload[at : at + UNIT * SIDE]
-        head, n = _plain_head(ROW, len(part) // UNIT)
-        swapped = np.frombuffer(part, np.uint8).reshape(-1, 3)[:, [1, 0, 2]].tobytes().translate(_REVERSED)
-        files.append(_file((int.from_bytes(swapped, "little") << n | head).to_bytes((n + 7) // 8 + len(swapped), "little")))
+        part = np.frombuffer(payload[at : at + UNIT * SIDE], np.uint8)
+        height = len(part) // UNIT
+        counts = np.bincount(part, minlength=256)
+        sizes = {text: int(counts @ np.array(_fixed_codes(text)[1])) + _fixed_head(ROW, height, text)[1] for text in (True, False)}
+        text = min(sizes, key=sizes.get)
+        own = None
+        if height * ROW >= OWN:
+            pixels = np.zeros((height * ROW, 4), np.uint8)
+            pixels[:, :3], pixels[:, 3] = part.reshape(-1, 3)[:, ::-1], 255
+            own = smallest(pixels.view("<u4").reshape(height, ROW))
+        if own is None or 8 * len(own) > sizes[text] + 8 * 28:
+            own = _fixed(part, height, text)
+        files.append(own)
     return b"".join(files)
 
 

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import zlib
 
@@ -69,21 +70,106 @@ def test_simple_code_and_bad_files():
             webp.decode(raw)
 
 
-@pytest.mark.parametrize("n", [576, 1152, 576 * 40])
-def test_store_round_trip_by_both_paths(n, monkeypatch):
-    x = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes()
-    assert webp.restore(webp.store(x)) == x
-    monkeypatch.setattr(webp.Code, "even", lambda self, symbols: False)
-    assert webp.restore(webp.store(x)) == x
+def english(n, seed=1):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(300)]
+    return (" ".join(rng.choice(words, n // 3)).encode() + b"x" * n)[:n]
+
+
+@pytest.mark.parametrize("n", [576, 1152, 576 * 40, 576 * 300])
+@pytest.mark.parametrize("kind", ["noise", "text", "lines", "fill", "ramp"])
+def test_store_round_trip(n, kind):
+    x = {
+        "noise": np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes(), "text": english(n), "lines": (english(90) * n)[:n], "fill": b"\xff" * n, "ramp": (np.arange(n) // 3 % 256).astype(np.uint8).tobytes(),
+    }[kind]
+    media = webp.store(x)
+    assert webp.restore(media) == x and len(media) < 1.01 * n + 200
+    if kind == "text":
+        assert len(media) < (0.8 if n > 9_000 else 0.95) * n
+
+
+def test_large_images_have_codes_copies_and_transforms_of_their_own(monkeypatch):
+    """Each way is taken by some payload, and each takes less than without it."""
+    used = []
+    old = webp.encode
+    monkeypatch.setattr(webp, "encode", lambda pixels, **how: used.append(how) or old(pixels, **how))
+    n = 576 * 96
+    rng = np.random.default_rng(2)
+    grey = np.repeat(rng.integers(0, 256, n // 3), 3).astype(np.uint8).tobytes()
+    few = rng.integers(0, 256, (12, 3))[rng.integers(0, 12, n // 3)].astype(np.uint8).tobytes()
+    up = (np.arange(n) // 576 * 5 + np.tile(rng.integers(0, 256, 576), n // 576)).astype(np.uint8).tobytes()
+    flat = (np.arange(n) // 3 * np.array([7, 7, 7]).repeat(n // 3) % 256).astype(np.uint8).tobytes()
+    for x in (grey, few, up, flat, english(n)):
+        media = webp.store(x)
+        assert webp.restore(media) == x and len(media) < 0.75 * n
+    assert {how.get("transforms", ()) for how in used} >= {(), (webp.GREEN,), (webp.PALETTE,), (webp.PREDICT,)}
+    lined = english(300) * 200
+    lined = lined[: len(lined) // 576 * 576]
+    pixels = np.frombuffer(lined, np.uint8).reshape(-1, 3)
+    argb = np.zeros((len(pixels), 4), np.uint8)
+    argb[:, :3], argb[:, 3] = pixels[:, ::-1], 255
+    argb = argb.view("<u4").reshape(-1, webp.ROW)
+    sizes = [len(old(argb, cache_bits=cache, lz=lz)) for cache, lz in ((0, False), (webp.CACHE, False), (0, True))]
+    assert sizes[2] < sizes[1] < sizes[0]
 
 
 def test_several_images(monkeypatch):
     monkeypatch.setattr(webp, "SIDE", 2)
     monkeypatch.setattr(webp, "_head", lambda out, w, h, a: [out.put(v, n) for v, n in ((0x2F, 8), (w - 1, 14), (h - 1, 14), (0, 4))])
-    webp._plain_head.cache_clear()
+    webp._fixed_head.cache_clear()
     x = bytes(range(256)) * 9
     assert webp.restore(webp.store(x)) == x
-    webp._plain_head.cache_clear()
+    webp._fixed_head.cache_clear()
+
+
+def test_a_file_of_another_encoder():
+    """The one-pixel transparent image that web pages use to ask whether lossless files are shown."""
+    got = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert got.shape == (1, 1) and got[0, 0] >> 24 == 0
+
+
+def plain_decode(raw):
+    """The main image of a file without transforms or groups, symbol by symbol, by definition."""
+    bits = webp.Bits(webp._lossless(raw))
+    bits.read(8)
+    width, height = bits.read(14) + 1, bits.read(14) + 1
+    bits.read(4)
+    assert not bits.read(1)
+    cache_bits = bits.read(4) if bits.read(1) else 0
+    assert not bits.read(1)
+    codes = [webp.read_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
+    out, cache = [], {}
+
+    def put(p):
+        out.append(p)
+        if cache_bits:
+            cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
+
+    while len(out) < width * height:
+        s = codes[0].read(bits)
+        if s < 256:
+            r, b = codes[1].read(bits), codes[2].read(bits)
+            put(codes[3].read(bits) << 24 | r << 16 | s << 8 | b)
+        elif s < 280:
+            n = webp._amount(bits, s - 256)
+            d = webp._distance(webp._amount(bits, codes[4].read(bits)), width)
+            for _ in range(n):
+                put(out[-d])
+        else:
+            put(cache.get(s - 280, 0))
+    return np.array(out, np.uint32).reshape(height, width)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_all_bits_at_once_is_symbol_by_symbol(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(webp, "STRETCH", [64, 500, 1 << 15][seed % 3])
+    p = rng.integers(0, 4 + 60 * (seed % 2), (11, 37)).astype(np.uint32) * np.uint32(0x10305) | np.uint32(0xFF000000)
+    p[4:6] = p[1:3]
+    for cache in (0, 3, 9):
+        for lz in (False, True):
+            raw = webp.encode(p, cache_bits=cache, lz=lz)
+            assert np.array_equal(plain_decode(raw), p) and np.array_equal(webp.decode(raw), p)
 
 
 def test_columns(spark):
