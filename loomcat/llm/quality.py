@@ -5,7 +5,7 @@ weights and interpolated probabilities are grouped aggregates and joins of the c
 by n-gram. How probabilities get to the documents depends on a count of the finished table:
 
 - up to BROADCAST_ROWS rows, the packed table is broadcast, and each text is scored where it is read;
-- beyond, documents are dealt into blocks by a hash of doc_id; a block asks for its distinct n-grams,
+- beyond, documents are dealt into blocks of about BLOCK_BYTES by a hash of doc_id; a block asks for its distinct n-grams,
   those of all blocks are joined with the tables, and each block gets its own back. Neither a table
   nor a block's n-grams are then ever in one place. Both ways give the same figures.
 
@@ -21,7 +21,7 @@ their language's mean; where its own worst trusted document lies above that, thi
 
 Defined cases: null and empty texts have no figures and are kept; null lang is a language of its
 own; a language without a trusted document in each half has no model or no mean, and its documents are
-kept; repeated doc_ids: see common.texts; an empty table gives an empty result.
+kept; very long texts are scored whole; other columns are ignored; repeated doc_ids: see common.texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ LETTERS = 4
 #: A document's figures.
 FIGURES = ("bits", "peak", "boundary", "repeated")
 SCORES = "doc_id long, lang string, " + ", ".join(f"{k} double" for k in FIGURES)
-#: Documents of a block, characters handled at a time.
-BLOCK, CHUNK = 10_000, 400_000
+#: Bytes of a block's texts, characters handled at a time.
+BLOCK_BYTES, CHUNK = 16 << 20, 400_000
 #: Trusted ids, rows of the finished table, and languages, that may be broadcast.
 BROADCAST_IDS, BROADCAST_ROWS, BROADCAST_LANGS = 2_000_000, 3_000_000, 10_000
 SLOTS = 1 << 19
@@ -358,7 +358,8 @@ def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None
         held = spark.sparkContext.broadcast(gathered(finished(weights, start), start))
         scored = docs.mapInPandas(c.freed(_local(held)), SCORES)
     else:
-        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // BLOCK))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
         dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "lang", "text").repartition(blocks, "block")
         asked = dealt.mapInPandas(c.freed(_requests), "block int, lang string, gram string").distinct()
         answers = asked.join(probabilities(asked.select("lang", "gram").distinct(), weights, start), ["lang", "gram"])

@@ -168,9 +168,12 @@ def test_kneser_ney_is_the_brute_force_model(spark, most):
 
 def test_quality_on_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    r = quality.judge(docs, labels).join(labels, "doc_id").where("lang = 'en'").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
-    kept = {(x.quality, x.toxic): x.kept for x in r}
-    assert kept[1, 0] > 0.97 and kept[0, 0] < 0.3
+    rows = quality.judge(docs, labels).join(labels, "doc_id").groupBy("lang", "quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    kept = {(x.lang, x.quality, x.toxic): (x.kept, x.n) for x in rows}
+    for lang in ("de", "en", "es", "fr"):
+        assert kept[lang, 1, 0][0] >= 0.95 and kept[lang, 0, 0][0] < 0.1, kept
+    bad = [x for (_, q, t), x in kept.items() if (q, t) == (0, 0)]
+    assert sum(k * n for k, n in bad) / sum(n for _, n in bad) < 0.05
 
 
 def test_quality_sees_repeated_words(spark):
