@@ -1,8 +1,9 @@
 """Text mining over reviews: redaction, entity matching and highlighting, aliases, classification.
 
 The rules below are this library's own; they are data, and every function takes them as parameters.
-Dictionary matching runs as leftmost-longest search in mapInPandas over a broadcast dictionary, whose
-size is checked; everything else is built-in expressions.
+Dictionary matching runs as leftmost-longest search of an Aho-Corasick automaton in mapInPandas over
+a broadcast dictionary of checked size; larger ones are joined by n-grams. The classifier of threads
+and replies is learned from labelled rows. Everything else is built-in expressions.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import table
+
+#: What stands for a contact (a fixed value).
 HIDDEN = "[联系方式已隐藏]"
 #: Contacts in a text, first to last.
 CONTACTS = (
@@ -26,6 +31,8 @@ CONTACTS = (
 )
 #: Names of a dictionary that may be broadcast.
 MOST_NAMES = 2_000_000
+#: Kinds of texts that a classifier may have.
+MOST_KINDS = 100
 HIGHLIGHTS = "array<struct<start_offset:int,end_offset:int,entity_type:string,match_kind:string>>"
 
 
@@ -37,19 +44,53 @@ def redact(text: str | Column, patterns: Iterable[str] = CONTACTS, hidden: str =
     return F.replace(out, F.lit("\x00"), F.lit(""))
 
 
+class Longest:
+    """Leftmost-longest occurrences of names, found by one pass of an automaton over the text's UTF-8
+    bytes (a small alphabet keeps the automaton's nodes narrow)."""
+
+    def __init__(self, names: Iterable[str]):
+        self.automaton = ahocorasick.Automaton()
+        for n in names:
+            if n:
+                self.automaton.add_word(self._bytes(n), len(n.encode()))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def _bytes(text: str) -> str:
+        return text.encode("utf-8", "surrogatepass").decode("latin-1")
+
+    def spans(self, text: str | None) -> list[tuple[int, int]]:
+        """(start, end) in code points, from left to right."""
+        if not text or not len(self.automaton):
+            return []
+        raw = self._bytes(text)
+        found = sorted(((end + 1 - n, -(end + 1)) for end, n in self.automaton.iter(raw)))
+        if not found:
+            return []
+        code_points = np.arange(len(raw) + 1) if len(raw) == len(text) else np.concatenate(([0], np.cumsum((np.frombuffer(raw.encode("latin-1"), np.uint8) & 0xC0) != 0x80)))
+        out, free = [], 0
+        for start, end in found:
+            if start >= free:
+                free = -end
+                # a place within a character counts that character already, hence the start's own
+                out.append((int(code_points[start]), int(code_points[free])))
+        return out
+
+
 @dataclass(frozen=True)
 class Rules:
     """What tells a course from a word of the same letters."""
 
     #: a name of two letters counts only near one of these, or on a line of a list
-    context: tuple[str, ...] = ("课", "老师", "教授", "作业", "给分", "考试", "期末", "测评", "选课")
+    context: tuple[str, ...] = ("课", "老师", "教授", "作业", "考试", "期末", "学分", "教材")
     near: int = 4
     #: other uses of a name: what follows it
     not_before: tuple[str, ...] = ("上来说", "上讲", "意义上", "角度")
     #: nickname: course; virtual courses need no listing
     nicknames: dict[str, str] = field(default_factory=dict)
-    #: longer words in which a nickname doesn't count
-    boundaries: tuple[str, ...] = ("课程设置", "分数分布", "提高数学")
+    #: longer words in which a name or nickname doesn't count
+    boundaries: tuple[str, ...] = ()
     titles: tuple[str, ...] = ("老师", "教授", "讲师", "助教")
 
 
@@ -65,14 +106,13 @@ class Matcher:
             if code and re.fullmatch(r"\d{8}", code):
                 self.names[code] = name
         self.names |= rules.nicknames
-        keys = sorted(self.names, key=len, reverse=True)
-        self.pattern = re.compile("|".join(map(re.escape, [*rules.boundaries, *keys]))) if keys else None
+        self.found = Longest([*rules.boundaries, *self.names] if self.names else [])
 
     def spans(self, text: str | None) -> Iterator[tuple[int, int, str, str]]:
         """(start, end, course, full or alias), leftmost and longest first."""
-        for m in self.pattern.finditer(text or "") if self.pattern else ():
-            if name := self.names.get(m[0]):
-                yield m.start(), m.end(), name, "alias" if m[0] in self.rules.nicknames else "full"
+        for s, e in self.found.spans(text):
+            if (name := self.names.get(word := text[s:e])) and word not in self.rules.boundaries:
+                yield s, e, name, "alias" if word in self.rules.nicknames else "full"
 
     def _in_context(self, text: str, start: int, end: int) -> bool:
         around = text[max(0, start - self.rules.near) : start] + "\n" + text[end : end + self.rules.near]
@@ -102,12 +142,12 @@ class Highlighter:
         self.initials: dict[str, set[str]] = {}
         for who, short in initials:
             self.initials.setdefault(short.lower(), set()).add(who)
-        self.people = re.compile("|".join(map(re.escape, sorted(self.teachers, key=len, reverse=True)))) if self.teachers else None
+        self.people = Longest(self.teachers)
 
     def match(self, text: str | None, courses: set[str]) -> list[tuple[int, int, str, str]]:
         text = text or ""
         found = [(s, e, "course", kind) for s, e, name, kind in self.matcher.spans(text) if name in courses]
-        people = [(m.start(), m.end(), {m[0]}, "full") for m in self.people.finditer(text)] if self.people else []
+        people = [(s, e, {text[s:e]}, "full") for s, e in self.people.spans(text)]
         for m in re.finditer(r"(?<![A-Za-z])[A-Za-z]{2,4}(?![A-Za-z])", text):
             if (who := self.initials.get(m[0].lower())) and (len(m[0]) > 2 or m[0].isupper()):
                 people.append((m.start(), m.end(), who, "alias"))
@@ -123,7 +163,8 @@ class Highlighter:
 
 
 def _checked(names: DataFrame) -> list:
-    got = names.limit(MOST_NAMES + 1).collect()
+    """Distinct rows of a dictionary that may be broadcast."""
+    got = names.distinct().limit(MOST_NAMES + 1).collect()
     if len(got) > MOST_NAMES:
         raise ValueError(f"over {MOST_NAMES} names: use entity_pairs")
     return got
@@ -155,17 +196,63 @@ def highlight(entries: DataFrame, listings: DataFrame, initials: DataFrame | Non
     return entries.select("entry_key", "content", "courses").mapInPandas(run, f"entry_key string, highlights {HIGHLIGHTS}")
 
 
-def longest_matches(texts: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
-    """key, name, start (0-based code point), end of leftmost-longest occurrences of names."""
-    held = texts.sparkSession.sparkContext.broadcast(re.compile("|".join(map(re.escape, sorted(set(names), key=lambda n: (-len(n), n))))))
+def longest_matches(texts: DataFrame, key: str, text: str, names: DataFrame, name: str = "name", most: int = MOST_NAMES, gram: int = 12) -> DataFrame:
+    """key (unique), name, start (0-based code point), end of leftmost-longest occurrences of names. Up to
+    `most` distinct names go into a broadcast automaton; more of them are joined by hashes of their
+    first `gram` characters, and each text's occurrences are then thinned out, longest first."""
     kind = dict(texts.dtypes)[key]
+    rows = names.where(F.length(name) > 0).select(F.col(name).alias("name")).distinct()
+    got = rows.limit(most + 1).collect()
+    schema = f"`{key}` {kind}, name string, start long, end long"
+    if len(got) <= most:
+        held = texts.sparkSession.sparkContext.broadcast(Longest(r[0] for r in got))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                rows = [(k, t[s:e], s, e) for k, t in zip(pdf[key], pdf[text], strict=True) for s, e in held.value.spans(t)]
+                yield pd.DataFrame(rows, columns=[key, "name", "start", "end"])
+
+        return texts.select(key, text).mapInPandas(run, schema)
+    met = _gram_join(texts, rows, key, text, "name", gram).join(texts.select(key, F.col(text).alias("_text")), key)
+    met = met.where(F.expr("substring(_text, _at + 1, length(name))") == F.col("name"))
+    # the longest name at each place; a text's occurrences are no more than its characters
+    best = met.groupBy(key, "_at").agg(F.max(F.struct(F.length("name").alias("n"), "name")).alias("m")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "m.n", "m.name"))).alias("_found"))
+
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for k, found in zip(pdf[key], pdf["_found"], strict=True):
+                free = 0
+                for f in found:
+                    if f["_at"] >= free:
+                        free = f["_at"] + f["n"]
+                        out.append((k, f["name"], f["_at"], free))
+            yield pd.DataFrame(out, columns=[key, "name", "start", "end"])
+
+    return best.mapInPandas(thin, schema)
+
+
+def _gram_join(texts: DataFrame, names: DataFrame, key: str, text: str, name: str, gram: int) -> DataFrame:
+    """key, _at and the names' columns where the first `gram` characters (all, of shorter names) of a
+    name stand at a place, by their hash. Only keys, places and hashes of the texts are shuffled; the
+    names are written first, so that adaptive execution can split a hot one."""
+    sized = names.withColumn("_n", F.least(F.length(name), F.lit(gram)))
+    known = table(sized.withColumn("_gram", F.xxhash64(F.substring(F.col(name), F.lit(1), F.col("_n")), "_n")).drop("_n"), "names")
+    sizes = sorted(r[0] for r in sized.select("_n").distinct().collect())  # at most `gram` numbers
+
+    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(k, m[0], m.start(), m.end()) for k, t in zip(pdf[key], pdf[text], strict=True) if t for m in held.value.finditer(t)]
-            yield pd.DataFrame(rows, columns=[key, "name", "start", "end"])
+            for k, t in zip(pdf[key], pdf[text], strict=True):
+                for lo in range(0, len(t or ""), 100_000):
+                    hi = min(len(t), lo + 100_000)
+                    for n in sizes:
+                        ats = range(lo, min(hi, len(t) - n + 1))
+                        if len(ats):
+                            yield pd.DataFrame({key: k, "_at": np.arange(lo, lo + len(ats)), "_piece": [t[i : i + n] for i in ats], "_n": n})
 
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, name string, start long, end long")
+    kind = dict(texts.dtypes)[key]
+    pieces = texts.select(key, text).mapInPandas(grams, f"`{key}` {kind}, _at long, _piece string, _n int")
+    return pieces.select(key, "_at", F.xxhash64("_piece", "_n").alias("_gram")).join(known, "_gram").drop("_gram")
 
 
 def spans_of(text: Column, needle: Column) -> tuple[Column, Column]:
@@ -193,19 +280,10 @@ def entity_pairs(texts: DataFrame, names: DataFrame, key: str, text: str, name_k
                 yield pd.DataFrame(found, columns=[key, name_key])
 
         return texts.select(key, text).mapInPandas(run, kinds)
-    sized = rows.withColumn("_n", F.least(F.length(name), F.lit(gram)))
-    sizes = [r[0] for r in sized.select("_n").distinct().collect()]
-
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(n))))
-
-    parts = [grams(n) for n in sizes]
-    if not parts:
-        return texts.select(key).limit(0).crossJoin(names.select(name_key).limit(0))
-    met = texts.select(key, text, F.explode(F.array_distinct(F.concat(*parts))).alias("_gram"))
-    known = sized.withColumn("_gram", F.xxhash64(F.substring(F.col(name), F.lit(1), F.col("_n"))))
-    return met.join(known, "_gram").where(F.contains(text, name)).select(key, name_key).distinct()
+    if not got:
+        return texts.select(key).limit(0).join(names.select(name_key).limit(0))
+    met = _gram_join(texts, rows, key, text, name, gram).select(key, name_key, F.col(name).alias("_name")).distinct()
+    return met.join(texts.select(key, text), key).where(F.contains(text, "_name")).select(key, name_key).distinct()
 
 
 def mine_aliases(mentions: DataFrame, noise: Iterable[str] = ("ppt", "sky", "ddl", "lz", "dz", "gpa"), least: int = 2) -> DataFrame:
@@ -240,40 +318,54 @@ def teacher_initials(teachers: DataFrame, syllables: DataFrame, noise: Iterable[
     return out.where(~F.col("initials").isin(*noise))
 
 
-@dataclass(frozen=True)
-class Classifier:
-    """Weighted patterns: a text is kept if its weights sum to `least` or more, and it is a review
-    (not a request) if something is judged. Patterns keep to what Java and RE2 share."""
-
-    weights: tuple[tuple[str, int], ...] = (
-        (r"给分|评分|打分", 2), (r"作业量|作业少|作业不多|任务量", 2), (r"测评|评价", 2), (r"教学风格|讲得|水课|不推荐大家选|后悔选", 3),
-        (r"往年怎么签到|考勤占比|考核方式|考核压力", 3), (r"求推荐.{0,12}课", 2), (r"怎么样", 1), (r"老师", 1), (r"这门课", 1), (r"期末闭卷|期末开卷", 2),
-        (r"在哪里加|课程群在|建群|课程群没进", -6), (r"今天|明天|来晚|起晚|截止到现在", -4), (r"题目是什么|第几版|几点|考试范围|考试时间|三点", -6), (r"出分|登分|未读", -6),
-        (r"夏令营|实习|投递|岗位|招新|家教|辅导|初中|高一", -6), (r"考研|保研|留学|雅思|转院|双学位|绩点|等级制|学分要求", -6), (r"教材.{0,6}新|收一本|有偿|代签|互助|插件", -6),
-        (r"选课系统|选课计划|预选|退课|补修|免修|教学网|回放|导师|脱单|轮转|均分|页码", -6), (r"测评洞|测评更新完毕|课程测评的态度|加入中期课程测评|大家之后写", -6),
-    )
-    least: int = 2
-    judged: str = r"给分.{0,4}(?:好|高|差|低|不错)|讲得|作业(?:少|多|不多)|推荐.{1,12}，|不推荐|后悔|离谱|明显增加"
-    evaluative: str = r"(?:给分|作业|老师|考试|期末|讲|课).{0,8}(?:好|高|差|低|不错|不多|少|清楚|闭卷|开卷|一次)"
-    asking: str = r"[?？]|吗|有多"
-
-    def score(self, text: str | Column) -> Column:
-        x = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-        return sum((F.when(x.rlike(p), w).otherwise(0) for p, w in self.weights), F.lit(0))
+#: Words of a text, and neighbouring pairs of Chinese characters.
+WORDS, PAIRS = "[a-z0-9]+", "(?=([\\u4e00-\\u9fff]{2}))"
 
-    def kind(self, text: str) -> Column:
-        """review, request, or NULL for what is not kept."""
-        return F.when(self.score(text) >= self.least, F.when(F.coalesce(F.col(text), F.lit("")).rlike(self.judged), "review").otherwise("request"))
 
-    def useful_reply(self, text: str) -> Column:
-        """A reply with an evaluation that is not only a question."""
-        x = F.coalesce(F.col(text), F.lit(""))
-        return x.rlike(self.evaluative) & ~x.rlike(self.asking)
+def features(text: str | Column) -> Column:
+    """Distinct words (lower case, ASCII) and character pairs of a text."""
+    x = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.array_distinct(F.concat(F.regexp_extract_all(x, F.lit(WORDS), 0), F.regexp_extract_all(x, F.lit(PAIRS), 1)))
 
 
-def kept_replies(replies: DataFrame, posts: DataFrame, classifier: Classifier = Classifier()) -> DataFrame:  # noqa: B008
-    """Useful replies (pid, cid, content, courses) of kept posts (pid, courses). A reply that names no
-    course takes the post's, if that has exactly one."""
-    rows = replies.where(classifier.useful_reply("content")).join(posts.select("pid", F.col("courses").alias("_post")), "pid")
+@dataclass(frozen=True)
+class Classifier:
+    """A naive Bayes model learned from labelled texts: weights (feature, and the log-probability of
+    the feature under each kind) and the kinds' log-priors. Scores are sums over a text's distinct
+    features that training has seen; the kind with the highest wins, the first of equals."""
+
+    kinds: tuple[str, ...]
+    priors: tuple[float, ...]
+    weights: DataFrame
+
+    @staticmethod
+    def learn(labelled: DataFrame, smooth: float = 1.0) -> Classifier:
+        """labelled: text and kind; rows without a kind go. Counts are grouped sums over all rows."""
+        rows = labelled.where("kind IS NOT NULL").select("kind", features("text").alias("f"))
+        numbers = sorted((r["kind"], r["n"]) for r in rows.groupBy("kind").agg(F.count("*").alias("n")).limit(MOST_KINDS + 1).collect())
+        if not 0 < len(numbers) <= MOST_KINDS:
+            raise ValueError(f"{len(numbers)} kinds: 1 to {MOST_KINDS} are possible")
+        kinds, total = tuple(k for k, _ in numbers), sum(n for _, n in numbers)
+        grid = rows.select("kind", F.explode("f").alias("feature")).groupBy("feature").agg(*(F.count_if(F.col("kind") == k).alias(f"n{i}") for i, k in enumerate(kinds)))
+        grid = table(grid, "feature-counts")
+        sums = grid.agg(F.count("*").alias("size"), *(F.sum(f"n{i}").alias(f"s{i}") for i in range(len(kinds)))).first()
+        weight = lambda i: F.log((F.col(f"n{i}") + smooth) / F.lit((sums[f"s{i}"] or 0) + smooth * max(1, sums["size"]))).alias(f"w{i}")
+        return Classifier(kinds, tuple(float(np.log(n / total)) for _, n in numbers), table(grid.select("feature", *(weight(i) for i in range(len(kinds)))), "weights"))
+
+    def classify(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+        """key (unique), kind and margin (by how much it leads) of each row."""
+        found = rows.select(key, F.explode(features(text)).alias("feature")).join(self.weights, "feature")
+        sums = found.groupBy(key).agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(self.kinds))))
+        scores = F.array(*(F.coalesce(f"w{i}", F.lit(0.0)) + F.lit(p) for i, p in enumerate(self.priors)))
+        named = rows.select(key).join(sums, key, "left").withColumn("_s", scores)
+        best = F.array_max("_s")
+        second = F.element_at(F.sort_array("_s", asc=False), 2) if len(self.kinds) > 1 else best
+        return named.select(key, F.element_at(F.array(*map(F.lit, self.kinds)), F.array_position("_s", best).cast("int")).alias("kind"), (best - second).alias("margin"))
+
+
+def kept_replies(replies: DataFrame, posts: DataFrame) -> DataFrame:
+    """Useful replies (pid, cid, content, courses, useful) of posts that are kept (pid, courses). A
+    reply that names no course takes the post's, if that has exactly one."""
+    rows = replies.where("useful").drop("useful").join(posts.select("pid", F.col("courses").alias("_post")), "pid")
     own = F.coalesce("courses", F.array().cast("array<string>"))
     return rows.withColumn("courses", F.when((F.size(own) == 0) & (F.size("_post") == 1), F.col("_post")).otherwise(own)).drop("_post")

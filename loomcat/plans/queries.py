@@ -380,16 +380,22 @@ def json_props(spark, sf_dir):
 # ---- mining
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 40))")
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def entity_match(spark, sf_dir):
-    names = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("name"))
-    return mining.entity_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), names, "doc_id", "text", "item_id", "name")
+    return mining.entity_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
-@query()
+#: RE2 takes the first alternative that matches, so the longest come first; places follow from the
+#: lengths of the pieces between the matches.
+@query("""WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS name FROM part UNION SELECT unnest(['the', 'then', 'thering'])),
+p AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS pattern FROM n WHERE name <> ''),
+m AS (SELECT doc_id, regexp_extract_all(text, pattern) AS ms, regexp_split_to_array(text, pattern) AS gs FROM documents, p),
+k AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (SELECT doc_id, ms[i] AS name, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM k)
+SELECT doc_id, name, start, start + length(name) AS "end" FROM s""")
 def entity_match_longest(spark, sf_dir):
-    names = [r[0] for r in read(spark, sf_dir, "part").select(F.split("p_name", " ")[1]).distinct().limit(1000).collect()]
-    return mining.longest_matches(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", [*names, "the", "then", "thering"])
+    names = read(spark, sf_dir, "part").select(F.split("p_name", " ")[1].alias("name")).union(spark.createDataFrame([("the",), ("then",), ("thering",)], "name string"))
+    return mining.longest_matches(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", names)
 
 
 @query("""WITH t AS (SELECT 'd' || doc_id AS entry_key, 'name' || (doc_id % 5) AS course_name, 'name' || (doc_id % 5) || '/al' || ((doc_id % 5 + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) % 5) || 'x ' AS content, doc_id FROM documents),
@@ -403,27 +409,47 @@ def alias_mining(spark, sf_dir):
     return mining.mine_aliases(rows)
 
 
-_RULES = mining.Classifier(weights=((r"(?i)worthless|idiot|scum|trash", -4), (r"[$%&*#]{3}", -3), (r"[.] [A-Z]", 2), (r"@", -1)), least=2, judged="and|und")
+#: Counts, weights and scores of the naive Bayes classifier.
+_BAYES = """f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS feature FROM documents),
+l AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'dropped' WHEN quality = 1 THEN 'review' ELSE 'request' END AS kind FROM labels),
+n AS (SELECT feature, count(*) FILTER (kind = 'dropped') AS a, count(*) FILTER (kind = 'request') AS b, count(*) FILTER (kind = 'review') AS c FROM f JOIN l USING (doc_id) GROUP BY 1),
+s AS (SELECT count(*) AS v, sum(a) AS sa, sum(b) AS sb, sum(c) AS sc FROM n),
+w AS (SELECT feature, ln((a + 1) / (sa + v)) AS a, ln((b + 1) / (sb + v)) AS b, ln((c + 1) / (sc + v)) AS c FROM n, s),
+p AS (SELECT ln(count(*) FILTER (kind = 'dropped') / count(*)) AS a, ln(count(*) FILTER (kind = 'request') / count(*)) AS b, ln(count(*) FILTER (kind = 'review') / count(*)) AS c FROM l)"""
+
+
+def _classifier(spark: SparkSession, sf_dir: str) -> mining.Classifier:
+    kind = F.when(F.col("toxic") == 1, "dropped").when(F.col("quality") == 1, "review").otherwise("request").alias("kind")
+    return mining.Classifier.learn(read(spark, sf_dir, "labels").select("doc_id", kind).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
-@query("""WITH s AS (SELECT doc_id, text, (CASE WHEN regexp_matches(text, '(?i)worthless|idiot|scum|trash') THEN -4 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[$%&*#]{3}') THEN -3 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[.] [A-Z]') THEN 2 ELSE 0 END) + (CASE WHEN contains(text, '@') THEN -1 ELSE 0 END) AS score FROM documents)
-SELECT doc_id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 2 THEN CASE WHEN regexp_matches(text, 'and|und') THEN 'review' ELSE 'request' END END AS kind FROM s""")
+@query("WITH " + _BAYES + """, t AS (SELECT doc_id, coalesce(sum(w.a), 0) + any_value(p.a) AS a, coalesce(sum(w.b), 0) + any_value(p.b) AS b, coalesce(sum(w.c), 0) + any_value(p.c) AS c FROM documents LEFT JOIN f USING (doc_id) LEFT JOIN w USING (feature), p GROUP BY doc_id)
+SELECT doc_id, CASE WHEN a >= b AND a >= c THEN 'dropped' WHEN b >= c THEN 'request' ELSE 'review' END AS kind, round(greatest(a, b, c) - greatest(least(a, b), least(greatest(a, b), c)), 6) AS margin FROM t""")
 def thread_classifier(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", _RULES.score("text").cast("long").alias("score"), _RULES.kind("text").alias("kind"))
+    return _classifier(spark, sf_dir).classify(read(spark, sf_dir, "documents"), "doc_id", "text").withColumn("margin", F.round("margin", 6))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[hidden]', 'g'), '1[3-9][0-9]{9}', '[hidden]', 'g') AS text FROM documents")
+_CONTACT = "(text || ' VX: some_one' || doc_id || ', q ' || (doc_id + 1000000) || ', a.b@mail.example ')"
+
+
+@query(
+    "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _CONTACT + r", '(?i)(?:微信|vx|wx|wechat|v信)\s*(?:号|id)?\s*[:：]?\s*[a-z][a-z0-9_-]{4,19}', '[联系方式已隐藏]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[联系方式已隐藏]', 'g'), '1[3-9][0-9]{9}', '[联系方式已隐藏]', 'g'), '(?i)qq?\s*(?:号|群)?\s*[:：]?\s*[1-9][0-9]{5,10}', '[联系方式已隐藏]', 'g') AS text FROM documents"
+)
 def redact_contacts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", mining.redact("text", mining.CONTACTS[1:3], "[hidden]").alias("text"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" VX: some_one"), "doc_id", F.lit(", q "), F.col("doc_id") + 1000000, F.lit(", a.b@mail.example ")).alias("text"))
+    return rows.select("doc_id", mining.redact("text").alias("text"))
 
 
-@query("SELECT conv_id AS pid, turn AS cid, 'only' AS courses FROM conversations WHERE turn > 0 AND conv_id % 2 = 0 AND contains(text, 'on')")
+@query("WITH " + _BAYES + """, g AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS feature FROM conversations),
+t AS (SELECT conv_id, turn, coalesce(sum(w.a), 0) + any_value(p.a) AS a, coalesce(sum(w.b), 0) + any_value(p.b) AS b, coalesce(sum(w.c), 0) + any_value(p.c) AS c FROM conversations LEFT JOIN g USING (conv_id, turn) LEFT JOIN w USING (feature), p GROUP BY 1, 2),
+k AS (SELECT conv_id, turn, CASE WHEN a >= b AND a >= c THEN 'dropped' WHEN b >= c THEN 'request' ELSE 'review' END AS kind FROM t)
+SELECT r.conv_id AS pid, r.turn AS cid, 'only' AS courses FROM k r JOIN k post ON post.conv_id = r.conv_id AND post.turn = 0 AND post.kind <> 'dropped' WHERE r.turn > 0 AND r.kind = 'review'""")
 def reply_relevance(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    replies = c.where("turn > 0").select(F.col("conv_id").alias("pid"), F.col("turn").alias("cid"), F.col("text").alias("content"), F.array().cast("array<string>").alias("courses"))
-    posts = c.where("turn = 0 AND conv_id % 2 = 0").select(F.col("conv_id").alias("pid"), F.array(F.lit("only")).alias("courses"))
-    rules = mining.Classifier(evaluative="on", asking="#never#")
-    return mining.kept_replies(replies, posts, rules).select("pid", "cid", F.array_join("courses", ",").alias("courses"))
+    c = read(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    rows = c.join(_classifier(spark, sf_dir).classify(c, "key", "text"), "key")
+    replies = rows.where("turn > 0").select(F.col("conv_id").alias("pid"), F.col("turn").alias("cid"), F.col("text").alias("content"), F.array().cast("array<string>").alias("courses"), (F.col("kind") == "review").alias("useful"))
+    posts = rows.where("turn = 0 AND kind <> 'dropped'").select(F.col("conv_id").alias("pid"), F.array(F.lit("only")).alias("courses"))
+    return mining.kept_replies(replies, posts).select("pid", "cid", F.array_join("courses", ",").alias("courses"))
 
 
 # ---- activity

@@ -38,13 +38,13 @@ def test_normalise():
 def test_fallback_fills_as_a_whole(spark):
     rows = [
         {"id": "a1", "local_id": 1, "completeness": 10, "major": " ", "grade": None, "course_type": "X", "category": "b"},
-        {"id": "a2", "local_id": 2, "completeness": 8, "major": "Alpha", "grade": "Z", "course_type": "Y", "category": "a"},
-        {"id": "a3", "local_id": 3, "completeness": 7, "major": "Zulu", "grade": "A", "course_type": "X", "category": "a,c"},
+        {"id": "a2", "local_id": 2, "completeness": 8, "major": "Brewing", "grade": "4", "course_type": "Y", "category": "a"},
+        {"id": "a3", "local_id": 3, "completeness": 7, "major": "Weaving", "grade": "2", "course_type": "X", "category": "a,c"},
     ]
     card = catalog.cards(source(spark, *rows), F.lit(True)).first()
-    assert (card.id, card.fallback_id, card.major, card.grade) == ("a1", "a2", "Alpha", "Z")
+    assert (card.id, card.fallback_id, card.major, card.grade) == ("a1", "a2", "Brewing", "4")
     assert (card.course_type, card.category) == ("X,Y", "a,a,c,b")
-    narrow = catalog.cards(source(spark, *rows), F.col("major") == "Zulu").first()
+    narrow = catalog.cards(source(spark, *rows), F.col("major") == "Weaving").first()
     assert narrow == card  # a filter picks groups and changes no card
 
 
@@ -84,7 +84,7 @@ def test_translations(spark):
 def test_seeded_order_is_stable_and_differs(spark):
     ids = spark.createDataFrame([(f"{p}{k}",) for p in "ugsar" for k in range(1, 30)], "id string")
     orders = []
-    for seed in (0, 1, -1, 731, 947):
+    for seed in (0, 1, -1, 52, 30011):
         by = [catalog.seeded(seed).asc(), F.col("id").asc()]
         one = [r.id for r in ids.orderBy(*by).collect()]
         assert one == [r.id for r in ids.repartition(5).orderBy(*by).collect()]

@@ -1,10 +1,14 @@
 import json
+import math
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomcat.operators import activity, checks, mining, reviews, translation
-from loomcat.operators.mining import Classifier, Highlighter, Matcher, Rules
+from loomcat.operators.mining import Classifier, Highlighter, Longest, Matcher, Rules
 from loomcat.sources import catalog_json, publish
 
 T0 = reviews.YEAR[0]
@@ -96,54 +100,63 @@ def test_limiter(spark):
 
 
 def test_redaction(spark):
-    text = "课程资料加微信 course_helper88，手机 13812345678，邮箱 a@b.com，q463909082\x00"
+    text = "notes by wechat: reader_of_maps，15900001111 or me.too@post.example，qq 号 7654321\x00 end"
     got = spark.createDataFrame([(text,), (None,)], "x string").select(mining.redact("x").alias("x")).collect()
-    assert not any(s in got[0].x for s in ("course_helper88", "13812345678", "a@b.com", "q463909082", "\x00")) and mining.HIDDEN in got[0].x and got[1].x is None
+    assert not any(s in got[0].x for s in ("reader_of_maps", "15900001111", "me.too@post.example", "7654321", "\x00")) and mining.HIDDEN in got[0].x and got[1].x is None
 
 
-NAMES = [("00100001", "博弈论"), ("00100002", "足球"), ("00100003", "非线性光学"), ("00100004", "光学"), ("00100005", "统计学"), ("", "游泳"), ("", "人工智能引论")]
-NICK = Rules(nicknames={"AI引论": "人工智能引论", "军理": "军事理论", "思修": "思想道德与法治", "程设": "程序设计实习"})
+NAMES = [("90000001", "Harbour Law"), ("90000002", "Go"), ("90000003", "Harbour Law and Trade"), ("90000004", "Tides"), ("", "Ink"), ("", "Maps （North）")]
+RULES = Rules(context=("course", "teacher", "exam"), near=12, not_before=(" as a hobby",), nicknames={"HLT": "Harbour Law and Trade", "sea": "Seamanship"}, boundaries=("seaside",), titles=(" teaches", " (Prof.)"))
 
 
 def test_matcher():
-    m = Matcher(NAMES, NICK)
-    assert m.match("非线性光学的作业和考试都不轻松") == {"非线性光学"}
-    assert m.match("今天和朋友踢足球") == set() and m.match("足球课老师会点名吗", allow_short=True) == {"足球"}
-    assert m.match("求问00100001的给分情况") == {"博弈论"}
-    assert m.match_contextual("从统计学上来说，这个结论并不奇怪") == set() and m.match_contextual("统计学这门课作业量和给分怎么样") == {"统计学"}
-    assert m.match("军理水课，签到给分") == {"军事理论"} and m.match("这门课的课程设置全无用处") == set()
-    assert m.match("测评合集\n– 人工智能引论 ZMH\n– 游泳 ZZJ", allow_short=True) == {"人工智能引论", "游泳"}
-    assert m.match("昨天下午去游泳放松了一下", allow_short=True) == set() and m.match(None) == set() and Matcher([]).match("x") == set()
+    m = Matcher(NAMES, RULES)
+    assert m.match("Harbour Law and Trade twice, Tides once") == {"Harbour Law and Trade", "Tides"}
+    assert m.match("Harbour Law and Tradition") == {"Harbour Law"} and m.match("see 90000004") == {"Tides"}
+    assert m.match("we Go there") == set() and m.match("the course Go is hard", allow_short=True) == {"Go"} and m.match("we Go home now", allow_short=True) == set()
+    assert m.match("•Go\n•Ink", allow_short=True) == {"Go", "Ink"} and m.match("Maps North") == {"Maps （North）"}
+    assert m.match("HLT or sea") == {"Harbour Law and Trade", "Seamanship"} and m.match("a seaside walk") == set()
+    assert m.match_contextual("Tides as a hobby: no exam") == set() and m.match_contextual("the Tides exam") == {"Tides"} and m.match_contextual("Tides and nothing else at all") == set()
+    assert m.match(None) == set() and m.match("") == set() and Matcher([]).match("x") == set()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_longest_is_the_sorted_alternation(seed):
+    rng = random.Random(seed)
+    names = {"".join(rng.choice("aé海b") for _ in range(rng.randint(1, 5))) for _ in range(12)}
+    text = "".join(rng.choice("aé海bc🎈") for _ in range(400))
+    pattern = re.compile("|".join(map(re.escape, sorted(names, key=lambda n: (-len(n), n)))))
+    assert Longest(names).spans(text) == [m.span() for m in pattern.finditer(text)]
 
 
 def test_highlighter(spark):
-    rows = [("博弈论", "张三(教授),Alice Smith(外聘)"), ("非线性光学", "李四(副教授)"), ("光学", "王五"), ("政治经济学（下）", "赵六"), ("游泳", "李伟(教练)")]
-    h = Highlighter(rows, NICK, [("李伟", "LW"), ("张三", "zsx")])
+    rows = [("Harbour Law", "Ada Quill(chair),Ben Ost"), ("Harbour Law and Trade", "Cy Dorn"), ("Tides", "Ada Quill"), ("Maps （North）", None)]
+    h = Highlighter(rows, RULES, [("Cy Dorn", "CD"), ("Ada Quill", "adq")])
     cut = lambda t, c: [(t[s:e], kind, how) for s, e, kind, how in h.match(t, c)]
-    assert [x[:2] for x in cut("推荐👍博弈论，张三老师和 Alice Smith 很好", {"博弈论"})] == [("博弈论", "course"), ("张三", "teacher"), ("Alice Smith", "teacher")]
-    assert cut("张三同学回答得很好", set()) == [] and cut("张三老师讲得很好", set()) == [("张三", "teacher", "full")]
-    assert [x[:2] for x in cut("非线性光学很有收获", {"非线性光学", "光学"})] == [("非线性光学", "course")]
-    assert [x[:2] for x in cut("政治经济学下给分不错", {"政治经济学（下）"})] == [("政治经济学下", "course")]
-    assert cut("游泳 LW 很好", {"游泳"}) == [("游泳", "course", "full"), ("LW", "teacher", "alias")] and len(cut("游泳 lw 很好", {"游泳"})) == 1
-    entries = spark.createDataFrame([("p1", "博弈论很好", ["博弈论"]), ("p2", None, None)], "entry_key string, content string, courses array<string>")
-    got = {r.entry_key: r.highlights for r in mining.highlight(entries, spark.createDataFrame(rows, "course_name string, teacher string")).collect()}
-    assert got["p1"][0].end_offset == 3 and got["p2"] == []
+    assert cut("Harbour Law with Ada Quill and Ben Ost", {"Harbour Law"}) == [("Harbour Law", "course", "full"), ("Ada Quill", "teacher", "full"), ("Ben Ost", "teacher", "full")]
+    assert cut("Ada Quill was late", set()) == [] and cut("Ada Quill teaches well", set()) == [("Ada Quill", "teacher", "full")]
+    assert cut("Harbour Law and Trade", {"Harbour Law and Trade", "Harbour Law"}) == [("Harbour Law and Trade", "course", "full")]
+    assert cut("Maps North", {"Maps （North）"}) == [("Maps North", "course", "full")] and cut("HLT and CD", {"Harbour Law and Trade"}) == [("HLT", "course", "alias"), ("CD", "teacher", "alias")]
+    assert cut("HLT and cd, adq", {"Harbour Law and Trade", "Tides"}) == [("HLT", "course", "alias"), ("adq", "teacher", "alias")]
+    entries = spark.createDataFrame([("p1", "oh Tides", ["Tides"]), ("p2", None, None)], "entry_key string, content string, courses array<string>")
+    got = {r.entry_key: r.highlights for r in mining.highlight(entries, spark.createDataFrame(rows, "course_name string, teacher string"), rules=RULES).collect()}
+    assert (got["p1"][0].start_offset, got["p1"][0].end_offset) == (3, 8) and got["p2"] == []
     tags = mining.tag_courses(entries, spark.createDataFrame(NAMES, "code string, name string")).collect()
-    assert [(r.entry_key, r.course_name) for r in tags] == [("p1", "博弈论")]
+    assert [(r.entry_key, r.course_name) for r in tags] == [("p1", "Tides")]
 
 
 def test_aliases(spark):
-    say = [("软件设计实践", ["谢涛", "马郓"], "软件设计实践/软设 谢涛，马郓 xt my"), ("普通生物学(C)", ["罗述金"], "普通生物学(C)/普生C 罗述金 ppt sky"), ("经济学", ["刘俏", "王辉", "陈玉宇"], "经济学 刘俏 王辉 陈玉宇 lq wh cyy")]
-    rows = [(f"p{k}{n}", c, t, x) for n in range(2) for k, (c, t, x) in enumerate(say)] + [("q", "经济学", [], "经济学/once x")]
+    say = [("Glass Work", ["Una Bell", "Ivo Karr"], "Glass Work/glawo Una Bell, Ivo Karr ub ik"), ("Tides(II)", ["Ada Quill"], "Tides(II)/tii2 Ada Quill ppt sky"), ("Law", ["A B", "C D", "E F"], "Law A B, C D, E F qa wc xe")]
+    rows = [(f"p{k}{n}", c, t, x) for n in range(2) for k, (c, t, x) in enumerate(say)] + [("q", "Law", [], "Law/once x")]
     got = {(r.alias, r.canonical_name) for r in mining.mine_aliases(spark.createDataFrame(rows, "entry_key string, course_name string, teachers array<string>, content string")).collect()}
-    assert got == {("软设", "软件设计实践"), ("普生C", "普通生物学(C)"), ("xt", "谢涛"), ("my", "马郓"), ("lq", "刘俏"), ("wh", "王辉"), ("cyy", "陈玉宇")}
+    assert got == {("glawo", "Glass Work"), ("tii2", "Tides(II)"), ("ub", "Una Bell"), ("ik", "Ivo Karr"), ("qa", "A B"), ("wc", "C D"), ("xe", "E F")}
 
 
 def test_teacher_initials(spark):
-    names = spark.createDataFrame([("张牧涵",), ("姜少峰",), ("李智",), ("外教Smith",), ("李",), (None,)], "teacher string")
-    table = [("张", "zhang"), ("牧", "mu"), ("涵", "han"), ("姜", "jiang"), ("少", "shao"), ("峰", "feng"), ("李", "li"), ("智", "zhi"), ("外", "wai"), ("教", "jiao")]
-    got = mining.teacher_initials(names, spark.createDataFrame(table, "letter string, syllable string")).collect()
-    assert {(r.teacher, r.initials) for r in got} == {("张牧涵", "zmh"), ("姜少峰", "jsf")}
+    names = spark.createDataFrame([("山水田",), ("木火",), ("木石",), ("山Smith",), ("山",), (None,)], "teacher string")
+    table = [("山", "shan"), ("水", "shui"), ("田", "tian"), ("木", "mu"), ("火", "huo"), ("石", "lz")]
+    got = mining.teacher_initials(names, spark.createDataFrame(table, "letter string, syllable string"), noise=("ml",)).collect()
+    assert {(r.teacher, r.initials) for r in got} == {("山水田", "sst"), ("木火", "mh")}
 
 
 def test_entity_pairs_both_ways(spark):
@@ -154,16 +167,42 @@ def test_entity_pairs_both_ways(spark):
         assert {tuple(r) for r in mining.entity_pairs(texts, names, "k", "t", "n", "s", most).collect()} == want
 
 
-def test_classifier(spark):
-    kept = ["求测评博弈论，想知道作业量和给分", "听觉文化与世界文明这门课往年怎么签到，考勤占比高吗？", "求推荐作业少、给分好的通识课", "求法学院专业课课程测评，想听听大家的体验", "这门课是我本学期最后悔选的课，评分很离谱，助教和教授也不负责。不推荐大家选。"]
-    dropped = ["请问听觉文化与世界文明课程群在哪里加", "听觉文化与世界文明老师今天布置的作业题目是什么", "今天和同学踢足球，晚上吃什么", "生物化学期末出分了sky", "社招岗位要求熟悉人工智能安全，欢迎投递简历", "考研想问专业课考题形式、复习范围、历年真题和导师分数线", "又到一年选课时，户外探索测评洞 8302252", "求信号与系统课程PPT和考试资料，有偿"]
-    rows = spark.createDataFrame([(x,) for x in kept + dropped] + [(None,)], "content string")
-    got = {r.content for r in rows.where(Classifier().kind("content").isNotNull()).collect()}
-    assert got == set(kept)
-    replies = [("老师讲得不错，作业不多，期末闭卷，给分很好", True), ("蹲蹲，同问", False), ("给分有多好？", False), ("等老师回复吧", False), ("去年给分很好，每周一次作业，期末开卷", True), (None, False)]
-    r = spark.createDataFrame([(1, k, x, []) for k, (x, _) in enumerate(replies)], "pid long, cid long, content string, courses array<string>")
-    posts = spark.createDataFrame([(1, ["博弈论"])], "pid long, courses array<string>")
-    assert {(x.cid, *x.courses) for x in mining.kept_replies(r, posts).collect()} == {(k, "博弈论") for k, (_, ok) in enumerate(replies) if ok}
+def test_longest_matches_both_ways(spark):
+    rng = random.Random(3)
+    texts = [(k, "".join(rng.choice("abé ") for _ in range(rng.randint(0, 60)))) for k in range(30)] + [(30, None), (31, "")]
+    words = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 16))) for _ in range(40)} | {"", "ab" * 9}
+    pattern = re.compile("|".join(map(re.escape, sorted(words - {""}, key=lambda n: (-len(n), n)))))
+    want = {(k, m[0], *m.span()) for k, t in texts for m in pattern.finditer(t or "")}
+    t, n = spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame([(w,) for w in words] * 2 + [(None,)], "name string")
+    for most in (100, 1):
+        assert {tuple(r) for r in mining.longest_matches(t, "k", "t", n, most=most, gram=3).collect()} == want
+    assert mining.longest_matches(t, "k", "t", n.limit(0)).count() == 0
+
+
+def test_classifier_is_naive_bayes(spark):
+    rng = random.Random(1)
+    words = {"review": "clear strict fair 认真 slides".split(), "request": "which when anyone 请问 seek".split(), "dropped": "sell flat 出租 tickets deal".split()}
+    say = lambda kind: " ".join(rng.choice(words[kind] if rng.random() < 0.7 else ["the", "a", "課", "of"]) for _ in range(12))
+    rows = [(k, say(kind), kind) for k, kind in enumerate(list(words) * 30)]
+    m = Classifier.learn(spark.createDataFrame([*rows[:60], (99, "x", None)], "id long, text string, kind string"))
+    tests = spark.createDataFrame([*rows[60:], (200, None, None), (201, "unseen", None)], "id long, text string, kind string")
+    got = {r.id: r for r in m.classify(tests.drop("kind"), "id", "text").collect()}
+    assert m.kinds == ("dropped", "request", "review") and len(got) == 32
+    of = lambda t: set(re.findall("[a-z0-9]+", t)) | {t[i : i + 2] for i in range(len(t) - 1) if all("\u4e00" <= ch <= "\u9fff" for ch in t[i : i + 2])}
+    seen = {f for _, t, _ in rows[:60] for f in of(t)}
+    counts = {k: Counter(f for _, t, x in rows[:60] if x == k for f in of(t)) for k in m.kinds}
+    for i, t, kind in rows[60:]:
+        s = sorted((sum(math.log((counts[k][f] + 1) / (sum(counts[k].values()) + len(seen))) for f in of(t) & seen) + math.log(1 / 3), k) for k in m.kinds)
+        assert got[i].kind == s[-1][1] and got[i].margin == pytest.approx(s[-1][0] - s[-2][0])
+    assert sum(got[i].kind == kind for i, _, kind in rows[60:]) >= 28 and got[200].margin == got[201].margin == 0
+    with pytest.raises(ValueError, match="kinds"):
+        Classifier.learn(tests.where("kind IS NULL"))
+
+
+def test_kept_replies(spark):
+    r = spark.createDataFrame([(1, 1, "x", [], True), (1, 2, "y", ["own"], True), (1, 3, "z", [], False), (2, 4, "z", None, True), (3, 5, "q", [], True), (1, 6, "n", [], None)], "pid long, cid long, content string, courses array<string>, useful boolean")
+    posts = spark.createDataFrame([(1, ["one"]), (2, ["one", "two"])], "pid long, courses array<string>")
+    assert {(x.cid, *x.courses) for x in mining.kept_replies(r, posts).collect()} == {(1, "one"), (2, "own"), (4,)}
 
 
 def test_translation_selection(spark):
