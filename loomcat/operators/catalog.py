@@ -226,12 +226,15 @@ def with_group_key(source: DataFrame) -> DataFrame:
 
 
 def facets(source: DataFrame, texts: list[str], values: list[str], extra: dict[str, list[str]] | None = None) -> DataFrame:
-    """facet, value (as text): distinct filled texts, distinct values with NULL, and fixed extra ones."""
-    parts = [source.where(F.col(x) != "").select(F.lit(x).alias("facet"), F.col(x).alias("value")) for x in texts]
-    parts += [source.select(F.lit(x).alias("facet"), F.col(x).cast("string").alias("value")) for x in values]
-    for x, more in (extra or {}).items():
-        parts.append(source.sparkSession.createDataFrame([(x, v) for v in more], "facet string, value string"))
-    return union_levels(*parts).distinct()
+    """facet, value (as text): distinct filled texts, distinct values with NULL, and fixed extra ones;
+    one scan for all of them."""
+    each = [F.struct(F.lit(x).alias("facet"), F.col(x).alias("value"), (F.col(x) != "").alias("keep")) for x in texts]
+    each += [F.struct(F.lit(x).alias("facet"), F.col(x).cast("string").alias("value"), F.lit(True).alias("keep")) for x in values]
+    rows = source.select(F.explode(F.array(*each)).alias("f")).where("f.keep").select("f.facet", "f.value")
+    more = [(x, v) for x, vs in (extra or {}).items() for v in vs]
+    if more:
+        rows = union_levels(rows, source.sparkSession.createDataFrame(more, "facet string, value string"))
+    return rows.distinct()
 
 
 def detail(basic: DataFrame, details: DataFrame, level: str, local_id: int, translations: DataFrame | None = None, lang: str = "zh") -> DataFrame:

@@ -37,10 +37,14 @@ def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def collapse(rows: DataFrame, keys: list[str], values: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows without exact copies, keys whose rows differ with the number of variants)."""
+    """(rows without exact copies, keys whose rows differ with the number of variants). A cheap hash of
+    every row finds the keys that may differ; only their rows are compared and counted. A key with a
+    NULL in it never conflicts."""
     values = values or [x for x in rows.columns if x not in keys]
-    body = F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256)
-    conflicts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(body).alias("variants")).where("variants > 1")
+    hashed = rows.withColumn("_h", F.xxhash64(*values, *(F.col(x).isNull() for x in values)))
+    suspects = hashed.groupBy(*keys).agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo < hi").select(*keys)
+    exact = rows.select(*keys, F.struct(*values).alias("_v")).join(suspects, keys, "left_semi")
+    conflicts = exact.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("_v").alias("variants"))
     return rows.select(*keys, *values).distinct(), conflicts
 
 
@@ -126,8 +130,8 @@ def stats_mismatch(rows: DataFrame, kind: str, stated: DataFrame) -> DataFrame:
 
 def short_pages(pages: DataFrame, kind: str, page: str, n: str) -> DataFrame:
     """Pages with fewer rows than the fullest of their kind that are not the last."""
-    own = Window.partitionBy(kind)
-    marked = pages.withColumn("_most", F.max(n).over(own)).withColumn("_last", F.max(page).over(own))
+    most = pages.groupBy(kind).agg(F.max(n).alias("_most"), F.max(page).alias("_last"))
+    marked = pages.join(most, kind)
     return marked.where((F.col(n) < F.col("_most")) & (F.col(page) < F.col("_last"))).drop("_most", "_last")
 
 

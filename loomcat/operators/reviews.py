@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.params import Page, review_query
+from ..functions.storage import table
 
 #: Weights of the quality score: a review post, a reply, and length up to a bound (fixed values).
 REVIEW, REPLY, LONGEST, PER = 120, 40, 900, 6
-FEATURED, YEAR = 10, (1767196800, 1798732800)
+FEATURED = 10
+#: The year whose threads are featured, in epoch seconds, and the counters of the metadata (fixed values).
+YEAR = (1767196800, 1798732800)
 COUNTERS = (
     "source_shards", "source_posts", "source_replies", "matched_threads", "matched_entries", "matched_replies", "snapshot_replies", "catalog_courses", "uncachedReplyDifference", "highlighted_entries",
     "course_highlights", "teacher_highlights", "course_aliases", "teacher_aliases", "course_alias_highlights", "teacher_alias_highlights",
@@ -56,10 +59,13 @@ def default_order(threads: DataFrame, span: tuple[int, int] = YEAR, n: int = FEA
 
 def nested(threads: DataFrame, entries: DataFrame, thread_courses: DataFrame, entry_courses: DataFrame, highlights: DataFrame) -> DataFrame:
     """threads with courses (sorted), entries (post first, then by floor and cid; each with its sorted
-    courses and highlights in order) and the post's highlights."""
+    courses and highlights in order) and the post's highlights. Courses and highlights of other
+    threads' entries are left out before anything is grouped."""
+    rows = entries.join(threads.select("pid"), "pid", "left_semi")
+    entry_courses, highlights = (x.join(rows.select("entry_key"), "entry_key", "left_semi") for x in (entry_courses, highlights))
     own = entry_courses.groupBy("entry_key").agg(F.array_sort(F.collect_list("course_name")).alias("courses"))
     marks = highlights.groupBy("entry_key").agg(F.array_sort(F.collect_list(F.struct("start_offset", "end_offset", "entity_type", "match_kind"))).alias("highlights"))
-    rows = entries.join(threads.select("pid"), "pid", "left_semi").join(own, "entry_key", "left").join(marks, "entry_key", "left")
+    rows = rows.join(own, "entry_key", "left").join(marks, "entry_key", "left")
     none = F.array().cast("array<struct<start_offset:int,end_offset:int,entity_type:string,match_kind:string>>")
     item = F.struct(
         F.when(F.col("kind") == "post", 0).otherwise(1).alias("rank"), "floor", "cid", "kind", "posted_at", "content",
@@ -76,7 +82,8 @@ def list_reviews(threads: DataFrame, entries: DataFrame, thread_courses: DataFra
     page = page or Page(1, 20, 100)
     found = search_threads(threads, entries, thread_courses, q)
     rows, by = (found, newest_first()) if review_query(q) else default_order(found)
-    shown = rows.orderBy(*by).offset(page.offset).limit(page.size)
+    # at most page.size threads, used several times below: sorted once
+    shown = table(rows.orderBy(*by).offset(page.offset).limit(page.size), "page")
     return found.agg(F.count("*").alias("total")), nested(shown, entries, thread_courses, entry_courses, highlights).orderBy(*by)
 
 
