@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.storage import ranked
 
 #: Parts of user agents that are no visitors (fixed values).
 BOTS = ("bot", "spider", "crawl", "slurp", "curl", "wget", "python-")
@@ -95,6 +96,19 @@ def accepted(attempts: DataFrame, limits: tuple[tuple[int, int], ...] = LIMITS)
     return rows.repartition("sender").sortWithinPartitions("sender", "at", "id").mapInPandas(run, f"sender {kind}, at long, id long, ok boolean")
 
 
+def post_messages(messages: DataFrame, attempts: DataFrame, limits: tuple[tuple[int, int], ...] = LIMITS) -> DataFrame:
+    """The messages (id, posted_at, content, ip_hash) that come to those that are there: of attempts
+    (attempt, posted_at, content, ip_hash) those within the limits, numbered on in order of time. What
+    is there counts towards the limits; refused attempts don't, nor those without a number, which go."""
+    attempts = attempts.where("attempt IS NOT NULL")
+    old = messages.select(F.col("ip_hash").alias("sender"), F.col("posted_at").alias("at"), (F.col("id") - (1 << 62)).alias("id"))
+    new = attempts.select(F.col("ip_hash").alias("sender"), F.col("posted_at").alias("at"), F.col("attempt").alias("id"))
+    fine = accepted(old.unionByName(new), limits).where("ok AND id > -1").select(F.col("id").alias("attempt"))
+    last = messages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    kept = ranked(attempts.join(fine, "attempt", "left_semi"), [F.asc("posted_at"), F.asc("attempt")], "posted_at", "content", "ip_hash")
+    return kept.select((F.col("rank") + last).cast("long").alias("id"), "posted_at", "content", "ip_hash")
+
+
 def message_page(messages: DataFrame, offset: int, size: int) -> DataFrame:
     """Newest first, without the sender."""
     return messages.select("id", "posted_at", "content").orderBy(F.desc("id")).offset(offset).limit(size)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Columns that make a listing unique, by kind of source.
 UNIQUE = {
@@ -13,6 +15,10 @@ UNIQUE = {
 }
 
 
+#: Lists of an envelope's validation that must be empty.
+EMPTY_LISTS = ("duplicateKeys", "missingCourseCodes", "missingDetailLinks", "suspiciousPages")
+
+
 class CheckFailed(ValueError):
     pass
 
@@ -36,6 +42,56 @@ def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def profile_duplicates(rows: DataFrame, profile: str) -> DataFrame:
+    """Keys of a kind of source (see UNIQUE) that several rows share."""
+    return duplicate_keys(rows, list(UNIQUE[profile]))
+
+
+def envelope_faults(envelopes: DataFrame, rows: DataFrame, term: str, kinds: list[str], profile: str) -> DataFrame:
+    """fault and detail of what is wrong with the envelope of one term's payload: rows are its rows as
+    columns (seq, course_type, course_code, link and what the profile's key needs). Its statements are
+    compared with what the rows say."""
+    e = envelopes.select("*", F.map_keys("stats").alias("_kinds"))
+    say = lambda found, fault, detail: found.select(F.lit(fault).alias("fault"), detail.cast("string").alias("detail"))
+    again = rows.groupBy("seq").count().where("count > 1").select("seq", F.lit(True).alias("_real"))
+    listed = e.select(F.explode("validation.duplicateSeqs").alias("seq")).distinct().withColumn("_said", F.lit(True))
+    seqs = again.join(listed, "seq", "full").where("_real IS NULL OR _said IS NULL")
+    counted = rows.groupBy(F.col("course_type").alias("kind")).agg(F.count("*").alias("n"))  # a row for each kind
+    stated = e.select(F.explode("stats").alias("kind", "stated"))
+    differ = counted.join(stated, "kind", "full").where(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("stated", F.lit(0))))
+    parts = [
+        say(e.where(~F.col("term").eqNullSafe(F.lit(term))), "term", F.col("term")),
+        say(e.where(~F.coalesce(F.size("errors") == 0, F.lit(False))), "errors", F.size("errors")),
+        say(e.where(~F.array_sort("_kinds").eqNullSafe(F.array(*map(F.lit, sorted(kinds))))), "kinds", F.concat_ws(",", F.array_sort("_kinds"))),
+        say(differ, "stats", F.col("kind")),
+        say(e.join(F.broadcast(rows.agg(F.count("*").alias("_n")))).where(~F.col("validation.totalRows").eqNullSafe(F.col("_n"))), "total", F.col("validation.totalRows")),
+        say(seqs, "duplicateSeqs", F.col("seq")),
+        say(profile_duplicates(rows, profile), "duplicate key", F.concat_ws("|", *UNIQUE[profile])),
+        say(rows.where(F.trim(F.coalesce("course_code", F.lit(""))) == ""), "no code", F.col("seq")),
+        say(rows.where(F.trim(F.coalesce("link", F.lit(""))) == ""), "no link", F.col("seq")),
+        *(say(e.where(~F.coalesce(F.size(f"validation.{x}") == 0, F.lit(False))), "stated", F.lit(x)) for x in EMPTY_LISTS),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def store_faults(spark: SparkSession, root: str, tables: dict[str, str]) -> list[str]:
+    """Tables (name: schema in DDL) below root that are missing, can't be read or have other columns."""
+    out = []
+    for name, ddl in tables.items():
+        try:
+            have = {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{root}/{name}").schema}
+        except AnalysisException as e:
+            out.append(f"{name}: {'missing' if 'PATH_NOT_FOUND' in str(e) else 'cannot be read'}")
+            continue
+        want = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(ddl)}
+        if have != want:
+            out.append(f"{name}: columns {', '.join(sorted(x for x in {*have, *want} if have.get(x) != want.get(x)))}")
+    return out
+
+
 def collapse(rows: DataFrame, keys: list[str], values: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows without exact copies, keys whose rows differ with the number of variants). A cheap hash of
     every row finds the keys that may differ; only their rows are compared and counted. A key with a
@@ -130,9 +186,9 @@ def stats_mismatch(rows: DataFrame, kind: str, stated: DataFrame) -> DataFrame:
 
 def short_pages(pages: DataFrame, kind: str, page: str, n: str) -> DataFrame:
     """Pages with fewer rows than the fullest of their kind that are not the last."""
-    most = pages.groupBy(kind).agg(F.max(n).alias("_most"), F.max(page).alias("_last"))
-    marked = pages.join(most, kind)
-    return marked.where((F.col(n) < F.col("_most")) & (F.col(page) < F.col("_last"))).drop("_most", "_last")
+    most = pages.groupBy(F.col(kind).alias("_kind")).agg(F.max(n).alias("_most"), F.max(page).alias("_last"))
+    marked = pages.join(most, pages[kind].eqNullSafe(most["_kind"]))
+    return marked.where((F.col(n) < F.col("_most")) & (F.col(page) < F.col("_last"))).drop("_kind", "_most", "_last")
 
 
 def link_fault(url: Column, host: str, path: str, seq: Column | None = None, param: str = "course_seq_no") -> Column:

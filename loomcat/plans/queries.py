@@ -5,18 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.params import Page, Search
-from ..functions.storage import table
+from ..functions.storage import ranked
 from ..operators import activity, catalog, checks, mining, reviews, translation
 from ..streaming import activity as streams
+from . import fixtures
 from . import views as v
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(fixtures.QUERIES)
+ORACLES: dict[str, str] = dict(fixtures.ORACLES)
 CARD_SQL = """
 matching AS (SELECT DISTINCT group_key FROM listing WHERE {where}),
 ranked AS (SELECT l.*, row_number() OVER (PARTITION BY group_key ORDER BY completeness DESC, local_id, id) AS rank FROM listing l JOIN matching USING (group_key)),
@@ -50,16 +51,6 @@ def cards_sql(where: str, tail: str) -> str:
     return "WITH " + v.LISTINGS + "," + CARD_SQL.format(where=where, gain=_GAIN, texts=_TEXTS) + tail
 
 
-def ranked(rows: DataFrame, by: list[Column], *keep: str) -> DataFrame:
-    """Each row's place in a total order, without a task that holds all rows: a global sort is
-    written, rows are numbered within its partitions, and the partitions' sizes (a row for each, so
-    a bounded broadcast) give the offsets."""
-    place = table(rows.orderBy(*by).select(*keep, F.monotonically_increasing_id().alias("_id")), "sorted").withColumn("_part", F.shiftright("_id", 33))
-    sizes = place.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))
-    return place.join(F.broadcast(before), "_part").select(*keep, (F.col("before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return v.read(spark, sf_dir, name)
 
@@ -502,6 +493,14 @@ def hash_identity(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", activity.sender(ip).alias("ip_hash"))
 
 
+@query("WITH m AS (" + _ACCEPTED + """) SELECT 7 + row_number() OVER (ORDER BY "at", id) AS id, "at" AS posted_at, 'click' AS content, sender AS ip_hash FROM m WHERE ok""")
+def messages_accepted(spark, sf_dir):
+    clicks = read(spark, sf_dir, "events").where("event_type = 'click'")
+    attempts = clicks.select(F.col("event_id").alias("attempt"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("posted_at"), F.col("event_type").alias("content"), F.col("user_id").alias("ip_hash"))
+    there = spark.createDataFrame([(7, 0, "first", -1)], "id long, posted_at long, content string, ip_hash long")
+    return activity.post_messages(there, attempts, _LIMITS)
+
+
 @query("SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS posted_at, event_type AS content FROM events ORDER BY event_id DESC LIMIT 20 OFFSET 20")
 def message_page(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("posted_at"), F.col("event_type").alias("content"), F.lit("x").alias("ip_hash"))

@@ -251,3 +251,26 @@ def test_publishing(spark, tmp_path):
     assert publish.current(spark, root + "/a") is None and spark.read.parquet(root + "/a/raw/*").first().body == b"{bad"
     with pytest.raises(ValueError, match="missing 1 replies"):
         publish.enrich(rows, rows.limit(1).withColumn("y", F.lit(1)), "x", "replies")
+
+
+def test_messages_within_limits(spark):
+    old = spark.createDataFrame([(5, 100, "m", "a"), (6, 200, "m", "a")], "id long, posted_at long, content string, ip_hash string")
+    tries = [(1, 300, "x", "a"), (2, 301, "y", "a"), (3, 302, "z", "b"), (4, 4000, "late", "a"), (None, 5, "q", "a")]
+    got = activity.post_messages(old, spark.createDataFrame(tries, "attempt long, posted_at long, content string, ip_hash string"), ((3600, 3), (86400, 20)))
+    assert sorted(map(tuple, got.collect())) == [(7, 300, "x", "a"), (8, 302, "z", "b"), (9, 4000, "late", "a")]
+    assert activity.post_messages(old.limit(0), spark.createDataFrame(tries[:1], "attempt long, posted_at long, content string, ip_hash string")).first().id == 1
+
+
+def test_tables_are_dropped(spark, tmp_path):
+    from loomcat.functions import storage
+
+    s = spark.newSession()
+    before = spark.conf.get("spark.checkpoint.dir", "")
+    s.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        storage.table(s.range(3), "x")
+        assert list(tmp_path.glob("tables-*/x-*"))
+        storage.drop_tables(s)
+        assert not list(tmp_path.glob("tables-*"))
+    finally:
+        assert spark.conf.get("spark.checkpoint.dir", "") == before
