@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a new local folder if driver and executors are one
     process or machine, else ValueError: each executor would write to a disk of its own."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", "")):
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not (folder := spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(f"file://{tempfile.gettempdir()}/checkpoints")
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from loomcat.functions import storage
 from loomcat.operators import activity, checks, mining, reviews, translation
 from loomcat.operators.mining import Classifier, Highlighter, Longest, Matcher, Rules
 from loomcat.sources import catalog_json, publish
@@ -261,16 +262,28 @@ def test_messages_within_limits(spark):
     assert activity.post_messages(old.limit(0), spark.createDataFrame(tries[:1], "attempt long, posted_at long, content string, ip_hash string")).first().id == 1
 
 
-def test_tables_are_dropped(spark, tmp_path):
-    from loomcat.functions import storage
+def test_tables_are_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    storage.table(spark.range(3), "x")
+    assert list(tmp_path.glob("tables-*/x-*"))
+    storage.drop_tables(spark)
+    assert not list(tmp_path.glob("tables-*"))
 
-    s = spark.newSession()
-    before = spark.conf.get("spark.checkpoint.dir", "")
-    s.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        storage.table(s.range(3), "x")
-        assert list(tmp_path.glob("tables-*/x-*"))
-        storage.drop_tables(s)
-        assert not list(tmp_path.glob("tables-*"))
-    finally:
-        assert spark.conf.get("spark.checkpoint.dir", "") == before
+
+@pytest.mark.parametrize("master,fine", [("local[2]", True), ("spark://h:7077", False), ("yarn", False)])
+def test_shared_folder_where_it_is_unset(master, fine):
+    class Context:
+        folder = None
+        getCheckpointDir = lambda self: self.folder
+        setCheckpointDir = lambda self, x: setattr(self, "folder", f"{x}/1")
+
+    class Session:
+        conf = {}
+        sparkContext = Context()  # noqa: N815  Spark's name
+
+    Session.sparkContext.master = master
+    if fine:
+        assert storage.shared_dir(Session()).endswith("/checkpoints/1") == (storage.shared_dir(Session()) == Session.sparkContext.folder)
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_dir(Session())
