@@ -24,7 +24,6 @@ import base64
 import gzip
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -89,8 +88,9 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^(file:)?/+", "file:///", uri))
 
 
-def write(pages: DataFrame, broadcast_revisits: int = BROADCAST_REVISITS) -> DataFrame:
-    """The index of the archives of all pages: INDEX."""
+def write(pages: DataFrame, folder: str | None = None, broadcast_revisits: int = BROADCAST_REVISITS) -> DataFrame:
+    """The index of the archives of all pages: INDEX. folder: a new one for the archives, by default
+    among the application's tables, which storage.drop_tables deletes."""
     spark = c.session(pages.sparkSession)
     rows = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     if not rows.groupBy("page_id").count().where("count > 1").isEmpty():
@@ -101,7 +101,7 @@ def write(pages: DataFrame, broadcast_revisits: int = BROADCAST_REVISITS) -> Dat
     first = c.table(large.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "first")
     again = c.table(large.join(first, "sha").where("page_id > first").select("page_id", F.col("first").alias("refers_to")), "revisits")
     again = F.broadcast(again) if again.count() <= broadcast_revisits else again
-    folder = f"{c.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or c.fresh(spark, "warc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

@@ -96,7 +96,7 @@ def test_both_ways_agree_on_very_common_seeds(spark):
 
 @pytest.mark.parametrize("most", [1 << 20, -1])
 def test_warc_round_trip(spark, monkeypatch, most):
-    monkeypatch.setattr(warc.write, "__defaults__", (most,))
+    monkeypatch.setattr(warc.write, "__defaults__", (None, most))
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300_000)
     monkeypatch.setattr(warc, "READ", 4_000)
     rng = random.Random(1)
