@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_BYTES = 64 << 20
 THREADS = 2
 #: Characters that are encoded at a time, and distinct words that a task remembers.
-CHUNK, WORDS = 400_000, 600_000
+CHUNK, WORDS = 400_000, 400_000
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Piece types of the model's protobuf (fixed values of its format).
@@ -148,6 +148,9 @@ class Codec:
         self.mapped = bool(spec["charsmap"]) or spec["squeeze"]
         self.inner = Tokenizer(self.tok.model)  # for words that are normalised already
         self.inner.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}  # no lists in it: the garbage collector would walk over them again and again
         self.odd: dict[str, str] = {}  # decoded words on which the libraries differ, or that don't come back as they were
 
@@ -167,7 +170,7 @@ class Codec:
         normal = [self.tok.normalizer.normalize_str(t) if self.tok.normalizer else t for t in texts]
         split = [_WORD.findall(t) for t in normal]
         if len(self.known) > WORDS:
-            self.known, self.odd = {}, {}
+            self.forget()
         self._learn(list(set().union(*split).difference(self.known)))
         for text, norm, ws in zip(texts, normal, split, strict=True):
             ids = b"".join(map(self.known.__getitem__, ws))
@@ -212,18 +215,24 @@ def encode(documents: DataFrame, model: str = MODEL, threads: int = THREADS) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _ready(digest, held.value, threads)
-        for pdf in batches:
-            some = [isinstance(t, str) for t in pdf["text"]]
-            texts = [t.encode("utf-8", "replace").decode() for t, ok in zip(pdf["text"], some, strict=True) if ok]
-            got = (x for lo, hi in c.chunks([len(t) for t in texts], CHUNK) for x in codec.coded(texts[lo:hi]))
-            n, ids, back, parity = [], [], [], []
-            for ok in some:
-                one, text, same = next(got) if ok else (None, None, None)
-                n.append(len(one) // 4 if ok else None)
-                ids.append(one)
-                back.append(text)
-                parity.append(same)
-            yield pdf.assign(n_tokens=pd.array(n, "Int64"), ids=ids, decoded=back, parity=pd.array(parity, "boolean"))
+        try:
+            for pdf in batches:
+                yield one(codec, pdf)
+        finally:
+            codec.forget()  # workers outlive their tasks
+
+    def one(codec: Codec, pdf: pd.DataFrame) -> pd.DataFrame:
+        some = [isinstance(t, str) for t in pdf["text"]]
+        texts = [t.encode("utf-8", "replace").decode() for t, ok in zip(pdf["text"], some, strict=True) if ok]
+        got = (x for lo, hi in c.chunks([len(t) for t in texts], CHUNK) for x in codec.coded(texts[lo:hi]))
+        n, ids, back, parity = [], [], [], []
+        for ok in some:
+            coded, text, same = next(got) if ok else (None, None, None)
+            n.append(len(coded) // 4 if ok else None)
+            ids.append(coded)
+            back.append(text)
+            parity.append(same)
+        return pdf.assign(n_tokens=pd.array(n, "Int64"), ids=ids, decoded=back, parity=pd.array(parity, "boolean"))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(c.freed(run), f"{schema}, n_tokens long, ids binary, decoded string, parity boolean")

@@ -211,6 +211,14 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert kept == {i for i, (_, c) in brute_components(rows, 5, 4, 5).items() if i == c}
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(7)
+    long = [f"v{rng.randint(0, 9000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:59_000] + ["x"] * 900)), (3, " ".join(long[:30_000])), (4, "z " * 150_000), (5, "z z z")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.digest(frame(spark, rows)).collect()}
+    assert got == brute_components(rows, 3, 85, 100) and got[2][1] == 1 and got[3][1] == 3 and got[5][1] == 4
+
+
 def test_estimates_are_unbiased():
     import numpy as np
 
