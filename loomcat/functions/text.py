@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,13 +72,3 @@ def beijing_day(epoch: str | Column) -> Column:
 
 def snake_case(key: str) -> str:
     return re.sub(r"(?<!^)(?=[A-Z])", "_", key).lower()
-
-
-def batches(fn):
-    """A mapInPandas function from one of whole frames."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield fn(pdf)
-
-    return run
