@@ -6,6 +6,7 @@ import math
 import re
 from dataclasses import dataclass
 
+#: Terms with their levels, languages, days and orders that may be asked for (fixed values).
 TERMS = {"spring": ("u", "g"), "summer": ("s",), "fall": ("a", "r")}
 LANGS = ("zh", "en", "ja", "ko", "fr", "de", "es", "ru")
 WEEKDAYS = ("周一", "周二", "周三", "周四", "周五", "周六", "周日")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.params import Page, Search
 
-#: Columns of a source row besides id, level, local_id and completeness.
+#: Columns of a source row besides id, level, local_id and completeness (fixed values, as are the lists
+#: of columns below).
 BASIC = ("course_type", "course_code", "class_no", "course_name", "category", "credits", "teacher", "department", "major", "grade", "schedule", "classroom", "weekdays", "first_period", "enrollment", "pnp", "notes")
 DETAIL = {
     "undergraduate": ("english_name", "prerequisites", "intro_cn", "intro_en", "grading", "ge_series", "language", "textbook", "reference_book", "syllabus", "evaluation"),
