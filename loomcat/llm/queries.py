@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, language_id, near_dup, quality, sentencepiece_codec, substring_dedup, suffix_dedup, warc, webp
+from . import chat_format, collocations, decontaminate, fill_in_middle, language_id, near_dup, quality, sentencepiece_codec, simhash, substring_dedup, suffix_dedup, warc, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_minhash_near_dup, op4_suffix_dedup, op5_quality, op6_webp, op7_chat_format, op8_decontamination, op9_warc, op10_sentencepiece)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(_read(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op3_minhash_near_dup": near_dup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op9_warc": warc.SQL}
+
+def op12_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(_read(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(_read(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_substring_dedup, op2_language_id, op3_minhash_near_dup, op4_suffix_dedup, op5_quality, op6_webp, op7_chat_format, op8_decontamination, op9_warc, op10_sentencepiece, op11_collocations, op12_simhash_near_dup, op13_fill_in_middle)
+QUERIES = {f.__name__: f for f in OPERATORS}
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.SQL, "op3_minhash_near_dup": near_dup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op9_warc": warc.SQL, "op11_collocations": collocations.SQL, "op13_fill_in_middle": fill_in_middle.SQL,
+}
