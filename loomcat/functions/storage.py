@@ -46,6 +46,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables (as `table` returns them) that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if f"/tables-{spark.sparkContext.applicationId}/" in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(rows: DataFrame, by: list[Column], *keep: str) -> DataFrame:
     """`keep` and rank, each row's place in a total order, without a task that holds all rows: a
     global sort is written, rows are numbered within its partitions, and the partitions' sizes (a row
