@@ -12,10 +12,11 @@ The pair that an id stands for is its two parents: counts of all first and last
 them, and so does what a phrase is part of (of all longer phrases that hold it, those one word longer
 have the most occurrences, so its two-sided children decide).
 
-Documents go through tasks in blocks of a bounded number of words. A block keeps one number a word,
-compressed, and lists its distinct pairs once, with their counts, so that what is shuffled is a
-block's distinct pairs rather than words; ids come back to the block by a join with the frequent
-pairs. A very common word or pair is one row a block. Only frequent phrases ever become text.
+Documents go through tasks in blocks of a bounded number of words. A block keeps one number a word and
+lists its distinct words or pairs once, with their counts. These lists are what is shuffled: sorted,
+packed into bytes and dealt by a hash to `shards`, so that a shard has all counts of its pairs, names
+the frequent ones, and answers each block with the ids of those that the block has. A very common
+word or pair is one entry a block. Only frequent phrases ever become rows and text.
 
 Defined cases: null texts are empty; a null lang is `und`, together with texts of that lang; empty
 texts have no words; very long texts are counted whole, in as many blocks as they need; repeated rows
@@ -31,6 +32,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +48,11 @@ PARTS = 64
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes.maketrans(b"\t" + ENDS, b" " + b"\n" * len(ENDS))
 BREAK = b"\n"
+#: Rows of a level: a block's own (codes; at the first level its langs and their words), or its list
+#: for a shard (data; at the first level words and langs).
+LISTED = "block long, shard int, codes binary, langs array<string>, times array<long>, words binary, data binary"
+#: Rows of what shards answer: to a block (data), or their frequent phrases.
+ANSWERED = "block long, data binary, ids array<long>, langs array<string>, words array<string>, los array<long>, his array<long>, fs array<long>"
 
 
 def words_and_breaks(text: str | None) -> list[bytes]:
@@ -56,44 +63,73 @@ def words_and_breaks(text: str | None) -> list[bytes]:
     return [w for w in folded.replace(BREAK, b" \n ").split(b" ") if w] + [BREAK]
 
 
-def packed(codes: np.ndarray) -> bytes:
-    return zstandard.compress(codes.astype(np.int32).tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.int32)
-
-
-def _blocks(most: int):
-    """Rows (block, codes, langs, words, counts): codes number the block's words, -1 is a break."""
+def packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, each array in as few bytes a number as its largest needs, first bytes
+    first, compressed."""
+    out = []
+    for a in arrays:
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+        out += [width.to_bytes(1, "little"), len(a).to_bytes(8, "little"), planes.tobytes()]
+    return zstandard.compress(b"".join(out), 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    data, at, out = zstandard.decompress(data), 0, []
+    while at < len(data):
+        width, n = data[at], int.from_bytes(data[at + 1 : at + 9], "little")
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 9).reshape(width, n).T
+        out.append(a.view("<i8").ravel())
+        at += 9 + width * n
+    return out
+
+
+def frame(rows: list[dict], schema: str) -> pd.DataFrame:
+    return pd.DataFrame({x: pd.Series([r.get(x) for r in rows], dtype=object) for x in (field.split()[0] for field in schema.split(", "))})
+
+
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Shard, start and end of each run of a sorted array."""
+    if len(shard):
+        start = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        yield from zip(shard[start].tolist(), start.tolist(), [*start[1:].tolist(), len(shard)], strict=True)
+
+
+def _blocks(most: int, shards: int):
+    """Documents to LISTED rows; codes number a block's words from 1, shard by shard, 0 is a break."""
+
+    def listed(block: int, codes: np.ndarray, known: dict[str, dict[bytes, int]]) -> list[dict]:
+        langs = list(known)
+        words = [(xxhash.xxh3_64_intdigest(w) % shards, w, k, i) for k, lang in enumerate(langs) for w, i in known[lang].items() if i]
+        words.sort()
+        place = np.zeros(len(words) + 1, np.int64)
+        place[[x[3] for x in words]] = np.arange(1, len(words) + 1)
+        codes = place[codes]
+        which, times = np.array([x[2] for x in words], np.int64), np.bincount(codes, minlength=len(words) + 1)[1:]
+        rows = [{"block": block, "codes": packed(codes), "langs": langs, "times": np.bincount(which, times, len(langs)).astype(np.int64)}]
+        for shard, s, t in by_shard(np.array([x[0] for x in words], np.int64)):
+            joined = zstandard.compress(BREAK.join(x[1] for x in words[s:t]), 1)
+            rows.append({"block": block, "shard": shard, "langs": langs, "words": joined, "data": packed(np.array([s]), which[s:t], times[s:t])})
+        return rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = count(TaskContext.get().partitionId() << 32)
-        start = lambda: ([], count(1).__next__, {})
-        held, following, known = start()
-        size = 0
-
-        def block() -> pd.DataFrame:
-            codes = np.concatenate(held) - 1
-            at = [(lang, w, i - 1) for lang, found in known.items() for w, i in found.items() if i]
-            at.sort(key=lambda x: x[2])
-            times = np.bincount(codes[codes >= 0], minlength=len(at))
-            return pd.DataFrame({"block": [next(number)], "codes": [packed(codes)], "langs": [[x[0] for x in at]], "words": [[x[1].decode() for x in at]], "counts": [times]})
-
+        held, following, known, size = [], count(1).__next__, {}, 0
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
                 tokens = words_and_breaks(text)
                 # a long text goes on in the next block: a break is where it may be cut
                 for s, t in cuts(tokens, most):
                     if size + t - s > most and size:
-                        yield block()
-                        (held, following, known), size = start(), 0
+                        yield frame(listed(next(number), np.concatenate(held), known), LISTED)
+                        held, following, known, size = [], count(1).__next__, {}, 0
                     if lang not in known:
                         known[lang] = defaultdict(following, {BREAK: 0})
-                    held.append(np.fromiter(map(known[lang].__getitem__, tokens[s:t]), np.int32, t - s))
+                    held.append(np.fromiter(map(known[lang].__getitem__, tokens[s:t]), np.int64, t - s))
                     size += t - s
         if size:
-            yield block()
+            yield frame(listed(next(number), np.concatenate(held), known), LISTED)
 
     return run
 
@@ -106,24 +142,91 @@ def cuts(tokens: list[bytes], most: int) -> list[tuple[int, int]]:
     return [(([0] + ends)[s], ends[t - 1]) for s, t in c.chunks(np.diff([0, *ends]).tolist(), most)]
 
 
-def _paired(last: bool):
-    """Cogroup of a block with the ids of its frequent grams (i, id): the block's codes become those
-    of its distinct pairs of neighbouring ids, listed with their counts."""
+def answers(blocks: np.ndarray, sizes: list[int], start: list[int], code: np.ndarray, ids: np.ndarray) -> list[dict]:
+    """To each block the ids (-1: none) of those entries of its list that have one. Entry j of a list
+    has the number start + j in its block; code numbers all lists' entries, one list after the other."""
+    rows, at = [], 0
+    for block, n, first in zip(blocks, sizes, start, strict=True):
+        mine = ids[code[at : at + n]]
+        found = np.flatnonzero(mine >= 0)
+        if len(found):
+            rows.append({"block": block, "data": packed(found + first, mine[found])})
+        at += n
+    return rows
+
+
+def _name_words(least: int, shards: int):
+    """All lists of a shard: words that are frequent in a lang get ids."""
+
+    def run(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
+        start, sizes, keys, times = [], [], [], []
+        for langs, words, data in zip(lists["langs"], lists["words"], lists["data"], strict=True):
+            first, which, n = unpacked(data)
+            start.append(int(first[0]))
+            sizes.append(len(n))
+            times.append(n)
+            keys += zip(zstandard.decompress(words).split(BREAK), (langs[k] for k in which), strict=True)
+        flat = np.empty(len(keys), object)
+        flat[:] = keys
+        code, distinct = pd.factorize(flat)
+        f = np.zeros(len(distinct), np.int64)
+        np.add.at(f, code, np.concatenate(times))
+        often = np.flatnonzero(f >= least)
+        ids = np.full(len(distinct), -1, np.int64)
+        ids[often] = np.arange(len(often)) * shards + key[0]
+        rows = [{"ids": ids[often], "langs": [distinct[i][1] for i in often], "words": [distinct[i][0].decode() for i in often], "fs": f[often]}]
+        return frame(rows + answers(lists["block"], sizes, start, code, ids), ANSWERED)
+
+    return run
+
 
-    def run(block: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(named):
-            return pd.DataFrame(columns=["block", "codes", "lefts", "rights", "counts"], dtype=object)
-        i, ids = named["i"].to_numpy(np.int64), named["id"].to_numpy(np.int64)
-        codes = unpacked(block["codes"].iloc[0]).astype(np.int64)
-        place = np.full(max(int(i.max()), int(codes.max(initial=0))) + 2, -1, np.int64)
-        place[i] = np.arange(len(i))
-        here = place[codes]  # -1 reads the last place, which is -1
+def _name_pairs(least: int, shards: int):
+    """All lists of a shard: frequent pairs get ids."""
+
+    def run(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
+        first, los, his, times = zip(*(unpacked(x) for x in lists["data"]), strict=True)
+        lo, hi = np.concatenate([np.cumsum(x) for x in los]), np.concatenate(his)
+        (lo_code, lo_ids), (hi_code, hi_ids) = pd.factorize(lo), pd.factorize(hi)
+        distinct, code = np.unique(lo_code * len(hi_ids) + hi_code, return_inverse=True)
+        f = np.zeros(len(distinct), np.int64)
+        np.add.at(f, code, np.concatenate(times))
+        often = np.flatnonzero(f >= least)
+        ids = np.full(len(distinct), -1, np.int64)
+        ids[often] = np.arange(len(often)) * shards + key[0]
+        pair = distinct[often]
+        rows = [{"ids": ids[often], "los": lo_ids[pair // len(hi_ids)], "his": hi_ids[pair % len(hi_ids)], "fs": f[often]}]
+        return frame(rows + answers(lists["block"], [len(x) for x in his], [int(x[0]) for x in first], code, ids), ANSWERED)
+
+    return run
+
+
+def _paired(shards: int, last: bool):
+    """Cogroup of a block's own row and its answers, to LISTED rows: pairs of neighbouring ids."""
+
+    def run(key: tuple, own: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(answer):
+            return frame([], LISTED)
+        i, ids = (np.concatenate(x) for x in zip(*map(unpacked, answer["data"]), strict=True))
+        (codes,) = unpacked(own["codes"].iloc[0])
+        place = np.full(max(int(i.max()) + 1, int(codes.max(initial=0))) + 1, -1, np.int64)
+        place[i + 1] = np.arange(len(i))  # codes count from 1
+        here = place[codes]
         pair = np.where((here[:-1] >= 0) & (here[1:] >= 0), here[:-1] * len(i) + here[1:], -1)
         distinct, code, times = np.unique(pair, return_inverse=True, return_counts=True)
-        if len(distinct) and distinct[0] < 0:
-            distinct, times, code = distinct[1:], times[1:], code - 1
-        kept = b"" if last else packed(code)
-        return pd.DataFrame({"block": [block["block"].iloc[0]], "codes": [kept], "lefts": [ids[distinct // len(i)]], "rights": [ids[distinct % len(i)]], "counts": [times]})
+        none = int(len(distinct) > 0 and distinct[0] < 0)
+        distinct, times = distinct[none:], times[none:]
+        lo, hi = ids[distinct // len(i)], ids[distinct % len(i)]
+        shard = (c.mix(c.mix(lo.view(c.U64)) + hi.view(c.U64)) % c.U64(shards)).astype(np.int64)
+        order = np.lexsort((hi, lo, shard))
+        rows = []
+        if not last:
+            rank = np.zeros(len(order) + none, np.int64)
+            rank[order + none] = np.arange(1, len(order) + 1)
+            rows.append({"block": key[0], "codes": packed(rank[code])})
+        lo, hi, times = lo[order], hi[order], times[order]
+        for k, s, t in by_shard(shard[order]):
+            rows.append({"block": key[0], "shard": k, "data": packed(np.array([s]), np.diff(lo[s:t], prepend=0), hi[s:t], times[s:t])})
+        return frame(rows, LISTED)
 
     return run
 
@@ -137,27 +240,25 @@ def grams(documents: DataFrame, least: int = 30, longest: int = 4) -> tuple[list
     parents: all words but the last, all but the first), heads and tails (occurrences of the first
     1, 2, ... words, and of the words behind them); and the words of each lang (lang, n)."""
     spark = c.session(documents.sparkSession)
+    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    blocks = c.table(docs.mapInPandas(c.freed(_blocks(BLOCK)), "block long, codes binary, langs array<string>, words array<string>, counts array<long>"), "blocks")
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("i", "x")).select("block", "i", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    words = c.table(rows.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+    listed = c.table(docs.mapInPandas(c.freed(_blocks(BLOCK, shards)), LISTED), "words")
+    totals = listed.where("shard IS NULL").select(F.explode(F.arrays_zip("langs", "times")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.times").alias("n")).where("n > 0")
+    totals = c.table(totals, "totals")
+    answered = c.table(listed.where("shard IS NOT NULL").groupBy("shard").applyInPandas(_name_words(least, shards), ANSWERED), "word-ids")
     none = F.array().cast("array<long>")
-    level = named(words.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), F.col("word").alias("last_word"), "f", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), none.alias("heads"), none.alias("tails")))
-    levels, ids = [level], rows.join(level.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select(F.col("block").alias("of_block"), "i", "id")
+    words = answered.where("block IS NULL").select(F.explode(F.arrays_zip("ids", "langs", "words", "fs")).alias("x"))
+    levels = [c.table(words.select(F.col("x.ids").alias("id"), F.col("x.langs").alias("lang"), F.col("x.words").alias("phrase"), F.col("x.words").alias("last_word"), F.col("x.fs").alias("f"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), none.alias("heads"), none.alias("tails")), "grams")]
     for k in range(2, longest + 1):
-        pairs = blocks.select("block", "codes").groupBy("block").cogroup(ids.groupBy("of_block")).applyInPandas(_paired(k == longest), "block long, codes binary, lefts array<long>, rights array<long>, counts array<long>")
-        blocks = c.table(pairs, f"pairs-{k}")
-        rows = blocks.select("block", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("i", "x")).select("block", "i", F.col("x.lefts").alias("lo"), F.col("x.rights").alias("hi"), F.col("x.counts").alias("n"))
-        often = rows.groupBy("lo", "hi").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        level = named(with_parents(c.table(often, "often"), level))
-        levels.append(level)
-        ids = rows.join(level.select("lo", "hi", "id"), ["lo", "hi"]).select(F.col("block").alias("of_block"), "i", "id")
-    return levels, words.groupBy("lang").agg(F.sum("f").alias("n"))
-
-
-def named(rows: DataFrame) -> DataFrame:
-    """rows as a table, each with an id."""
-    return c.table(rows.withColumn("id", F.monotonically_increasing_id()), "grams")
+        own, back = listed.where("shard IS NULL").select("block", "codes"), answered.where("block IS NOT NULL").select(F.col("block").alias("of_block"), "data")
+        after = c.table(own.groupBy("block").cogroup(back.groupBy("of_block")).applyInPandas(_paired(shards, k == longest), LISTED), f"pairs-{k}")
+        c.drop(listed, answered)
+        listed = after
+        answered = c.table(listed.where("shard IS NOT NULL").groupBy("shard").applyInPandas(_name_pairs(least, shards), ANSWERED), f"pair-ids-{k}")
+        often = answered.where("block IS NULL").select(F.explode(F.arrays_zip("ids", "los", "his", "fs")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.los").alias("lo"), F.col("x.his").alias("hi"), F.col("x.fs").alias("f"))
+        levels.append(c.table(with_parents(often, levels[-1]), "grams"))
+    c.drop(listed, answered)
+    return levels, totals
 
 
 def with_parents(often: DataFrame, level: DataFrame) -> DataFrame:
@@ -165,7 +266,7 @@ def with_parents(often: DataFrame, level: DataFrame) -> DataFrame:
     hi = level.select(F.col("id").alias("hi"), "last_word", F.col("f").alias("hi_f"), F.col("tails").alias("hi_tails"))
     phrase = F.concat_ws(" ", "lo_phrase", "last_word").alias("phrase")
     heads, tails = F.concat("lo_heads", F.array("lo_f")).alias("heads"), F.concat(F.array("hi_f"), "hi_tails").alias("tails")
-    return often.join(lo, "lo").join(hi, "hi").select("lang", phrase, "last_word", "f", "lo", "hi", heads, tails)
+    return often.join(lo, "lo").join(hi, "hi").select("id", "lang", phrase, "last_word", "f", "lo", "hi", heads, tails)
 
 
 def scored(level: DataFrame, scale: int) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import fresh, table  # noqa: F401  used through this module
+from ..functions.storage import drop, fresh, table  # noqa: F401  used through this module
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
