@@ -13,11 +13,11 @@ from ..functions.params import Page, Search
 from ..functions.storage import ranked
 from ..operators import activity, catalog, checks, mining, reviews, translation
 from ..streaming import activity as streams
-from . import fixtures
+from . import derived
 from . import views as v
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(fixtures.QUERIES)
-ORACLES: dict[str, str] = dict(fixtures.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(derived.QUERIES)
+ORACLES: dict[str, str] = dict(derived.ORACLES)
 CARD_SQL = """
 matching AS (SELECT DISTINCT group_key FROM listing WHERE {where}),
 ranked AS (SELECT l.*, row_number() OVER (PARTITION BY group_key ORDER BY completeness DESC, local_id, id) AS rank FROM listing l JOIN matching USING (group_key)),

@@ -1,5 +1,4 @@
-"""Operators whose inputs the driver's tables can't stand for, as queries over small fixtures, each
-beside the rows that must come out."""
+"""Operators on small fixtures, each beside the rows that must come out (see test_fixtures.py)."""
 
 from __future__ import annotations
 
@@ -9,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.params import Search
-from ..functions.storage import fresh
-from ..operators import catalog, checks, mining
-from ..sources import catalog_json
+from loomcat.functions.params import Search
+from loomcat.functions.storage import fresh
+from loomcat.operators import catalog, checks, mining
+from loomcat.sources import catalog_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
