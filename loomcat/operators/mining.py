@@ -31,6 +31,8 @@ CONTACTS = (
 )
 #: Names of a dictionary that may be broadcast.
 MOST_NAMES = 2_000_000
+#: Characters of a name that is spelled by initials.
+MOST_SYLLABLES = 8
 #: Kinds of texts that a classifier may have.
 MOST_KINDS = 100
 HIGHLIGHTS = "array<struct<start_offset:int,end_offset:int,entity_type:string,match_kind:string>>"
@@ -286,35 +288,18 @@ def entity_pairs(texts: DataFrame, names: DataFrame, key: str, text: str, name_k
     return met.join(texts.select(key, text), key).where(F.contains(text, "_name")).select(key, name_key).distinct()
 
 
-def mine_aliases(mentions: DataFrame, noise: Iterable[str] = ("ppt", "sky", "ddl", "lz", "dz", "gpa"), least: int = 2) -> DataFrame:
-    """alias, entity_type, canonical_name, evidence_count from (entry_key, content, course_name,
-    teachers (array)): `name/alias` gives a course alias; as many lower-case initials as teachers
-    after them, in their order, give teacher aliases. An alias needs `least` entries, and initials
-    that fit several teachers equally well go to none."""
-    course = mentions.select(
-        "entry_key", F.lit("course").alias("entity_type"), F.col("course_name").alias("canonical_name"),
-        F.expr("regexp_extract(content, concat('\\\\Q', course_name, '\\\\E/([^\\\\s/]{2,12})'), 1)").alias("alias"),
-    )
-    tail = F.regexp_extract("content", r"((?:\s+[a-z]{2,4})+)\s*$", 1)
-    words = F.filter(F.split(F.trim(tail), r"\s+"), lambda w: ~w.isin(*noise) & (w != ""))
-    paired = mentions.where(F.size(words) == F.size("teachers")).select("entry_key", F.explode(F.arrays_zip(F.col("teachers").alias("who"), words.alias("short"))).alias("p"))
-    teacher = paired.select("entry_key", F.lit("teacher").alias("entity_type"), F.col("p.who").alias("canonical_name"), F.col("p.short").alias("alias"))
-    counted = course.unionByName(teacher).where("alias <> ''").where(~F.col("alias").isin(*noise)).groupBy("alias", "entity_type", "canonical_name").agg(F.count_distinct("entry_key").alias("evidence_count")).where(F.col("evidence_count") >= least)
-    best = counted.groupBy("alias", "entity_type").agg(F.max("evidence_count").alias("most"))
-    kept = counted.join(best, ["alias", "entity_type"]).where("evidence_count = most")
-    single = kept.groupBy("alias", "entity_type").count().where("count = 1")
-    return kept.join(single.select("alias", "entity_type"), ["alias", "entity_type"], "left_semi").select("alias", "entity_type", "canonical_name", "evidence_count")
-
-
 def teacher_initials(teachers: DataFrame, syllables: DataFrame, noise: Iterable[str] = ("lz", "dz", "ddl", "ppt", "gpa", "sky")) -> DataFrame:
     """teacher and initials: the first letters of the syllables (letter, syllable) of a name's
-    characters, in order. Names with a character that has no syllable, one-character names and
-    initials that mean something else get none."""
-    names = teachers.select("teacher").where(F.length("teacher") > 0).distinct()
+    characters, in order; a row for each choice where characters have several. Names with a character
+    that has no syllable, names of one character or of over eight, and initials that mean something
+    else get none."""
+    names = teachers.select("teacher").where(F.length("teacher").between(2, MOST_SYLLABLES)).distinct()
     spelled = names.select("teacher", F.posexplode(F.filter(F.split("teacher", ""), lambda x: x != "")).alias("at", "letter"))
-    joined = spelled.join(syllables.groupBy("letter").agg(F.min("syllable").alias("syllable")), "letter", "left")
-    one = joined.groupBy("teacher").agg(F.array_sort(F.collect_list(F.struct("at", F.substring("syllable", 1, 1).alias("x")))).alias("xs"), F.count("syllable").alias("known"), F.count("*").alias("n"))
-    out = one.where("known = n AND n > 1").select("teacher", F.array_join(F.transform("xs", lambda v: F.lower(v["x"])), "").alias("initials"))
+    first = syllables.where(F.length("syllable") > 0).groupBy("letter").agg(F.array_sort(F.collect_set(F.lower(F.substring("syllable", 1, 1)))).alias("firsts"))
+    joined = spelled.join(first, "letter", "left")
+    one = joined.groupBy("teacher").agg(F.array_sort(F.collect_list(F.struct("at", "firsts"))).alias("xs"), F.count("firsts").alias("known"), F.count("*").alias("n"))
+    grown = F.aggregate("xs", F.array(F.lit("")), lambda got, x: F.flatten(F.transform(got, lambda head: F.transform(x["firsts"], lambda v: F.concat(head, v)))))
+    out = one.where("known = n").select("teacher", F.explode(F.array_distinct(grown)).alias("initials"))
     return out.where(~F.col("initials").isin(*noise))
 
 

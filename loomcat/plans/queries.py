@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.params import Page, Search
 from ..functions.storage import ranked
-from ..operators import activity, catalog, checks, mining, reviews, translation
+from ..operators import activity, aliases, catalog, checks, mining, reviews, translation
 from ..streaming import activity as streams
 from . import derived
 from . import views as v
@@ -389,15 +389,24 @@ def entity_match_longest(spark, sf_dir):
     return mining.longest_matches(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", names)
 
 
-@query("""WITH t AS (SELECT 'd' || doc_id AS entry_key, 'name' || (doc_id % 5) AS course_name, 'name' || (doc_id % 5) || '/al' || ((doc_id % 5 + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) % 5) || 'x ' AS content, doc_id FROM documents),
-c AS (SELECT 'al' || ((doc_id % 5 + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) % 5) || 'x' AS alias, course_name AS canonical_name, count(*) AS evidence_count FROM t GROUP BY 1, 2 HAVING count(*) >= 2),
-b AS (SELECT *, max(evidence_count) OVER (PARTITION BY alias) AS most FROM c), k AS (SELECT * FROM b WHERE evidence_count = most)
-SELECT alias, 'course' AS entity_type, canonical_name, evidence_count FROM k WHERE alias IN (SELECT alias FROM k GROUP BY alias HAVING count(*) = 1)""")
+#: Of each text the first word is taken as a name and the second as written beside it; what else stands
+#: beside the name in the text counts as well.
+_BESIDE = r"[^\s/／|=()（）\[\]【】,，.。;；:：!！?？、]+"
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract(text, '^(\S+) (\S)', 1) AS name, regexp_replace(text, '^(\S+) (\S)', '\1/\2') AS content FROM documents WHERE regexp_matches(text, '^(\S+) (\S)')),
+f AS (SELECT doc_id, name, unnest(regexp_extract_all(content, '\Q' || name || '\E/(""" + _BESIDE + r""")', 1)) AS alias FROM d
+  UNION ALL SELECT doc_id, name, unnest(regexp_extract_all(content, '(""" + _BESIDE + r""")/\Q' || name || '\E', 1)) FROM d),
+p AS (SELECT DISTINCT doc_id, name, alias FROM f WHERE length(alias) BETWEEN 2 AND 12 AND alias <> name AND lower(alias) NOT IN ('ppt', 'sky', 'ddl', 'lz', 'dz', 'gpa')),
+b AS (SELECT name, alias, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 2), o AS (SELECT alias, count(DISTINCT doc_id) AS a FROM p GROUP BY ALL), c AS (SELECT name, count(*) AS c FROM d GROUP BY ALL), t AS (SELECT count(*) AS t FROM documents),
+m AS (SELECT name, alias, n, a, c, t, unnest([{'n': n, 'x': a, 'y': c}, {'n': a - n, 'x': a, 'y': t - c}, {'n': c - n, 'x': t - a, 'y': c}, {'n': t - a - c + n, 'x': t - a, 'y': t - c}]) AS z FROM b JOIN o USING (alias) JOIN c USING (name), t),
+s AS (SELECT name, alias, n, 2 * sum(CASE WHEN z.n > 0 THEN z.n * ln(z.n::DOUBLE * t / (z.x::DOUBLE * z.y)) ELSE 0 END) AS ratio FROM m WHERE n * t > a * c GROUP BY ALL),
+k AS (SELECT *, round(ratio, 6) AS r, rank() OVER (PARTITION BY alias ORDER BY round(ratio, 6) DESC, n DESC) AS place FROM s WHERE ratio >= 3.84)
+SELECT alias, 'course' AS entity_type, any_value(name) AS canonical_name, any_value(n)::BIGINT AS evidence_count, any_value(r) AS ratio FROM k WHERE place = 1 GROUP BY alias HAVING count(*) = 1""")
 def alias_mining(spark, sf_dir):
-    k = F.col("doc_id")
-    name = F.concat(F.lit("name"), k % 5)
-    rows = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), k).alias("entry_key"), name.alias("course_name"), F.concat(name, F.lit("/al"), (k % 5 + F.when(k % 7 == 0, 1).otherwise(0)) % 5, F.lit("x ")).alias("content"), F.array().cast("array<string>").alias("teachers"))
-    return mining.mine_aliases(rows)
+    name = F.regexp_extract("text", r"^(\S+) (\S)", 1)
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_key"), F.when(name != "", name).alias("course_name"), F.regexp_replace("text", r"^(\S+) (\S)", "$1/$2").alias("content"), F.array().cast("array<string>").alias("teachers"))
+    return aliases.mine(rows, between="/").withColumn("ratio", F.round("ratio", 6))
 
 
 #: Counts, weights and scores of the naive Bayes classifier.
