@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.params import Page, Search
 from ..functions.storage import ranked
-from ..operators import activity, aliases, catalog, checks, mining, reviews, translation
+from ..operators import activity, aliases, catalog, checks, kinds, mining, reviews, translation
 from ..streaming import activity as streams
 from . import derived
 from . import views as v
@@ -429,6 +429,15 @@ def thread_classifier(spark, sf_dir):
     return _classifier(spark, sf_dir).classify(read(spark, sf_dir, "documents"), "doc_id", "text").withColumn("margin", F.round("margin", 6))
 
 
+@query()
+def thread_kinds(spark, sf_dir):
+    kind = F.when(F.col("toxic") == 1, "dropped").when(F.col("quality") == 1, "review").otherwise("request").alias("kind")
+    labelled = read(spark, sf_dir, "labels").select("doc_id", kind).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "key")
+    learned = kinds.Kinds.learn(labelled)
+    given = learned.classify(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("documents"))
+    return learned.report().join(kinds.naive_bayes_out_of_fold(labelled), "kind").join(given, "kind", "left")
+
+
 _CONTACT = "(text || ' VX: some_one' || doc_id || ', q ' || (doc_id + 1000000) || ', a.b@mail.example ')"
 
 
