@@ -9,11 +9,10 @@ Prefix-coded streams are read all bits at once: for every bit position numpy loo
 pixel, cache reference or back-reference that began there would be, then the positions where they
 really begin are followed one to the next. Only images with several code groups go symbol by symbol.
 
-`store` keeps a byte string as images, three bytes a pixel. Each image takes the smallest of: codes
-of eight bits for all symbols; fixed codes for text, by a rule (their few bytes of header are the same
-in every file); and, from OWN pixels on, codes of its own with back-references, with or without a
-colour cache, after the transform (none, subtract green, palette, predictor left or top) that leaves
-the least entropy. `restore` reads all of them by `decode`.
+`store` keeps a byte string as images, three bytes a pixel. Each image, of any size, is coded with codes
+of its own and back-references, with and without a colour cache, after the transform (none, subtract
+green, palette, predictor left or top) that leaves the least entropy; codes of eight bits, or fixed
+ones for text, are taken only where they make a smaller file. `restore` reads all of them by `decode`.
 
 Defined cases: null media give null pixels; a file that is no lossless WebP raises ValueError (or,
 with on_error="null", gives nulls); null text is an empty payload, stored like any other; very long
@@ -24,8 +23,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
+import itertools
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +43,6 @@ PREDICT, CROSS, GREEN, PALETTE = range(4)
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, -p[1], -p[0]))
 _NEAR_X, _NEAR_Y = (np.array(x) for x in zip(*NEAR, strict=True))
 UNIT, ROW = 576, 192
-#: Pixels from which an image is tried with codes of its own; shorter ones rarely pay for their header.
-OWN = 8192
 #: Bits looked at together, and cache bits that are tried.
 STRETCH, CACHE = 1 << 15, 8
 
@@ -82,14 +80,18 @@ class Writer:
 # ---- prefix codes
 
 
-def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """Symbol: (code with its first bit lowest, length)."""
-    out, code, before = {}, 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - before
-        out[s] = int(f"{code:0{n}b}"[::-1], 2), n
-        code, before = code + 1, n
-    return out
+_REVERSED = np.array([int(f"{x:08b}"[::-1], 2) for x in range(256)], np.int64)
+
+
+def canonical(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols that occur, by length and number, with their codes (first bit lowest) and lengths."""
+    size = np.asarray(lengths, np.int64)
+    symbols = np.flatnonzero(size)
+    symbols = symbols[np.argsort(size[symbols], kind="stable")]
+    size = size[symbols]
+    # a code is the sum of what the codes before it take of the whole, in units of its own length
+    code = (np.cumsum(1 << (15 - size)) - (1 << (15 - size))) >> (15 - size)
+    return symbols, (_REVERSED[code & 255] << 8 | _REVERSED[code >> 8]) >> (16 - size), size
 
 
 class Code:
@@ -99,25 +101,25 @@ class Code:
         self.lengths = lengths
         used = [s for s, n in enumerate(lengths) if n]
         if len(used) < 2:
-            self.bits, self.table = 0, [(used[0] if used else 0, 0)]
+            self.bits, self.packed = 0, np.array([(used[0] if used else 0) << 4], np.int64)
             return
         if sum(2.0**-n for n in lengths if n) != 1:
             raise ValueError("a prefix code is not complete")
         self.bits = max(lengths)
-        self.table = [(0, 0)] * (1 << self.bits)
-        for s, (code, n) in canonical(lengths).items():
-            self.table[code :: 1 << n] = [(s, n)] * (1 << self.bits - n)
+        #: 16 * symbol + length by the next `bits` bits
+        self.packed = np.zeros(1 << self.bits, np.int64)
+        for s, code, n in zip(*(x.tolist() for x in canonical(lengths)), strict=True):
+            self.packed[code :: 1 << n] = s << 4 | n
+
+    @functools.cached_property
+    def table(self) -> list[int]:
+        return self.packed.tolist()
 
     def read(self, bits: Bits) -> int:
         at = bits.at
-        s, n = self.table[int.from_bytes(bits.raw[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & ((1 << self.bits) - 1)]
-        bits.at = at + n
-        return s
-
-    @functools.cached_property
-    def packed(self) -> np.ndarray:
-        """16 * symbol + length by the next `bits` bits."""
-        return np.array([x << 4 | n for x, n in self.table], np.int64)
+        x = self.table[int.from_bytes(bits.raw[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & ((1 << self.bits) - 1)]
+        bits.at = at + (x & 15)
+        return x >> 4
 
     def look(self, window: np.ndarray) -> np.ndarray:
         return self.packed.take(window & ((1 << self.bits) - 1))
@@ -183,17 +185,27 @@ def huffman(counts: list[int], most: int) -> list[int]:
     """Code lengths of at most `most` bits for the symbols that occur."""
     if len(used := [s for s, n in enumerate(counts) if n]) < 2:
         return [int(s in used) for s in range(len(counts))]
-    floor = 1
+    floor, lengths = 1, [0] * len(counts)
     while True:
-        heap = [(max(counts[s], floor), k, [s]) for k, s in enumerate(used)]
-        heapq.heapify(heap)
-        lengths, k = [0] * len(counts), len(heap)
-        while len(heap) > 1:
-            (n, _, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a + b:
-                lengths[s] += 1
-            heapq.heappush(heap, (n + m, k := k + 1, a + b))
-        if max(lengths) <= most:
+        # leaves by weight and joined nodes, whose weights only grow, are two queues
+        leaves = sorted((max(counts[s], floor), s) for s in used)
+        weights, above, leaf, node = [n for n, _ in leaves], [0] * (2 * len(leaves) - 1), 0, len(leaves)
+        for new in range(len(leaves), 2 * len(leaves) - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < len(leaves) and (node >= new or weights[leaf] <= weights[node]):
+                    at, leaf = leaf, leaf + 1
+                else:
+                    at, node = node, node + 1
+                total += weights[at]
+                above[at] = new
+            weights.append(total)
+        depth = [0] * len(above)
+        for at in range(len(above) - 2, -1, -1):
+            depth[at] = depth[above[at]] + 1
+        if max(depth) <= most:
+            for k, (_, s) in enumerate(leaves):
+                lengths[s] = depth[k]
             return lengths
         floor *= 2  # a flatter distribution
 
@@ -208,32 +220,32 @@ def write_code(out: Writer, lengths: list[int]) -> None:
         for s in used:
             out.put(s, 8)
         return
-    tokens, k = [], 0  # (symbol, extra value, extra bits)
-    while k < len(lengths):
-        run = 1
-        while k + run < len(lengths) and lengths[k + run] == lengths[k]:
-            run += 1
-        if lengths[k] == 0 and run >= 3:
-            run = min(run, 138)
-            tokens.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
-        elif run >= 4:
-            run = min(run, 7)
-            tokens += [(lengths[k], 0, 0), (16, run - 4, 2)]
-        else:
-            run = 1
-            tokens.append((lengths[k], 0, 0))
-        k += run
-    of_lengths = huffman([sum(t[0] == s for t in tokens) for s in range(19)], 7)
-    out.put(0, 1)
-    out.put(15, 4)
+    tokens = []  # (symbol, extra value, extra bits)
+    for length, same in itertools.groupby(lengths):
+        run = sum(1 for _ in same)
+        while length == 0 and run >= 3:
+            part = min(run, 138)
+            tokens.append((17, part - 3, 3) if part <= 10 else (18, part - 11, 7))
+            run -= part
+        while run >= 4:
+            part = min(run, 7)
+            tokens += [(length, 0, 0), (16, part - 4, 2)]
+            run -= part
+        tokens += [(length, 0, 0)] * run
+    times = Counter(t[0] for t in tokens)
+    of_lengths = huffman([times[s] for s in range(19)], 7)
+    value, size = 15 << 1, 5  # the whole head at once: long numbers are slow to add to
     for s in LENGTH_ORDER:
-        out.put(of_lengths[s], 3)
-    out.put(0, 1)
-    codes, several = canonical(of_lengths), sum(map(bool, of_lengths)) > 1
+        value, size = value | of_lengths[s] << size, size + 3
+    size += 1
+    codes = dict.fromkeys(times, (0, 0))
+    if len(times) > 1:
+        symbols, values, sizes = (x.tolist() for x in canonical(of_lengths))
+        codes = dict(zip(symbols, zip(values, sizes, strict=True), strict=True))
     for s, extra, n in tokens:
-        if several:
-            out.put(*codes[s])
-        out.put(extra, n)
+        code, m = codes[s]
+        value, size = value | (code | extra << m) << size, size + m + n
+    out.put(value, size)
 
 
 # ---- entropy-coded images
@@ -567,8 +579,8 @@ def _coder(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Codes and their lengths by symbol; none for a lone symbol."""
     code, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     if sum(map(bool, lengths)) > 1:
-        for x, (value, n) in canonical(list(lengths)).items():
-            code[x], size[x] = value, n
+        symbols, values, sizes = canonical(list(lengths))
+        code[symbols], size[symbols] = values, sizes
     return code, size
 
 
@@ -921,12 +933,10 @@ def store(payload: bytes) -> bytes:
         counts = np.bincount(part, minlength=256)
         sizes = {text: int(counts @ np.array(_fixed_codes(text)[1])) + _fixed_head(ROW, height, text)[1] for text in (True, False)}
         text = min(sizes, key=sizes.get)
-        own = None
-        if height * ROW >= OWN:
-            pixels = np.zeros((height * ROW, 4), np.uint8)
-            pixels[:, :3], pixels[:, 3] = part.reshape(-1, 3)[:, ::-1], 255
-            own = smallest(pixels.view("<u4").reshape(height, ROW))
-        if own is None or 8 * len(own) > sizes[text] + 8 * 28:
+        pixels = np.zeros((height * ROW, 4), np.uint8)
+        pixels[:, :3], pixels[:, 3] = part.reshape(-1, 3)[:, ::-1], 255
+        own = smallest(pixels.view("<u4").reshape(height, ROW))
+        if 8 * len(own) > sizes[text] + 8 * 28:
             own = _fixed(part, height, text)
         files.append(own)
     return b"".join(files)

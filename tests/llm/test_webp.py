@@ -88,7 +88,7 @@ def test_store_round_trip(n, kind):
         assert len(media) < (0.8 if n > 9_000 else 0.95) * n
 
 
-def test_large_images_have_codes_copies_and_transforms_of_their_own(monkeypatch):
+def test_images_have_codes_copies_and_transforms_of_their_own(monkeypatch):
     """Each way is taken by some payload, and each takes less than without it."""
     used = []
     old = webp.encode
@@ -113,6 +113,13 @@ def test_large_images_have_codes_copies_and_transforms_of_their_own(monkeypatch)
     assert sizes[2] < sizes[1] < sizes[0]
 
 
+def test_small_images_have_copies_too():
+    x = english(46) * 100
+    x += b"\xff" * (-len(x) % 576)
+    media = webp.store(x)
+    assert webp.restore(media) == x and len(x) < 5000 and len(media) < 250
+
+
 def test_several_images(monkeypatch):
     monkeypatch.setattr(webp, "SIDE", 2)
     monkeypatch.setattr(webp, "_head", lambda out, w, h, a: [out.put(v, n) for v, n in ((0x2F, 8), (w - 1, 14), (h - 1, 14), (0, 4))])
