@@ -6,15 +6,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.params import Search
 from ..functions.storage import fresh
 from ..operators import catalog, checks, mining
+from ..operators.paging import StoredOrder
 from ..operators.trigrams import TrigramIndex
-from ..sources import catalog_json, publish
+from ..operators.visitors import Visitors
+from ..sources import catalog_json, publish, quarantine
+from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +206,44 @@ def published_versions(spark, sf_dir):
         publish.publish(df, root, unique, batch)
     found = [publish.current(spark, root, m["number"]).agg(F.lit(m["number"]).cast("long").alias("number"), F.count("*").alias("rows"), F.sum("k").alias("keys")) for m in publish.manifests(spark, root)]
     return catalog.union_levels(*found)
+
+
+# ---- visitors by bitmaps, stored orders, damaged rows
+
+
+@query(
+    "WITH " + v.DAYS + f""", w AS (SELECT strftime(TIMESTAMP '1970-01-01' + to_seconds({v.NOW} + 28800), '%Y-%m-%d') AS today, strftime(TIMESTAMP '1970-01-01' + to_seconds({v.NOW} + 28800 - 6 * 86400), '%Y-%m-%d') AS start)
+SELECT sum(CASE WHEN day = today THEN views ELSE 0 END)::BIGINT AS today_views, count(DISTINCT CASE WHEN day = today THEN ip_hash END) AS today_visitors, sum(CASE WHEN day >= start THEN views ELSE 0 END)::BIGINT AS week_views,
+  count(DISTINCT CASE WHEN day >= start THEN ip_hash END) AS week_visitors, sum(views)::BIGINT AS total_views, count(DISTINCT ip_hash) AS total_visitors FROM day, w"""
+)
+def visit_bitmaps(spark, sf_dir):
+    visits, visitors = v.visits(spark, sf_dir), Visitors(spark, fresh(spark, "visitors"))
+    first = t.beijing_day("at") < "2024-01-15"
+    for days in (first, ~first):  # the later days come on their own
+        visitors.add(visits.where(days))
+    return visitors.stats(v.NOW)
+
+
+PAGES = ((0, 20), (150, 50), (977, 13), (10**9, 5))
+
+
+@query(f"""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_name DESC, p_retailprice, p_partkey) - 1 AS k FROM part)
+SELECT o::BIGINT AS page_offset, k - o + 1 AS place, p_partkey FROM r, (VALUES {", ".join(str(x) for x in PAGES)}) AS p(o, n) WHERE k >= o AND k < o + n""")
+def page_stored_order(spark, sf_dir):
+    order = StoredOrder.build(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), [F.desc("p_name"), F.asc("p_retailprice"), F.asc("p_partkey")], fresh(spark, "order"), per_range=500)
+    keys = Window.orderBy(F.desc("p_name"), F.asc("p_retailprice"), F.asc("p_partkey"))  # of a page
+    return catalog.union_levels(*(order.page(o, n).select(F.lit(o).cast("long").alias("page_offset"), F.row_number().over(keys).cast("long").alias("place"), "p_partkey") for o, n in PAGES))
+
+
+_DAMAGED = """CASE WHEN event_id % 13 = 0 THEN substr(props, 1, length(props) - 1) WHEN event_id % 17 = 0 THEN '{"k": "many"}' WHEN event_id % 19 = 0 THEN '{"other": 1}' WHEN event_id % 23 = 0 THEN '[1]' WHEN event_id % 29 = 0 THEN '  '
+  WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 37 = 0 THEN '{"k": NaN}' WHEN event_id % 41 = 0 THEN '{"k": 5, "who": {"name": 7}}' WHEN event_id % 43 = 0 THEN '{"k": null, "who": {"name": [1]}}' ELSE props END"""
+
+
+@query(f"""WITH e AS (SELECT event_id AS row, {_DAMAGED} AS value, CASE WHEN event_id % 13 = 0 THEN 'no JSON' WHEN event_id % 17 = 0 THEN 'kind' WHEN event_id % 19 = 0 THEN 'missing' WHEN event_id % 23 = 0 THEN 'no object'
+  WHEN event_id % 29 = 0 THEN 'empty' WHEN event_id % 31 = 0 THEN 'empty' WHEN event_id % 37 = 0 THEN 'no JSON' WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 43 = 0 THEN 'missing' END AS reason FROM events)
+SELECT row, CASE WHEN reason IS NULL THEN CAST(json_extract_string(value, '$.k') AS BIGINT) END AS k, CASE WHEN reason IN ('kind', 'missing') THEN '$.k' WHEN reason IS NOT NULL THEN '$' END AS path, reason FROM e
+UNION ALL SELECT row, NULL, '$.who.name', 'kind' FROM e WHERE reason = 'missing' AND contains(value, '[1]')""")
+def quarantined_rows(spark, sf_dir):
+    lines = _read(spark, sf_dir, "events").select(F.lit("events").alias("file"), F.col("event_id").alias("row"), F.expr(_DAMAGED).alias("value"))
+    good, bad = quarantine.split(lines, [quarantine.Field("k", "$.k", "long"), quarantine.Field("who", "$.who.name", "string", False)])
+    return good.select("row", "k", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("reason")).union(bad.select("row", F.lit(None).cast("long"), "path", "reason"))

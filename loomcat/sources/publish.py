@@ -84,18 +84,28 @@ def publish(df: DataFrame, root: str, check: Callable[[DataFrame], None], batch:
     path = f"{root}/versions/{uuid.uuid4().hex}"
     df.write.parquet(path)
     check(spark.read.parquet(path))
+    mine = claim_next(spark, root, lambda known: None if any(m["batch"] == batch for m in known) else {"batch": batch, "path": path})
+    if mine is not None:
+        return path
+    _delete(spark, path)
+    return next(m["path"] for m in manifests(spark, root) if m["batch"] == batch)
+
+
+def claim_next(spark: SparkSession, root: str, make: Callable[[list[dict]], dict | None]) -> dict | None:
+    """Put the manifest that make gives, for the manifests that there are, in place under the next
+    number; where another writer was first, make is asked again. None if make gives none."""
     folder, fs = _path(spark, f"{root}/manifests")
     fs.mkdirs(folder)
     for _ in range(TRIES):
         known = manifests(spark, root)
-        if done := [m for m in known if m["batch"] == batch]:
-            _delete(spark, path)
-            return done[0]["path"]
+        body = make(known)
+        if body is None:
+            return None
         number = known[-1]["number"] + 1 if known else 0
         aside = f"{root}/manifests/aside-{uuid.uuid4().hex}"
-        _put(spark, aside, json.dumps({"number": number, "batch": batch, "path": path}))
+        _put(spark, aside, json.dumps({"number": number, **body}))
         if _claim(spark, aside, f"{root}/manifests/{number:012d}"):
-            return path
+            return {"number": number, **body}
         _delete(spark, aside)
     raise RuntimeError(f"no version of {root} could be claimed in {TRIES} tries")
 

@@ -11,20 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.storage import fresh
-from ..operators.activity import LIMITS, admit, merge_days, visit_days
+from ..operators.activity import LIMITS, admit, visit_days
+from .upserts import DayTable
 
 
-def visit_stream(visits: DataFrame) -> DataFrame:
-    """Daily upserts of a stream of visits. Each micro-batch is grouped and written under its batch
-    id, so a batch that runs twice replaces itself; the batches are merged when read."""
+def visit_stream(visits: DataFrame, keep: int = 1) -> DataFrame:
+    """Daily upserts of a stream of visits: each micro-batch is merged into the days it touches, under
+    its batch number, so a batch that runs twice counts once."""
     spark, out = visits.sparkSession, fresh(visits.sparkSession, "visit-days")
+    days = DayTable(spark, out)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        visit_days(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if days.upsert(visit_days(batch), number):
+            days.compact(keep)
 
     visits.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema("day string, ip_hash string, views long, last_at long, batch int").option("basePath", out).parquet(out).drop("batch")
-    return merge_days(rows, rows.limit(0))
+    return days.read()
 
 
 class Limiter(StatefulProcessor):
