@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.storage import ranked
+from ..functions.storage import ranked, table
 
 #: Parts of user agents that are no visitors (fixed values).
 BOTS = ("bot", "spider", "crawl", "slurp", "curl", "wget", "python-")
@@ -72,28 +72,55 @@ def admit(times: list[int], limits: tuple[tuple[int, int], ...], past: deque[int
     return out, past
 
 
+def pieces(attempts: DataFrame, longest: int) -> DataFrame:
+    """attempts (sender, at, ...) with piece: a sender's attempts are cut where nothing happens for
+    the longest window, since nothing before such a gap counts behind it. A gap always lies between
+    spans of that many seconds, so the first and last attempt of each span tell, a row a span."""
+    span = F.floor(F.col("at") / longest).alias("_span")
+    ends = attempts.groupBy("sender", span).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    by = Window.partitionBy("sender").orderBy("_span")
+    cut = ends.withColumn("_cut", F.coalesce(F.col("first") - F.lag("last").over(by) >= longest, F.lit(True)).cast("int"))
+    cut = table(cut.select(F.col("sender").alias("_sender"), F.col("_span").alias("_of"), F.sum("_cut").over(by).alias("piece")), "pieces")
+    rows = attempts.withColumn("_span", span)
+    return rows.join(cut, F.col("sender").eqNullSafe(F.col("_sender")) & (F.col("_span") == F.col("_of"))).drop("_sender", "_span", "_of")
+
+
 def accepted(attempts: DataFrame, limits: tuple[tuple[int, int], ...] = LIMITS) -> DataFrame:
-    """attempts (sender, at, id) with ok. A sender's attempts depend on those before, so they are
-    handled in order; the state is the accepted times of the longest window, which the limit bounds.
+    """attempts (sender, at, id) with ok.
+
+    A sender's attempts depend on those before, but on few of them: in one second no more than the
+    smallest limit are accepted, those with the least ids, so the others are refused without being
+    looked at; and a gap of the longest window cuts a sender into pieces that are decided apart. What
+    is left streams through the tasks sorted by sender, piece and time; only accepted attempts come
+    out, and are joined back by sender, time and id. However many attempts a sender makes, a task
+    gets a bounded number of them for each second.
 
-    Rows stream through each task sorted by sender and time, so a sender of any number of attempts
-    takes no more memory than others.
+    Rows that are equal in sender, time and id are one attempt and are decided alike; rows without a
+    time or id are not decided (ok is null); a null sender is a sender like others.
     """
+    rows = attempts.select("sender", "at", "id")
+    kind, most, longest = dict(rows.dtypes)["sender"], min(n for _, n in limits), max(w for w, _ in limits)
 
     def run(frames):
-        who, past = None, None
+        who, past, started = None, deque(), False
         for pdf in frames:
             ok = []
-            for s, at in zip(pdf["sender"], pdf["at"], strict=True):
-                if past is None or s != who:
-                    who, past = s, deque()
+            for s, piece, at in zip(pdf["sender"], pdf["piece"], pdf["at"], strict=True):
+                key = None if s is None or s != s else s, piece  # noqa: PLR0124  NaN is null
+                if not started or key != who:
+                    who, past, started = key, deque(), True
                 one, past = admit([at], limits, past)
                 ok += one
-            yield pdf.assign(ok=ok)
-
-    rows = attempts.select("sender", "at", "id")
-    kind = dict(rows.dtypes)["sender"]
-    return rows.repartition("sender").sortWithinPartitions("sender", "at", "id").mapInPandas(run, f"sender {kind}, at long, id long, ok boolean")
+            yield pdf.loc[ok, ["sender", "at", "id"]]
+
+    known = rows.where("at IS NOT NULL AND id IS NOT NULL")
+    place = F.dense_rank().over(Window.partitionBy("sender", "at").orderBy("id"))
+    first = table(known.withColumn("_place", place).where(F.col("_place") <= most).select("sender", "at", "id").distinct(), "first-attempts")
+    cut = pieces(first, longest).select("sender", "at", "id", "piece")
+    fine = cut.repartition("sender", "piece").sortWithinPartitions("sender", "piece", "at", "id").mapInPandas(run, f"sender {kind}, at long, id long")
+    fine = table(fine, "accepted").select(F.col("sender").alias("_sender"), F.col("at").alias("_at"), F.col("id").alias("_id"))
+    met = rows.join(fine, F.col("sender").eqNullSafe(F.col("_sender")) & (F.col("at") == F.col("_at")) & (F.col("id") == F.col("_id")), "left")
+    return met.select("sender", "at", "id", F.when(F.col("at").isNotNull() & F.col("id").isNotNull(), F.col("_id").isNotNull()).alias("ok"))
 
 
 def post_messages(messages: DataFrame, attempts: DataFrame, limits: tuple[tuple[int, int], ...] = LIMITS) -> DataFrame:

@@ -15,6 +15,9 @@ from ..operators.activity import LIMITS, admit, visit_days
 from .upserts import DayTable
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def visit_stream(visits: DataFrame, keep: int = 1) -> DataFrame:
     """Daily upserts of a stream of visits: each micro-batch is merged into the days it touches, under
     its batch number, so a batch that runs twice counts once."""
@@ -40,11 +43,25 @@ class Limiter(StatefulProcessor):
         self.handle, self.past = handle, handle.getListState("past", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        new = pd.concat(list(rows)).sort_values(["at", "id"])
-        ok, past = admit(new["at"].tolist(), self.limits, deque(x[0] for x in self.past.get()))
+        # frame by frame: of one second only the least ids can be accepted, the others are refused at once
+        most, kept = min(n for _, n in self.limits), None
+        for frame in rows:
+            new = frame[["at", "id"]] if kept is None else pd.concat([kept, frame[["at", "id"]]])
+            new = new.sort_values(["at", "id"])
+            out = new.groupby("at").cumcount() >= most
+            if out.any():
+                yield self._said(key, new[out], False)
+            kept = new[~out]
+        if kept is None or not len(kept):
+            return
+        ok, past = admit(kept["at"].tolist(), self.limits, deque(x[0] for x in self.past.get()))
         self.past.put([(x,) for x in past])
         self.handle.registerTimer(1000 * (past[-1] + max(w for w, _ in self.limits)))
-        yield pd.DataFrame({"sender": key[0], "at": new["at"], "id": new["id"], "ok": ok})
+        yield self._said(key, kept, ok)
+
+    @staticmethod
+    def _said(key: tuple, rows: pd.DataFrame, ok) -> pd.DataFrame:
+        return pd.DataFrame({"sender": key[0], "at": rows["at"], "id": rows["id"]}).assign(ok=ok)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         times = [x[0] for x in self.past.get()]
@@ -58,15 +75,29 @@ class Limiter(StatefulProcessor):
 
 
 def limiter_stream(attempts: DataFrame, limits: tuple[tuple[int, int], ...] = LIMITS, late: str = "1 hour") -> DataFrame:
-    """attempts (sender, at, id) with ok; those more than `late` behind the latest are not decided."""
+    """attempts (sender, at, id) with ok; those more than `late` behind the latest are not decided
+    (decided_and_late says how many)."""
+    return decided_and_late(attempts, limits, late)[0]
+
+
+def decided_and_late(attempts: DataFrame, limits: tuple[tuple[int, int], ...] = LIMITS, late: str = "1 hour") -> tuple[DataFrame, int]:
+    """As limiter_stream, and how many attempts came behind the watermark. The state store's setting
+    is as before when the stream has ended."""
     spark, out = attempts.sparkSession, fresh(attempts.sparkSession, "limiter")
     kind = dict(attempts.dtypes)["sender"]
     schema = f"sender {kind}, at long, id long, ok boolean"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = attempts.select("sender", "at", "id", F.timestamp_seconds("at").alias("ts")).withWatermark("ts", late)
     done = timed.groupBy("sender").transformWithStateInPandas(Limiter(limits), schema, "append", "eventTime")
-    done.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    dropped = 0
+    try:
+        run = done.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+        dropped = sum(x.numRowsDroppedByWatermark for p in run.recentProgress for x in p.stateOperators)
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    return spark.read.schema(schema).parquet(out), dropped
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
