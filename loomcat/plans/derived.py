@@ -16,7 +16,7 @@ from ..operators import catalog, checks, mining
 from ..operators.paging import StoredOrder
 from ..operators.trigrams import TrigramIndex
 from ..operators.visitors import Visitors
-from ..sources import catalog_json, publish, quarantine
+from ..sources import catalog_json, html_rows, publish, quarantine
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,3 +247,15 @@ def quarantined_rows(spark, sf_dir):
     lines = _read(spark, sf_dir, "events").select(F.lit("events").alias("file"), F.col("event_id").alias("row"), F.expr(_DAMAGED).alias("value"))
     good, bad = quarantine.split(lines, [quarantine.Field("k", "$.k", "long"), quarantine.Field("who", "$.who.name", "string", False)])
     return good.select("row", "k", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("reason")).union(bad.select("row", F.lit(None).cast("long"), "path", "reason"))
+
+
+# ---- pages
+
+_ITEM = '<li><a href="([^"]*)">([^<]*)</a></li>'
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract_all(html, '{_ITEM}', 1) AS links, regexp_extract_all(html, '{_ITEM}', 2) AS texts FROM pages), i AS (SELECT page_id, links, texts, unnest(range(len(links))) AS k FROM p)
+SELECT page_id, 0::BIGINT AS row, k AS "column", trim(regexp_replace(replace(replace(replace(replace(texts[k + 1], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS text,
+  replace(links[k + 1], '&amp;', '&') AS link FROM i""")
+def page_rows(spark, sf_dir):
+    return html_rows.page_cells(_read(spark, sf_dir, "pages"), rows=("ul", "tr"), columns=("li", "td", "th"))
