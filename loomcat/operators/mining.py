@@ -22,15 +22,17 @@ from ..functions.storage import table
 
 #: What stands for a contact (a fixed value).
 HIDDEN = "[联系方式已隐藏]"
-#: Contacts in a text, first to last.
+#: Contacts in a text, first to last, none of them part of a longer word or number, each with what a
+#: text must hold for it to be looked for.
 CONTACTS = (
-    r"(?i)(?:微信|vx|wx|wechat|v信)\s*(?:号|id)?\s*[:：]?\s*[a-z][a-z0-9_-]{4,19}",
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    r"1[3-9][0-9]{9}",
-    r"(?i)qq?\s*(?:号|群)?\s*[:：]?\s*[1-9][0-9]{5,10}",
+    (r"(?i)(?:微信|(?<![a-z])(?:vx|wx|wechat|v信))\s*(?:号|id)?\s*[:：]?\s*[a-z][a-z0-9_-]{4,19}", "(?i)信|vx|wx|wechat"),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
+    (r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "1[3-9][0-9]{9}"),
+    (r"(?i)(?<![a-z])qq?\s*(?:号|群)?\s*[:：]?\s*[1-9][0-9]{5,10}(?![0-9])", "[0-9]{6}"),
 )
-#: Names of a dictionary that may be broadcast.
-MOST_NAMES = 2_000_000
+#: Names of a dictionary that may be broadcast, and bytes of text in all of them: an automaton has a
+#: node for each byte that no other name begins with, some 50 bytes large.
+MOST_NAMES, MOST_BYTES = 500_000, 8 << 20
 #: Characters of a name that is spelled by initials.
 MOST_SYLLABLES = 8
 #: Kinds of texts that a classifier may have.
@@ -38,11 +40,13 @@ MOST_KINDS = 100
 HIGHLIGHTS = "array<struct<start_offset:int,end_offset:int,entity_type:string,match_kind:string>>"
 
 
-def redact(text: str | Column, patterns: Iterable[str] = CONTACTS, hidden: str = HIDDEN) -> Column:
-    """Contacts hidden and NUL characters removed."""
+def redact(text: str | Column, patterns: Iterable[tuple[str, str]] = CONTACTS, hidden: str = HIDDEN) -> Column:
+    """Contacts hidden and NUL characters removed; patterns: what is hidden, and a cheap pattern that
+    a text without contacts of this kind lacks."""
     out = F.col(text) if isinstance(text, str) else text
-    for p in patterns:
-        out = F.regexp_replace(out, p, hidden.replace("$", r"\$"))
+    for p, hint in patterns:
+        holds = out.contains(hint) if hint == re.escape(hint) else out.rlike(hint)
+        out = F.when(holds, F.regexp_replace(out, p, hidden.replace("$", r"\$"))).otherwise(out)
     return F.replace(out, F.lit("\x00"), F.lit(""))
 
 
@@ -164,38 +168,101 @@ class Highlighter:
         return out
 
 
-def _checked(names: DataFrame) -> list:
-    """Distinct rows of a dictionary that may be broadcast."""
-    got = names.distinct().limit(MOST_NAMES + 1).collect()
-    if len(got) > MOST_NAMES:
-        raise ValueError(f"over {MOST_NAMES} names: use entity_pairs")
-    return got
+def _held(rows: DataFrame, most: int) -> list | None:
+    """Distinct rows, sorted, if they may be broadcast: no more than `most` and MOST_BYTES of text in
+    all, by a count before anything is collected; else None."""
+    rows = rows.distinct()
+    size = sum((F.coalesce(F.octet_length(x), F.lit(0)) for x, kind in rows.dtypes if kind == "string"), F.lit(0))
+    n, held = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return sorted(rows.collect(), key=lambda r: tuple((x is not None, x) for x in r)) if n <= most and held <= MOST_BYTES else None
 
 
-def tag_courses(entries: DataFrame, names: DataFrame, rules: Rules = Rules(), allow_short: bool = True) -> DataFrame:  # noqa: B008
-    """entry_key and course_name for each course that an entry names; names: code, name."""
-    held = entries.sparkSession.sparkContext.broadcast(Matcher([(r[0], r[1]) for r in _checked(names.select("code", "name"))], rules))
+def _bare(name: Column) -> Column:
+    return F.translate(name, "（）()", "")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(k, c) for k, t in zip(pdf["entry_key"], pdf["content"], strict=True) for c in sorted(held.value.match(t, allow_short))]
-            yield pd.DataFrame(rows, columns=["entry_key", "course_name"])
 
-    return entries.select("entry_key", "content").mapInPandas(run, "entry_key string, course_name string")
+def _occurring(entries: DataFrame, surfaces: DataFrame, gram: int = 12) -> DataFrame:
+    """entry_key and surface: which of a dictionary's surfaces (column surface) stand in an entry."""
+    known = surfaces.where(F.length("surface") > 0).select("surface").distinct()
+    met = _gram_join(entries, known, "entry_key", "content", "surface", gram).distinct()
+    met = met.join(entries.select("entry_key", F.col("content").alias("_text")), "entry_key")
+    return met.where(F.expr("substring(_text, _at + 1, length(surface))") == F.col("surface")).select("entry_key", "surface").distinct()
+
+
+def tag_courses(entries: DataFrame, names: DataFrame, rules: Rules = Rules(), allow_short: bool = True, most: int = MOST_NAMES) -> DataFrame:  # noqa: B008
+    """entry_key and course_name for each course that an entry names; names: code, name.
+
+    A dictionary of up to `most` names and MOST_BYTES is broadcast. Of a larger one each entry is given
+    the rows that stand in it, found by a join of hashes, and is matched with those: which of the
+    names in a text win depends on names in that text alone, so both ways say the same."""
+    rows = names.select("code", "name")
+    if (got := _held(rows, most)) is not None:
+        held = entries.sparkSession.sparkContext.broadcast(Matcher([(r[0], r[1]) for r in got], rules))
+        return entries.select("entry_key", "content").mapInPandas(_tagged(lambda _: held.value, allow_short), "entry_key string, course_name string")
+    rows = table(rows.distinct(), "names")
+    surfaces = rows.select("code", "name", F.explode(F.array_distinct(F.array("name", _bare(F.col("name")), F.when(F.col("code").rlike("^[0-9]{8}$"), F.col("code"))))).alias("surface"))
+    found = _occurring(entries, surfaces).join(surfaces, "surface").groupBy("entry_key").agg(F.collect_set(F.struct("code", "name")).alias("_rows"))
+    own = entries.select("entry_key", "content").join(found, "entry_key", "left")
+    return own.mapInPandas(_tagged(lambda xs: Matcher(_pairs(xs, "code", "name"), rules), allow_short), "entry_key string, course_name string")
 
 
-def highlight(entries: DataFrame, listings: DataFrame, initials: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """entry_key with highlights; entries: entry_key, content, courses (array); listings: course_name, teacher."""
-    short = [(r[0], r[1]) for r in _checked(initials)] if initials is not None else []
-    held = entries.sparkSession.sparkContext.broadcast(Highlighter([(r[0], r[1]) for r in _checked(listings.select("course_name", "teacher"))], rules, short))
+def _pairs(rows, *names: str) -> list[tuple]:
+    """A text's rows of a dictionary, sorted as the whole one is."""
+    got = [tuple(r[x] for x in names) for r in (rows if rows is not None else ())]
+    return sorted(got, key=lambda r: tuple((x is not None, x) for x in r))
 
+
+def _tagged(matcher, allow_short: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            own = pdf["_rows"] if "_rows" in pdf else [None] * len(pdf)
+            rows = [(k, c) for k, t, xs in zip(pdf["entry_key"], pdf["content"], own, strict=True) for c in sorted(matcher(xs).match(t, allow_short))]
+            yield pd.DataFrame(rows, columns=["entry_key", "course_name"])
+
+    return run
+
+
+def highlight(entries: DataFrame, listings: DataFrame, initials: DataFrame | None = None, rules: Rules = Rules(), most: int = MOST_NAMES) -> DataFrame:  # noqa: B008
+    """entry_key with highlights; entries: entry_key, content, courses (array); listings: course_name,
+    teacher; initials: teacher, initials. Larger dictionaries as in tag_courses: an entry is given the
+    courses and teachers that stand in it, spelled out or by initials, and of a teacher's courses
+    those that are the entry's."""
+    texts, both = entries.select("entry_key", "content", "courses"), listings.select("course_name", "teacher")
+    schema = f"entry_key string, highlights {HIGHLIGHTS}"
+    got, short = _held(both, most), _held(initials.select("teacher", "initials"), most) if initials is not None else []
+    if got is not None and short is not None:
+        held = entries.sparkSession.sparkContext.broadcast(Highlighter([(r[0], r[1]) for r in got], rules, [(r[0], r[1]) for r in short]))
+        return texts.mapInPandas(_highlighted(lambda *_: held.value), schema)
+    both = table(both.distinct(), "listings")
+    who = F.transform(F.split("teacher", "[,，]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[(（].*?[)）]", ""), r"(?U)^\s+|\s+$", ""))
+    teaching = both.select("course_name", F.explode(who).alias("teacher")).where("teacher <> ''").distinct()
+    names = both.where(F.length("course_name") > 0).select("course_name", F.explode(F.array_distinct(F.array("course_name", _bare(F.col("course_name"))))).alias("surface")).distinct()
+    courses = _occurring(texts, names).join(names, "surface").select("entry_key", "course_name", F.lit(None).cast("string").alias("teacher"))
+    people = _occurring(texts, teaching.select(F.col("teacher").alias("surface"))).select("entry_key", F.col("surface").alias("teacher"))
+    spelled = None
+    if initials is not None:
+        words = texts.select("entry_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("(?<![a-z])([a-z]{2,4})(?![a-z])"), 1))).alias("initials"))
+        spelled = words.join(initials.select("teacher", F.lower("initials").alias("initials")).distinct(), "initials").select("entry_key", "teacher", "initials")
+        people = people.union(spelled.select("entry_key", "teacher")).distinct()
+    own = texts.select("entry_key", F.explode("courses").alias("course_name")).distinct()
+    taught = people.join(teaching, "teacher").join(own, ["entry_key", "course_name"]).select("entry_key", "course_name", "teacher")
+    rows = courses.union(taught).union(people.select("entry_key", F.lit(None).cast("string"), "teacher"))
+    found = rows.groupBy("entry_key").agg(F.collect_set(F.struct("course_name", "teacher")).alias("_rows"))
+    given = texts.join(found, "entry_key", "left")
+    if spelled is not None:
+        given = given.join(spelled.groupBy("entry_key").agg(F.collect_set(F.struct("teacher", "initials")).alias("_short")), "entry_key", "left")
+    return given.mapInPandas(_highlighted(lambda xs, ys: Highlighter(_pairs(xs, "course_name", "teacher"), rules, _pairs(ys, "teacher", "initials"))), schema)
+
+
+def _highlighted(highlighter):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("start_offset", "end_offset", "entity_type", "match_kind")
         for pdf in frames:
-            found = [[dict(zip(names, x, strict=True)) for x in held.value.match(t, set(c if c is not None else ()))] for t, c in zip(pdf["content"], pdf["courses"], strict=True)]
+            own, short = (pdf[x] if x in pdf else [None] * len(pdf) for x in ("_rows", "_short"))
+            found = [[dict(zip(names, x, strict=True)) for x in highlighter(xs, ys).match(t, set(c if c is not None else ()))] for t, c, xs, ys in zip(pdf["content"], pdf["courses"], own, short, strict=True)]
             yield pd.DataFrame({"entry_key": pdf["entry_key"], "highlights": found})
 
-    return entries.select("entry_key", "content", "courses").mapInPandas(run, f"entry_key string, highlights {HIGHLIGHTS}")
+    return run
 
 
 def longest_matches(texts: DataFrame, key: str, text: str, names: DataFrame, name: str = "name", most: int = MOST_NAMES, gram: int = 12) -> DataFrame:
@@ -204,9 +271,8 @@ def longest_matches(texts: DataFrame, key: str, text: str, names: DataFrame, nam
     first `gram` characters, and each text's occurrences are then thinned out, longest first."""
     kind = dict(texts.dtypes)[key]
     rows = names.where(F.length(name) > 0).select(F.col(name).alias("name")).distinct()
-    got = rows.limit(most + 1).collect()
     schema = f"`{key}` {kind}, name string, start long, end long"
-    if len(got) <= most:
+    if (got := _held(rows, most)) is not None:
         held = texts.sparkSession.sparkContext.broadcast(Longest(r[0] for r in got))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,14 +309,28 @@ def _gram_join(texts: DataFrame, names: DataFrame, key: str, text: str, name: st
     sizes = sorted(r[0] for r in sized.select("_n").distinct().collect())  # at most `gram` numbers
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({key: np.repeat(np.array(keys, object), counts), "_at": np.concatenate(ats), "_piece": pieces, "_n": np.repeat(lengths, counts)})
+            for x in (keys, counts, ats, pieces, lengths):
+                x.clear()
+            return out
+
+        keys, counts, ats, pieces, lengths = [], [], [], [], []
         for pdf in frames:
             for k, t in zip(pdf[key], pdf[text], strict=True):
                 for lo in range(0, len(t or ""), 100_000):
                     hi = min(len(t), lo + 100_000)
                     for n in sizes:
-                        ats = range(lo, min(hi, len(t) - n + 1))
-                        if len(ats):
-                            yield pd.DataFrame({key: k, "_at": np.arange(lo, lo + len(ats)), "_piece": [t[i : i + n] for i in ats], "_n": n})
+                        if (end := min(hi, len(t) - n + 1)) > lo:
+                            keys.append(k)
+                            counts.append(end - lo)
+                            lengths.append(n)
+                            ats.append(np.arange(lo, end))
+                            pieces += [t[i : i + n] for i in range(lo, end)]
+                    if len(pieces) > 200_000:
+                        yield flush()
+            if pieces:
+                yield flush()
 
     kind = dict(texts.dtypes)[key]
     pieces = texts.select(key, text).mapInPandas(grams, f"`{key}` {kind}, _at long, _piece string, _n int")
@@ -269,21 +349,20 @@ def entity_pairs(texts: DataFrame, names: DataFrame, key: str, text: str, name_k
     `gram` characters (of all, for shorter names), and the whole name is checked then."""
     kinds = f"`{key}` {dict(texts.dtypes)[key]}, `{name_key}` {dict(names.dtypes)[name_key]}"
     rows = names.where(F.length(name) > 0).select(name_key, name)
-    if (got := rows.limit(most + 1).collect()) and len(got) <= most:
+    if (got := _held(rows, most)) is not None:
         automaton = ahocorasick.Automaton()
         for k, n in got:
             automaton.add_word(n, automaton.get(n, ()) + (k,))
-        automaton.make_automaton()
+        if got:
+            automaton.make_automaton()
         held = texts.sparkSession.sparkContext.broadcast(automaton)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                found = [(k, x) for k, t in zip(pdf[key], pdf[text], strict=True) if t for x in sorted({x for _, xs in held.value.iter(t) for x in xs})]
+                found = [(k, x) for k, t in zip(pdf[key], pdf[text], strict=True) if t and len(held.value) for x in sorted({x for _, xs in held.value.iter(t) for x in xs})]
                 yield pd.DataFrame(found, columns=[key, name_key])
 
         return texts.select(key, text).mapInPandas(run, kinds)
-    if not got:
-        return texts.select(key).limit(0).join(names.select(name_key).limit(0))
     met = _gram_join(texts, rows, key, text, name, gram).select(key, name_key, F.col(name).alias("_name")).distinct()
     return met.join(texts.select(key, text), key).where(F.contains(text, "_name")).select(key, name_key).distinct()
 

@@ -121,13 +121,30 @@ def matcher_default(spark, sf_dir):
     return mining.tag_courses(entries, _read(spark, sf_dir, "part").select((F.lit(90000000) + F.col("p_partkey")).cast("string").alias("code"), F.col("p_name").alias("name")))
 
 
+@query(ORACLES["matcher_default"])
+def matcher_joined(spark, sf_dir):
+    """With a dictionary that is not broadcast."""
+    entries = _entries(spark, sf_dir).select(F.concat(F.lit("e"), "p_partkey").alias("entry_key"), "content")
+    return mining.tag_courses(entries, _read(spark, sf_dir, "part").select((F.lit(90000000) + F.col("p_partkey")).cast("string").alias("code"), F.col("p_name").alias("name")), most=0)
+
+
 @query("""SELECT 'h' || p_partkey AS entry_key, 0::BIGINT AS start_offset, length(p_name) AS end_offset, 'course' AS entity_type, 'full' AS match_kind FROM part WHERE p_partkey % 3 <> 0
 UNION ALL SELECT 'h' || p_partkey, length(p_name) + 4, length(p_name) + 4 + length(p_brand), 'teacher', 'full' FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0""")
 def highlighter_default(spark, sf_dir):
+    return _highlights(spark, sf_dir, mining.MOST_NAMES)
+
+
+@query(ORACLES["highlighter_default"])
+def highlighter_joined(spark, sf_dir):
+    """With dictionaries that are not broadcast."""
+    return _highlights(spark, sf_dir, 0)
+
+
+def _highlights(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     p, k = _read(spark, sf_dir, "part"), F.col("p_partkey")
     content = F.concat("p_name", F.lit(" by "), "p_brand", F.when(k % 2 == 0, "老师").otherwise(""))
     entries = p.select(F.concat(F.lit("h"), k).alias("entry_key"), content.alias("content"), F.when(k % 3 != 0, F.array("p_name")).alias("courses"))
-    got = mining.highlight(entries, p.select(F.col("p_name").alias("course_name"), F.col("p_brand").alias("teacher")))
+    got = mining.highlight(entries, p.select(F.col("p_name").alias("course_name"), F.col("p_brand").alias("teacher")), most=most)
     return got.select("entry_key", F.explode("highlights").alias("h")).select("entry_key", F.col("h.start_offset").cast("long").alias("start_offset"), F.col("h.end_offset").cast("long").alias("end_offset"), "h.entity_type", "h.match_kind")
 
 

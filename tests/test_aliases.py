@@ -87,3 +87,54 @@ def test_readings_come_as_a_table(spark):
     known = spark.createDataFrame([("单乐", "SL"), ("单乐", "dl"), ("王辉", "wh")], "teacher string, initials string")
     got = relations(aliases.mine(frame(spark, rows), known))
     assert ("dl", "teacher", "单乐") in got and ("wh", "teacher", "王辉") in got and not any(x[0] == "xx" for x in got)
+
+
+# ---- dictionaries beyond a broadcast
+
+
+def courses_and_texts(seed):
+    rng = random.Random(seed)
+    names = ["海洋地图学", "海洋地图学进阶", "海洋", "潮汐", "Knots（II）", "Knots", "Knots(II)", "Law", "Law and Order", "航"]
+    rows = [(rng.choice([None, "90000001", "9000", f"9{i:07d}"]), n) for i, n in enumerate(names)] + [(None, None), ("90000009", "")]
+    bits = [*names, "KnotsII", "90000001", "90000003", "课", "老师", " ", "\n", "•", "and", "王石", "李水", "李水山", "Ada Quill", "adq", "AQ", "aq", "ws", "\U0001f30a"]
+    texts = [(f"e{i}", "".join(rng.choice(bits) + rng.choice(["", " ", ""]) for _ in range(rng.randint(0, 9))), rng.sample(names, rng.randint(0, 4)) if rng.random() < 0.8 else None) for i in range(150)]
+    return rows, texts + [("n", None, None), ("n2", "", [])]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tags_are_the_same_on_both_sides_of_the_limit(spark, seed):
+    from loomcat.operators import mining
+
+    rows, texts = courses_and_texts(seed)
+    rules = mining.Rules(nicknames={"地图": "海洋地图学", "gone": "Virtual"}, boundaries=("and Order",))
+    names = spark.createDataFrame(rows + rows[:3], "code string, name string")
+    entries = spark.createDataFrame(texts, "entry_key string, content string, courses array<string>").repartition(3)
+    near, far = (sorted(map(tuple, mining.tag_courses(entries, names, rules, most=most).collect())) for most in (1000, 0))
+    assert near == far and near
+    matcher = mining.Matcher(sorted(rows, key=lambda r: tuple((x is not None, x) for x in r)), rules)
+    assert near == sorted((k, c) for k, t, _ in texts for c in matcher.match(t, True))
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("with_initials", [True, False])
+def test_highlights_are_the_same_on_both_sides_of_the_limit(spark, seed, with_initials):
+    from loomcat.operators import mining
+
+    rows, texts = courses_and_texts(seed)
+    rng = random.Random(seed)
+    listings = spark.createDataFrame([(n, rng.choice([None, "李水(教授)，王石", "李水山", "Ada Quill, 王石", ""])) for _, n in rows for _ in range(2)], "course_name string, teacher string")
+    initials = spark.createDataFrame([("Ada Quill", "adq"), ("Ada Quill", "AQ"), ("王石", "ws"), ("Nobody", "aq")], "teacher string, initials string") if with_initials else None
+    entries = spark.createDataFrame(texts, "entry_key string, content string, courses array<string>")
+    near, far = ({r.entry_key: [tuple(x) for x in r.highlights] for r in mining.highlight(entries, listings, initials, most=most).collect()} for most in (1000, 0))
+    assert near == far and set(near) == {x[0] for x in texts} and any(near.values())
+
+
+def test_dictionaries_are_bounded_in_bytes(spark, monkeypatch):
+    from loomcat.operators import mining
+
+    names = spark.createDataFrame([("long name " * 20,), ("x",)], "name string")
+    assert [r.name for r in mining._held(names, 5)] == ["long name " * 20, "x"] and mining._held(names, 1) is None
+    monkeypatch.setattr(mining, "MOST_BYTES", 100)
+    assert mining._held(names, 5) is None
+    texts = spark.createDataFrame([(1, "a x " + "long name " * 21)], "k long, t string")
+    assert {(r.name, r.start) for r in mining.longest_matches(texts, "k", "t", names).collect()} == {("x", 2), ("long name " * 20, 4)}

@@ -280,3 +280,12 @@ def test_shared_folder_where_it_is_unset(master, fine):
     else:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             storage.shared_dir(Session())
+
+
+def test_redaction_leaves_longer_words_and_numbers(spark):
+    say = {
+        "order 202613900000000012345": None, "see faq 123456": None, "see FAQ123456 and 213812345678": None, "qq 123456789012": None, "avx abcdef": None, "a@b": None,
+        "tel 13812345678, 13912345678.": "tel H, H.", "x13812345678y": "xHy", "Q123456": "H", "qq群：1234567x": "Hx", "加微信abcde_1 ok": "加H ok", "(VX: abcdef)": "(H)", "mail a.b+c@d-e.org!": "mail H!", "": "", "\x00a": "a",
+    }
+    rows = spark.createDataFrame(list(enumerate(say)), "k int, x string").select("k", mining.redact("x", hidden="H").alias("y")).orderBy("k").collect()
+    assert [r.y for r in rows] == [x if y is None else y for x, y in say.items()]
