@@ -67,5 +67,5 @@ OPERATORS = (op1_substring_dedup, op2_language_id, op3_minhash_near_dup, op4_suf
 QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLES: dict[str, str] = {
-    "op1_substring_dedup": substring_dedup.SQL, "op3_minhash_near_dup": near_dup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op9_warc": warc.SQL, "op11_collocations": collocations.SQL, "op13_fill_in_middle": fill_in_middle.SQL,
+    "op1_substring_dedup": substring_dedup.SQL, "op3_minhash_near_dup": near_dup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op9_warc": warc.SQL, "op11_collocations": collocations.SQL, "op12_simhash_near_dup": simhash.SQL, "op13_fill_in_middle": fill_in_middle.SQL,
 }

@@ -222,3 +222,49 @@ def keep_one(documents: DataFrame, shingle: int = 5, most: int = 4) -> DataFrame
 def digest(documents: DataFrame) -> DataFrame:
     found = near_duplicates(documents, 4, 4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- the same in SQL: XXH64 from its definition, over the bytes' hexadecimal digits
+
+#: Fixed values of the hash.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+
+
+def _sql() -> str:
+    whole = 1 << 64
+    plus = lambda a, b: f"(({a}::UHUGEINT + {b}::UHUGEINT) % {whole})::UBIGINT"
+    times = lambda a, b: f"(({a}::UHUGEINT * {b}::UHUGEINT) % {whole})::UBIGINT"
+    # a rotation is a product modulo 2^64 - 1
+    turn = lambda a, n: f"(({a}::UHUGEINT * {1 << n}::UHUGEINT) % {whole - 1})::UBIGINT"
+    number = lambda at, n: f"('0x' || {' || '.join(f'substr(b, 2 * ({at}) + {2 * k + 1}, 2)' for k in reversed(range(n)))})::UBIGINT"
+    mixed = lambda acc, lane: times(turn(plus(acc, times(lane, _P2)), 31), _P1)
+    fold = lambda acc, lane: plus(times(f"xor({acc}, {mixed('0', lane)})", _P1), _P4)
+    lane = lambda k, start: f"list_reduce(range(n // 32), lambda a, i: {mixed('a', number(f'i * 32 + {8 * k}', 8))}, {start % whole}::UBIGINT)"
+    four = ", ".join(f"CASE WHEN n >= 32 THEN {lane(k, s)} END AS v{k}" for k, s in enumerate((SEED + _P1 + _P2, SEED + _P2, SEED, SEED - _P1)))
+    joined = plus(plus(turn("v0", 1), turn("v1", 7)), plus(turn("v2", 12), turn("v3", 18)))
+    eights = f"list_reduce(range(n % 32 // 8), lambda a, i: {plus(times(turn(f'xor(a, {mixed("0", number("n // 32 * 32 + i * 8", 8))})', 27), _P1), _P4)}, h)"
+    fours = f"list_reduce(range(n % 8 // 4), lambda a, i: {plus(times(turn(f'xor(a, {times(number("n // 8 * 8", 4), _P1)})', 23), _P2), _P3)}, h)"
+    ones = f"list_reduce(range(n % 4), lambda a, i: {times(turn(f'xor(a, {times(number("n // 4 * 4 + i", 1), _P5)})', 11), _P1)}, h)"
+    bits = ", ".join(f"sum((h >> {i}) & 1) AS s{i}" for i in range(64))
+    set_bits = " + ".join(f"CASE WHEN 2 * s{i} > n THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END" for i in range(64))
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+g AS (SELECT DISTINCT g, hex(encode(g)) AS b, octet_length(encode(g)) AS n FROM s),
+x0 AS (SELECT g, b, n, {four} FROM g),
+x1 AS (SELECT g, b, n, v0, v1, v2, v3, CASE WHEN n >= 32 THEN {joined} END AS h FROM x0),
+x2 AS (SELECT g, b, n, v1, v2, v3, {fold('h', 'v0')} AS h FROM x1), x3 AS (SELECT g, b, n, v2, v3, {fold('h', 'v1')} AS h FROM x2), x4 AS (SELECT g, b, n, v3, {fold('h', 'v2')} AS h FROM x3),
+x5 AS (SELECT g, b, n, {plus(f"coalesce({fold('h', 'v3')}, {SEED + _P5}::UBIGINT)", 'n')} AS h FROM x4),
+x6 AS (SELECT g, b, n, {eights} AS h FROM x5), x7 AS (SELECT g, b, n, {fours} AS h FROM x6), x8 AS (SELECT g, {ones} AS h FROM x7),
+x9 AS (SELECT g, {times('xor(h, h >> 33)', _P2)} AS h FROM x8), x10 AS (SELECT g, {times('xor(h, h >> 29)', _P3)} AS h FROM x9), x11 AS (SELECT g, xor(h, h >> 32) AS h FROM x10),
+c AS (SELECT doc_id, count(*) AS n, {bits} FROM s JOIN x11 USING (g) GROUP BY doc_id),
+f AS (SELECT d.doc_id, coalesce(p.f, 0::UBIGINT) AS f FROM d LEFT JOIN (SELECT doc_id, {set_bits} AS f FROM c) p USING (doc_id)),
+u AS (SELECT f, min(doc_id) AS id FROM f GROUP BY f),
+near AS (SELECT a.f AS a, b.f AS b FROM u a JOIN u b ON a.f <> b.f AND bit_count(xor(a.f, b.f)) <= 4),
+reach(f, other) AS (SELECT f, f FROM u UNION SELECT r.f, near.b FROM reach r JOIN near ON near.a = r.other),
+least AS (SELECT r.f, min(u.id) AS id FROM reach r JOIN u ON u.f = r.other GROUP BY r.f)
+SELECT f.doc_id, printf('%016x', f.f) AS fingerprint, least.id AS component_id FROM f JOIN least USING (f)
+"""
+
+
+SQL = _sql()
