@@ -3,8 +3,9 @@
 A text's subwords are its character 1-, 2- and 3-grams (lower case; all that is no letter counts as
 one space), hashed into BUCKETS rows of an embedding table. Their mean goes through a linear layer
 and a softmax. Table and layer are trained together by stochastic gradient descent in numpy on a
-bounded sample: about PER_LANG labelled documents of each language, and about SAMPLE in all (but one
-of each language, however many there are).
+bounded sample: the PER_LANG labelled documents of each language with the least hashes, and fewer where
+all would be more than SAMPLE, or more than SAMPLE_BYTES of subwords, but one of each language,
+however many there are.
 
 Calibration is cross-fitted: each half of the sample is scored by a model of the other half. These
 scores fit a temperature and two limits, below which a prediction is marked as rejected: of the
@@ -26,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, 3
-PER_LANG, SAMPLE = 800, 20_000
+PER_LANG, SAMPLE, SAMPLE_BYTES = 800, 20_000, 128 << 20
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Share of right predictions that a limit rejects.
 REJECTED = 0.005
@@ -183,15 +184,22 @@ def learn(documents: DataFrame, usable: Column) -> dict | None:
     rows = documents.where(usable).where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     langs = c.table(rows.groupBy("lang").count(), "langs")
     each = max(1, min(PER_LANG, SAMPLE // max(1, langs.count())))
-    share = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000) < each / F.col("count")
-    sample = rows.join(langs, "lang").where(share).select("lang", "text")
+    # the least hashes of each language: by a bound that far more than `each` of them keep, then by rank
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) / 1_000_000_000
+    near = rows.select("doc_id", "lang").join(langs, "lang").withColumn("draw", draw).where(F.col("draw") < (4 * each + 50) / F.col("count"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")).alias("place")
+    chosen = c.table(near.select("doc_id", "lang", "draw").distinct().select("doc_id", "lang", place).where(F.col("place") <= each), "chosen")
+    sample = rows.join(chosen, ["doc_id", "lang"]).select("lang", "text", "place")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = features(pdf["text"].tolist())
-            yield pd.DataFrame({"lang": pdf["lang"], "at": [a.tobytes() for a, _ in found], "n": [n.tobytes() for _, n in found]})
+            yield pd.DataFrame({"lang": pdf["lang"], "place": pdf["place"], "at": [a.tobytes() for a, _ in found], "n": [n.tobytes() for _, n in found]})
 
-    got = sample.mapInPandas(c.freed(run), "lang string, at binary, n binary").collect()
+    drawn = c.table(sample.mapInPandas(c.freed(run), "lang string, place int, at binary, n binary"), "sample")
+    sizes = sorted(drawn.groupBy("place").agg(F.sum(F.length("at") + F.length("n"))).collect())  # a row a place
+    fits = [k for (k, _), held in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if held <= SAMPLE_BYTES or k == 1]
+    got = drawn.where(F.col("place") <= (fits[-1] if fits else 0)).select("lang", "at", "n").collect()
     return train([(x, np.frombuffer(at, np.int32), np.frombuffer(n, np.int32).astype(float)) for x, at, n in sorted((r.lang, bytes(r["at"]), bytes(r["n"])) for r in got)])
 
 

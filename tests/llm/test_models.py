@@ -71,6 +71,19 @@ def test_language_many_languages(spark):
     assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.3 > 100 / len(kinds) / 6
 
 
+def test_no_language_is_lost_from_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 40)
+    rows = [(10 * i + k, chr(0x4E00 + i) * 5 + f" {k}", f"l{i}") for i in range(100) for k in range(i % 4 + 1)] + [(None, "x", "none"), (1, "y y", "l0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert language_id.learn(docs.where("doc_id IS NOT NULL"), F.lit(True))["langs"] == sorted({f"l{i}" for i in range(100)})
+    monkeypatch.setattr(language_id, "SAMPLE", 10_000)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 1)
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda rows: seen.extend(rows))
+    language_id.learn(docs.where("doc_id IS NOT NULL"), F.lit(True))
+    assert len({r[0] for r in seen}) == 100 and len(seen) <= 102
+
+
 def test_language_counts_are_brute_force_counts():
     texts = ["Abc d1!", "", "é" * 3]
     for text, (at, n) in zip(texts, language_id.features(texts), strict=True):
