@@ -254,7 +254,7 @@ def test_pipeline_stages(spark):
 
 def test_every_number_has_a_query():
     names = list(__spark_entry__.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_defaults_are_five_words_and_four_fifths():
