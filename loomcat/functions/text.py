@@ -14,8 +14,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNIT = "\x1f"
 #: Characters that count as white space in a group key (fixed value).
 KEY_SPACE = "\t\n\x0b\x0c\r "
-#: Characters that a search query loses besides white space (fixed value).
-DROPPED = "​‌‍·•・_—–-:：,，.。/\\《》<>[]【】'\""
+#: Characters that a search query loses besides white space, three invisible ones first (fixed value).
+DROPPED = "\u200b\u200c\u200d" "·•・_—–-:：,，.。/\\《》<>[]【】'\""
 
 
 def col(x: str | Column) -> Column:

@@ -138,29 +138,35 @@ def review_counts(threads: DataFrame, entries: DataFrame, replies: DataFrame, hi
     return out
 
 
+#: Counters that a review store's metadata must state as they are.
+STATED = ("matched_threads", "matched_entries", "snapshot_replies", "course_aliases", "teacher_aliases")
+_SPANS = "invalid highlight spans"
+
+
+def review_health_checks(threads: DataFrame, entries: DataFrame, replies: DataFrame, highlights: DataFrame, aliases: DataFrame, metadata: DataFrame) -> DataFrame:
+    """check, expected, found and fine, a row for each thing that must hold of a review store."""
+    marks = [f"{x}{y}" for x in ("course", "teacher") for y in ("_highlights", "_alias_highlights")]
+    pick = lambda rows, names, to: rows.agg(*(F.max(F.when(F.col("key") == x, F.col("value"))).alias(f"{to}_{x}") for x in names))
+    now = pick(review_counts(threads, entries, replies, highlights, aliases), [*STATED, *marks, "posts"], "now")
+    said = pick(metadata.select("key", F.col("value").cast("string").alias("value")), [*STATED, *marks, "highlight_version"], "said")
+    one = now.crossJoin(said).crossJoin(bad_spans(highlights, entries).agg(F.count("*").alias("bad")))  # three tables of one row
+    found, state = (lambda x: F.coalesce(f"now_{x}", F.lit(0))), (lambda x: F.col(f"said_{x}"))
+    number = lambda x: F.coalesce(state(x).try_cast("long"), F.lit(-1))
+    both = lambda of: of("course_highlights") + of("teacher_highlights")
+    checks = [(x, state(x), found(x), state(x).eqNullSafe(found(x).cast("string"))) for x in STATED]
+    checks += [("highlights", both(number), both(found), both(number) == both(found))]
+    checks += [(f"{x}_alias_highlights", state(f"{x}_highlights"), state(f"{x}_alias_highlights"), number(f"{x}_alias_highlights") <= number(f"{x}_highlights")) for x in ("course", "teacher")]
+    checks += [("highlight_version", F.lit("3"), state("highlight_version"), state("highlight_version").eqNullSafe(F.lit("3")))]
+    checks += [("posts", found("matched_threads"), found("posts"), found("posts") == found("matched_threads")), ("entries", found("matched_threads"), found("matched_entries"), found("matched_entries") >= found("matched_threads"))]
+    checks += [(_SPANS, F.lit(0), F.col("bad"), F.col("bad") == 0)]
+    rows = [F.struct(F.lit(c).alias("check"), e.cast("string").alias("expected"), f.cast("string").alias("found"), fine.alias("fine")) for c, e, f, fine in checks]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def review_health(threads: DataFrame, entries: DataFrame, replies: DataFrame, highlights: DataFrame, aliases: DataFrame, metadata: DataFrame) -> list[str]:
     """What is wrong with a review store; nothing for a healthy one."""
-    now = {r["key"]: r["value"] for r in review_counts(threads, entries, replies, highlights, aliases).collect()}
-    said = {r["key"]: r["value"] for r in metadata.collect()}
-    out = []
-    for key in ("matched_threads", "matched_entries", "snapshot_replies", "course_aliases", "teacher_aliases"):
-        if str(said.get(key)) != str(now.get(key, 0)):
-            out.append(f"{key}: metadata has {said.get(key)}, the tables {now.get(key, 0)}")
-    marks = sum(now.get(f"{x}_highlights", 0) for x in ("course", "teacher"))
-    try:
-        if sum(int(said.get(f"{x}_highlights", -1)) for x in ("course", "teacher")) != marks:
-            out.append("highlights differ from metadata")
-        if any(int(said.get(f"{x}_alias_highlights", -1)) > int(said.get(f"{x}_highlights", -1)) for x in ("course", "teacher")):
-            out.append("more alias highlights than highlights")
-    except ValueError:
-        out.append("metadata counters are no numbers")
-    if said.get("highlight_version") != "3":
-        out.append("highlight_version is not 3")
-    if now.get("posts", 0) != now["matched_threads"] or now["matched_entries"] < now["matched_threads"]:
-        out.append("threads and posts do not pair off")
-    if not bad_spans(highlights, entries).isEmpty():
-        out.append("invalid highlight spans")
-    return out
+    rows = review_health_checks(threads, entries, replies, highlights, aliases, metadata).where("NOT fine").collect()
+    return [_SPANS if r["check"] == _SPANS else f"{r['check']}: expected {r['expected']}, found {r['found']}" for r in rows]
 
 
 def payload_faults(rows: DataFrame, seq: str, link: str, code: str, kind: str, keys: list[str]) -> DataFrame:

@@ -298,9 +298,36 @@ def catalog_health(spark, sf_dir):
 
 @query(_T + ", m AS (SELECT * FROM entry WHERE strpos(content, 'on') > 0) SELECT 'matched_threads' AS key, count(*) AS value FROM thread UNION ALL SELECT 'matched_entries', count(*) FROM entry UNION ALL SELECT 'posts', count(*) FROM entry WHERE kind = 'post' UNION ALL SELECT 'snapshot_replies', count(*) FROM entry WHERE kind = 'reply' UNION ALL SELECT CASE WHEN kind = 'post' THEN 'course' ELSE 'teacher' END || '_highlights', count(*) FROM m GROUP BY 1 UNION ALL SELECT CASE WHEN kind = 'post' THEN 'course' ELSE 'teacher' END || '_alias_highlights', count(*) FROM m WHERE cid % 2 = 1 GROUP BY 1 UNION ALL SELECT split_part(course_name, '-', 1) || '_aliases', count(DISTINCT course_name) FROM entry GROUP BY 1")
 def review_counters(spark, sf_dir):
+    return checks.review_counts(**_store(spark, sf_dir))
+
+
+def _store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     x = v.threads(spark, sf_dir)
     aliases = x["mentions"].select(F.split("course_name", "-")[0].alias("entity_type"), F.col("course_name").alias("normalized_alias"))
-    return checks.review_counts(x["threads"], x["entries"], x["replies"], x["highlights"], aliases)
+    return {"threads": x["threads"], "entries": x["entries"], "replies": x["replies"], "highlights": x["highlights"], "aliases": aliases}
+
+
+_STATED = ("matched_threads", "matched_entries", "snapshot_replies")
+
+
+#: The metadata states what is counted, but one entry too many.
+@query(
+    ORACLES["review_counters"].replace("SELECT 'matched_threads' AS key", ", k AS (SELECT 'matched_threads' AS key", 1).replace(", , k AS", ", k AS")
+    + "), n AS (SELECT " + ", ".join(f"coalesce(max(value) FILTER (key = '{x}'), 0) AS {x}" for x in (*_STATED, "posts", "course_highlights", "teacher_highlights", "course_alias_highlights", "teacher_alias_highlights")) + " FROM k) "
+    + " UNION ALL ".join(
+        [f"""SELECT '{x}' AS "check", CAST({x} + {int(x == 'matched_entries')} AS VARCHAR) AS expected, CAST({x} AS VARCHAR) AS found, {x != 'matched_entries'} AS fine FROM n""" for x in _STATED]
+        + [f"SELECT '{x}_aliases', NULL, '0', false FROM n" for x in ("course", "teacher")]
+        + ["SELECT 'highlights', CAST(course_highlights + teacher_highlights AS VARCHAR), CAST(course_highlights + teacher_highlights AS VARCHAR), true FROM n"]
+        + [f"SELECT '{x}_alias_highlights', CASE WHEN {x}_highlights > 0 THEN CAST({x}_highlights AS VARCHAR) END, CASE WHEN {x}_alias_highlights > 0 THEN CAST({x}_alias_highlights AS VARCHAR) END, true FROM n" for x in ("course", "teacher")]
+        + ["SELECT 'highlight_version', '3', '3', true FROM n", "SELECT 'posts', CAST(matched_threads AS VARCHAR), CAST(posts AS VARCHAR), posts = matched_threads FROM n"]
+        + ["SELECT 'entries', CAST(matched_threads AS VARCHAR), CAST(matched_entries AS VARCHAR), true FROM n", "SELECT 'invalid highlight spans', '0', '0', true FROM n"]
+    )
+)
+def review_health(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    counts = checks.review_counts(**store)
+    stated = counts.select("key", (F.col("value") + F.when(F.col("key") == "matched_entries", 1).otherwise(0)).cast("string").alias("value"))
+    return checks.review_health_checks(**store, metadata=stated.union(spark.createDataFrame([("highlight_version", "3")], "key string, value string")))
 
 
 @query("SELECT doc_id, strpos(text, substr(text, 11, 15)) - 1 AS start_offset, strpos(text, substr(text, 11, 15)) - 1 + length(substr(text, 11, 15)) AS end_offset FROM documents")
