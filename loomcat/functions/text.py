@@ -70,5 +70,6 @@ def beijing_day(epoch: str | Column) -> Column:
     return F.date_format(F.timestamp_seconds(col(epoch) + 8 * 3600), "yyyy-MM-dd")
 
 
-def snake_case(key: str) -> str:
-    return re.sub(r"(?<!^)(?=[A-Z])", "_", key).lower()
+def snake_case(x: str | Column) -> Column:
+    """camelCase as camel_case; what is in snake case stays."""
+    return F.lower(F.regexp_replace(col(x), "([a-z0-9])([A-Z])", "$1_$2"))

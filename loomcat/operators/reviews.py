@@ -15,9 +15,10 @@ FEATURED = 10
 #: The year whose threads are featured, in epoch seconds, and the counters of the metadata (fixed values).
 YEAR = (1767196800, 1798732800)
 COUNTERS = (
-    "source_shards", "source_posts", "source_replies", "matched_threads", "matched_entries", "matched_replies", "snapshot_replies", "catalog_courses", "uncachedReplyDifference", "highlighted_entries",
+    "source_shards", "source_posts", "source_replies", "matched_threads", "matched_entries", "matched_replies", "snapshot_replies", "catalog_courses", "uncached_reply_difference", "highlighted_entries",
     "course_highlights", "teacher_highlights", "course_aliases", "teacher_aliases", "course_alias_highlights", "teacher_alias_highlights",
 )
+TEXTS, COVERAGE = ("snapshot_date", "classifier_version", "highlight_version"), "cached_reply_coverage_percent"
 
 
 def quality(content: str = "content", kind: str = "post_kind", replies: str = "relevant_reply_count") -> Column:
@@ -120,9 +121,13 @@ def metadata_map(metadata: DataFrame) -> DataFrame:
     return metadata.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
 
 
-def metadata_payload(metadata: dict[str, str], dates: dict[str, str]) -> dict:
-    """What is served: names in snake case, counters as whole numbers, 0 where missing."""
-    out: dict = {k: metadata.get(k, "") for k in ("snapshot_date", "classifier_version", "highlight_version")}
-    out |= {k: dates.get(k) or "" for k in ("start_date", "end_date")}
-    out |= {t.snake_case(k): int(metadata.get(k, 0)) for k in COUNTERS}
-    return out | {"cached_reply_coverage_percent": float(metadata.get("cachedReplyCoveragePercent", 0))}
+def metadata_payload(metadata: DataFrame, dates: DataFrame) -> DataFrame:
+    """One row for what is served, from (key, value) rows and date_range's row: keys in snake case,
+    texts empty and counters 0 where missing; a counter that is no number fails."""
+    keyed = metadata.select(t.snake_case("key").alias("key"), "value")
+    value = lambda name: F.max(F.when(F.col("key") == name, F.col("value")))
+    texts = [F.coalesce(value(x), F.lit("")).alias(x) for x in TEXTS]
+    counts = [F.coalesce(value(x).cast("long"), F.lit(0)).alias(x) for x in COUNTERS]
+    share = F.coalesce(value(COVERAGE).cast("double"), F.lit(0.0)).alias(COVERAGE)
+    days = dates.select(*(F.coalesce(x, F.lit("")).alias(x) for x in ("start_date", "end_date")))
+    return keyed.agg(*texts, *counts, share).crossJoin(days)  # one row each

@@ -272,6 +272,21 @@ def date_range_utc8(spark, sf_dir):
     return reviews.date_range(v.visits(spark, sf_dir), "at")
 
 
+_ZERO = [x for x in reviews.COUNTERS if x not in ("source_posts", "source_replies", "uncached_reply_difference")]
+
+
+@query(
+    "SELECT CAST(max(conv_id) AS VARCHAR) AS snapshot_date, '' AS classifier_version, '3' AS highlight_version, count(*) FILTER (turn = 0) AS source_posts, count(*) FILTER (turn > 0) AS source_replies, count(*) FILTER (role = 'user') AS uncached_reply_difference, "
+    + ", ".join(f"0::BIGINT AS {x}" for x in _ZERO)
+    + ", round(100.0 * count(*) FILTER (length(text) > 100) / count(*), 4)::DOUBLE AS cached_reply_coverage_percent, strftime(TIMESTAMP '2025-12-17' + to_seconds(CAST(min(conv_id) * 43200 AS BIGINT)) + INTERVAL 8 HOUR, '%Y-%m-%d') AS start_date, strftime(TIMESTAMP '2025-12-17' + to_seconds(CAST(max(conv_id) * 43200 AS BIGINT)) + INTERVAL 8 HOUR, '%Y-%m-%d') AS end_date FROM conversations"
+)
+def metadata_payload(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    said = {"snapshot_date": F.max("conv_id"), "highlightVersion": F.lit(3), "sourcePosts": F.count_if(F.col("turn") == 0), "source_replies": F.count_if(F.col("turn") > 0), "uncachedReplyDifference": F.count_if(F.col("role") == "user"), "cachedReplyCoveragePercent": F.round(100.0 * F.count_if(F.length("text") > 100) / F.count("*"), 4)}
+    rows = c.agg(F.array(*(F.struct(F.lit(k).alias("key"), x.cast("string").alias("value")) for k, x in said.items())).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return reviews.metadata_payload(rows, reviews.date_range(c.select((F.lit(1765929600) + F.col("conv_id") * 43200).alias("posted_at"))))
+
+
 # ---- checks
 
 

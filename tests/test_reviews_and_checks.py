@@ -37,8 +37,13 @@ def test_search_and_metadata(spark):
     courses = spark.createDataFrame([(3, "ab上")], "pid long, search_name string")
     hit = lambda q: sorted(r.pid for r in reviews.search_threads(threads, entries, courses, q).collect())
     assert hit("alpha") == [1, 2] and hit("Ａ·B 上") == [3] and hit("0%") == [1] and hit("%") == [1] and hit(" ") == [1, 2, 3, 4] and hit("—") == []
-    payload = reviews.metadata_payload({"uncachedReplyDifference": "3", "cachedReplyCoveragePercent": "95.5"}, {"start_date": None})
-    assert payload["uncached_reply_difference"] == 3 and payload["cached_reply_coverage_percent"] == 95.5 and payload["start_date"] == "" and payload["source_posts"] == 0
+    rows = lambda *x: spark.createDataFrame(list(x), "key string, value string")
+    dates = spark.createDataFrame([(None, "2024-01-02")], "start_date string, end_date string")
+    got = reviews.metadata_payload(rows(("uncachedReplyDifference", "3"), ("cachedReplyCoveragePercent", "95.5"), ("highlight_version", "3"), ("other", "x"), (None, "y")), dates).first()
+    assert (got.uncached_reply_difference, got.cached_reply_coverage_percent, got.start_date, got.end_date, got.source_posts, got.highlight_version, got.snapshot_date) == (3, 95.5, "", "2024-01-02", 0, "3", "")
+    assert reviews.metadata_payload(rows().limit(0), dates).first().matched_threads == 0
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cast"):
+        reviews.metadata_payload(rows(("source_posts", "many")), dates).first()
 
 
 def test_health(spark):
