@@ -1,14 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words (lower case, ASCII punctuation off) of documents and test items share seeds: runs of `seed`
-words. Pairs that share seeds are tiled: running Karp-Rabin finds the longest common runs of words
+Words of documents and test items share seeds: runs of `seed` words. A word is a run of letters,
+marks and digits in lower case; all else stands between words. Of scripts without spaces, each letter
+of Chinese and Japanese is a word, and runs of Thai, Lao, Khmer and Burmese are cut between two
+letters by a hash of these two, every fourth time, so a passage is cut alike wherever it stands.
+Pairs that share seeds are tiled: running Karp-Rabin finds the longest common runs of words
 not marked yet, from long to short, and marks them in both until none of `seed` words is left. The
 share of an item's words under tiles is its coverage in the document; tiles may stand in any order,
 so reordered passages count.
 
-The items' seeds are broadcast while the items have at most BROADCAST_BYTES, by a count over them;
-beyond that, documents' and items' seeds are joined by shuffles, where an item's rarest seeds stand
-for it (as many as can't all be missed). Both ways give the same rows.
+The items' seeds are broadcast while the items' word codes (eight bytes a word, counted where they
+are made) are at most BROADCAST_BYTES; beyond that, documents' and items' seeds are joined by shuffles.
+Both ways an item's rarest seeds stand for it, as many as can't all be missed, and both give the same
+rows.
 
 Defined cases: null or wordless texts and items match nothing; items shorter than a seed match by
 their whole sequence; copies of an item (same text, other item_id) each give a row, and an
@@ -19,11 +23,15 @@ are ignored.
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +46,31 @@ _SPACED = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
 PAIRS = "doc_id long, item_id long, n_words long, covered long, n_tiles long"
 
 
+#: Beyond ASCII, all of the Latin letters up to U+024F: texts of only these are split as bytes.
+_OTHERS = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+_LETTERS, _RUNS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}", r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_WORD = regex.compile(rf"(?V1)[[{_LETTERS}]&&\p{{L}}]\p{{M}}*|(?P<run>[[{_RUNS}]&&[\p{{L}}\p{{M}}]]+)|[[\p{{L}}\p{{N}}\p{{M}}]--[{_LETTERS}{_RUNS}]]+|[\p{{N}}\p{{M}}]+")
+_LETTER = regex.compile(r"\p{L}\p{M}*|\p{M}+")
+
+
+@lru_cache(1 << 16)
+def _ends(pair: str) -> bool:
+    return xxhash.xxh3_64_intdigest(pair) % 4 == 0
+
+
+def _cut(run: str) -> list[str]:
+    letters = _LETTER.findall(run)
+    cuts = [0, *(k for k, (x, y) in enumerate(pairwise(letters), 1) if _ends(x + y)), len(letters)]
+    return ["".join(letters[i:j]) for i, j in pairwise(cuts)]
+
+
 def words(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split() if isinstance(text, str) else []
+    if not isinstance(text, str):
+        return []
+    text = text.lower()
+    if not _OTHERS.search(text):
+        return text.encode().translate(_SPACED).split()
+    return [w.encode() for m in _WORD.finditer(text) for w in (_cut(m[0]) if m["run"] else (m[0],))]
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -93,38 +124,65 @@ def _tiled(doc: np.ndarray, item: np.ndarray, seed: int, coverage: float) -> tup
     return (covered, len(found)) if covered >= coverage * len(item) else None
 
 
+def _need(n_words: np.ndarray | int, seed: int, coverage: float):
+    """How many seed places a document must share with an item: a tile of n words has n - seed + 1
+    of them, so k shared places cover at most k * seed words."""
+    return np.maximum(1, np.ceil(coverage * n_words / seed - 1e-9)).astype(np.int64)
+
+
 class Seeds:
-    """Items by the hashes of their seeds."""
+    """Items by the hashes of their rarest seeds: of P places, P - need + 1 can't all be missed.
+    Everything is arrays of a size in proportion to the items' words."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], seed: int):
+    def __init__(self, items: list[tuple[int, np.ndarray]], seed: int, coverage: float):
         self.items, self.seed = items, seed
-        found = [(h, k) for k, (_, codes) in enumerate(items) for h in set(c.rolling(c.prefix_hash(codes), seed).tolist())]
-        found.sort()
-        self.hashes, self.owner = np.array([h for h, _ in found], c.U64), np.array([k for _, k in found], np.int64)
+        sizes = np.array([len(x) for _, x in items], np.int64)
+        self.need = _need(sizes, seed, coverage)
+        flat = np.concatenate([x for _, x in items]) if items else np.zeros(0, c.U64)
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), sizes)
+        h = c.rolling(c.prefix_hash(flat), seed)
+        inside = owner[: len(h)] == owner[len(flat) - len(h) :]  # else a seed of two items
+        h, owner = h[inside], owner[: len(h)][inside]
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        new = np.flatnonzero((h != np.roll(h, 1)) | (owner != np.roll(owner, 1))) if len(h) > 1 else np.arange(len(h))
+        places, h, owner = np.diff(new, append=len(h)), h[new], owner[new]
+        known, back, items_of = np.unique(h, return_inverse=True, return_counts=True)
+        order = np.lexsort((h, items_of[back], owner))
+        h, owner, places = h[order], owner[order], places[order]
+        total = np.cumsum(places) - places
+        first = np.searchsorted(owner, np.arange(len(items)))
+        before = total - total[np.minimum(first, max(len(total) - 1, 0))][owner] if len(total) else total
+        kept = before <= (sizes - seed + 1 - self.need)[owner]
+        h, owner = h[kept], owner[kept]
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.owner = h[order], owner[order]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(c.mix(self.hashes) & c.U64(self.bits.size - 1)).astype(np.int64)] = True
-        short = [k for k, (_, codes) in enumerate(items) if len(codes) < seed]
-        self.short = {n: {int(c.prefix_hash(items[k][1])[n]): [] for k in short if len(items[k][1]) == n} for n in {len(items[k][1]) for k in short}}
-        for k in short:
-            n = len(items[k][1])
-            self.short[n][int(c.prefix_hash(items[k][1])[n])].append(k)
+        self.short = {}
+        for n in np.unique(sizes[(sizes < seed) & (sizes > 0)]).tolist():
+            at = np.flatnonzero(sizes == n)
+            whole = np.array([c.prefix_hash(items[k][1])[n] for k in at], c.U64)
+            order = np.argsort(whole, kind="stable")
+            self.short[n] = whole[order], at[order]
 
     def hits(self, prefix: np.ndarray) -> np.ndarray:
-        """Places in a sequence where a seed of some item stands."""
+        """Places in a sequence where a seed stands that stands for some item."""
         h = c.rolling(prefix, self.seed)
         at = np.flatnonzero(self.bits[(c.mix(h) & c.U64(self.bits.size - 1)).astype(np.int64)])
         return at[np.isin(h[at], self.hashes)]
 
-    def candidates(self, codes: np.ndarray, at: np.ndarray) -> set[int]:
-        out: set[int] = set()
-        for h in np.unique(c.rolling(c.prefix_hash(codes), self.seed)[at]):
-            out.update(self.owner[np.searchsorted(self.hashes, h) : np.searchsorted(self.hashes, h, "right")].tolist())
-        for n, by in self.short.items():
-            h = c.rolling(c.prefix_hash(codes), n)
-            for x in by:
-                if (h == c.U64(x)).any():
-                    out.update(by[x])
-        return out
+    def candidates(self, codes: np.ndarray, at: np.ndarray) -> list[int]:
+        prefix, found = c.prefix_hash(codes), []
+        if len(at):
+            own = np.unique(c.rolling(prefix, self.seed))
+            lo, hi = (np.searchsorted(self.hashes, own[np.isin(own, self.hashes)], side) for side in ("left", "right"))
+            for i in np.unique(np.concatenate([self.owner[x:y] for x, y in zip(lo, hi, strict=True)])).tolist():
+                if np.isin(c.rolling(c.prefix_hash(self.items[i][1]), self.seed), own).sum() >= self.need[i]:
+                    found.append(i)
+        for n, (whole, owner) in self.short.items():
+            found += owner[np.isin(whole, c.rolling(prefix, n))].tolist()
+        return sorted(found)
 
 
 def _coded(texts: list[str | None]) -> list[np.ndarray]:
@@ -148,7 +206,7 @@ def _scan(held, coverage: float):
                     at = places[cut[k] : cut[k + 1]] - begin[k]
                     at = at[at + seeds.seed <= len(coded[k])]
                     if len(at) or seeds.short:
-                        for i in sorted(seeds.candidates(coded[k], at)):
+                        for i in seeds.candidates(coded[k], at):
                             item_id, item = seeds.items[i]
                             if got := _tiled(coded[k], item, seeds.seed, coverage):
                                 out.append((doc_id, item_id, len(item), *got))
@@ -158,21 +216,25 @@ def _scan(held, coverage: float):
 
 
 def _item_seeds(seed: int, coverage: float):
-    """Distinct seeds of each item with the places where they stand, and how many places a document
-    must share at least: a tile of n words has n - seed + 1 of them, so k shared places cover at most
-    k * seed words."""
+    """Distinct seeds of each item with the places where they stand, and how many places more than
+    needed it has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for item, codes in zip(pdf["item"], _coded(pdf["text"].tolist()), strict=True):
                 if n := min(seed, len(codes)):
                     h, places = np.unique(c.mix(c.rolling(c.prefix_hash(codes), n) + c.U64(n)), return_counts=True)
-                    need = max(1, math.ceil(coverage * len(codes) / n - 1e-9))
+                    need = int(_need(len(codes), n, coverage))
                     yield pd.DataFrame({"hash": c.signed(h), "item": item, "size": n, "places": places, "spare": len(codes) - n + 1 - need})
 
     return run
 
 
+def _item_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"item_id": pdf["item_id"], "codes": [x.tobytes() for x in _coded(pdf["text"].tolist())]})
+
+
 def _doc_seeds(sizes: list[int]):
     """Distinct seeds of each document, of the lengths that items have."""
 
@@ -224,11 +286,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
     spark = c.session(documents.sparkSession)
     docs = c.texts(documents)
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    coded = c.table(items.mapInPandas(c.freed(_item_codes), "item_id long, codes binary"), "item-codes")
+    size = coded.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
     if size <= broadcast_bytes:
-        got = items.collect()
-        coded = [(r.item_id, x) for r, x in zip(got, _coded([r.text for r in got]), strict=True) if len(x)]
-        pairs = docs.mapInPandas(c.freed(_scan(spark.sparkContext.broadcast(Seeds(coded, seed)), coverage)), PAIRS)
+        known = [(r.item_id, np.frombuffer(r.codes, c.U64)) for r in coded.collect() if r.codes]
+        pairs = docs.mapInPandas(c.freed(_scan(spark.sparkContext.broadcast(Seeds(known, seed, coverage)), coverage)), PAIRS)
     else:
         items = c.table(items.withColumn("item", F.xxhash64("item_id", "text")), "items")
         pairs = _candidates(docs, items, coverage, seed).join(docs, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item").mapInPandas(c.freed(_tile_rows(seed, coverage)), PAIRS)

@@ -94,6 +94,32 @@ def test_both_ways_agree_on_very_common_seeds(spark):
     assert one == other and {r[1] for r in one} >= {98, 99} and len(one) > 600
 
 
+def test_words_of_all_scripts():
+    split = lambda t: [w.decode() for w in decontaminate.words(t)]
+    assert split("«Größe» — x_1, ĳ\u00a0A\u0301b…") == ["größe", "x", "1", "ĳ", "a\u0301b"]
+    assert split("中文、テスト3月。") == ["中", "文", "テ", "ス", "ト", "3", "月"]
+    assert split("ไทย") and "".join(split("ทดสอบภาษาไทย ๑๒ ครับ")) == "ทดสอบภาษาไทย๑๒ครับ"
+    assert split("\ud800 \u2009 ,") == []
+    rng = random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choice("abÄß19 ,._-ÿƀ\n'") for _ in range(30)).lower()
+        assert split(text) == [m[0] for m in decontaminate._WORD.finditer(text)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_contaminated_in_scripts_without_spaces(spark, most):
+    rng = random.Random(6)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x5E00)) for _ in range(n))
+    thai = lambda n: "".join(chr(rng.randint(0x0E01, 0x0E2E)) for _ in range(n))
+    items = {1: han(40), 2: thai(120), 3: "été à l’ombre — d’une forêt profonde"}
+    docs = {1: han(300) + items[1] + han(50), 2: han(90) + items[1][20:] + "，" + han(7) + items[1][:20], 3: thai(300) + items[2] + thai(80), 4: han(400) + thai(400), 5: "x “" + items[3].upper() + "”. y", 6: items[1][:15] + han(60)}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(d, b, broadcast_bytes=most).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (5, 3)}
+    assert got[1, 1].covered == got[1, 1].n_words == 40 and got[2, 1].n_tiles == 2
+
+
 @pytest.mark.parametrize("most", [1 << 20, -1])
 def test_warc_round_trip(spark, monkeypatch, most):
     monkeypatch.setattr(warc.write, "__defaults__", (None, most))
