@@ -15,13 +15,16 @@ punctuation around it), the mean surprisal of the first characters of its words,
 the end of another word, and the share of its words that repeat the word before. It is rejected if
 one of them exceeds its language's quantile among trusted documents. Documents fall in two halves by a
 hash of doc_id; each half is scored by the model of the other half's trusted documents, so that all
-trusted documents train and all set the quantiles. A language with under LEAST_TRUSTED of them has
+trusted documents train and all set the quantiles. Where all trusted documents of a language fall in
+one half, the one with the least hash goes to the other, so two are enough for a model and a mean.
+A language with under LEAST_TRUSTED of them has
 the mean of its own plus the quantile, over all languages, of how far trusted documents lie from
-their language's mean; where its own worst trusted document lies above that, this is the limit.
+their language's mean; where its own worst trusted document lies above that, this is the limit. A
+language with fewer than two has no model; its documents are judged by their repeated words alone,
+with the highest limit that a language has.
 
 Defined cases: null and empty texts have no figures and are kept; null lang is a language of its
-own; a language without a trusted document in each half has no model or no mean, and its documents are
-kept; very long texts are scored whole; other columns are ignored; repeated doc_ids: see common.texts; an empty table gives an empty result.
+own; without any limit all documents are kept; very long texts are scored whole; other columns are ignored; repeated doc_ids: see common.texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -155,6 +158,13 @@ class Lookup:
         return self.table.get(_grams(points))[0].astype(float)
 
 
+class Unknown:
+    """No model: for what needs no surprisals."""
+
+    def bits(self, points: np.ndarray) -> np.ndarray:
+        return np.zeros(max(0, len(points) - ORDER + 1))
+
+
 class Backoff:
     """Surprisals from the finished tables: a seen n-gram's own, else its context's back-off weight
     (none if the context is unseen) and the shorter n-gram's."""
@@ -183,7 +193,7 @@ class Backoff:
         return out
 
 
-def surprise(texts: list[str], model: Lookup | Backoff) -> dict[str, np.ndarray]:
+def surprise(texts: list[str], model: Lookup | Backoff | Unknown) -> dict[str, np.ndarray]:
     """FIGURES of each text; NaN where there is nothing to take them from."""
     out = {k: np.full(len(texts), np.nan) for k in FIGURES}
     for text, who, starts in _pieces(texts):
@@ -221,14 +231,14 @@ def surprise(texts: list[str], model: Lookup | Backoff) -> dict[str, np.ndarray]
 
 
 def _scored(docs: pd.DataFrame, models) -> pd.DataFrame:
-    """doc_id, lang and FIGURES; NULL for languages without a model and texts without characters."""
+    """doc_id, lang and FIGURES; NULL for texts without characters, and all but `repeated` for
+    languages without a model."""
     out = []
     for lang, g in docs.groupby("lang"):
         model = models(lang)
+        got = surprise([t if isinstance(t, str) else "" for t in g["text"]], model or Unknown())
         if model is None:
-            got = {k: np.full(len(g), np.nan) for k in FIGURES}
-        else:
-            got = surprise([t if isinstance(t, str) else "" for t in g["text"]], model)
+            got |= {k: np.full(len(g), np.nan) for k in FIGURES if k != "repeated"}
         out.append(pd.DataFrame({"doc_id": g["doc_id"], "lang": lang, **got}))
     got = pd.concat(out) if out else pd.DataFrame({k: [] for k in ("doc_id", "lang", *FIGURES)})
     return got.assign(**{k: got[k].astype("Float64").where(got[k].notna(), pd.NA) for k in FIGURES})
@@ -337,6 +347,13 @@ def gathered(table: DataFrame, start: DataFrame) -> dict[str, tuple]:
     return out
 
 
+def _moved(good: DataFrame) -> DataFrame:
+    """doc_id, other: of each language whose trusted documents (two or more) are all in one half, the
+    one with the least hash, and the half that it goes to."""
+    halves = good.groupBy("lang").agg(F.count("*").alias("n"), F.min("half").alias("least"), F.max("half").alias("most"), F.min(F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")).alias("first"))
+    return halves.where("n > 1 AND least = most").select("first.doc_id", (1 - F.col("least")).alias("other"))
+
+
 def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None, broadcast_rows: int = BROADCAST_ROWS, crossed: bool = False) -> DataFrame:
     """doc_id, lang, FIGURES, half (0 or 1, null: not trusted) of every document. The model is that of
     half 0; if crossed, each half has that of the other. labels: doc_id and what `trusted` reads (by
@@ -348,10 +365,17 @@ def score(documents: DataFrame, labels: DataFrame, trusted: Column | None = None
     good = labels.where("doc_id IS NOT NULL").where(trusted).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("half", half)
     good = c.table(good, "trusted")
     small = good.count() <= BROADCAST_IDS
+    moved = c.table(_moved(docs.select("doc_id", "lang").join(F.broadcast(good) if small else good, "doc_id")), "moved")  # at most a row for each language
+    if n := moved.count():
+        moved = F.broadcast(moved) if n <= BROADCAST_LANGS else moved
+        good = c.table(good.join(moved, "doc_id", "left").select("doc_id", F.coalesce("other", "half").alias("half")), "trusted")
+        docs = docs.join(moved, "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("other", half).alias("half"))
+        half = F.col("half")
     train = (good if crossed else good.where("half = 0")).select("doc_id")
     learned = docs
     if crossed:  # two models a language, told apart by a digit before it
         learned, docs = (docs.withColumn("lang", F.concat(h.cast("string"), "lang")) for h in (half, 1 - half))
+    docs = docs.select("doc_id", "lang", "text")
     counts = learned.where("text IS NOT NULL").join(F.broadcast(train) if small else train, "doc_id", "left_semi").select("lang", "text").mapInPandas(c.freed(_counts), "lang string, gram string, c long")
     weights, start = model(c.table(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "counts"))
     if weights.count() <= broadcast_rows:
@@ -396,9 +420,11 @@ def judge(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, p
     pooled = good.join(own, "lang").agg(*(F.percentile_approx(F.col(k) - F.col(f"mean_{k}"), q, 100_000).alias(f"far_{k}") for k, q in quantiles.items()))
     limits = own.join(F.broadcast(pooled)).select("lang", *(F.when(F.col("n") >= LEAST_TRUSTED, F.col(f"own_{k}")).otherwise(F.greatest(f"own_{k}", F.col(f"mean_{k}") + F.col(f"far_{k}"))).alias(f"most_{k}") for k in FIGURES))
     limits = c.table(limits, "limits")  # a row for each language
+    highest = limits.agg(F.max("most_repeated").alias("_highest"))
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGS else limits
     over = F.greatest(*(F.coalesce(F.col(k) > F.col(f"most_{k}"), F.lit(False)) for k in FIGURES))
-    return scored.join(limits, "lang", "left").withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~over)
+    highest = F.broadcast(highest)  # one row
+    return scored.join(limits, "lang", "left").join(highest).withColumn("most_repeated", F.coalesce("most_repeated", "_highest")).drop("_highest").withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~over)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -218,6 +218,28 @@ def test_quality_judges_languages_with_few_labels(spark):
                 assert crossed[i].bits == pytest.approx(np.mean([-math.log2(m.p(padded[k : k + 4])) for k in range(len(t))]), rel=1e-4)
 
 
+def test_quality_of_languages_with_two_trusted_texts_and_with_none(spark):
+    rng = random.Random(8)
+    rows = [(i, speech(rng, "aa", 40), "aa") for i in range(120)]
+    hashed = dict(spark.range(1000, 1200).selectExpr("id", "pmod(xxhash64(id), 2)").collect())
+    two = [i for i in hashed if hashed[i] == 1][:2]
+    rows += [(i, speech(rng, "bb", 60), "bb") for i in two]  # both in one half
+    trusted = {i for i, _, _ in rows} | {3000}
+    rows += [(2000, "zzzz qqqq idiot. " * 9, "bb"), (2001, speech(rng, "bb", 40), "bb"), (3000, speech(rng, "cc", 40), "dd")]
+    rows += [(2002, speech(rng, "cc", 40), "cc"), (2003, "lumo " * 60, "cc"), (2004, "", "cc"), (2005, None, "cc"), (2006, "lumo " * 60, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert len(got) == len(rows) and {got[i].half for i in two} == {0, 1}
+    assert got[2000].bits is not None and not got[2000].kept and all(got[i].kept for i in (*two, 2001, 3000))
+    assert got[2002].bits is None and got[2002].kept and not got[2003].kept and got[2003].repeated == 1
+    assert got[2004].kept and got[2005].kept and not got[2006].kept
+    crossed = {r.doc_id: r for r in quality.score(docs, labels, crossed=True).collect()}
+    a, b = (dict((i, t) for i, t, _ in rows)[i] for i in two)
+    for i, own, other in ((two[0], a, b), (two[1], b, a)):
+        m, padded = Kneser([other], 4), "   " + own
+        assert crossed[i].bits == pytest.approx(np.mean([-math.log2(m.p(padded[k : k + 4])) for k in range(len(own))]), rel=1e-4)
+
+
 def test_quality_peak_without_punctuation():
     class Letters:
         def bits(self, points):
