@@ -237,7 +237,8 @@ def huffman(counts: list[int], most: int) -> list[int]:
         floor *= 2  # a flatter distribution
 
 
-def write_code(out: Writer, lengths: list[int]) -> None:
+def write_code(out: Writer, lengths: list[int], own: bool = False) -> None:
+    """own: its lengths are written in a code made for them, which is smaller and takes longer to make."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and all(s < 256 for s in used):
         used = used or [0]
@@ -249,15 +250,19 @@ def write_code(out: Writer, lengths: list[int]) -> None:
         return
     runs = np.array(lengths, np.int64)
     begin = np.flatnonzero(np.diff(runs, prepend=-1))
-    pieces = [_lengths_head()[0], *map(_run, runs[begin].tolist(), np.diff(begin, append=len(runs)).tolist())]
-    text = "".join(reversed(pieces))  # the first bit is the lowest
+    runs = list(zip(runs[begin].tolist(), np.diff(begin, append=len(runs)).tolist(), strict=True))
+    times = [0] * 19
+    if own:
+        for s, _, _ in (t for r in runs for t in _tokens(*r)):
+            times[s] += 1
+    weights = tuple(times) if own else _usual()
+    text = "".join(reversed([_lengths_head(weights)[0], *(_run(*r, weights) for r in runs)]))  # the first bit is the lowest
     out.put(int(text, 2), len(text))
 
 
-@functools.lru_cache(maxsize=1 << 14)
-def _run(length: int, run: int) -> str:
-    """Bits of so many equal code lengths, the last one first."""
-    tokens = []  # (symbol, extra value, extra bits)
+def _tokens(length: int, run: int) -> list[tuple[int, int, int]]:
+    """Symbol, extra value and extra bits of so many equal code lengths."""
+    tokens = []
     while length == 0 and run >= 3:
         part = min(run, 138)
         tokens.append((17, part - 3, 3) if part <= 10 else (18, part - 11, 7))
@@ -266,23 +271,32 @@ def _run(length: int, run: int) -> str:
         part = min(run, 7)
         tokens += [(length, 0, 0), (16, part - 4, 2)]
         run -= part
-    tokens += [(length, 0, 0)] * run
-    codes = _lengths_head()[1]
-    return "".join((f"{extra:0{n}b}" if n else "") + codes[s] for s, extra, n in reversed(tokens))
+    return tokens + [(length, 0, 0)] * run
 
 
 @functools.cache
-def _lengths_head() -> tuple[str, list[str]]:
-    """What stands before the lengths of a code, and the code that they are written in, the last bit first. It is
-    the same for every image, so that it is made, and read, once: a length is more seldom the further it is from
-    six, runs of none are frequent."""
-    weights = [int(4096 * 0.7 ** abs(n - 6)) for n in range(16)] + [1024, 2048, 2048]
-    weights[0] = 2048
-    own, codes = huffman(weights, 7), [""] * 19
-    for s, code, n in zip(*(x.tolist() for x in canonical(own)), strict=True):
-        codes[s] = f"{code:0{n}b}"
+def _usual() -> tuple[int, ...]:
+    """Weights of the code that lengths are written in. It is the same for every image, so that it is made, and
+    read, once: a length is more seldom the further it is from six, runs of none are frequent."""
+    return (2048, *(int(4096 * 0.7 ** abs(n - 6)) for n in range(1, 16)), 1024, 2048, 2048)
+
+
+@functools.lru_cache(maxsize=64)
+def _lengths_head(weights: tuple[int, ...]) -> tuple[str, list[str]]:
+    """What stands before the lengths of a code, and the code that they are written in, the last bit first."""
+    lengths, codes = huffman(list(weights), 7), [""] * 19
+    if sum(map(bool, lengths)) > 1:
+        for s, code, n in zip(*(x.tolist() for x in canonical(lengths)), strict=True):
+            codes[s] = f"{code:0{n}b}"
     # all lengths follow (one bit), the nineteen code lengths, how many these are, a normal code (one bit)
-    return "0" + "".join(f"{own[s]:03b}" for s in reversed(LENGTH_ORDER)) + f"{15:04b}" + "0", codes
+    return "0" + "".join(f"{lengths[s]:03b}" for s in reversed(LENGTH_ORDER)) + f"{15:04b}" + "0", codes
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _run(length: int, run: int, weights: tuple[int, ...]) -> str:
+    """Bits of so many equal code lengths, the last one first."""
+    codes = _lengths_head(weights)[1]
+    return "".join((f"{extra:0{n}b}" if n else "") + codes[s] for s, extra, n in reversed(_tokens(length, run)))
 
 
 def _amount(bits: Bits, symbol: int) -> int:
@@ -643,14 +657,14 @@ def write_image(out: Writer, pixels: np.ndarray, width: int, main: bool = False,
     coded.write(out)
 
 
-def _image_head(out: Writer, main: bool, cache_bits: int, lengths: list[list[int]]) -> None:
+def _image_head(out: Writer, main: bool, cache_bits: int, lengths: list[list[int]], own: bool = False) -> None:
     out.put(bool(cache_bits), 1)
     if cache_bits:
         out.put(cache_bits, 4)
     if main:
         out.put(0, 1)
     for x in lengths:
-        write_code(out, x)
+        write_code(out, x, own)
 
 
 # ---- transforms
@@ -935,7 +949,7 @@ def _fixed_head(width: int, height: int, text: bool) -> tuple[int, int]:
     out = Writer()
     _head(out, width, height, False)
     out.put(0, 1)  # no transform
-    _image_head(out, True, 0, _fixed_codes(text))
+    _image_head(out, True, 0, _fixed_codes(text), own=True)
     return out.value, out.n
 
 
