@@ -33,6 +33,8 @@ CONTACTS = (
 #: Names of a dictionary that may be broadcast, and bytes of text in all of them: an automaton has a
 #: node for each byte that no other name begins with, some 50 bytes large.
 MOST_NAMES, MOST_BYTES = 500_000, 8 << 20
+#: Bits, as a power of two, of the map of hashes that larger dictionaries are looked for with (16 MB).
+MOST_BITS = 27
 #: Characters of a name that is spelled by initials.
 MOST_SYLLABLES = 8
 #: Kinds of texts that a classifier may have.
@@ -103,8 +105,9 @@ class Rules:
 class Matcher:
     """Courses that a text names: full names, 8-digit codes and nicknames, the longest wins."""
 
-    def __init__(self, rows: Iterable[tuple[str, str]], rules: Rules = Rules()):  # noqa: B008
-        self.rules, self.names = rules, {}
+    def __init__(self, rows: Iterable[tuple[str, str]], rules: Rules = Rules(), meanings: dict[str, str | None] | None = None):  # noqa: B008
+        """rows: code and name, in order; or meanings, the surfaces and what each stands for."""
+        self.rules, self.names = rules, dict(meanings or {})
         for code, name in rows:
             if name:
                 self.names[name] = name
@@ -182,28 +185,37 @@ def _bare(name: Column) -> Column:
 
 
 def _occurring(entries: DataFrame, surfaces: DataFrame, gram: int = 12) -> DataFrame:
-    """entry_key and surface: which of a dictionary's surfaces (column surface) stand in an entry."""
-    known = surfaces.where(F.length("surface") > 0).select("surface").distinct()
-    met = _gram_join(entries, known, "entry_key", "content", "surface", gram).distinct()
+    """entry_key and the columns of surfaces: which of a dictionary's surfaces (column surface) stand in
+    an entry, a row for each place."""
+    met = _gram_join(entries, surfaces.where(F.length("surface") > 0), "entry_key", "content", "surface", gram)
     met = met.join(entries.select("entry_key", F.col("content").alias("_text")), "entry_key")
-    return met.where(F.expr("substring(_text, _at + 1, length(surface))") == F.col("surface")).select("entry_key", "surface").distinct()
+    return met.where(F.expr("substring(_text, _at + 1, length(surface))") == F.col("surface")).select("entry_key", *surfaces.columns)
+
+
+def _meanings(rows: DataFrame) -> DataFrame:
+    """surface (unique) and name: what a word stands for in a Matcher of all rows (code, name). The last row
+    that has it as its name or code counts, else the first whose name it is without brackets."""
+    form = lambda x, own: F.struct(x.alias("surface"), F.lit(own).alias("own"))
+    forms = F.array(form(F.col("name"), True), form(_bare(F.col("name")), False), form(F.when(F.col("code").rlike(r"(?U)\A\d{8}\z"), F.col("code")), True))
+    each = rows.select(F.struct("code", "name").alias("row"), F.inline(forms)).where(F.length("surface") > 0)
+    ends = each.groupBy("surface").agg(F.max(F.when(F.col("own"), F.col("row"))).alias("last"), F.min(F.when(~F.col("own"), F.col("row"))).alias("first"))
+    return ends.select("surface", F.coalesce("last", "first")["name"].alias("name"))
 
 
 def tag_courses(entries: DataFrame, names: DataFrame, rules: Rules = Rules(), allow_short: bool = True, most: int = MOST_NAMES) -> DataFrame:  # noqa: B008
     """entry_key and course_name for each course that an entry names; names: code, name.
 
     A dictionary of up to `most` names and MOST_BYTES is broadcast. Of a larger one each entry is given
-    the rows that stand in it, found by a join of hashes, and is matched with those: which of the
-    names in a text win depends on names in that text alone, so both ways say the same."""
+    the surfaces that stand in it, found by a join of hashes, each with the one name that it stands for
+    (a name may have any number of codes), and is matched with those: which of the names in a text win
+    depends on names in that text alone, so both ways say the same."""
     rows = names.select("code", "name")
     if (got := _held(rows, most)) is not None:
         held = entries.sparkSession.sparkContext.broadcast(Matcher([(r[0], r[1]) for r in got], rules))
         return entries.select("entry_key", "content").mapInPandas(_tagged(lambda _: held.value, allow_short), "entry_key string, course_name string")
-    rows = table(rows.distinct(), "names")
-    surfaces = rows.select("code", "name", F.explode(F.array_distinct(F.array("name", _bare(F.col("name")), F.when(F.col("code").rlike("^[0-9]{8}$"), F.col("code"))))).alias("surface"))
-    found = _occurring(entries, surfaces).join(surfaces, "surface").groupBy("entry_key").agg(F.collect_set(F.struct("code", "name")).alias("_rows"))
+    found = _occurring(entries, _meanings(rows)).groupBy("entry_key").agg(F.collect_set(F.struct("surface", "name")).alias("_rows"))
     own = entries.select("entry_key", "content").join(found, "entry_key", "left")
-    return own.mapInPandas(_tagged(lambda xs: Matcher(_pairs(xs, "code", "name"), rules), allow_short), "entry_key string, course_name string")
+    return own.mapInPandas(_tagged(lambda xs: Matcher((), rules, dict(_pairs(xs, "surface", "name"))), allow_short), "entry_key string, course_name string")
 
 
 def _pairs(rows, *names: str) -> list[tuple]:
@@ -237,15 +249,16 @@ def highlight(entries: DataFrame, listings: DataFrame, initials: DataFrame | Non
     who = F.transform(F.split("teacher", "[,，]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[(（].*?[)）]", ""), r"(?U)^\s+|\s+$", ""))
     teaching = both.select("course_name", F.explode(who).alias("teacher")).where("teacher <> ''").distinct()
     names = both.where(F.length("course_name") > 0).select("course_name", F.explode(F.array_distinct(F.array("course_name", _bare(F.col("course_name"))))).alias("surface")).distinct()
-    courses = _occurring(texts, names).join(names, "surface").select("entry_key", "course_name", F.lit(None).cast("string").alias("teacher"))
-    people = _occurring(texts, teaching.select(F.col("teacher").alias("surface"))).select("entry_key", F.col("surface").alias("teacher"))
+    courses = _occurring(texts, names).select("entry_key", "course_name", F.lit(None).cast("string").alias("teacher"))
+    people = _occurring(texts, teaching.select(F.col("teacher").alias("surface")).distinct()).select("entry_key", F.col("surface").alias("teacher")).distinct()
     spelled = None
     if initials is not None:
         words = texts.select("entry_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("(?<![a-z])([a-z]{2,4})(?![a-z])"), 1))).alias("initials"))
         spelled = words.join(initials.select("teacher", F.lower("initials").alias("initials")).distinct(), "initials").select("entry_key", "teacher", "initials")
         people = people.union(spelled.select("entry_key", "teacher")).distinct()
     own = texts.select("entry_key", F.explode("courses").alias("course_name")).distinct()
-    taught = people.join(teaching, "teacher").join(own, ["entry_key", "course_name"]).select("entry_key", "course_name", "teacher")
+    # an entry's people with its courses first: a teacher may have any number of courses
+    taught = people.join(own, "entry_key").join(teaching, ["course_name", "teacher"]).select("entry_key", "course_name", "teacher")
     rows = courses.union(taught).union(people.select("entry_key", F.lit(None).cast("string"), "teacher"))
     found = rows.groupBy("entry_key").agg(F.collect_set(F.struct("course_name", "teacher")).alias("_rows"))
     given = texts.join(found, "entry_key", "left")
@@ -300,41 +313,97 @@ def longest_matches(texts: DataFrame, key: str, text: str, names: DataFrame, nam
     return best.mapInPandas(thin, schema)
 
 
+def _grams(texts: list[str], sizes: Iterable[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of sizes the places, in the texts put end to end, where so many characters of one text
+    begin, and their hashes (a polynomial in the code points, its bits spread)."""
+    sizes, lengths = set(sizes), np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    left, h = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes)), np.zeros(len(codes) + 1, np.uint64)
+    for n in range(1, min(max(sizes, default=0), len(codes)) + 1):
+        h = h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        if n in sizes:
+            at = np.flatnonzero(left[: len(h)] >= n)
+            x = h[at] + np.uint64(n)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            yield n, at, x ^ (x >> np.uint64(31))
+
+
+def _first_grams(names: DataFrame, name: str, gram: int) -> DataFrame:
+    """names with _n, the number of their first characters that are hashed, and the hash _gram."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            heads = [x[:gram] for x in pdf[name]]
+            lengths = np.fromiter(map(len, heads), np.int64, len(heads))
+            starts, hashes = np.cumsum(lengths) - lengths, np.zeros(len(heads), np.uint64)
+            for n, at, x in _grams(heads, lengths.tolist()):
+                hashes[lengths == n] = x[np.searchsorted(at, starts[lengths == n])]
+            yield pdf.assign(_n=lengths.astype(np.int32), _gram=hashes.view(np.int64))
+
+    schema = ", ".join(f"`{x}` {kind}" for x, kind in names.dtypes)
+    return names.mapInPandas(run, f"{schema}, _n int, _gram long")
+
+
+def _bits(known: DataFrame, grams: int) -> np.ndarray:
+    """A bit map of the hashes _gram, two bits each, by which most places where none stands are told. No larger
+    than 1 << MOST_BITS bits, so with very many hashes it tells less, and the join does the rest."""
+    size = 1 << min(MOST_BITS, max(16, (16 * grams).bit_length()))
+    slots = known.select(F.explode(F.array(F.col("_gram"), F.shiftrightunsigned("_gram", 32))).alias("x")).select(F.col("x").bitwiseAND(size - 1).alias("x"))
+    words = slots.groupBy(F.shiftright("x", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def _gram_join(texts: DataFrame, names: DataFrame, key: str, text: str, name: str, gram: int) -> DataFrame:
     """key, _at and the names' columns where the first `gram` characters (all, of shorter names) of a
-    name stand at a place, by their hash. Only keys, places and hashes of the texts are shuffled; the
-    names are written first, so that adaptive execution can split a hot one."""
-    sized = names.withColumn("_n", F.least(F.length(name), F.lit(gram)))
-    known = table(sized.withColumn("_gram", F.xxhash64(F.substring(F.col(name), F.lit(1), F.col("_n")), "_n")).drop("_n"), "names")
-    sizes = sorted(r[0] for r in sized.select("_n").distinct().collect())  # at most `gram` numbers
+    name stand at a place, by their hash. Of the texts only keys, places and hashes are shuffled, and
+    of these only the ones that a bit map of the names' hashes lets through; the names are written
+    first, so that adaptive execution can split a hot one."""
+    known = table(_first_grams(names, name, gram), "names")
+    sizes = {r["_n"]: r["n"] for r in known.groupBy("_n").agg(F.count_distinct("_gram").alias("n")).collect()}  # at most `gram` numbers
+    held = texts.sparkSession.sparkContext.broadcast(_bits(known, sum(sizes.values())))
+
+    def may(h: np.ndarray) -> np.ndarray:
+        out, last = np.ones(len(h), bool), np.uint64(held.value.size * 64 - 1)
+        for x in (h & last, (h >> np.uint64(32)) & last):
+            out &= (held.value[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+        return out
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame({key: np.repeat(np.array(keys, object), counts), "_at": np.concatenate(ats), "_piece": pieces, "_n": np.repeat(lengths, counts)})
-            for x in (keys, counts, ats, pieces, lengths):
+        def flush() -> Iterator[pd.DataFrame]:
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            starts = np.cumsum(lengths) - lengths
+            for _, at, h in _grams(pieces, sizes):
+                fits = may(h)
+                at, h = at[fits], h[fits]
+                of = np.searchsorted(starts, at, "right") - 1
+                own = at - starts[of] < np.array(counts)[of]
+                at, h, of = at[own], h[own], of[own]
+                yield pd.DataFrame({key: np.array(keys, object)[of], "_at": np.array(los)[of] + at - starts[of], "_gram": h.view(np.int64)})
+            for x in (keys, los, counts, pieces):
                 x.clear()
-            return out
 
-        keys, counts, ats, pieces, lengths = [], [], [], [], []
+        keys, los, counts, pieces, most = [], [], [], [], max(sizes, default=0)
         for pdf in frames:
+            held_back = 0
             for k, t in zip(pdf[key], pdf[text], strict=True):
                 for lo in range(0, len(t or ""), 100_000):
-                    hi = min(len(t), lo + 100_000)
-                    for n in sizes:
-                        if (end := min(hi, len(t) - n + 1)) > lo:
-                            keys.append(k)
-                            counts.append(end - lo)
-                            lengths.append(n)
-                            ats.append(np.arange(lo, end))
-                            pieces += [t[i : i + n] for i in range(lo, end)]
-                    if len(pieces) > 200_000:
-                        yield flush()
+                    keys.append(k)
+                    los.append(lo)
+                    counts.append(min(100_000, len(t) - lo))  # what follows a piece is read for the names that cross its end
+                    pieces.append(t[lo : lo + 100_000 + most - 1])
+                    held_back += len(pieces[-1])
+                    if held_back > 200_000:
+                        yield from flush()
+                        held_back = 0
             if pieces:
-                yield flush()
+                yield from flush()
 
     kind = dict(texts.dtypes)[key]
-    pieces = texts.select(key, text).mapInPandas(grams, f"`{key}` {kind}, _at long, _piece string, _n int")
-    return pieces.select(key, "_at", F.xxhash64("_piece", "_n").alias("_gram")).join(known, "_gram").drop("_gram")
+    places = texts.select(key, text).mapInPandas(grams, f"`{key}` {kind}, _at long, _gram long")
+    return places.join(known.drop("_n"), "_gram").drop("_gram")
 
 
 def spans_of(text: Column, needle: Column) -> tuple[Column, Column]:

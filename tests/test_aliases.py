@@ -138,3 +138,42 @@ def test_dictionaries_are_bounded_in_bytes(spark, monkeypatch):
     assert mining._held(names, 5) is None
     texts = spark.createDataFrame([(1, "a x " + "long name " * 21)], "k long, t string")
     assert {(r.name, r.start) for r in mining.longest_matches(texts, "k", "t", names).collect()} == {("x", 2), ("long name " * 20, 4)}
+
+
+def test_a_text_is_given_one_meaning_of_a_name_with_many_codes(spark, monkeypatch):
+    from loomcat.operators import mining
+
+    names = spark.createDataFrame([(f"9{i:07d}", "Tides") for i in range(300)] + [("٩٠٠٠٠٠٠١", "Knots"), ("90000001\n", "Law"), ("90000299", None), (None, "90000005"), (None, "Kn(ots)"), ("1", "Kn（ots）")], "code string, name string")
+    entries = spark.createDataFrame([("a", "Tides, Tides and 90000007"), ("b", "٩٠٠٠٠٠٠١ 90000001\n 90000299 90000005 Knots"), (None, None)], "entry_key string, content string")
+    near, far = (sorted(map(tuple, mining.tag_courses(entries, names, most=most).collect())) for most in (10_000, 0))
+    assert near == far and ("b", "Knots") in far and ("a", "Tides") in far
+
+    def count(matcher, allow_short):
+        def run(frames):
+            for pdf in frames:
+                yield pdf.assign(course_name=[str(len(x) if x is not None else 0) for x in pdf["_rows"]])[["entry_key", "course_name"]]
+
+        return run
+
+    monkeypatch.setattr(mining, "_tagged", count)
+    assert {r.entry_key: int(r.course_name) for r in mining.tag_courses(entries, names, most=0).collect()} == {"a": 2, "b": 5, None: 0}
+
+
+def test_places_of_long_texts_and_the_bit_map(spark):
+    import re
+
+    import numpy as np
+
+    from loomcat.operators import mining
+
+    long = "🌊b " * 33_332 + "b 🌊Tides of the North" + "x" * 99_990 + "a🌊 end"
+    texts = spark.createDataFrame([(1, long), (2, "a"), (3, ""), (4, None), (5, "a🌊")], "k long, t string")
+    words = ["Tides of the North", "Tides of the South", "a🌊", "end", "a"]
+    met = mining._gram_join(texts, spark.createDataFrame([(w,) for w in words], "name string"), "k", "t", "name", 12)
+    want = sorted((k, m.start(), w) for k, t in ((1, long), (2, "a"), (5, "a🌊")) for w in words for m in re.finditer(re.escape(w[:12]), t))
+    assert sorted((r.k, r._at, r.name) for r in met.collect()) == want
+    known = mining._first_grams(spark.createDataFrame([(f"name {i}",) for i in range(5000)], "name string"), "name", 12)
+    bits = mining._bits(known, 5000)
+    held = lambda h: all(bits[(x & (bits.size * 64 - 1)) >> 6] >> np.uint64(x & 63) & np.uint64(1) for x in (h, h >> 32))
+    assert all(held(r._gram % (1 << 64)) for r in known.collect())
+    assert sum(held(int(h)) for h in np.random.default_rng(1).integers(0, 1 << 63, 5000)) < 250
