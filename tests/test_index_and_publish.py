@@ -53,6 +53,21 @@ def test_blocks_that_are_too_many_to_be_named_are_joined(spark, tmp_path, monkey
     assert index.search("xt 1").count() == rows.where(t.contains("body", "xt 1")).count() == 111
 
 
+def test_postings_lie_by_parts_of_a_block(spark, tmp_path):
+    rows = [(i, c * 3_000_000 + "Same É\U0001f600") for i, c in enumerate("abcd")] + [(i, f"x{i} sAme") for i in range(4, 50)]
+    index = TrigramIndex.build(spark.createDataFrame(rows, "k long, body string"), "k", "body", str(tmp_path / "i"), most_share=1.0)
+    folded = {k: trigrams.folded(x) for k, x in rows}
+    parts = {}
+    for r in spark.read.parquet(str(tmp_path / "i/postings")).collect():
+        assert r.n == len(r["keys"]) == len(set(r["keys"])) and all(r.gram in folded[k] for k in r["keys"])
+        parts.setdefault(r._part, set()).update(r["keys"])
+    assert len(parts) > 2 and sum(map(len, parts.values())) == len(rows)  # every row lies in one part
+    assert all(sum(len(folded[k].encode()) for k in ks) < 2 * trigrams.PART for ks in parts.values())
+    counts = {r.gram: r.n for r in spark.read.parquet(str(tmp_path / "i/grams")).collect()}
+    assert counts == {g: sum(g in x for x in folded.values()) for g in {x[i : i + 3] for x in folded.values() for i in [*range(min(60, len(x) - 2)), *range(max(0, len(x) - 12), len(x) - 2)]}}
+    assert {r.k for r in index.search("SAME").collect()} == set(folded) and {r.k for r in index.search("aas").collect()} == {0}
+
+
 def test_index_of_nothing(spark, tmp_path):
     rows = spark.createDataFrame([], "k string, body string")
     index = TrigramIndex.build(rows, "k", "body", str(tmp_path / "i"))
