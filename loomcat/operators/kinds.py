@@ -15,9 +15,11 @@ count each time they are learned from; a single kind, or none, raises ValueError
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -25,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import table
-from .mining import Classifier, features
+from .mining import features
+from .mining import MOST_KINDS as MOST_BAYES_KINDS
 
 #: Dimensions of the hashed features, bins of a probability for calibration and for its error, kinds.
 DIMENSIONS, BINS, ERROR_BINS, MOST_KINDS = 1 << 15, 200, 10, 50
+#: Models that are trained side by side.
+PARALLEL = 4
 #: What a text is called that no kind fits well enough.
 UNDECIDED = "undecided"
 
@@ -87,9 +92,12 @@ class Kinds:
             # a kind that a part lacks still has its place: labels run to the last kind in every part
             return regression.fit(part)
 
-        model, out = fit(rows), None
+        # side by side, since the many short steps of one training leave most of a cluster idle
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            model, *others = pool.map(inheritable_thread_target(rows.sparkSession)(fit), [rows, *(rows.where(F.col("fold") != k) for k in range(folds))])
+        out = None
         for k in range(folds):
-            held = probabilities(fit(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k), len(kinds))
+            held = probabilities(others[k], rows.where(F.col("fold") == k), len(kinds))
             out = held if out is None else out.union(held)
         scored = table(out.select("key", F.col("label").cast("int").alias("kind"), "fold", "p"), "out-of-fold")
         each = scored.select("fold", "kind", F.posexplode("p").alias("of", "p")).groupBy("fold", "of", _bin(F.col("p"), BINS).alias("bin"))
@@ -143,12 +151,34 @@ def calibration_error(scored: DataFrame, column: str, kinds: tuple[str, ...]) ->
     return gaps.groupBy(F.element_at(F.array(*map(F.lit, kinds)), F.col("of") + 1).alias("kind")).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("error"))
 
 
-def naive_bayes_out_of_fold(labelled: DataFrame, folds: int = 3) -> DataFrame:
-    """kind and bayes_right: the share of a kind's rows that naive Bayes models of the other folds give it."""
-    rows = labelled.where("key IS NOT NULL AND kind IS NOT NULL").withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int"))
-    out = None
-    for k in range(folds):
-        held = rows.where(F.col("fold") == k)
-        said = Classifier.learn(rows.where(F.col("fold") != k)).classify(held, "key", "text").select("key", F.col("kind").alias("said")).join(held.select("key", "kind"), "key")
-        out = said if out is None else out.union(said)
-    return out.groupBy("kind").agg(F.avg((F.col("said") == F.col("kind")).cast("double")).alias("bayes_right"))
+def naive_bayes_out_of_fold(labelled: DataFrame, folds: int = 3, smooth: float = 1.0) -> DataFrame:
+    """kind and bayes_right: the share of a kind's rows that naive Bayes models of the other folds give it
+    (as mining.Classifier learns them). Features are found once: a fold's model has the counts of all
+    rows but the fold's own, so one table of counts by fold serves all models."""
+    known = labelled.where("key IS NOT NULL AND kind IS NOT NULL")
+    rows = table(known.select("kind", F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"), features("text").alias("f"), F.monotonically_increasing_id().alias("id")), "features")
+    sizes = rows.groupBy("kind", "fold").agg(F.count("*").alias("n")).limit(folds * MOST_BAYES_KINDS + 1).collect()
+    names = sorted({r["kind"] for r in sizes})
+    others = [[sum(r["n"] for r in sizes if r["kind"] == x and r["fold"] != k) for x in names] for k in range(folds)]
+    if len(names) > MOST_BAYES_KINDS or not all(map(any, others)):
+        raise ValueError(f"{len(names)} kinds: 1 to {MOST_BAYES_KINDS} are possible, in each {folds - 1} folds")
+    each, count = range(len(names)), lambda i, k: f"n{i}_{k}"
+    tally = lambda i, k: F.count_if((F.col("kind") == names[i]) & (F.col("fold") != k)).alias(count(i, k))
+    grid = table(rows.select("kind", "fold", F.explode("f").alias("feature")).groupBy("feature").agg(*(tally(i, k) for k in range(folds) for i in each)), "feature-counts")
+    seen = lambda k: F.greatest(F.lit(0), *(F.col(count(i, k)) for i in each)) > 0
+    sums = grid.agg(*(F.count_if(seen(k)).alias(f"size{k}") for k in range(folds)), *(F.sum(count(i, k)).alias(count(i, k)) for k in range(folds) for i in each)).first()
+
+    def by_fold(value) -> Column:
+        out = F.when(F.col("fold") == 0, value(0))
+        for k in range(1, folds):
+            out = out.when(F.col("fold") == k, value(k))
+        return out
+
+    weight = lambda i, k: F.when(seen(k), F.log((F.col(count(i, k)) + smooth) / F.lit((sums[count(i, k)] or 0) + smooth * max(1, sums[f"size{k}"]))))
+    prior = lambda i, k: F.lit(float(np.log(others[k][i] / sum(others[k]))) if others[k][i] else float("-inf"))
+    met = rows.select("id", "fold", F.explode("f").alias("feature")).join(grid, "feature")
+    scored = met.groupBy("id").agg(*(F.sum(by_fold(lambda k, i=i: weight(i, k))).alias(f"w{i}") for i in each))
+    judged = rows.select("id", "kind", "fold").join(scored, "id", "left")
+    scores = F.array(*(F.coalesce(f"w{i}", F.lit(0.0)) + by_fold(lambda k, i=i: prior(i, k)) for i in each))
+    judged = judged.select("kind", scores.alias("s")).select("kind", F.element_at(F.array(*map(F.lit, names)), F.array_position("s", F.array_max("s")).cast("int")).alias("said"))
+    return judged.groupBy("kind").agg(F.avg((F.col("said") == F.col("kind")).cast("double")).alias("bayes_right"))

@@ -119,3 +119,24 @@ def test_few_kinds_and_rare_ones(spark):
         Kinds.learn(frame(spark, texts(1, 9)), folds=2)
     rare = Kinds.learn(frame(spark, texts(4, 60) + [(900, "odd", "zz", 0.0, None)]))
     assert {len(r["p"]) for r in rare.scored.collect()} == {4} and {r["kind"] for r in rare.report().collect()} == {"ad", "ask", "say", "zz"}
+
+
+def test_naive_bayes_out_of_fold_reads_texts_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomcat.operators.mining import Classifier
+
+    labelled = frame(spark, texts(5, 90) + [(900, "odd buy", "zz", 0.0, None), (901, None, "ad", 0.0, None), (None, "buy", "ad", 0.0, None), (902, "buy", None, 0.0, None)])
+    rows = labelled.where("key IS NOT NULL AND kind IS NOT NULL").withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(3)))
+    want = {}
+    for k in range(3):
+        held = rows.where(F.col("fold") == k)
+        said = {r.key: r.kind for r in Classifier.learn(rows.where(F.col("fold") != k)).classify(held, "key", "text").collect()}
+        for r in held.collect():
+            want.setdefault(r.kind, []).append(said[r.key] == r.kind)
+    asked = []
+    monkeypatch.setattr(kinds, "features", lambda x, own=kinds.features: asked.append(x) or own(x))
+    got = {r.kind: r.bayes_right for r in kinds.naive_bayes_out_of_fold(labelled).collect()}
+    assert got == pytest.approx({k: np.mean(v) for k, v in want.items()}) and asked == ["text"]
+    with pytest.raises(ValueError, match="0 kinds"):
+        kinds.naive_bayes_out_of_fold(labelled.limit(0))
