@@ -8,6 +8,7 @@ and replies is learned from labelled rows. Everything else is built-in expressio
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -15,6 +16,8 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ CONTACTS = (
 MOST_NAMES, MOST_BYTES = 500_000, 8 << 20
 #: Bits, as a power of two, of the map of hashes that larger dictionaries are looked for with (16 MB).
 MOST_BITS = 27
+#: Bytes of text that are matched at a time.
+SLICE = 1 << 20
 #: Characters of a name that is spelled by initials.
 MOST_SYLLABLES = 8
 #: Kinds of texts that a classifier may have.
@@ -278,6 +283,20 @@ def _highlighted(highlighter):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) cut into neighbours of about `most` bytes of text (one larger text stands
+    alone), so that what is found in them never depends on the number of rows of a batch. What the
+    last batch took is given back at the end: workers outlive their tasks."""
+    try:
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+            for lo, hi in itertools.pairwise([0, *cuts.tolist(), b.num_rows]):
+                yield b.slice(lo, hi - lo)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def longest_matches(texts: DataFrame, key: str, text: str, names: DataFrame, name: str = "name", most: int = MOST_NAMES, gram: int = 12) -> DataFrame:
     """key (unique), name, start (0-based code point), end of leftmost-longest occurrences of names. Up to
     `most` distinct names go into a broadcast automaton; more of them are joined by hashes of their
@@ -288,12 +307,14 @@ def longest_matches(texts: DataFrame, key: str, text: str, names: DataFrame, nam
     if (got := _held(rows, most)) is not None:
         held = texts.sparkSession.sparkContext.broadcast(Longest(r[0] for r in got))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                rows = [(k, t[s:e], s, e) for k, t in zip(pdf[key], pdf[text], strict=True) for s, e in held.value.spans(t)]
-                yield pd.DataFrame(rows, columns=[key, "name", "start", "end"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _slices(batches):
+                found = [(i, t[s:e], s, e) for i, t in enumerate(b.column(1).to_pylist()) for s, e in held.value.spans(t)]
+                of, met, starts, ends = zip(*found, strict=True) if found else ((), (), (), ())
+                columns = [b.column(0).take(pa.array(of, pa.int64())), pa.array(met, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "name", "start", "end"])
 
-        return texts.select(key, text).mapInPandas(run, schema)
+        return texts.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
     met = _gram_join(texts, rows, key, text, "name", gram).join(texts.select(key, F.col(text).alias("_text")), key)
     met = met.where(F.expr("substring(_text, _at + 1, length(name))") == F.col("name"))
     # the longest name at each place; a text's occurrences are no more than its characters

@@ -177,3 +177,17 @@ def test_places_of_long_texts_and_the_bit_map(spark):
     held = lambda h: all(bits[(x & (bits.size * 64 - 1)) >> 6] >> np.uint64(x & 63) & np.uint64(1) for x in (h, h >> 32))
     assert all(held(r._gram % (1 << 64)) for r in known.collect())
     assert sum(held(int(h)) for h in np.random.default_rng(1).integers(0, 1 << 63, 5000)) < 250
+
+
+def test_matching_holds_few_texts_at_a_time(spark):
+    import pyarrow as pa
+
+    from loomcat.operators import mining
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(3000)), "t": ["ab the " * 150, None, ""] * 1000})
+    parts = list(mining._slices(iter([batch, batch.slice(0, 0)]), 50_000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 20
+    assert max(sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts) < 100_000
+    texts = spark.createDataFrame([("a", "🌊 the then"), (None, "the"), ("c", None), ("d", "x" * 2_000_000 + "the"), ("e", "")], "k string, t string").coalesce(1)
+    got = mining.longest_matches(texts, "k", "t", spark.createDataFrame([("the",), ("then",)], "name string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", "the", 2, 5), ("a", "then", 6, 10), (None, "the", 0, 3), ("d", "the", 2_000_000, 2_000_003)], key=str)
