@@ -13,6 +13,7 @@ really begin are followed one to the next. Only images with several code groups
 of its own and back-references, with or without a colour cache, whichever the entropy of the tokens says, after
 the transform (none, subtract green, palette, predictor left or top) that leaves the least entropy; codes of eight bits, or fixed
 ones for text, are taken only where they make a smaller file. `restore` reads all of them by `decode`.
+`digest` does the same for many texts at once, with the same bytes (module webp_many).
 
 Defined cases: null media give null pixels; a file that is no lossless WebP raises ValueError (or,
 with on_error="null", gives nulls); null text is an empty payload, stored like any other; very long
@@ -43,6 +44,10 @@ _NEAR_X, _NEAR_Y = (np.array(x) for x in zip(*NEAR, strict=True))
 UNIT, ROW = 576, 192
 #: Bits looked at together, and cache bits that are tried.
 STRETCH, CACHE = 1 << 15, 8
+#: Bytes of texts that are stored, or read back, at a time.
+TOGETHER = 1 << 21
+#: Entropies are whole numbers of these parts of a bit, so that their sums don't depend on the order.
+SCALE = 256
 
 
 class Bits:
@@ -138,12 +143,17 @@ class Code:
 
 
 @functools.lru_cache(maxsize=64)
-def _code(lengths: tuple[int, ...]) -> Code:
+def _code(lengths: bytes) -> Code:
     return Code(list(lengths))
 
 
 def read_code(bits: Bits, symbols: int) -> Code:
-    lengths = [0] * symbols
+    return _code(read_lengths(bits, symbols))
+
+
+def read_lengths(bits: Bits, symbols: int) -> bytes:
+    """Code lengths, a byte for each symbol."""
+    lengths = bytearray(symbols)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         first = bits.read(8 if wide else 1)
@@ -152,12 +162,12 @@ def read_code(bits: Bits, symbols: int) -> Code:
             if s >= symbols:
                 raise ValueError("a symbol is not in its alphabet")
             lengths[s] = 1
-        return _code(tuple(lengths))
+        return bytes(lengths)
     of_lengths, given = [0] * 19, 4 + bits.read(4)
     three = bits.read(3 * given)
     for k, s in enumerate(LENGTH_ORDER[:given]):
         of_lengths[s] = three >> 3 * k & 7
-    code = _code(tuple(of_lengths))
+    code = _code(bytes(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     s, before, at, table, mask = 0, 8, bits.at, code.table, (1 << code.bits) - 1
     # a length takes 14 bits at most, with those that say how often
@@ -177,28 +187,29 @@ def read_code(bits: Bits, symbols: int) -> Code:
             at += extra
             if s + times > symbols:
                 raise ValueError("too many code lengths")
-            lengths[s : s + times] = [before if n == 16 else 0] * times
+            if n == 16:
+                lengths[s : s + times] = bytes((before,)) * times
             s += times
         if at > end:
             raise ValueError("the image ends early")
     bits.at = at + skipped
-    return _code(tuple(lengths))
+    return bytes(lengths)
 
 
 class _Recent:
     """Sets of codes read lately: one that comes again, bit by bit, is not parsed again."""
 
-    held: list[tuple[int, tuple[int, ...], int, list[Code]]] = []
+    held: list[tuple[int, tuple[int, ...], int, list[bytes]]] = []
 
     @classmethod
-    def read(cls, bits: Bits, sizes: tuple[int, ...]) -> list[Code]:
+    def read(cls, bits: Bits, sizes: tuple[int, ...]) -> list[bytes]:
         for k, (n, own, value, codes) in enumerate(cls.held):
             if own == sizes and bits.at + n <= 8 * len(bits.raw) and bits.peek(n) == value:
                 bits.at += n
                 cls.held.insert(0, cls.held.pop(k))
                 return codes
         start = bits.at
-        codes = [read_code(bits, n) for n in sizes]
+        codes = [read_lengths(bits, n) for n in sizes]
         n, bits.at = bits.at - start, start
         cls.held = [(n, sizes, bits.peek(n), codes), *cls.held[:7]]
         bits.at = start + n
@@ -450,6 +461,11 @@ def _pixels(kind: np.ndarray, value: np.ndarray, distance: np.ndarray, total: in
     return colour[_followed(np.append(to, total))[:-1]]
 
 
+def alphabets(cache_bits: int) -> tuple[int, ...]:
+    """Symbols of the codes for green, red, blue, alpha and distance."""
+    return (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
     """ARGB of an entropy-coded image, a flat array."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -459,8 +475,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
         across = (width + (1 << side) - 1) >> side
         meta = (read_image(bits, across, (height + (1 << side) - 1) >> side) >> 8 & 0xFFFF).tolist()
         groups = max(meta) + 1
-    sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [_Recent.read(bits, sizes) for _ in range(groups)]
+    codes = [[_code(x) for x in _Recent.read(bits, alphabets(cache_bits))] for _ in range(groups)]
     total = width * height
     if groups == 1:
         return _pixels(*_tokens_read(bits, total, codes[0], width), total, cache_bits)
@@ -566,6 +581,18 @@ def _distance_codes(distance: np.ndarray, width: int) -> np.ndarray:
 _NOTHING = (np.zeros(0, np.int64),) * 3
 
 
+@functools.cache
+def _weights() -> np.ndarray:
+    n = np.arange(1 << 16)
+    return np.rint(SCALE * n * np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
+def weight(n: np.ndarray | list[int] | int) -> np.ndarray:
+    """n log2 n in parts of a bit."""
+    n = np.asarray(n)
+    return _weights()[n] if n.max(initial=0) < 1 << 16 else np.rint(SCALE * n * np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
 class Coded:
     """Tokens with prefix codes of their own, or given ones; like: other tokens with the same copies."""
 
@@ -596,12 +623,11 @@ class Coded:
     def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
         return [_coder(tuple(x)) for x in self.lengths]
 
-    def size(self) -> float:
-        """Bits that the tokens need at least, with four for the length of each symbol's code."""
+    def size(self) -> int:
+        """Parts of bits that the tokens need at least, with four bits for the length of each symbol's code."""
         n = np.concatenate(self.counts)
-        n = n[n > 0]
-        own = sum(t * np.log2(t) for t in (int(x.sum()) for x in self.counts) if t) - float((n * np.log2(n)).sum()) + 4 * len(n)
-        return own + int(self.sizes[2].sum() + self.far[2].sum())
+        own = int(weight([x.sum() for x in self.counts]).sum() - weight(n).sum())
+        return own + SCALE * (4 * int((n > 0).sum()) + int(self.sizes[2].sum() + self.far[2].sum()))
 
     def _fields(self) -> tuple[np.ndarray, np.ndarray]:
         value, size = np.zeros(len(self.kind), np.uint64), np.zeros(len(self.kind), np.int64)
@@ -843,8 +869,8 @@ def _lossless(raw: bytes) -> bytes:
     raise ValueError("no lossless image in this WebP file")
 
 
-def decode(raw: bytes) -> np.ndarray:
-    """Pixels (height, width), ARGB as 32-bit numbers."""
+def opened(raw: bytes) -> tuple[Bits, int, int, int, list[tuple], bool]:
+    """What stands before the main image: width, width after the transforms, height, the transforms, and whether alpha counts."""
     bits = Bits(_lossless(raw))
     if bits.read(8) != 0x2F:
         raise ValueError("no lossless image")
@@ -866,7 +892,10 @@ def decode(raw: bytes) -> np.ndarray:
             table = _merge(*(np.cumsum(x) for x in _split(read_image(bits, n, 1))))
             undo.append((kind, table, inner, 0))
             inner = (inner + (1 << _bundle(n)) - 1) >> _bundle(n)
-    pixels = read_image(bits, inner, height, main=True)
+    return bits, width, inner, height, undo, bool(has_alpha)
+
+
+def undone(pixels: np.ndarray, width: int, height: int, undo: list[tuple], has_alpha: bool) -> np.ndarray:
     for kind, block, across, side in reversed(undo):
         if kind == PREDICT:
             pixels = predict(pixels, block, across, side, True)
@@ -881,6 +910,12 @@ def decode(raw: bytes) -> np.ndarray:
     return pixels.reshape(height, width)
 
 
+def decode(raw: bytes) -> np.ndarray:
+    """Pixels (height, width), ARGB as 32-bit numbers."""
+    bits, width, inner, height, undo, has_alpha = opened(raw)
+    return undone(read_image(bits, inner, height, main=True), width, height, undo, has_alpha)
+
+
 def _file(body: bytes) -> bytes:
     padded = body + bytes(len(body) & 1)
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
@@ -953,22 +988,21 @@ def _fixed_head(width: int, height: int, text: bool) -> tuple[int, int]:
     return out.value, out.n
 
 
-def _entropy(pixels: np.ndarray) -> float:
-    """Bits of the channels, each by itself."""
+def _entropy(pixels: np.ndarray) -> int:
+    """Parts of bits of the channels, each by itself."""
     x = np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(-1, 4)
     n = np.bincount((x + np.arange(0, 1024, 256, dtype=np.int64)).ravel(), minlength=1024)
-    n = n[n > 0]
-    return float(4 * len(x) * np.log2(len(x)) - (n * np.log2(n)).sum())
+    return 4 * int(weight(len(x))) - int(weight(n).sum())
 
 
 def smallest(pixels: np.ndarray) -> bytes:
     """With or without a colour cache by the entropy of the tokens, after the transform that leaves the least."""
     height, width = pixels.shape
     flat, blocks = pixels.ravel(), ((width + 511) >> 9) * ((height + 511) >> 9)
-    ways: list[tuple[float, dict]] = [(_entropy(flat), {}), (_entropy(subtract_green(flat, False)), {"transforms": (GREEN,)})]
+    ways: list[tuple[int, dict]] = [(_entropy(flat), {}), (_entropy(subtract_green(flat, False)), {"transforms": (GREEN,)})]
     ways += [(_entropy(_one_way(flat, m, width, False)), {"transforms": (PREDICT,), "modes": [m] * blocks, "side": 9}) for m in (1, 2)]
     if len(table := np.unique(flat)) <= 256:
-        ways.append((32 * len(table) + _entropy(to_palette(flat, table, width, height)), {"transforms": (PALETTE,)}))
+        ways.append((SCALE * 32 * len(table) + _entropy(to_palette(flat, table, width, height)), {"transforms": (PALETTE,)}))
     how = min(ways, key=lambda w: w[0])[1]
     return encode(pixels, cache_bits=None, **how)
 
@@ -983,37 +1017,53 @@ def _fixed(part: np.ndarray, height: int, text: bool) -> bytes:
     return _file(out.done())
 
 
+def fixed_sizes(counts: np.ndarray, heights: np.ndarray) -> np.ndarray:
+    """Bits of images with these byte counts (a row for each) in the fixed codes: for text, and of eight bits."""
+    return np.stack([counts @ np.array(_fixed_codes(text)[1]) + np.array([_fixed_head(ROW, h, text)[1] for h in np.asarray(heights).tolist()]) for text in (True, False)])
+
+
+def store_image(part: np.ndarray) -> bytes:
+    """One image of at most SIDE rows, three bytes a pixel."""
+    height = len(part) // UNIT
+    sizes = fixed_sizes(np.bincount(part, minlength=256)[None], [height])[:, 0].tolist()
+    pixels = np.zeros((height * ROW, 4), np.uint8)
+    pixels[:, :3], pixels[:, 3] = part.reshape(-1, 3)[:, ::-1], 255
+    own = smallest(pixels.view("<u4").reshape(height, ROW))
+    return _fixed(part, height, sizes[0] <= sizes[1]) if 8 * len(own) > min(sizes) + 8 * 28 else own
+
+
 def store(payload: bytes) -> bytes:
     """Images of ROW pixels a row, three bytes a pixel, one after the other: as many as it takes."""
-    files = []
-    for at in range(0, len(payload), UNIT * SIDE):
-        part = np.frombuffer(payload[at : at + UNIT * SIDE], np.uint8)
-        height = len(part) // UNIT
-        counts = np.bincount(part, minlength=256)
-        sizes = {text: int(counts @ np.array(_fixed_codes(text)[1])) + _fixed_head(ROW, height, text)[1] for text in (True, False)}
-        text = min(sizes, key=sizes.get)
-        pixels = np.zeros((height * ROW, 4), np.uint8)
-        pixels[:, :3], pixels[:, 3] = part.reshape(-1, 3)[:, ::-1], 255
-        own = smallest(pixels.view("<u4").reshape(height, ROW))
-        if 8 * len(own) > sizes[text] + 8 * 28:
-            own = _fixed(part, height, text)
-        files.append(own)
-    return b"".join(files)
+    return b"".join(store_image(np.frombuffer(payload[at : at + UNIT * SIDE], np.uint8)) for at in range(0, len(payload), UNIT * SIDE))
 
 
-def restore(media: bytes) -> bytes:
+def files(media: bytes) -> list[bytes]:
     out, at = [], 0
     while at < len(media):
         end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        out.append(decode(media[at:end]).astype(">u4").tobytes())
+        out.append(media[at:end])
         at = end
-    return np.frombuffer(b"".join(out), np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+    return out
+
+
+def payload(images: list[np.ndarray]) -> bytes:
+    """The bytes that these images hold, three a pixel."""
+    return b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1].tobytes() for x in images)
+
+
+def restore(media: bytes) -> bytes:
+    return payload([decode(x) for x in files(media)])
+
+
+@functools.lru_cache(maxsize=256)
+def _edges(n: int) -> np.ndarray:
+    return np.linspace(0, n, 66).astype(np.int64)
 
 
 def features(payload: bytes) -> str:
     """Size, mean of each channel, and a difference hash of 64 neighbouring stretches."""
     x = np.frombuffer(payload, np.uint8)
-    edges = np.linspace(0, len(x), 66).astype(np.int64)
+    edges = _edges(len(x))
     means = np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[edges]) / np.diff(edges)
     bits = int.from_bytes(np.packbits(means[1:] > means[:-1]).tobytes(), "big")
     return f"{ROW}x{len(x) // UNIT} mean {' '.join(f'{m:.3f}' for m in x.reshape(-1, 3).mean(axis=0))} dhash {bits:016x}"
@@ -1054,20 +1104,26 @@ def decode_images(rows: DataFrame, media: str = "media", on_error: str = "raise"
 
 def digest(documents: DataFrame) -> DataFrame:
     """Stores each text as images in a table of the shared folder and describes what is read back."""
+    from . import webp_many as many  # which uses this module
+
     c.session(documents.sparkSession)
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(x) for x in raw], "media": [store(x + b"\xff" * (-len(x) % UNIT or (0 if x else UNIT))) for x in raw]})
+            n, media = [len(x) for x in raw], []
+            for a, b in c.chunks(n, TOGETHER):
+                media += many.store([x + b"\xff" * (-len(x) % UNIT or (0 if x else UNIT)) for x in raw[a:b]])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": n, "media": media})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, n, media in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True):
-                x = restore(media)
-                out.append((doc_id, n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(x)))
+            for a, b in c.chunks(pdf["n_bytes"].tolist(), TOGETHER):
+                part = pdf.iloc[a:b]
+                for doc_id, n, media, x in zip(part["doc_id"], part["n_bytes"], part["media"], many.restore(part["media"].tolist()), strict=True):
+                    out.append((doc_id, n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(x)))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     stored = c.table(docs.mapInPandas(c.freed(write), "doc_id long, n_bytes long, media binary"), "media")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from loomcat.llm import webp
+from loomcat.llm import webp_many as many
 
 
 def picture(h=13, w=22, colours=None, seed=1):
@@ -201,3 +202,79 @@ def test_digest(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert len({(r.media_sha256, r.feature) for r in got}) == 2
     assert webp.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def kinds():
+    rng = np.random.default_rng(5)
+    grey = np.repeat(rng.integers(0, 256, 192 * 40), 3).astype(np.uint8).tobytes()
+    few = rng.integers(0, 256, (30, 3))[rng.integers(0, 30, 192 * 40)].astype(np.uint8).tobytes()
+    up = (np.arange(576 * 96) // 576 * 5 + np.tile(rng.integers(0, 256, 576), 96)).astype(np.uint8).tobytes()
+    flat = (np.arange(576 * 40) // 3 * 7 % 256).astype(np.uint8).tobytes()
+    tall = (np.arange(576 * 160) // 576 * 3 + np.tile(rng.integers(0, 256, 576), 160)).astype(np.uint8).tobytes()
+    texts = [english(576 * (1 + n % 7), n) for n in range(40)]
+    skewed = np.minimum(rng.geometric(0.5, 576 * 30), 255).astype(np.uint8).tobytes()
+    steep = b"".join(bytes([k]) * (3 * 2 ** min(k, 12)) for k in range(20))
+    return [grey, few, up, flat, tall, *texts, b"\xff" * 576, b"\xff" * 57600, english(90) * 320, english(46) * 576, rng.integers(0, 256, 5760).astype(np.uint8).tobytes(), skewed, steep[: len(steep) // 576 * 576], b"", english(576 * 200), texts[0], texts[3]]
+
+
+def test_images_coded_together_are_those_coded_alone(monkeypatch):
+    """Byte for byte, in any company and order, and read back together as alone."""
+    payloads = kinds()
+    alone = [webp.store(x) for x in payloads]
+    seen = []
+    old = many._images
+    monkeypatch.setattr(many, "_images", lambda parts: seen.append(len(parts)) or old(parts))
+    assert many.store(payloads) == alone and max(seen) > 40
+    assert many.store(payloads[::-1]) == alone[::-1] and [many.store([x])[0] for x in payloads[:9]] == alone[:9]
+    assert many.restore(alone) == payloads == [webp.restore(x) for x in alone]
+    monkeypatch.setattr(many, "SMALL", 192 * 4)  # most go alone
+    assert many.store(payloads) == alone and many.restore(alone) == payloads
+    monkeypatch.setattr(many, "IMAGES", 3)
+    assert many.store(payloads) == alone and many.restore(alone) == payloads
+    assert many.store([]) == many.restore([]) == []
+
+
+def test_hash_collisions_of_copies_are_noticed(monkeypatch):
+    payloads = kinds()[:20]
+    alone = [webp.store(x) for x in payloads]
+    monkeypatch.setattr(many.c, "mix", lambda x: x & np.uint64(0xFF) << np.uint64(40))
+    monkeypatch.setattr(many.w, "copies", lambda pixels, plain=webp.copies: used.append(1) or plain(pixels))
+    used = []
+    got = many.store(payloads)
+    assert used and many.restore(got) == payloads and len(got) == len(alone)
+
+
+def test_code_lengths_of_many_rows():
+    rng = np.random.default_rng(7)
+    counts = [np.minimum(rng.geometric(p, 90), 10**6) * (rng.random(90) < q) for p in (0.001, 0.3, 0.9) for q in (0, 0.02, 0.1, 0.9)]
+    fibonacci = [1, 1]
+    while len(fibonacci) < 30:
+        fibonacci.append(sum(fibonacci[-2:]))
+    counts = np.array([*counts, [1] * 90, [5] + [0] * 89, fibonacci + [0] * 60])
+    assert many.huffman(counts).tolist() == [webp.huffman(x.tolist(), 15) for x in counts]
+
+
+def test_files_of_all_kinds_decoded_together():
+    """Palettes, alpha, all transforms, other caches, several sizes, and a file of another encoder; bad files are errors."""
+    blocks = ((22 + 3) >> 2) * ((13 + 3) >> 2)
+    rng = np.random.default_rng(3)
+    files = [webp.encode(picture(30, 31, n), (webp.PALETTE,)) for n in (1, 2, 3, 9, 17, 200)]
+    files += [webp.encode(np.tile(picture(8, 10, 40), (4, 3)), cache_bits=n, lz=lz) for n in (0, 1, 6, 11) for lz in (False, True)]
+    files.append(webp.encode(picture() & np.uint32(0x7FFFFFFF), (webp.PREDICT, webp.CROSS, webp.GREEN), modes=rng.integers(0, 14, blocks).tolist(), factors=rng.integers(0, 1 << 24, blocks).tolist(), cache_bits=4))
+    files.append(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    files.append(webp.encode(np.full((3, 3), 0xFF010203, np.uint32)))
+    for a, b in zip(many.decode(files), map(webp.decode, files), strict=True):
+        assert a.shape == b.shape and np.array_equal(a, b)
+    whole = webp.encode(picture(), lz=False)
+    for cut in (6, 40, 100):
+        with pytest.raises(ValueError):
+            many.decode([files[0], whole[:-cut], files[1]])
+
+
+def test_a_batch_takes_few_calls(monkeypatch):
+    """Hardly any of 200 texts are coded alone."""
+    calls = []
+    old = webp.smallest
+    monkeypatch.setattr(webp, "smallest", lambda pixels: calls.append(1) or old(pixels))
+    payloads = [english(576 * (1 + n % 7), n) for n in range(200)]
+    assert many.restore(many.store(payloads)) == payloads and len(calls) < 20
