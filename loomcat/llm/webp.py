@@ -170,29 +170,30 @@ def read_lengths(bits: Bits, symbols: int) -> bytes:
     code = _code(bytes(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     s, before, at, table, mask = 0, 8, bits.at, code.table, (1 << code.bits) - 1
-    # a length takes 14 bits at most, with those that say how often
-    ahead = _words(bits.raw[at >> 3 : (at + 14 * symbols >> 3) + 9] + bytes(8)).tolist()
-    at, skipped = at & 7, at & ~7
-    end = 8 * len(bits.raw) - skipped
+    word = have = 0  # the bits that come next, and how many of them
     while s < symbols and left:
         left -= 1
-        word = ahead[at >> 3] >> (at & 7)
+        if have < 14:  # a length takes no more, with those that say how often
+            word, have = int.from_bytes(bits.raw[at >> 3 : (at >> 3) + 8], "little") >> (at & 7), 64 - (at & 7)
         n = table[word & mask]
-        at, word, n = at + (n & 15), word >> (n & 15), n >> 4
+        size, n = n & 15, n >> 4
         if n < 16:
-            lengths[s], s, before = n, s + 1, n or before
+            if n:
+                lengths[s] = before = n
+            s += 1
         else:
             first, extra = (3, 2) if n == 16 else (3, 3) if n == 17 else (11, 7)
-            times = first + (word & (1 << extra) - 1)
-            at += extra
+            times = first + (word >> size & (1 << extra) - 1)
+            size += extra
             if s + times > symbols:
                 raise ValueError("too many code lengths")
             if n == 16:
                 lengths[s : s + times] = bytes((before,)) * times
             s += times
-        if at > end:
-            raise ValueError("the image ends early")
-    bits.at = at + skipped
+        at, word, have = at + size, word >> size, have - size
+    if at > 8 * len(bits.raw):
+        raise ValueError("the image ends early")
+    bits.at = at
     return bytes(lengths)
 
 
@@ -433,11 +434,13 @@ def _slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
 
 def _followed(to: np.ndarray) -> np.ndarray:
     """The end of each chain of places; a place that points at itself ends one."""
-    while True:
-        far = to[to]
-        if np.array_equal(far, to):
-            return to
-        to = far
+    far = to[to]
+    open_ = np.flatnonzero(far != to)
+    while len(open_):
+        before, after = far[open_], far[far[open_]]
+        far[open_] = after
+        open_ = open_[after != before]
+    return far
 
 
 def _pixels(kind: np.ndarray, value: np.ndarray, distance: np.ndarray, total: int, cache_bits: int) -> np.ndarray:
@@ -1064,9 +1067,9 @@ def features(payload: bytes) -> str:
     """Size, mean of each channel, and a difference hash of 64 neighbouring stretches."""
     x = np.frombuffer(payload, np.uint8)
     edges = _edges(len(x))
-    means = np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[edges]) / np.diff(edges)
+    means = np.add.reduceat(x, edges[:-1], dtype=np.int64) / np.diff(edges)
     bits = int.from_bytes(np.packbits(means[1:] > means[:-1]).tobytes(), "big")
-    return f"{ROW}x{len(x) // UNIT} mean {' '.join(f'{m:.3f}' for m in x.reshape(-1, 3).mean(axis=0))} dhash {bits:016x}"
+    return f"{ROW}x{len(x) // UNIT} mean {' '.join(f'{3 * int(x[k::3].sum()) / len(x):.3f}' for k in range(3))} dhash {bits:016x}"
 
 
 def encode_images(rows: DataFrame, pixels: str = "pixels", width: str = "width", height: str = "height", media: str = "media") -> DataFrame:

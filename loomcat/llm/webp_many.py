@@ -20,6 +20,7 @@ from . import webp as w
 #: Images coded together (cache slots are sorted by 16 bits, eight of them the image), pixels together and of one image.
 IMAGES, PIXELS, SMALL = 256, 1 << 18, 1 << 15
 PLACE = (1 << 20) - 1
+AFTER = 128
 GREENS = 280 + (1 << w.CACHE)
 #: Where the codes of an image lie in its row of lengths: green, red, blue, alpha, distance.
 EDGES = np.cumsum([0, GREENS, 256, 256, 256, 40])
@@ -240,9 +241,10 @@ def _images(parts: list[np.ndarray]) -> list[bytes]:
     opens[(end - n) // w.ROW] = True
     ways = _transformed(rows, opens)
     cost = np.empty((5, k), np.int64)
+    of_image = ((image * 768)[:, None] + np.arange(0, 768, 256)).ravel()
     for way, x in enumerate(ways):
-        place = (image * 768)[:, None] + (x.reshape(-1, 4)[:, :3] + np.arange(0, 768, 256))
-        cost[way] = 3 * w.weight(n) - w.weight(np.bincount(place.ravel(), minlength=768 * k)).reshape(k, 768).sum(axis=1)
+        place = of_image + x.reshape(-1, 4)[:, :3].ravel()
+        cost[way] = 3 * w.weight(n) - w.weight(np.bincount(place, minlength=768 * k)).reshape(k, 768).sum(axis=1)
     key = np.sort((image << 24).astype(np.uint32) | pixels & np.uint32(0xFFFFFF))
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     colours = np.bincount(key[first] >> 24, minlength=k)
@@ -388,54 +390,67 @@ def _tables(lengths: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table[turned], base, bits
 
 
-def _starts(raw: bytes, at: int, total: int, codes: list[tuple[np.ndarray, int]], copies: bool) -> tuple[list[int], int]:
-    """Bits at which tokens begin, as far as the bits go, and where the last one ends: as in webp._tokens_read."""
-    n, shift = min(8 * len(raw) - at, 64 + 48 * total), at & 7
-    words = w._words(raw + bytes(16))
+def _starts(raw: bytes, at: int, total: int, codes: list[tuple[np.ndarray, np.ndarray, int]], copies: bool) -> tuple[np.ndarray, int]:
+    """Bits at which tokens begin, as far as the bits go, and where the last one ends: as in webp._tokens_read.
+    codes: for each its table, the lengths in it and its bits."""
+    n, shift, first = min(8 * len(raw) - at, 64 + 48 * total), at & 7, at >> 3
     if n <= 0:
         raise ValueError("the image ends early")
-    window = (words[at >> 3 : (at >> 3) + (n + shift + 7) // 8, None] >> np.arange(8)).ravel()[shift : shift + n]
-    green, bits = codes[0]
+    many, words = (n + shift + 7) // 8, w._words(raw + bytes(24))
+    # a row for each bit of a byte
+    window = words[first : first + many] >> np.arange(8)[:, None]
+    green, _, bits = codes[0]
     s = green.take(window & ((1 << bits) - 1))
-    size = s & 15
-    own = size.copy()
-    for code, bits in codes[1:4]:
+    size = own = s & 15
+    for _, sizes, bits in codes[1:4]:
         if bits:
             window >>= own
-            own = code.take(window & ((1 << bits) - 1))
-            own &= 15
-            size += own
+            own = sizes.take(window & ((1 << bits) - 1))
+            size = size + own
     if copies:
+        s, size = s.ravel(), size.ravel()
         i = np.flatnonzero(s >= 256 << 4)
         size[i] = s[i] & 15
         i = i[s[i] < 280 << 4]
         extra = w._amounts((s[i] >> 4) - 256)[1]
-        place = at + i + size[i] + extra
-        far, bits = codes[4]
+        place = 8 * (first + i % many) + i // many + size[i] + extra
+        far, _, bits = codes[4]
         d = far[words[place >> 3] >> (place & 7) & ((1 << bits) - 1)]
         size[i] += extra + (d & 15) + w._amounts(d >> 4)[1]
-    step = size.astype(np.uint8).tobytes()
-    if not step[0]:  # codes without bits: all is one colour
-        return [at] * total, at
-    p, starts = 0, []
-    append = starts.append
-    while p < n:
+    # a token is shorter than AFTER bits; behind the last bit nothing moves on
+    step = np.zeros(8 * many + 4 * AFTER, np.int64)
+    step[: 8 * many].reshape(many, 8)[:] = size.reshape(8, many).T
+    if not step[shift]:  # codes without bits: all is one colour
+        return np.full(total, at), at
+    place = np.arange(8 * many)
+    two = step.copy()
+    two[: 8 * many] += step.take(place + step[: 8 * many])
+    four = memoryview((two[: 8 * many] + two.take(place + two[: 8 * many])).astype(np.uint16))
+    p, end, hops = shift, shift + n, []
+    append = hops.append
+    while p < end:
         append(p)
-        p += step[p]
-    return [x + at for x in starts], p + at
+        p += four[p]
+    starts = np.empty((len(hops), 4), np.int64)
+    starts[:, 0] = hops
+    starts[:, 2] = starts[:, 0] + two[starts[:, 0]]
+    starts[:, 1::2] = starts[:, ::2] + step[starts[:, ::2]]
+    starts = starts.ravel()
+    starts = starts[: np.searchsorted(starts, end)]
+    return starts + (at - shift), int(starts[-1] + step[starts[-1]]) + at - shift
 
 
 def _decoded(heads: list[tuple]) -> list[np.ndarray]:
     """Main images: of each its bits, width, height, cache bits and code lengths."""
     k = len(heads)
     table, base, bits = _tables([x for h in heads for x in h[4]])
-    spans = list(zip(base.tolist(), bits.tolist(), strict=True))
+    spans, sizes = list(zip(base.tolist(), bits.tolist(), strict=True)), table & 15
     held, tokens, last = [], [], []
     for i, (b, width, height, _, lengths) in enumerate(heads):
-        codes = [(table[a : a + (1 << n)], n) for a, n in spans[5 * i : 5 * i + 5]]
+        codes = [(table[a : a + (1 << n)], sizes[a : a + (1 << n)], n) for a, n in spans[5 * i : 5 * i + 5]]
         starts, end = _starts(b.raw, b.at, width * height, codes, any(lengths[0][256:]))
         tokens.append(len(starts))
-        held.append(np.array(starts, np.int64))
+        held.append(starts)
         last.append(end)
     tokens = np.array(tokens)
     image = np.repeat(np.arange(k), tokens)
