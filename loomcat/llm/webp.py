@@ -42,6 +42,8 @@ PREDICT, CROSS, GREEN, PALETTE = range(4)
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, -p[1], -p[0]))
 _NEAR_X, _NEAR_Y = (np.array(x) for x in zip(*NEAR, strict=True))
 UNIT, ROW = 576, 192
+#: The furthest distance that the 40 symbols of its code can say.
+FAR = (1 << 20) - 120
 #: Bits looked at together, and cache bits that are tried.
 STRETCH, CACHE = 1 << 15, 8
 #: Bytes of texts that are stored, or read back, at a time.
@@ -526,7 +528,7 @@ def copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     x = pixels.astype(np.uint64)
     key = c.mix(x[:-2] | x[1:-1] << np.uint64(32)) ^ c.mix(x[2:] + np.uint64(1))
     before = _before(key)
-    places = np.flatnonzero(before >= 0)
+    places = np.flatnonzero((before >= 0) & (np.arange(len(key)) - before <= FAR))
     k = 0
     while k < len(places):
         i = int(places[k])

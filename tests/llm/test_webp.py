@@ -278,3 +278,13 @@ def test_a_batch_takes_few_calls(monkeypatch):
     monkeypatch.setattr(webp, "smallest", lambda pixels: calls.append(1) or old(pixels))
     payloads = [english(576 * (1 + n % 7), n) for n in range(200)]
     assert many.restore(many.store(payloads)) == payloads and len(calls) < 20
+
+
+def test_copies_from_too_far_are_not_taken():
+    """A text of over 3 MB repeats its beginning at its end, further away than a back-reference can reach."""
+    x = np.random.default_rng(1).integers(0, 16, 576 * 5600).astype(np.uint8).tobytes()
+    x += x[:5760]
+    media = webp.store(x)
+    assert len(media) < 0.6 * len(x) and webp.restore(media) == x == many.restore(many.store([x]))[0]
+    near = np.concatenate((np.arange(9), np.arange(1000, 1000 + webp.FAR - 9), np.arange(9))).astype(np.uint32)
+    assert webp.copies(near) == [(webp.FAR, 9, webp.FAR)] and webp.copies(np.insert(near, 500, 7)) == []
